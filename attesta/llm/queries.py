@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import mixing, packing, sharding
+from attesta.llm import mixing, neardup, packing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard(table(spark, sf_dir, "documents"))
     return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "lang", "source", "curve")
@@ -33,6 +37,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op6_sharding": op6_sharding,
     "op10_packing": op10_packing,
 }
