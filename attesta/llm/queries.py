@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attesta.llm import mixing, neardup, packing, sharding
+from attesta.llm import mixing, neardup, packing, secretscan, sharding, warc
+from attesta.llm.common import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +30,28 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_key"), F.col("html").alias("payload"), "url")
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.deduplicated(pages), path)
+    back = warc.read(spark, path)
+    key = F.col("record_id").cast("long").alias("page_id")
+    # responses are checked against their payload; a revisit has its header only
+    responses = back.where("record_type = 'response'").select(key, F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("computed_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), "target_uri")
+    revisits = warc.read(spark, path, payload=False).where("record_type = 'revisit'").select(key, "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "target_uri")
+    return responses.unionByName(revisits)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard(table(spark, sf_dir, "documents"))
     return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "lang", "source", "curve")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -38,7 +59,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
+    "op8_secrets": op8_secrets,
     "op10_packing": op10_packing,
 }
 
