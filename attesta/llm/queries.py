@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import mixing, neardup, packing, secretscan, sharding, warc
+from attesta.llm import langid, mixing, neardup, packing, quality, secretscan, sharding, warc
 from attesta.llm.common import shared_dir
 
 
@@ -30,6 +30,22 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.detect(docs, langid.fit(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_key"), F.col("html").alias("payload"), "url")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -59,6 +75,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_line_quality": op3_line_quality,
+    "op4_language": op4_language,
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op8_secrets": op8_secrets,

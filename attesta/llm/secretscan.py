@@ -79,14 +79,14 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, least: float = 0.6, reach: int = 64, redact: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, least: float = 0.7, reach: int = 64, redact: str | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_novel, base_spans, spans and base_sha256 for each row of docs (doc_id, text).
 
     Known shapes are always reported: assignments to password-like names, access keys and long
     hexadecimal strings. The method adds strings (kind 'novel') that hold 16 or more key characters
     and a digit, stand within `reach` characters after a sensitive word, overlap no known shape, and
     add at least `least` compressed bytes a character to their surroundings, by zstandard primed
-    with a dictionary of identifiers. Random letters and digits add about 0.75, words and repeats of
+    with a dictionary of identifiers. Random letters and digits add 0.8 to 1, words and repeats of
     what stands near them far less. Spans are kind:start:end in code points, end exclusive, by start,
     then kind.
 
