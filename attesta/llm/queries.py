@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import langid, mixing, neardup, packing, quality, secretscan, sharding, warc
+from attesta.llm import langid, mixing, neardup, packing, quality, secretscan, sharding, urlfilter, warc
 from attesta.llm.common import shared_dir
 
 
@@ -63,6 +63,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "lang", "source", "curve")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secretscan.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
@@ -79,6 +83,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
+    "op7_url_filter": op7_url_filter,
     "op8_secrets": op8_secrets,
     "op10_packing": op10_packing,
 }
