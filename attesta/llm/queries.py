@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import langid, mixing, neardup, packing, quality, secretscan, sharding, urlfilter, warc
+from attesta.llm import langid, mixing, mtree, neardup, packing, quality, secretscan, sharding, urlfilter, warc
 from attesta.llm.common import shared_dir
 
 
@@ -72,6 +72,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
     "op8_secrets": op8_secrets,
+    "op9_top_k": op9_top_k,
     "op10_packing": op10_packing,
 }
 
