@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,22 +159,23 @@ def fit(docs: DataFrame, sample: int = 1000, languages: int = 256, penalty: floa
     return Model(langs, score, scripts * 100 >= np.maximum(scripts.sum(axis=0), 1), penalty)
 
 
-def detect(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score and spans for each row of docs (doc_id, text).
+def detect(docs: DataFrame, model: Model | None, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, lang_pred, score and spans, and the columns `keep`, for each row of docs (doc_id, text).
 
     Words are runs of letters. The script of a word narrows its languages; n-gram log-probabilities
     score them; the best sequence of languages, at a penalty for each switch, labels the words.
     spans: (lang, start, end) of runs of words in one language, in bytes of the lower-case text.
     lang_pred: the language of the most bytes, ties to the first by name. score: its share of the
-    labelled bytes times the chance, by summed scores, that it beats the others.
+    letters' bytes times the chance, by summed scores, that it beats the others.
 
     lang_pred is `und`, with score 0, for a null text, one without letters, or without a model. A
-    text in a script that no learned language uses gets the first language with a low score.
+    text all in scripts that no learned language uses gets the first language, with score 0.
     Texts are read whole, where they are; the model goes to every task (BUCKET_BITS bound it).
     Other columns are ignored, lang and source among them. Repeated rows get equal results.
     """
     span = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", span)])
+    keep = [c for c in keep if c not in ("doc_id", "lang_pred", "score", "spans")]
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", span), *[docs.schema[c] for c in keep]])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,12 +190,13 @@ def detect(docs: DataFrame, model: Model | None) -> DataFrame:
                 if model and letters.any():
                     path, totals = model.decode(model.word_scores(w), w.doc, n)
                     size = (w.end - w.start).astype(float)
-                    bulk = np.stack([np.bincount(w.doc, size * (path == j), minlength=n) for j in range(len(model.langs))], axis=1)
+                    scored = model.usual[w.script].any(axis=1)
+                    bulk = np.stack([np.bincount(w.doc, size * (scored & (path == j)), minlength=n) for j in range(len(model.langs))], axis=1)
                     top = bulk.argmax(axis=1)
                     beats = np.exp(np.minimum(0.0, totals - totals[np.arange(n), top][:, None])).sum(axis=1)
-                    sure = bulk[np.arange(n), top] / np.maximum(bulk.sum(axis=1), 1) / beats
+                    sure = bulk[np.arange(n), top] / np.maximum(np.bincount(w.doc, size, minlength=n), 1) / beats
                     pred[letters] = np.array(model.langs, object)[top[letters]]
-                    score[letters] = np.where(bulk.sum(axis=1) > 0, sure, 1 / len(model.langs))[letters]
+                    score[letters] = sure[letters]
                     turn = np.ones(len(path), bool)
                     turn[1:] = (path[1:] != path[:-1]) | (w.doc[1:] != w.doc[:-1])
                     at = np.flatnonzero(turn)
@@ -202,7 +205,7 @@ def detect(docs: DataFrame, model: Model | None) -> DataFrame:
                     starts, ends = starts - base[w.doc[at]], ends - base[w.doc[at]]
                     firsts = np.searchsorted(w.doc[at], np.arange(n + 1), "left").astype(np.int32)
                 spans = pa.ListArray.from_arrays(pa.array(firsts), pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(starts.astype(np.int64)), pa.array(ends.astype(np.int64))], names=["lang", "start", "end"]))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.array(pred, pa.string()), pa.array(score), spans], names=schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.array(pred, pa.string()), pa.array(score), spans, *[c.slice(lo, n) for c in b.columns[3:]]], names=schema.names)
 
     # letters of any script, as Unicode has them; JVM-side
-    return docs.select("doc_id", F.lower("text").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.lower("text").alias("_lower"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), *keep).mapInArrow(run, schema)

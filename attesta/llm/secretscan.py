@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import zstandard
@@ -79,7 +79,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, least: float = 0.7, reach: int = 64, redact: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, least: float = 0.7, reach: int = 64, redact: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_novel, base_spans, spans and base_sha256 for each row of docs (doc_id, text).
 
     Known shapes are always reported: assignments to password-like names, access keys and long
@@ -91,11 +91,11 @@ def scan(docs: DataFrame, least: float = 0.7, reach: int = 64, redact: str | Non
     then kind.
 
     With `redact` there is also the column redacted, the text with that mark for every span (null
-    stays null). Null or empty text has no spans, and base_sha256 that of the empty string. Every
+    stays null); `keep` names columns that are carried along. Null or empty text has no spans, and base_sha256 that of the empty string. Every
     row is scanned whole, in the task that read it; nothing is shuffled. Other columns are ignored.
     """
     fields = [docs.schema["doc_id"], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], *[T.StructField(n, T.StringType()) for n in ("base_spans", "spans", "base_sha256")]]
-    schema = T.StructType(fields + ([T.StructField("redacted", T.StringType())] if redact is not None else []))
+    schema = T.StructType(fields + ([T.StructField("redacted", T.StringType())] if redact is not None else []) + [docs.schema[c] for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
@@ -113,6 +113,6 @@ def scan(docs: DataFrame, least: float = 0.7, reach: int = 64, redact: str | Non
                         marked.append(text and redacted(text, base + more, redact))
                 kinds = [pa.int64()] * len(KINDS) + [pa.string()] * 3
                 arrays = [batch.column(0).slice(lo, 500), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]]
-                yield pa.RecordBatch.from_arrays(arrays + ([pa.array(marked, pa.string())] if redact is not None else []), names=schema.names)
+                yield pa.RecordBatch.from_arrays(arrays + ([pa.array(marked, pa.string())] if redact is not None else []) + [c.slice(lo, 500) for c in batch.columns[2:]], names=schema.names)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("_text"), *keep).mapInArrow(run, schema)
