@@ -117,23 +117,25 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """id and comp, the least id that edges (a, b) reach from it: stars contract until nothing changes.
 
-    Each round every id takes the least label among itself and its neighbours' labels, then its
-    label's label. Labels and edges stay distributed; a round is cut so that plans do not grow.
+    Each round every id takes the least label among itself and its neighbours, hangs its old label
+    under that, and then takes its label's label. Labels and edges stay distributed, and a round is
+    cut so that plans do not grow. The centre of a large star is a key that most edges share, as is
+    the label of a large component; both are looked up by skew_lookup.
     """
     edges = edges.where(F.col("a") != F.col("b")).distinct()
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("comp")))
+    label = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("comp"), F.count("*").alias("_rows")))
     while True:
-        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("_near"))
+        near = skew_lookup(both, label.withColumnRenamed("id", "b"), "b", "_rows").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("_near"))
         hooked = label.join(near, "id").withColumn("_new", F.least("comp", "_near"))
-        # hang the old label's root under the new one as well, so long chains shorten by halves
         under = hooked.where(F.col("_new") < F.col("comp")).groupBy(F.col("comp").alias("id")).agg(F.min("_new").alias("_under"))
-        lower = hooked.join(under, "id", "left").select("id", F.least("_new", F.coalesce("_under", "_new")).alias("_low"), "comp")
-        jump = lower.select(F.col("id").alias("_low"), F.col("_low").alias("_two"))
-        after = cut(lower.join(jump, "_low", "left").select("id", F.least("_low", F.coalesce("_two", "_low")).alias("comp"), F.col("comp").alias("_was")))
+        lower = cut(hooked.join(under, "id", "left").select("id", F.least("_new", F.coalesce("_under", "_new")).alias("_low"), F.col("comp").alias("_was"), F.col("_rows").alias("_degree")))
+        used = lower.groupBy("_low").agg(F.count("*").alias("_rows"))
+        jump = used.join(lower.select(F.col("id").alias("_low"), F.col("_low").alias("_two")), "_low")
+        after = cut(skew_lookup(lower, cut(jump), "_low", "_rows").select("id", F.least("_low", F.coalesce("_two", "_low")).alias("comp"), "_was", F.col("_degree").alias("_rows")))
         if after.where(F.col("comp") < F.col("_was")).isEmpty():
             return after.select("id", "comp")
-        label = after.select("id", "comp")
+        label = after.drop("_was")
 
 
 def candidate_edges(sig: DataFrame, least: float) -> DataFrame:
