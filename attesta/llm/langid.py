@@ -11,7 +11,6 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from attesta.llm import wordvec
 
@@ -83,9 +82,10 @@ class Model:
     def decode(self, s: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The best path's language of each word, and each text's sums of scores.
 
-        A switch costs `penalty`. If no run of words gains more than that by any other language than
-        the one with the best sum, that language throughout is best: each stay elsewhere would pay
-        a switch for at most its gain. Only the other texts are decoded step by step.
+        A switch costs `penalty`. If no run of words gains more than half of that by any other language
+        than the one with the best sum, that language throughout is best: k stays elsewhere pay for at
+        least k - 1 switches, and one stay alone gains nothing. Only the other texts are decoded step
+        by step.
         """
         k = len(self.langs)
         totals = np.stack([np.bincount(doc, s[:, j], minlength=n) for j in range(k)], axis=1)
@@ -99,7 +99,7 @@ class Model:
             apart = (c.max() - c.min() + 1) * doc
             low = np.minimum.accumulate(c[:-1] - apart) + apart
             gain = c[1:] - low
-            doubt[doc[gain > self.penalty]] = True
+            doubt[doc[gain > self.penalty / 2]] = True
         for d in np.flatnonzero(doubt):
             path[first[d] : first[d + 1]] = self.viterbi(s[first[d] : first[d + 1]])
         return path, totals
@@ -121,19 +121,21 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = 1000, languages: int = 256, penalty: float = 25.0) -> Model | None:
-    """A model from docs (doc_id, text, lang) with text and lang: of each language the `sample` rows least by a hash of doc_id.
+    """A model from docs (doc_id, text, lang) with text and lang: of each language
+    about `sample` rows, or all of fewer, those with the least hashes of doc_id.
 
     Naive Bayes over hashed byte n-grams of words, add-one smoothed, and for each language the
     scripts that a hundredth of its words or more are in. At most `languages` languages, the most
     frequent, are learned, so the driver gets a bounded table of counts. None without such rows.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
-    if not langs:
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    if not counts:
         return None
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # limited before the shuffle
-    chosen = known.where(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).select("doc_id", "lang").distinct()
-    texts = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", F.lower("text").alias("text"))
+    langs = sorted(counts)
+    # the share of a language's rows that makes `sample` of them, as a bound on the hash: no window over a frequent language's rows
+    parts = docs.sparkSession.createDataFrame([(x, min(1 << 30, (sample << 30) // counts[x])) for x in langs], "lang string, _most long")
+    texts = known.join(F.broadcast(parts), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_most")).select("lang", F.lower("text").alias("text"))
     index = {x: i for i, x in enumerate(langs)}
     size = 1 << BUCKET_BITS
 
