@@ -54,7 +54,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3, s
     source are in or out together. An empty table gives an empty result. Columns of docs other than
     those made here pass through; of a clash, the made column stays.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "taken", "_key", "_h")
+    docs = docs.drop("size", "source_size", "target", "copies", "taken", "_key", "_h", "_base", "_threshold")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 64 - HASH_BITS)
     full = docs.withColumns({"_key": key, "_h": h, "size": word_count(F.col("text"))})

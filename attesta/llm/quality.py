@@ -163,11 +163,12 @@ def fit_chain(x: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int = 300
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, passes: int = 2) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, passes: int = 3) -> Model | None:
     """A model from labelled documents: labels (doc_id, quality 0 or 1), of each quality the `sample` rows least by a hash of doc_id.
 
     Lines of good documents are content. Lines of bad ones begin as boilerplate and, after each
-    pass, are what the model so far says, so that good lines in bad documents count as content.
+    pass, are what the model so far says, so that good lines in bad documents count as content. The
+    first pass looks at lines one by one: whole documents with one label say nothing of transitions.
     The bound makes the driver hold at most 2 * sample documents' line features, never their texts.
     None if either quality is missing.
     """
@@ -190,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, passes: int = 2)
     bad = np.repeat([r["quality"] == 0 for r in rows], np.diff(first))
     y = bad.astype(int)
     for again in range(passes):
-        model = fit_chain(x, y, first)
+        model = fit_chain(x, y, first, sticky=0.1 if again else 1e3)
         if again < passes - 1:
             y = np.where(bad, model.decode(x, first), 0).astype(int)
     return model

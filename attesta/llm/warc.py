@@ -37,7 +37,7 @@ def deduplicated(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     looked up by broadcast (see skew_lookup), so no task gathers its records.
     """
     payload = F.coalesce(F.col("payload"), F.lit(""))
-    full = records.withColumn("payload_bytes", F.octet_length(payload).cast("long")).withColumn("payload_digest", base32_sha1(payload))
+    full = records.drop("_first").withColumn("payload_bytes", F.octet_length(payload).cast("long")).withColumn("payload_digest", base32_sha1(payload))
     first = cut(full.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("record_key").alias("_first"), F.count("*").alias("_rows")))
     marked = skew_lookup(full, first, "payload_digest", "_rows")
     again = (F.col("payload_bytes") >= least_bytes) & (F.col("record_key") != F.col("_first"))
