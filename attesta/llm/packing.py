@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import unicodedata
 import zlib
@@ -16,19 +17,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from attesta.llm import wordvec
 from attesta.llm.common import cut
 
-#: Words and tails that a task keeps encoded; beyond that it starts anew.
-CACHED = 400_000
+#: Words that a worker process keeps encoded; those met later are encoded each time.
+WORDS = 1_000_000
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian uint32 bytes, equal to the tokenizer's own.
+    """Ids of whole texts, equal to the tokenizer's own.
 
     The vocabulary's text is split at white space and case is dropped before merging, so the ids of
-    a text are those of its words in turn. Words of letters, alone or before a stop, share an entry
-    with their lower-case form; unknown ones are encoded together and cut where a word-end token
-    stands. Texts with special tokens or control characters go to the tokenizer whole.
+    a text are those of its words in turn. Each different word of a batch is looked up once, by its
+    hash; the ids of all words are then copied at once. Unknown words of letters, alone or before a
+    stop, are encoded in their lower-case form, many together, and cut where a word-end token
+    stands; other unknown words go to the tokenizer one by one.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,78 +42,108 @@ class WordEncoder:
         vocab = self.tok.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHED:
-            self.words.clear()
-            self.cores.clear()
-        parts, rest = [], []
-        for w in words:
+        self.tails: dict[str, np.ndarray] = {}
+        self.index: dict[int, int] = {}  # from hash to place in first and count
+        self.first, self.count, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+        self.pool = np.zeros(4096, np.uint32)
+
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def of_words(self, words: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [None] * len(words)
+        at, cores, rest = [], [], []
+        for i, w in enumerate(words):
             core = w.rstrip(".,!?;:")
             if core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core) and "Σ" not in core and "İ" not in core):
-                parts.append((w, core.lower(), w[len(core) :]))
+                at.append(i)
+                cores.append(core)
             else:
-                rest.append(w)
-        new = list({c for _, c, _ in parts if c not in self.cores})
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+                rest.append(i)
+        for lo in range(0, len(cores), 2000):
+            some = cores[lo : lo + 2000]
+            ids = self.plain(" ".join(some).lower())
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(some):
-                self.cores.update((c, self.plain(c)) for c in some)
-                continue
-            whole, before = ids.tobytes(), 0
-            for c, end in zip(some, (4 * ends).tolist(), strict=True):
-                self.cores[c] = whole[before:end]
-                before = end
-        for w, core, tail in parts:
-            if tail and tail not in self.cores:
-                self.cores[tail] = self.plain(tail)
-            self.words[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
-        for w, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 200):
-            some = texts[at : at + 200]
-            odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") or any(s in t for s in self.special) for t in some]
-            split = [[] if o else t.split() for t, o in zip(some, odd, strict=True)]
-            known = self.words
-            if missing := {w for words in split for w in words if w not in known}:
-                if len(known) > CACHED:
-                    missing = {w for words in split for w in words}
-                self.learn(missing)
-            out += [self.plain(t) if o else b"".join(map(self.words.__getitem__, words)) for t, o, words in zip(some, odd, split, strict=True)]
+            parts = np.split(ids, ends[:-1]) if len(ends) == len(some) else [self.plain(c) for c in some]
+            for i, core, part in zip(at[lo : lo + 2000], some, parts, strict=True):
+                if tail := words[i][len(core) :]:
+                    if tail not in self.tails:
+                        if len(self.tails) > 10_000:
+                            self.tails.clear()
+                        self.tails[tail] = self.plain(tail)
+                    part = np.concatenate([part, self.tails[tail]])
+                out[i] = part
+        for i, e in zip(rest, self.tok.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32)
         return out
 
+    def learn(self, hashes: list[int], words: list[str]) -> None:
+        parts = self.of_words(words)
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        n, start = len(self.index), self.used
+        for name, need in (("first", n + len(parts)), ("count", n + len(parts)), ("pool", start + int(count.sum()))):
+            own = getattr(self, name)
+            if need > len(own):
+                setattr(self, name, np.concatenate([own, np.zeros(need, own.dtype)]))
+        self.first[n : n + len(parts)] = start + np.cumsum(count) - count
+        self.count[n : n + len(parts)] = count
+        self.used = start + int(count.sum())
+        if parts:
+            self.pool[start : self.used] = np.concatenate(parts)
+        self.index.update(zip(hashes, range(n, n + len(parts)), strict=True))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, each with end_id after it, and where each begins."""
+        data, offsets = wordvec.text_bytes(texts)
+        w = wordvec.words(data, offsets)
+        kinds, where, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        keys = kinds.tolist()
+        place = np.fromiter((self.index.get(k, -1) for k in keys), np.int64, len(keys))
+        if len(new := np.flatnonzero(place < 0)):
+            before = len(self.index), self.used
+            raw = data.tobytes()
+            self.learn([keys[i] for i in new], [raw[a:b].decode() for a, b in zip(w.start[where[new]].tolist(), w.end[where[new]].tolist(), strict=True)])
+            place[new] = np.arange(before[0], before[0] + len(new))
+        own = place[back]
+        count = self.count[own]
+        n = len(texts)
+        per_text = np.bincount(w.doc, count, minlength=n).astype(np.int64)
+        begin = np.concatenate([[0], np.cumsum(per_text + 1)])
+        out = np.full(int(begin[-1]), end_id, np.uint32)
+        if len(own):
+            step = np.arange(int(count.sum()))
+            source = np.repeat(self.first[own] - (np.cumsum(count) - count), count) + step
+            out[step + np.repeat(np.arange(n), per_text)] = self.pool[source]
+        while len(self.index) > WORDS:  # the newest go; common words came early
+            self.index.popitem()
+            self.used = int(self.first[len(self.index)])
+        return out, begin
+
+
+@functools.cache
+def encoder_of(path: str) -> WordEncoder:
+    """The worker process's own, kept from task to task."""
+    return WordEncoder(path)
+
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and the place (_part, _nth) among the task's pieces of equal length."""
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("_part", T.IntegerType()), ("_nth", T.LongType()))]])
-    closing = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, nth = WordEncoder(path), np.zeros(capacity + 1, np.int64)
+        encoder, nth = encoder_of(path), np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []
             origin: list[int] = []
-            for lo in range(0, batch.num_rows, 200):
-                texts = [t or "" for t in batch.column(1).slice(lo, 200).to_pylist()]
-                for i, ids in enumerate(encoder.encode(texts), lo):
-                    ids += closing
-                    n = len(ids) // 4
-                    for k, at in enumerate(range(0, n, capacity)):
-                        size = min(capacity, n - at)
-                        rows.append((k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), part, nth[size]))
+            for lo, hi in wordvec.slices(batch.column(1), 4 << 20):
+                ids, begin = encoder.encode(batch.column(1).slice(lo, hi - lo), end_id)
+                begin = begin.tolist()
+                for i, (first, end) in enumerate(zip(begin[:-1], begin[1:], strict=True), lo):
+                    for k, at in enumerate(range(first, end, capacity)):
+                        size = min(capacity, end - at)
+                        rows.append((k, at - first, size, zlib.crc32(ids[at : at + size]), part, nth[size]))
                         nth[size] += 1
                         origin.append(i)
             columns = list(zip(*rows, strict=True)) or [[]] * 6
