@@ -44,11 +44,11 @@ def deduplicated(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     return marked.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("_first"))).drop("_first")
 
 
-def write(records: DataFrame, path: str, uri: str = "url", date: str = "2000-01-01T00:00:00Z") -> None:
+def write(records: DataFrame, path: str, uri: str = "url", date: str = "2000-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """Writes a WARC record for each row of records (record_key, payload and the columns of `deduplicated`) below path.
 
     Spark's text writer does it, with the blank lines that end a record as separator, so any file
-    system that Spark writes to will do. Revisits carry no payload, only its digest, its length and
+    system that Spark writes to will do, and compresses the files. Revisits carry no payload, only its digest, its length and
     the record they refer to. Control characters in the URI are percent-encoded; a null one is left out.
     """
     clean = F.regexp_replace(F.col(uri), r"[\x00-\x20\x7f]", "%20")
@@ -59,7 +59,7 @@ def write(records: DataFrame, path: str, uri: str = "url", date: str = "2000-01-
         F.concat(F.lit("WARC-Refers-To: <urn:record:"), F.col("refers_to").cast("string"), F.lit(">")), F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *lines), F.lit(END), body)
-    records.select(record.alias("value")).write.option("lineSep", END).text(path)
+    records.select(record.alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
 
 
 def file_system(path: str) -> tuple[Any, str]:
@@ -77,7 +77,8 @@ class WarcReader(DataSourceReader):
     """Partitions are sets of files of about `partitionBytes`; equality and membership tests on header fields come first.
 
     A record's header is parsed before anything else of it. If the pushed-down tests fail, or no
-    payload is asked for, the payload's bytes are stepped over by Content-Length, not decoded.
+    payload is asked for, the payload's bytes are stepped over by Content-Length, not decoded. Files
+    ending in .gz are decompressed as they are read.
     """
 
     def __init__(self, options: dict[str, str]) -> None:
@@ -114,7 +115,7 @@ class WarcReader(DataSourceReader):
         rows: list[tuple] = []
         held = 0
         for name in partition.names:
-            with system.open_input_file(name) as raw, io.BufferedReader(raw, 1 << 20) as f:
+            with system.open_input_file(name) as raw, io.BufferedReader(pa.CompressedInputStream(raw, "gzip") if name.endswith(".gz") else raw, 1 << 20) as f:
                 for header, payload in records(f, self.tests, self.payload):
                     rows.append((*[bare(header.get(FIELDS[c])) for c in list(FIELDS)[:5]], number(header.get("x-payload-length")), number(header.get("content-length")), payload, digest(payload) if payload is not None else None))
                     held += len(payload or b"") + 500
@@ -164,11 +165,20 @@ def records(f: Any, tests: list[tuple[str, frozenset[str]]], with_payload: bool)
         if wanted and with_payload:
             yield header, f.read(size)
         else:
-            f.seek(size, io.SEEK_CUR)
+            skip(f, size)
             if wanted:
                 yield header, None
 
 
+def skip(f: Any, size: int) -> None:
+    """Past the payload: at once in a plain file, block by block in a compressed one."""
+    if f.seekable():
+        f.seek(size, io.SEEK_CUR)
+        return
+    while size > 0 and (block := f.read(min(size, 1 << 20))):
+        size -= len(block)
+
+
 class WarcSource(DataSource):
     """spark.read.format("warc").option("path", ...): one row per record; option payload=false reads headers only."""
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In
 from tokenizers import Tokenizer
@@ -16,12 +17,13 @@ from tests.llm.helpers import SCHEMA, STRANGE, frame, odd_documents
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_warc_round_trip(spark, tmp_path, compression):
     rows = [(i, f"<p>{i % 7}</p>\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\né日", f"http://a/{i}") for i in range(30)]
     rows += [(100, None, None), (101, "", "http://b/\r\nx: y"), (102, "x" * 300_000, "http://c"), (103, "\r\n\r\n", "u"), (104, "same", "u"), (104, "same", "u")]
     records = spark.createDataFrame([(*r, 1, 2) for r in rows], "record_key long, payload string, url string, payload_bytes int, _first int")
     path = str(tmp_path / "w")
-    warc.write(warc.deduplicated(records), path)
+    warc.write(warc.deduplicated(records), path, compression=compression)
     first, digest = {}, {}
     for k, p, _ in rows:
         digest[k] = base64.b32encode(hashlib.sha1((p or "").encode()).digest()).decode()
