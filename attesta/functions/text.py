@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import html
 import unicodedata
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.functions import vocab
 
@@ -109,13 +109,13 @@ def after(text: Column, span: Column) -> Column:
     return F.substring(text, span["end"] + 1, F.length(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Case-folded, decomposed, without combining marks (OP-33): no built-in normalises Unicode."""
     return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if not unicodedata.combining(c)), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """HTML character references resolved: no built-in does."""
     return text.map(lambda s: None if s is None else html.unescape(s), na_action="ignore")
