@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attesta.functions.text import let
+
 
 def normalize_unit(unit: Column) -> Column:
     """OP-44. Units are compared in lower case, so mV and MV are one."""
     u = F.lower(F.translate(unit, "ΩΩω", "ΩΩΩ"))
     u = F.replace(F.regexp_replace(u, "ω", "ohm"), F.lit("·"), F.lit("-"))
     u = F.replace(F.regexp_replace(u, r"(?U)\s*/\s*", "/"), F.lit(" "), F.lit(""))
-    return (
+    return let(u, lambda u: (
         F.when(u.isin("%", "percent"), "%").when(u.isin("°c", "degc", "c"), "c").when(u.isin("cycle", "cycles"), "cycle")
         .when(u.isin("patient", "patients", "subject", "subjects"), "person").otherwise(F.regexp_replace(u, "s+$", ""))
-    )
+    ))
 
 
 def ladder(*steps: tuple[Column, str]) -> Column:
@@ -27,13 +29,12 @@ def ladder(*steps: tuple[Column, str]) -> Column:
 
 def claimed_comparator(text: Column, exceeding: bool) -> Column:
     """OP-80 (exceeding, the whole claim) and OP-81 (the claim before its number)."""
-    t = F.lower(text)
-    has = lambda p: t.rlike(r"(?U)\b(?:" + p + r")\b")
-    return ladder(
+    has = lambda t, p: t.rlike(r"(?U)\b(?:" + p + r")\b")
+    return let(F.lower(text), lambda t: ladder(
         (t.rlike(">=|≥"), "gte"), (t.rlike("<=|≤"), "lte"), (t.contains(">"), "gt"), (t.contains("<"), "lt"),
-        (has("(?:more|greater|higher) than or equal to"), "gte"), (has("(?:less|lower|fewer) than or equal to"), "lte"), (has("at least|not less than"), "gte"), (has("at most|no more than"), "lte"),
-        (has("up to"), "up_to"), (has("below|under|less than"), "lt"), (has("above|over|greater than|more than|exceeded|exceeds" + "|exceeding" * exceeding), "gt"),
-    )
+        (has(t, "(?:more|greater|higher) than or equal to"), "gte"), (has(t, "(?:less|lower|fewer) than or equal to"), "lte"), (has(t, "at least|not less than"), "gte"), (has(t, "at most|no more than"), "lte"),
+        (has(t, "up to"), "up_to"), (has(t, "below|under|less than"), "lt"), (has(t, "above|over|greater than|more than|exceeded|exceeds" + "|exceeding" * exceeding), "gt"),
+    ))
 
 
 def ends(text: Column, words: str) -> Column:
@@ -46,7 +47,14 @@ def symbol_steps(prefix: Column) -> list[tuple[Column, str]]:
 
 def observed_comparator(prefix: Column, suffix: Column) -> Column:
     """OP-83, of a measurement by the clause before and after it."""
-    p, s = F.lower(prefix), F.lower(suffix)
+    return let(sides(prefix, suffix), lambda x: measured_ladder(x["p"], x["s"]))
+
+
+def sides(prefix: Column, suffix: Column) -> Column:
+    return F.struct(F.lower(prefix).alias("p"), F.lower(suffix).alias("s"))
+
+
+def measured_ladder(p: Column, s: Column) -> Column:
     return ladder(
         *symbol_steps(p), (ends(p, "at least|not less than"), "gte"), (ends(p, "at most|no more than"), "lte"), (ends(p, "below|under|less than"), "lt"),
         (ends(p, "above|over|greater than|more than|exceeded|exceeds|reached|survived|maintained"), "exact"), (ends(p, "up to"), "up_to"),
@@ -56,7 +64,10 @@ def observed_comparator(prefix: Column, suffix: Column) -> Column:
 
 def observed_percentage_comparator(prefix: Column, suffix: Column) -> Column:
     """OP-82, of a percentage by its clause before it, and the clause and sentence after it."""
-    p, s = F.lower(prefix), F.lower(suffix)
+    return let(sides(prefix, suffix), lambda x: percentage_ladder(x["p"], x["s"]))
+
+
+def percentage_ladder(p: Column, s: Column) -> Column:
     return ladder(
         *symbol_steps(p), (ends(p, "no (?:more|greater|higher) than|(?:less|lower|fewer) than or equal to"), "lte"), (ends(p, "no (?:less|lower|fewer) than|(?:more|greater|higher) than or equal to"), "gte"),
         (ends(p, "at least|not less than"), "gte"), (ends(p, "at most|no more than"), "lte"), (s.rlike(r"(?U)^\s*\+"), "gte"),

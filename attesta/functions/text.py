@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +14,11 @@ from pyspark.sql import types as T
 from attesta.functions import vocab
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: a lambda variable holds it, where a column would be computed at each mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -95,10 +100,13 @@ def spans(text: Column, pattern: str) -> Column:
 
     What lies between the matches comes from split; lengths of both give the places.
     """
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
     upto = lambda a, n: F.length(F.array_join(F.slice(a, 1, n), ""))
-    start = lambda i: upto(between, i + 1) + upto(found, i)
-    return F.transform(found, lambda m, i: F.struct(m.alias("match"), start(i).alias("start"), (start(i) + F.length(m)).alias("end")))
+
+    def placed(x: Column) -> Column:
+        start = lambda i: upto(x["between"], i + 1) + upto(x["found"], i)
+        return F.transform(x["found"], lambda m, i: F.struct(m.alias("match"), start(i).alias("start"), (start(i) + F.length(m)).alias("end")))
+
+    return let(F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("found")), placed)
 
 
 def before(text: Column, span: Column) -> Column:

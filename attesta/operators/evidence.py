@@ -93,10 +93,14 @@ SPANS = "array<struct<value:double,cmp:string,context:string,start:int,end:int,p
 
 def comma_clauses(part: Column) -> Column:
     """OP-53: commas separate clauses where a unit repeats, but not after a leading scope word."""
-    pieces = F.filter(F.transform(F.split(part, ",", -1), tx.strip), lambda p: p != "")
-    units = F.flatten(F.transform(pieces, lambda p: F.transform(F.regexp_extract_all(p, F.lit(vocab.MEASUREMENT), 2), normalize_unit)))
-    leading = F.lower(F.element_at(pieces, 1)).rlike(r"(?U)^(?:" + "|".join(vocab.LEADING_SCOPES) + r")(?:\s|$)")
-    return F.when((F.size(pieces) > 1) & ~leading & (F.size(units) != F.size(F.array_distinct(units))), pieces).otherwise(F.array(tx.strip(part)))
+
+    def split(pieces: Column) -> Column:
+        units = F.flatten(F.transform(pieces, lambda p: F.transform(F.regexp_extract_all(p, F.lit(vocab.MEASUREMENT), 2), normalize_unit)))
+        leading = F.lower(F.element_at(pieces, 1)).rlike(r"(?U)^(?:" + "|".join(vocab.LEADING_SCOPES) + r")(?:\s|$)")
+        repeats = tx.let(units, lambda u: F.size(u) != F.size(F.array_distinct(u)))
+        return F.when((F.size(pieces) > 1) & ~leading & repeats, pieces).otherwise(F.array(tx.strip(part)))
+
+    return tx.let(F.filter(F.transform(F.split(part, ",", -1), tx.strip), lambda p: p != ""), split)
 
 
 def numeric_frame(clause: Column, measures: Column) -> Column:
@@ -118,7 +122,7 @@ def clause_texts(abstract: Column) -> Column:
     """(clause, previous sentence) in document order (OP-51, OP-104)."""
     parts = F.filter(F.transform(F.split(tx.strip(abstract), vocab.CLAUSE_BREAK, -1), tx.strip), lambda s: s != "")
     each = lambda s: F.filter(F.transform(F.split(s, vocab.CONJUNCTION_BREAK, -1), tx.strip), lambda p: p != "")
-    with_before = F.transform(parts, lambda s, i: F.struct(s.alias("s"), F.coalesce(F.get(parts, i - 1), F.lit("")).alias("before")))
+    with_before = tx.let(parts, lambda all_parts: F.transform(all_parts, lambda s, i: F.struct(s.alias("s"), F.coalesce(F.get(all_parts, i - 1), F.lit("")).alias("before"))))
     return F.flatten(F.transform(with_before, lambda x: F.transform(F.flatten(F.transform(each(x["s"]), comma_clauses)), lambda c: F.struct(c.alias("clause"), x["before"].alias("before")))))
 
 

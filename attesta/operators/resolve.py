@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import vocab
 from attesta.functions.doi import normalize_doi
-from attesta.operators.claims import CLAIM_COLUMNS, claim_support, with_claim_terms
+from attesta.operators.claims import CLAIM_COLUMNS, claim_support, settled, with_claim_terms
 from attesta.operators.evidence import with_evidence
 from attesta.schemas import ATTEMPT
 
@@ -116,4 +116,5 @@ def judge_resolved(resolved: DataFrame) -> DataFrame:
     code = F.when(F.col("verdict") == "ACCEPT", "CLAIM_SUPPORTED").when(F.col("status") == "UNVERIFIABLE", "NO_ABSTRACT").when(F.contains("reason", F.lit("does not explicitly support")), "CLAIM_NOT_EXPLICIT").otherwise("CLAIM_AMBIGUOUS")
     out = judged.withColumn("error_code", F.when(broken, "ROW_CHECK_ERROR").otherwise(F.coalesce("lookup_error", code)))
     reason = F.when(broken, F.concat(F.lit("Row could not be checked: "), "row_error")).when(mismatch, vocab.REASON_DOI_MISMATCH).otherwise(F.col("reason"))
-    return out.withColumn("reason", reason).withColumn("attempts", F.when(broken, F.expr(f"cast(array() as array<{ATTEMPT}>)")).otherwise(F.col("attempts"))).drop("sentences", "clauses", "abstract_terms", "abstract", "row_error", "lookup_error", "doi_norm", "numeric_status", "numeric_reason", "numeric_evidence", *CLAIM_COLUMNS)
+    out = out.withColumn("reason", reason).withColumn("attempts", F.when(broken, F.expr(f"cast(array() as array<{ATTEMPT}>)")).otherwise(F.col("attempts"))).drop("sentences", "clauses", "abstract_terms", "abstract", "row_error", "lookup_error", "doi_norm", "numeric_status", "numeric_reason", "numeric_evidence", *CLAIM_COLUMNS)
+    return settled(out, "reason", "error_code")
