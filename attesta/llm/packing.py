@@ -21,7 +21,7 @@ from attesta.llm import wordvec
 from attesta.llm.common import cut
 
 #: Words that a worker process keeps encoded; those met later are encoded each time.
-WORDS = 1_000_000
+WORDS = 500_000
 
 
 class WordEncoder:
@@ -43,9 +43,9 @@ class WordEncoder:
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.tails: dict[str, np.ndarray] = {}
-        self.index: dict[int, int] = {}  # from hash to place in first and count
-        self.first, self.count, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
-        self.pool = np.zeros(4096, np.uint32)
+        # hashes of the words kept, sorted; the ids of each are count of pool's from first on
+        self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -77,48 +77,48 @@ class WordEncoder:
             out[i] = np.array(e.ids, np.uint32)
         return out
 
-    def learn(self, hashes: list[int], words: list[str]) -> None:
-        parts = self.of_words(words)
-        count = np.fromiter(map(len, parts), np.int64, len(parts))
-        n, start = len(self.index), self.used
-        for name, need in (("first", n + len(parts)), ("count", n + len(parts)), ("pool", start + int(count.sum()))):
-            own = getattr(self, name)
-            if need > len(own):
-                setattr(self, name, np.concatenate([own, np.zeros(need, own.dtype)]))
-        self.first[n : n + len(parts)] = start + np.cumsum(count) - count
-        self.count[n : n + len(parts)] = count
-        self.used = start + int(count.sum())
-        if parts:
-            self.pool[start : self.used] = np.concatenate(parts)
-        self.index.update(zip(hashes, range(n, n + len(parts)), strict=True))
-
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, each with end_id after it, and where each begins."""
         data, offsets = wordvec.text_bytes(texts)
         w = wordvec.words(data, offsets)
-        kinds, where, back = np.unique(w.hash, return_index=True, return_inverse=True)
-        keys = kinds.tolist()
-        place = np.fromiter((self.index.get(k, -1) for k in keys), np.int64, len(keys))
-        if len(new := np.flatnonzero(place < 0)):
-            before = len(self.index), self.used
-            raw = data.tobytes()
-            self.learn([keys[i] for i in new], [raw[a:b].decode() for a, b in zip(w.start[where[new]].tolist(), w.end[where[new]].tolist(), strict=True)])
-            place[new] = np.arange(before[0], before[0] + len(new))
-        own = place[back]
-        count = self.count[own]
+        kinds, where, back, often = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
+        place = np.searchsorted(self.keys, kinds)
+        known = np.zeros(len(kinds), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == kinds[inside]
+        new = np.flatnonzero(~known)
+        parts = self.of_words([data[a:b].tobytes().decode() for a, b in zip(w.start[where[new]].tolist(), w.end[where[new]].tolist(), strict=True)])
+        first, count = np.empty(len(kinds), np.int64), np.empty(len(kinds), np.int64)
+        first[known], count[known] = self.first[place[known]], self.count[place[known]]
+        count[new] = np.fromiter(map(len, parts), np.int64, len(parts))
+        first[new] = len(self.pool) + np.cumsum(count[new]) - count[new]
+        pool = np.concatenate([self.pool, *parts])
+        own = back.reshape(-1)
         n = len(texts)
-        per_text = np.bincount(w.doc, count, minlength=n).astype(np.int64)
+        each = count[own]
+        per_text = np.bincount(w.doc, each, minlength=n).astype(np.int64)
         begin = np.concatenate([[0], np.cumsum(per_text + 1)])
         out = np.full(int(begin[-1]), end_id, np.uint32)
         if len(own):
-            step = np.arange(int(count.sum()))
-            source = np.repeat(self.first[own] - (np.cumsum(count) - count), count) + step
-            out[step + np.repeat(np.arange(n), per_text)] = self.pool[source]
-        while len(self.index) > WORDS:  # the newest go; common words came early
-            self.index.popitem()
-            self.used = int(self.first[len(self.index)])
+            step = np.arange(int(each.sum()))
+            source = np.repeat(first[own] - (np.cumsum(each) - each), each) + step
+            out[step + np.repeat(np.arange(n), per_text)] = pool[source]
+        self.keep(kinds, count, often, new, parts)
         return out, begin
 
+    def keep(self, kinds: np.ndarray, count: np.ndarray, often: np.ndarray, new: np.ndarray, parts: list[np.ndarray]) -> None:
+        """The ids of new words, the most frequent of this batch first, while there is room."""
+        if not (room := min(WORDS - len(self.keys), len(new))):
+            return
+        some = np.argsort(-often[new], kind="stable")[:room]
+        size = count[new[some]]
+        keys = np.concatenate([self.keys, kinds[new[some]]])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])[order]
+        self.count = np.concatenate([self.count, size])[order]
+        self.pool = np.concatenate([self.pool, *[parts[i] for i in some]])
+
 
 @functools.cache
 def encoder_of(path: str) -> WordEncoder:
@@ -137,7 +137,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
         for batch in batches:
             rows: list[tuple] = []
             origin: list[int] = []
-            for lo, hi in wordvec.slices(batch.column(1), 4 << 20):
+            for lo, hi in wordvec.slices(batch.column(1), 1 << 20):
                 ids, begin = encoder.encode(batch.column(1).slice(lo, hi - lo), end_id)
                 begin = begin.tolist()
                 for i, (first, end) in enumerate(zip(begin[:-1], begin[1:], strict=True), lo):
