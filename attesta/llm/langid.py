@@ -183,7 +183,7 @@ def detect(docs: DataFrame, model: Model | None, keep: Sequence[str] = ()) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            for lo, hi in wordvec.slices(b.column(1), 1 << 19):
+            for lo, hi in wordvec.slices(b.column(1), 1 << 17):
                 n = hi - lo
                 w = split_words(*wordvec.text_bytes(b.column(1).slice(lo, n)))
                 pred, score = np.full(n, "und", object), np.zeros(n)
