@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -48,21 +50,80 @@ class Novelty:
         self.zstd = zstandard.ZstdCompressor(level=9, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False)
         self.context = context
 
-    def of(self, text: str, start: int, end: int) -> float:
-        around = text[max(0, start - self.context) : start] + "\n" + text[end : end + self.context] + "\n"
+    def of(self, text: str, start: int, end: int, blanks: Spans) -> float:
+        """Other copies of the string, and the spans in blanks, do not count as surroundings: a repeated secret is no less secret."""
+        said, far = text[start:end], self.context + end - start
+        # blanked before the cut, so that no copy is left in part at an edge
+        before, after = (blanks.out_of(text, a, b).replace(said, " " * len(said)) for a, b in ((max(0, start - far), start), (end, end + far)))
+        around = before[-self.context :] + "\n" + after[: self.context] + "\n"
         alone = len(self.zstd.compress(around.encode()))
-        return (len(self.zstd.compress((around + text[start:end]).encode())) - alone) / (end - start)
+        return (len(self.zstd.compress((around + said).encode())) - alone) / (end - start)
+
+
+class Spans:
+    """Disjoint spans of a text, by start."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]) -> None:
+        self.starts, self.ends = [], []
+        for a, _, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+
+    def within(self, start: int, end: int) -> range:
+        """Places of the spans that overlap this one."""
+        return range(bisect_right(self.ends, start), bisect_left(self.starts, end))
+
+    def out_of(self, text: str, start: int, end: int) -> str:
+        """text from start to end with blanks for the spans."""
+        out, at, end = [], start, min(end, len(text))
+        for i in self.within(start, end):
+            a, b = max(self.starts[i], start), min(self.ends[i], end)
+            out += [text[at:a], " " * (b - a)]
+            at = b
+        return "".join([*out, text[at:end]])
+
+
+def base_values(text: str, base: list[tuple[int, int, int]]) -> set[str]:
+    """The candidates that known shapes hold as their values."""
+    return {v for a, k, b in base for v in CANDIDATE.findall(ASSIGN.match(text, a)[2] if k == 0 else text[a:b])}
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, least: float, reach: int) -> list[tuple[int, int, int]]:
-    found = []
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        if any(a < end and start < b for a, _, b in taken) or not SENSITIVE.search(text, max(0, start - reach), start):
-            continue
-        if novelty.of(text, start, end) >= least:
-            found.append((start, 3, end))
-    return found
+    blanks = Spans(taken)
+    pieces = [m.span() for m in CANDIDATE.finditer(text) if not blanks.within(*m.span()) and SENSITIVE.search(text, max(0, m.start() - reach), m.start())]
+    if not pieces:
+        return []
+    starts, copies, found = [a for a, _ in pieces], defaultdict(list), set()
+    for i, (a, b) in enumerate(pieces):
+        copies[text[a:b]].append(i)
+    todo, waiting = deque(range(len(pieces))), set(range(len(pieces)))
+
+    def take(said: str) -> None:
+        """All copies are found; what stands near them is measured again, without them."""
+        for i in copies.pop(said, ()):
+            found.add(i)
+            blanks.add(*pieces[i])
+            near = range(bisect_left(starts, pieces[i][0] - 2 * novelty.context), bisect_right(starts, pieces[i][1] + novelty.context))
+            again = [j for j in near if j not in waiting and j not in found]
+            todo.extend(again)
+            waiting.update(again)
+
+    for said in base_values(text, taken):
+        take(said)
+    while todo:
+        i = todo.popleft()
+        waiting.discard(i)
+        if i not in found and novelty.of(text, *pieces[i], blanks) >= least:
+            take(text[slice(*pieces[i])])
+    return [(pieces[i][0], 3, pieces[i][1]) for i in sorted(found)]
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -86,9 +147,10 @@ def scan(docs: DataFrame, least: float = 0.7, reach: int = 64, redact: str | Non
     hexadecimal strings. The method adds strings (kind 'novel') that hold 16 or more key characters
     and a digit, stand within `reach` characters after a sensitive word, overlap no known shape, and
     add at least `least` compressed bytes a character to their surroundings, by zstandard primed
-    with a dictionary of identifiers. Random letters and digits add 0.8 to 1, words and repeats of
-    what stands near them far less. Spans are kind:start:end in code points, end exclusive, by start,
-    then kind.
+    with a dictionary of identifiers. Random letters and digits add 0.8 to 1, words and likenesses of
+    what stands near them far less. Other copies of the string and spans already found are blanked
+    out of the surroundings; once one copy, or a known shape's value, is found, so are all copies in
+    sensitive contexts. Spans are kind:start:end in code points, end exclusive, by start, then kind.
 
     With `redact` there is also the column redacted, the text with that mark for every span (null
     stays null); `keep` names columns that are carried along. Null or empty text has no spans, and base_sha256 that of the empty string. Every

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 from collections import Counter
 
 import pyarrow as pa
@@ -162,3 +164,28 @@ def test_secrets(spark):
     assert out[51]["spans"] == out[52]["spans"] == ""
     assert out[0]["redacted"] == "x [S] y" and out[10]["redacted"] is None
     assert secretscan.scan(frame(spark, [])).count() == 0
+
+
+def scanned(text):
+    base = secretscan.base_spans(text)
+    return base, secretscan.novel_spans(text, base, secretscan.Novelty(), 0.7, 64)
+
+
+def test_repeated_secrets():
+    rng, both = random.Random(8), 0
+    for trial in range(60):
+        key = "7" + "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randint(25, 40)))
+        text = f"bearer {key} {syllables(rng, rng.randint(5, 130), EN)} the access key {key} and so on"
+        at = [m.start() for m in re.finditer(key, text)]
+        alone = scanned(text[: at[1]] + " " * len(key) + text[at[1] + len(key) :])[1]
+        more = scanned(text)[1]
+        assert more in ([], [(a, 3, a + len(key)) for a in at]) and len(more) >= len(alone)
+        both += len(more) == 2
+        # next to a known shape, far from it, and of a value that is not new by itself
+        for value in (key, "configuration-configuration-1"):
+            text = f"export API_TOKEN={value}\n{syllables(rng, trial * 5, EN)}\nAuthorization: Bearer {value}\n"
+            base, more = scanned(text)
+            assert len(base) == 1 and more == [(text.rindex(value), 3, text.rindex(value) + len(value))]
+    assert both >= 54
+    key = "Zq8fKx2LmT9vRb4WyHs6NdPc3GjUa7Ee"
+    assert scanned(f"bearer {key} a picture {' of words' * 9} {key}")[1] == [(7, 3, 7 + len(key))]
