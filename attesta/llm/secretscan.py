@@ -23,6 +23,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
 #: Words before a candidate that make its context sensitive.
 SENSITIVE = re.compile(r"(?i:password|passwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer|signature|\bpwd\b|\bkey\b)")
+#: What may part the candidates that carry a sensitive context on: a dot, or the end of a line, also a written-out one.
+BETWEEN = re.compile(r"\.|\x20*\r?\n[\x20\t]*|\\(?:r\\)?")
+#: The marks around a private key, and what is a line between them: a key's last line is often short, and some have no digit.
+MARKER = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+KEY_LINE = re.compile(r"(?:(?<![^\s])|(?<=-----)|(?<=\\[nr]))([A-Za-z0-9+/=]+)(?=\s|\\[nr]|-----|$)")
 #: What code and settings are made of; the compressor knows these before it sees a document.
 IDENTIFIERS = (
     "import export function return const class public private static void string integer boolean config settings environment "
@@ -50,14 +55,17 @@ class Novelty:
         self.zstd = zstandard.ZstdCompressor(level=9, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False)
         self.context = context
 
-    def of(self, text: str, start: int, end: int, blanks: Spans) -> float:
-        """Other copies of the string, and the spans in blanks, do not count as surroundings: a repeated secret is no less secret."""
-        said, far = text[start:end], self.context + end - start
+    def of(self, text: str, pieces: list[tuple[int, int]], blanks: Spans) -> float:
+        """Of the pieces together, as lines. Other copies of them, and the spans in blanks, do not count as surroundings: a repeated secret is no less secret."""
+        said = [text[a:b] for a, b in pieces]
+        start, end, far = pieces[0][0], pieces[-1][1], self.context + max(map(len, said))
         # blanked before the cut, so that no copy is left in part at an edge
-        before, after = (blanks.out_of(text, a, b).replace(said, " " * len(said)) for a, b in ((max(0, start - far), start), (end, end + far)))
+        before, after = (blanks.out_of(text, a, b) for a, b in ((max(0, start - far), start), (end, end + far)))
+        for x in sorted(set(said), key=len, reverse=True):
+            before, after = before.replace(x, " " * len(x)), after.replace(x, " " * len(x))
         around = before[-self.context :] + "\n" + after[: self.context] + "\n"
         alone = len(self.zstd.compress(around.encode()))
-        return (len(self.zstd.compress((around + said).encode())) - alone) / (end - start)
+        return (len(self.zstd.compress((around + "\n".join(said)).encode())) - alone) / sum(map(len, said))
 
 
 class Spans:
@@ -96,9 +104,45 @@ def base_values(text: str, base: list[tuple[int, int, int]]) -> set[str]:
     return {v for a, k, b in base for v in CANDIDATE.findall(ASSIGN.match(text, a)[2] if k == 0 else text[a:b])}
 
 
+def key_blocks(text: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """Start, end and lines of what stands between the marks of private keys; a block's headers are no lines of it."""
+    out, start = [], None
+    for m in MARKER.finditer(text) if "-----BEGIN" in text else ():
+        if m[1] == "END" and start is not None:
+            lines = [x.span(1) for x in KEY_LINE.finditer(text, start, m.start())]
+            first = next((i for i, (a, b) in enumerate(lines) if b - a >= 16), len(lines))
+            if first < len(lines):
+                out.append((start, m.start(), lines[first:]))
+        start = m.end() if m[1] == "BEGIN" else None
+    return out
+
+
+def sensitive_runs(text: str, taken: list[tuple[int, int, int]], blanks: Spans, reach: int) -> list[list[tuple[int, int]]]:
+    """The candidates in sensitive contexts, those that carry one context on in one run."""
+    blocks = key_blocks(text)
+    inside = Spans([(a, 0, b) for a, b, _ in blocks])
+    near = lambda start: SENSITIVE.search(text, max(0, start - reach), start) is not None
+    places = [(*m.span(), None) for m in CANDIDATE.finditer(text) if not blanks.within(*m.span()) and not inside.within(*m.span())]
+    if not places and not blocks:
+        return []
+    runs = [[x for x in lines if not blanks.within(*x)] for _, _, lines in blocks]
+    # known shapes are not candidates, but what follows them directly is in their context
+    run, last = None, 0
+    for start, end, kind in sorted([*places, *[(a, b, k) for a, k, b in taken]], key=lambda x: x[:2]):
+        follows = run is not None and start >= last and BETWEEN.fullmatch(text, last, start)
+        if not follows:
+            run = [] if kind in (0, 1) or near(start) else None
+            runs += [run] if run is not None else []
+        if run is not None and kind is None:
+            run.append((start, end))
+        last = max(last, end)
+    return [r for r in runs if r]
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, least: float, reach: int) -> list[tuple[int, int, int]]:
     blanks = Spans(taken)
-    pieces = [m.span() for m in CANDIDATE.finditer(text) if not blanks.within(*m.span()) and SENSITIVE.search(text, max(0, m.start() - reach), m.start())]
+    runs = sensitive_runs(text, taken, blanks, reach)
+    pieces = sorted(x for r in runs for x in r)
     if not pieces:
         return []
     starts, copies, found = [a for a, _ in pieces], defaultdict(list), set()
@@ -118,10 +162,14 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty,
 
     for said in base_values(text, taken):
         take(said)
+    for run in runs:
+        if len(run) > 1 and novelty.of(text, run, blanks) >= least:
+            for a, b in run:
+                take(text[a:b])
     while todo:
         i = todo.popleft()
         waiting.discard(i)
-        if i not in found and novelty.of(text, *pieces[i], blanks) >= least:
+        if i not in found and novelty.of(text, pieces[i : i + 1], blanks) >= least:
             take(text[slice(*pieces[i])])
     return [(pieces[i][0], 3, pieces[i][1]) for i in sorted(found)]
 
@@ -147,7 +195,10 @@ def scan(docs: DataFrame, least: float = 0.7, reach: int = 64, redact: str | Non
     hexadecimal strings. The method adds strings (kind 'novel') that hold 16 or more key characters
     and a digit, stand within `reach` characters after a sensitive word, overlap no known shape, and
     add at least `least` compressed bytes a character to their surroundings, by zstandard primed
-    with a dictionary of identifiers. Random letters and digits add 0.8 to 1, words and likenesses of
+    with a dictionary of identifiers. A candidate parted from one in such a context, or from a known
+    assignment or access key, by no more than a dot or the end of a line is in its context too, and so
+    is all between the marks of a private key; such runs are reported whole if they add as much
+    together, else those of their candidates that do by themselves. Random letters and digits add 0.8 to 1, words and likenesses of
     what stands near them far less. Other copies of the string and spans already found are blanked
     out of the surroundings; once one copy, or a known shape's value, is found, so are all copies in
     sensitive contexts. Spans are kind:start:end in code points, end exclusive, by start, then kind.

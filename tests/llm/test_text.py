@@ -189,3 +189,27 @@ def test_repeated_secrets():
     assert both >= 54
     key = "Zq8fKx2LmT9vRb4WyHs6NdPc3GjUa7Ee"
     assert scanned(f"bearer {key} a picture {' of words' * 9} {key}")[1] == [(7, 3, 7 + len(key))]
+
+
+def test_secrets_of_many_candidates():
+    rng = random.Random(9)
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(n))
+    for end in ("\n", "\r\n", "\\n", "\n    "):
+        lines = [*[key(64) for _ in range(11)], "QwErTyUi" * 2 + "zXcVbNmLkJhGfDsA", *[key(64) for _ in range(12)], "aB+="]
+        for mark in ("RSA PRIVATE KEY", "PRIVATE KEY"):
+            text = f"see -----BEGIN {mark}-----{end}{end.join(lines)}{end}-----END {mark}----- there"
+            assert [text[a:b] for a, _, b in scanned(text)[1]] == lines
+        # without the marks, a context is carried on by what has the form of a key
+        lines = [key(63) + "7" for _ in range(24)]
+        text = f"my credential{end if end != chr(92) + 'n' else ' '}{end.join(lines)}{end}that was it"
+        got = "".join(text[a:b] for a, _, b in scanned(text)[1])
+        assert all(x in got for x in lines)
+    for _ in range(20):
+        jwt = [key(n).replace("+", "-").replace("/", "_")[1:] + "7" for n in (36, 120, 43)]
+        text = f"Authorization: Bearer {'.'.join(jwt)} and " + "plain words " * 9 + key(30)
+        assert [text[a:b] for a, _, b in scanned(text)[1]] == jwt
+    header = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{key(64)}\n-----END RSA PRIVATE KEY-----"
+    assert [b - a for a, _, b in scanned(header)[1]] == [64]
+    ids = "tokens:\n" + "\n".join(f"internal-item-number-{i:08}" for i in range(40))
+    assert len(scanned(ids)[1]) < 3
+    assert scanned("-----BEGIN PRIVATE KEY-----\n" + "example-key-goes-here\n" * 5 + "-----END PRIVATE KEY-----")[1] == []
