@@ -9,7 +9,7 @@ from attesta.functions import quantities as q
 from attesta.functions import text as tx
 from attesta.functions import vocab
 from attesta.functions.doi import normalize_doi
-from attesta.operators import batch, claims, evidence, metadata, resolve
+from attesta.operators import batch, claims, evidence, metadata, resolve, search
 from attesta.plans import corpus
 from attesta.plans import expected as x
 from attesta.plans.corpus import table
@@ -129,7 +129,8 @@ NUMBER_EXTRACT = r"SELECT doc_id, array_to_string(list_transform(regexp_extract_
 
 
 def with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with one benchmark passage, by key; the passages are few and of fixed number, so this is an equi-join on the remainder."""
+    """Each of the pairs asked about: a document with the passage of its key's remainder by 40. Only passages 0 to 39 are asked
+    about, however many there are; `phrase_search` and `term_overlap_ranked` take all documents with all passages."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
     return table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id")).join(items, "item_id")
 
@@ -165,6 +166,16 @@ def phrase_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 PHRASE_CONTAINS = "SELECT doc_id, contains(' ' || array_to_string(regexp_extract_all(lower(d.text), '[a-z0-9]+'), ' ') || ' ', ' ' || array_to_string(list_slice(regexp_extract_all(lower(b.text), '[a-z0-9]+'), 1, 5), ' ') || ' ') AS says FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id"
 
 
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all passages; `phrase_contains` asks for one given pair a document."""
+    return search.phrase_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def term_overlap_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all passages; `term_overlap_top1` ranks for one given pair a document."""
+    return search.overlap_ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def inverted_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as inverted indexes and back; a text's words are grouped within its row."""
     words = F.filter(F.split(tx.strip(F.col("text")), r"\s+"), lambda w: w != "")
@@ -445,7 +456,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         doi_normalize, doi_golden, metadata_verdict, metadata_mismatches, title_tokens, author_tokens, sentence_split_stats, clause_split_stats, number_extract, term_overlap_top1, phrase_contains,
-        inverted_index_roundtrip, html_abstract_clean, json_event_props, previous_sentence, measurement_extract, unit_normalize, comparator_lexer, entail_pct, entail_num, contradict_pct, frame_guard, scope_guard,
+        phrase_search, term_overlap_ranked, inverted_index_roundtrip, html_abstract_clean, json_event_props, previous_sentence, measurement_extract, unit_normalize, comparator_lexer, entail_pct, entail_num, contradict_pct, frame_guard, scope_guard,
         approx_guard, numeric_golden, claim_verdicts, numeric_claim_verdict, pct_claim_verdict, pct_contradiction, source_fallback, attempt_log, final_error_code, batch_summary, batch_failed, verdict_rollup,
         batch_report, regression_gate, cross_source_existence, payload_parse,
     )
