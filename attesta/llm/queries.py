@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm import langid, mixing, mtree, neardup, packing, quality, secretscan, sharding, urlfilter, warc
 from attesta.llm.common import shared_dir
+from attesta.llm.oracle import ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,4 +94,4 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

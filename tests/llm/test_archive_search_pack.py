@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import math
+import operator
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -93,35 +95,59 @@ def test_url_models_against_brute_force(spark):
     assert all((r["ratio"] > 0) == r["_good"] for r in scores)
 
 
-def test_top_k(spark, monkeypatch):
+def brute_top_k(rows, k=10):
+    """From whole numbers, vectors filled up with zeros, queries told apart by their rows."""
+    good = [(i, [math.floor(1024 * x) for x in v]) for i, v, *_ in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = Counter()
+    for a, (q, x) in enumerate(good):
+        if q is not None and q % 100 == 0:
+            found = sorted(((-sum(map(operator.mul, x, y)), i is None, i or 0) for b, (i, y) in enumerate(good) if b != a))[:k]
+            out.update((q, rank, None if null else i, -s) for rank, (s, null, i) in enumerate(found, 1))
+    return out
+
+
+def found_top_k(df, **more):
+    return Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.top_k(df, **more).collect())
+
+
+SMALL_TREE = {"PIVOTS": 3, "PAGE": 40, "LEAF": 8, "BLOCK": 80, "ASKED": 3, "CHUNK": 2}
+
+
+@pytest.mark.parametrize("size", [{}, SMALL_TREE])
+def test_top_k(spark, monkeypatch, size):
+    for name, value in size.items():
+        monkeypatch.setattr(mtree, name, value)
     rng = np.random.default_rng(5)
     base = np.concatenate([rng.normal(c, 0.3, (120, 8)) for c in (-1, 0, 2)] + [np.ones((60, 8))])
     rows = [(int(i) * 5, [float(x) for x in v], 0) for i, v in enumerate(base)]
-    rows += [(3, None, 0), (200_000, [1.0] * 7 + [float("nan")], 0), (300_000, [1.0] * 5, 0), (400_000, [1.0] * 7 + [None], 0), (500_000, [float("inf")] + [0.0] * 7, 0), (None, [1.0] * 8, 0), rows[0]]
-    frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    good = {i: np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int) for i, v, _ in rows if i is not None and v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v)}
-    expected = {q: sorted(((-int(good[q] @ v), i) for i, v in good.items() if i != q))[:10] for q in good if q % 100 == 0}
-    for pivots, page, leaf, block in ((256, 2048, 64, 4096), (3, 40, 8, 2)):
-        for k, v in (("PIVOTS", pivots), ("PAGE", page), ("LEAF", leaf), ("QUERIES", block)):
-            monkeypatch.setattr(mtree, k, v)
-        got = defaultdict(list)
-        for r in sorted(mtree.top_k(frame_).collect(), key=lambda r: r["rank"]):
-            got[r["query_id"]].append((-r["score"], r["vec_id"]))
-        assert got == expected
-    few = mtree.top_k(frame_.where("vec_id in (0, 5, 10)")).collect()
-    assert [(r["query_id"], r["rank"]) for r in sorted(few, key=lambda r: r["rank"])] == [(0, 1), (0, 2)]
-    assert mtree.top_k(frame_.where("false")).count() == 0 and mtree.top_k(frame_.where("vec_id = 0")).count() == 0
-
-
-def test_tree_skips_comparisons():
+    rows += [(3, None, 0), (200_000, [1.0] * 7 + [float("nan")], 0), (400_000, [1.0] * 7 + [None], 0), (500_000, [float("inf")] + [0.0] * 7, 0)]  # no part
+    rows += [(300_000, [1.0] * 5, 0), (None, [1.0] * 8, 0), (None, [9.0] * 8, 0), rows[0], rows[1], (100, [2.0] * 8, 0), (600_000, [], 0), (7, [0.5] * 700, 0)]
+    schema = "vec_id long, embedding array<double>, label int"
+    df = spark.createDataFrame(rows, schema)
+    assert found_top_k(df) == brute_top_k(rows)
+    # components of more than 32 bits, and products that floats do not hold
+    large = [(0, [1.0, 2.0]), (1, [3e7, 1.0]), (2, [1.0, 1.0]), (2, [5.0, 5.0]), (4, [2.0, 2.0]), (100, [1e5 + 1 / 1024, 3.0]), (200, [1e5, -1e4 + 1 / 1024]), (300, [1e5, 3.0])]
+    assert found_top_k(spark.createDataFrame(large, "vec_id long, embedding array<double>"), k=3) == brute_top_k(large, 3)
+    few = mtree.top_k(df.where("vec_id in (0, 10, 15) and size(embedding) = 8")).collect()
+    assert sorted(r["rank"] for r in few if r["query_id"] == 0) == [1, 1, 2, 2, 3, 3]
+    assert mtree.top_k(df.where("false")).count() == 0 and mtree.top_k(df.where("vec_id = 100").limit(1)).count() == 0
+    with pytest.raises(Exception, match="does not fit"):
+        mtree.top_k(spark.createDataFrame([(0, [1e17])], "vec_id long, embedding array<double>")).collect()
+    with pytest.raises(Exception, match="does not fit"):
+        mtree.top_k(spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_tree_skips_comparisons(spark, monkeypatch):
+    """Where vectors lie in groups the bounds leave few; of points spread evenly over a sphere, as in the driver's table, they leave nearly all."""
+    monkeypatch.setattr(mtree, "PAGE", 256)
     rng = np.random.default_rng(1)
-    v = np.concatenate([rng.normal(c, 5, (200, 6)) for c in (-900, 0, 900)]).astype(np.int32)
-    most = float((v.astype(float) ** 2).sum(axis=1).max())
-    leaf, away = mtree.Page.leaves(v, most)
-    tree = mtree.Page(np.arange(len(v)), v, leaf, away, most)
-    found, compared = tree.search(v[0], 0, 10, -np.inf)
-    assert [s for s, _ in found] == sorted((int(v[i].astype(int) @ v[0].astype(int)) for i in range(1, len(v))), reverse=True)[:10]
-    assert compared < len(v) / 2
+    centers = rng.normal(0, 1, (40, 16))
+    v = np.concatenate([rng.normal(c, 0.05, (100, 16)) for c in centers])
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    compared = spark.sparkContext.accumulator(0)
+    assert found_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), compared=compared) == brute_top_k(rows)
+    queries = len(rows) // 100
+    assert 0 < compared.value < 0.2 * queries * len(rows), compared.value / queries / len(rows)
 
 
 def check_packed(rows, out, capacity):
