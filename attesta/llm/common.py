@@ -33,8 +33,8 @@ def width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def skew_lookup(fact: DataFrame, dim: DataFrame, key: str, rows: str, small: int = 10_000, share: int = 1000) -> DataFrame:
-    """fact left-joined with dim, one row per key, where a few keys may hold most of fact.
+def skew_lookup(fact: DataFrame, dim: DataFrame, key: str, rows: str, small: int = 10_000, share: int = 1000, how: str = "left") -> DataFrame:
+    """fact joined with dim, by a left or an inner join, one row per key, where a few keys may hold most of fact.
 
     dim[rows] counts fact's rows of each key. A dim of at most `small` rows is broadcast. Of a
     larger one only the keys with at least 1/share of fact's rows are broadcast, at most `share`
@@ -42,10 +42,10 @@ def skew_lookup(fact: DataFrame, dim: DataFrame, key: str, rows: str, small: int
     """
     n, total = dim.agg(F.count("*"), F.sum(rows)).first()
     if n <= small:
-        return fact.join(F.broadcast(dim.drop(rows)), key, "left")
+        return fact.join(F.broadcast(dim.drop(rows)), key, how)
     hot = F.broadcast(dim.where(F.col(rows) * share >= total).drop(rows))
     warm = fact.join(hot, key)
-    rest = fact.join(hot.select(key), key, "left_anti").join(dim.where(F.col(rows) * share < total).drop(rows), key, "left")
+    rest = fact.join(hot.select(key), key, "left_anti").join(dim.where(F.col(rows) * share < total).drop(rows), key, how)
     return warm.unionByName(rest)
 
 

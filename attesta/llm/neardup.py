@@ -10,13 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from attesta.llm import wordvec
-from attesta.llm.common import cut, skew_lookup
+from attesta.llm.common import cut, globally_ranked, skew_lookup
 
-#: Texts of a bucket or of a block of a large group, and n-grams of such a block, that one task compares at once.
-BLOCK, GRAMS = 2048, 1_000_000
+#: Texts of a bucket or of a block of a large group, and n-grams of such a block, that are compared at once.
+BLOCK, GRAMS = 512, 500_000
+#: Texts of a large group, about, that its centre is made of.
+ASKED = 32
+#: Stands for a null doc_id while rows are joined.
+NO_ID = -(1 << 63)
+#: Similarities are quotients of whole numbers: floats of them err by far less.
+EPS = 1e-9
 
 
 def bands_for(similarity: float, recall: float, hashes: int = 128) -> tuple[int, int]:
@@ -34,8 +39,8 @@ def bands_for(similarity: float, recall: float, hashes: int = 128) -> tuple[int,
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 5) -> DataFrame:
-    """id, grams, bands (a hash per band) and sketch (a byte per MinHash) of each text that has a word."""
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("grams", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    """id, key, grams, bands (a hash per band) and sketch (a byte per MinHash) of each text that has a word."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("grams", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
     rng = np.random.default_rng(seed)
     mult = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     plus = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
@@ -58,9 +63,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 5) ->
                 flat = pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel())
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(have) + 1, dtype=np.int32) * bands), flat)
                 sketch = np.ascontiguousarray((low & np.uint64(255)).astype(np.uint8).T)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(have)), pa.array(count[have], pa.int32()), listed, pa.array([r.tobytes() for r in sketch], pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo).take(pa.array(have)) for c in (0, 2)], pa.array(count[have], pa.int32()), listed, pa.array([r.tobytes() for r in sketch], pa.binary())], names=schema.names)
 
-    return docs.select("id", "text").mapInArrow(run, schema)
+    return docs.select("id", "text", "key").mapInArrow(run, schema)
 
 
 def by_group(df: DataFrame, key: list[str], make: Callable[[pa.Table], list[pa.RecordBatch]], schema: T.StructType, most: int = 4 << 20) -> DataFrame:
@@ -138,27 +143,32 @@ def components(edges: DataFrame) -> DataFrame:
         label = after.drop("_was")
 
 
-def candidate_edges(sig: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) that join texts sharing a band, if their sketches agree in at least `least` of the places.
+def buckets(sig: DataFrame) -> DataFrame:
+    """id, band, n and least of the bands that several texts share: how many have it, and the least id of them.
 
-    Only bands that two texts share are looked at. Within a bucket of at most BLOCK texts all
-    sketches are compared; a larger one is one component as it is, which loses no link: it only
-    leaves more to verify. A bucket yields an edge for each member at most.
+    Counts are summed before the shuffle and looked up skew-safely, so a bucket that many texts are in meets in no task.
     """
-    kind = sig.schema["id"].dataType
-    slim = sig.select("id", F.posexplode("bands").alias("band", "key"))
-    bucket = Window.partitionBy("band", "key")
-    live = slim.withColumns({"_n": F.count("*").over(bucket), "_least": F.min("id").over(bucket)}).where("_n > 1")
-    live = cut(live)
-    large = live.where(F.col("_n") > BLOCK).select(F.col("id").alias("a"), F.col("_least").alias("b"))
-    small = live.where(F.col("_n") <= BLOCK).select("id", "band", "key")
+    slim = sig.select("id", F.explode("bands").alias("band"))  # a band's number is in its hash
+    live = cut(slim.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1").withColumn("_rows", F.col("n")))
+    return skew_lookup(slim, live, "band", "_rows", how="inner")
+
+
+def candidate_edges(live: DataFrame, sig: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) that join texts sharing a band (see `buckets`), if their sketches agree in at least `least` of the places.
+
+    Within a bucket of at most BLOCK texts all sketches are compared; a larger one is one component as it is, which
+    loses no link: it only leaves more to verify. A bucket yields an edge for each member at most.
+    """
+    kind = T.LongType()
+    large = live.where(F.col("n") > BLOCK).select(F.col("id").alias("a"), F.col("least").alias("b"))
+    small = live.where(F.col("n") <= BLOCK).select("id", "band")
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def make(t: pa.Table) -> list[pa.RecordBatch]:
         t = t.combine_chunks()
         ids = t["id"].to_numpy()
         sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        at = starts_of(t["band"].to_numpy(), t["key"].to_numpy())
+        at = starts_of(t["band"].to_numpy())
         a, b = [], []
         two = np.flatnonzero(np.diff(at) == 2)
         x = at[two]
@@ -182,7 +192,7 @@ def candidate_edges(sig: DataFrame, least: float) -> DataFrame:
             b.append(own[root[moved]])
         return [pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=schema.names)]
 
-    return by_group(small.join(sig.select("id", "sketch"), "id"), ["band", "key"], make, schema).unionByName(large)
+    return by_group(small.join(sig.select("id", "sketch"), "id"), ["band"], make, schema).unionByName(large)
 
 
 def verified(grouped: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -191,16 +201,15 @@ def verified(grouped: DataFrame, n: int, similarity: float) -> DataFrame:
     Each (comp, pair) holds the texts of two blocks, or of one, of a candidate component. Overlaps
     are counted exactly, a text against all others at once, over an index from n-gram to texts.
     """
-    kind = grouped.schema["id"].dataType
+    kind = T.LongType()
     schema = T.StructType([T.StructField("id", kind), T.StructField("links", T.LongType()), T.StructField("root", kind)])
 
     def links(own: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = own.take(pa.array(np.unique(own["id"].to_numpy(), return_index=True)[1]))
         ids, copies, side = own["id"].to_numpy(), own["copies"].to_numpy(), own["side"].to_numpy()
         m = len(ids)
-        doc, gram = wordvec.shingles(*wordvec.text_bytes(own["text"]), n)
+        doc, gram = wordvec.exact_shingles(*wordvec.text_bytes(own["text"]), n)
         size = np.bincount(doc, minlength=m)
-        _, gram = np.unique(gram, return_inverse=True)
         count = np.bincount(gram)
         # n-grams that many of these texts hold are counted by a product of 0/1 matrices, the others through their lists of texts
         common = (count >= 16) & (count * 8 >= m)
@@ -245,6 +254,80 @@ def verified(grouped: DataFrame, n: int, similarity: float) -> DataFrame:
     return by_group(grouped, ["comp", "pair"], make, schema)
 
 
+def from_centers(rows: DataFrame, n: int) -> DataFrame:
+    """comp, id and away, the Jaccard distance to the centre, from rows comp, salt, side, id, text.
+
+    The centre is the set of the n-grams that more than half of the texts of side 0 have; without any it is empty.
+    """
+
+    def make(t: pa.Table) -> list[pa.RecordBatch]:
+        t = t.combine_chunks()
+        at = starts_of(t["comp"].to_numpy(), t["salt"].to_numpy())
+        out = []
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            part = t.slice(lo, hi - lo)
+            doc, gram = wordvec.exact_shingles(*wordvec.text_bytes(part["text"]), n)
+            side, size = part["side"].to_numpy(), np.bincount(doc, minlength=hi - lo)
+            asked = np.bincount(gram[side[doc] == 0], minlength=int(gram.max(initial=0)) + 1)
+            center = asked * 2 > (side == 0).sum()
+            both = np.bincount(doc, center[gram], minlength=hi - lo)
+            away = 1 - both / (size + center.sum() - both)
+            member = np.flatnonzero(side == 1)
+            out.append((part["comp"].to_numpy()[member], part["id"].to_numpy()[member], away[member]))
+        return [pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["comp", "id", "away"])]
+
+    return by_group(rows, ["comp", "salt"], make, T.StructType([T.StructField("comp", T.LongType()), T.StructField("id", T.LongType()), T.StructField("away", T.DoubleType())]))
+
+
+class LargeGroups:
+    """Candidate components of more than BLOCK texts or GRAMS n-grams, from members (comp, id, copies, _n, _blocks, _asked).
+
+    A component's centre is what most of a few of its texts agree on (any set would do). Its texts are
+    sorted by their Jaccard distance to the centre, over range partitions, and cut into blocks. The distance is a metric:
+    texts whose distances to the centre differ by more than 1 - similarity are not linked, those for
+    which they add up to no more than that are. So most pairs of blocks are settled by sums over
+    blocks; only the others are verified. For near copies of one text this leaves few or none.
+    """
+
+    def __init__(self, members: DataFrame, texts: DataFrame, n: int, similarity: float) -> None:
+        far = 1 - similarity
+        salt = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
+        full = members.join(texts, "id")
+        some = full.where(F.pmod(F.xxhash64(F.lit(11), F.col("id")), F.lit(1 << 30)) < F.col("_asked") / F.col("_n") * (1 << 30))
+        centers = some.select("comp", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("salt"), F.lit(0).alias("side"), "id", "text")
+        salted = full.select("comp", salt.alias("salt"), F.lit(1).alias("side"), "id", "text")
+        measured = from_centers(salted.unionByName(centers), n)
+        ranked = globally_ranked(measured, [F.col("comp"), F.col("away")], "_rank")
+        starts = ranked.groupBy("comp").agg(F.min("_rank").alias("_start"), F.count("*").alias("_rows"))
+        placed = skew_lookup(ranked, cut(starts.withColumn("_size", F.col("_rows"))), "comp", "_rows").join(members.select("id", "copies", "_blocks"), "id")
+        block = F.expr("(_rank - _start) * _blocks div _size").cast("int")
+        self.members = cut(placed.select("comp", "id", "copies", "away", block.alias("block")))
+        blocks = self.members.groupBy("comp", "block").agg(F.min("away").alias("lo"), F.max("away").alias("hi"), F.sum("copies").alias("copies"))
+        b = blocks.select("comp", F.col("block").alias("other"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), F.col("copies").alias("other_copies"))
+        near = blocks.join(b, "comp").where((F.col("block") <= F.col("other")) & (F.col("other_lo") - F.col("hi") <= far + EPS))
+        self.pairs = cut(near.withColumn("sure", F.col("hi") + F.col("other_hi") <= far - EPS))
+        # if a block is settled with any other, it is with the nearest, where all are linked to all
+        near = self.pairs.where("sure and block = 0").select("comp", F.col("other").alias("block"))
+        first = self.members.where("block = 0").groupBy("comp").agg(F.min("id").alias("b"))
+        self.edges = self.members.join(near.join(first, "comp"), ["comp", "block"]).select(F.col("id").alias("a"), "b")
+
+    def to_verify(self) -> DataFrame:
+        """comp, pair, side and id: the texts of each pair of blocks that the centre's distances leave open."""
+        open_pairs = self.pairs.where(~F.col("sure")).select("comp", "block", "other", (F.col("block") * F.lit(1 << 31) + F.col("other")).alias("pair"))
+        slim = self.members.select("comp", "block", "id")
+        left = slim.join(open_pairs, ["comp", "block"]).select("comp", "pair", F.when(F.col("block") == F.col("other"), 0).otherwise(1).alias("side"), "id")
+        right = slim.join(open_pairs.where("block < other").select("comp", F.col("other").alias("block"), "pair"), ["comp", "block"]).select("comp", "pair", F.lit(2).alias("side"), "id")
+        return left.unionByName(right)
+
+    def settled(self) -> DataFrame:
+        """id and links to the texts of blocks in which all are linked to it."""
+        sure = self.pairs.where("sure")
+        ways = sure.select("comp", "block", F.col("other_copies").alias("n"), (F.col("block") == F.col("other")).alias("own"))
+        back = sure.where("block < other").select("comp", F.col("other").alias("block"), F.col("copies").alias("n"), F.lit(False).alias("own"))
+        total = ways.unionByName(back).groupBy("comp", "block").agg(F.sum("n").alias("n"), F.max("own").alias("own"))
+        return self.members.join(total, ["comp", "block"]).select("id", (F.col("n") - F.when(F.col("own"), F.col("copies")).otherwise(0)).alias("links"))
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """doc_id, class_id, links and copies for each row of docs (doc_id, text).
 
@@ -252,41 +335,60 @@ def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
     linked. links: other rows linked to this one, equal texts included. class_id: the least doc_id
     that links reach. copies: rows with this text.
 
-    Equal texts become one representative. MinHash bands, as many and as wide as `recall` at the
-    similarity asks for, are shuffled by their hash; texts that share one, and whose sketches
-    (all MinHashes, a byte each) do not rule the similarity out by six standard errors, form candidate
-    components, within which every pair is verified on the full sets. Components above BLOCK texts
-    or GRAMS n-grams are verified block by block in tasks of their own, and no pair is ever a row.
+    Equal texts, told by their SHA-256, become one representative. MinHash bands, as many and as wide
+    as `recall` at the similarity asks for, are shuffled by their hash; texts that share one, and whose
+    sketches (all MinHashes, a byte each) do not rule the similarity out by six standard errors, form
+    candidate components, within which pairs are verified on the full sets of n-grams, compared as
+    words, not as hashes. Components above BLOCK texts or GRAMS n-grams are verified block by block,
+    as far as distances to a centre do not settle blocks whole (see `LargeGroups`). No pair is ever a row.
 
     A text of fewer than n words has one shingle of all its words. A text without a word, or null,
-    is linked to nothing (copies count only among themselves and are not linked), and is a class of
-    its own. doc_id must be an integer; rows that repeat a doc_id and its text count as one text.
-    Other columns are ignored. An empty table gives an empty result.
+    is linked to nothing (copies are not counted among such, it is 1) and is a class of its own.
+    doc_id must be an integer; rows that repeat one stay rows of their own, whatever their texts; a
+    null one keeps its class, named by the least doc_id that is not null, or null. Other columns are
+    ignored. An empty table gives an empty result.
     """
     bands, rows = bands_for(similarity, recall)
     spread = math.sqrt(similarity * (1 - similarity) / (bands * rows))
     wordy = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.select(F.col("doc_id").alias("id"), "text", F.when(wordy, F.concat(F.xxhash64("text").cast("string"), F.lit(":"), F.xxhash64(F.lit(7), F.col("text")).cast("string"))).alias("_key"))
-    own = cut(keyed.select("id", "_key"))
-    classes = cut(own.where("_key is not null").groupBy("_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    signed = signatures(keyed.where("_key is not null"), n, bands, rows)
-    sig = cut(signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi"))
-    comp = components(candidate_edges(sig, similarity - 6 * spread))
-
-    # blocks of a component, and pairs of blocks; a text of a component of k blocks is in k pairs
-    sized = comp.join(sig.select("id", "grams"), "id")
-    counted = sized.join(sized.groupBy("comp").agg(F.count("*").alias("_n"), F.sum("grams").alias("_g")), "comp")
+    kind = docs.schema["doc_id"].dataType
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text", F.when(wordy, F.unhex(F.sha2("text", 256))).alias("key"))
+    own = cut(keyed.select("id", "key"))
+    least = F.coalesce(F.min(F.when(F.col("id") != NO_ID, F.col("id"))), F.lit(NO_ID))
+    classes = own.where("key is not null").groupBy("key").agg(least.alias("rep"), F.count("*").alias("copies"))
+    classes = cut(classes.withColumn("tid", F.monotonically_increasing_id()))  # a number of its own for each text
+    signed = signatures(keyed.where("key is not null"), n, bands, rows)
+    rep = classes.select("key", F.col("rep").alias("id"), "tid", "copies")
+    sig = cut(signed.join(rep, ["key", "id"]).select(F.col("tid").alias("id"), "grams", "bands", "sketch", "copies"))
+    live = cut(buckets(sig))
+    comp = components(candidate_edges(live, sig, similarity - 6 * spread))
+
+    sized = cut(comp.join(sig.select("id", "grams", "copies").dropDuplicates(["id"]), "id"))
+    counted = sized.groupBy("comp").agg(F.count("*").alias("_n"), F.sum("grams").alias("_g"))
     blocks = F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_g") / GRAMS)).cast("int")
-    dealt = counted.withColumn("_blocks", blocks).withColumn("_block", F.when(F.col("_blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    paired = dealt.select("*", other).select("id", "comp", (F.least("_block", "_other") * F.lit(1 << 20) + F.greatest("_block", "_other")).cast("long").alias("pair"), F.when(F.col("_block") > F.col("_other"), 2).when(F.col("_block") < F.col("_other"), 1).otherwise(0).alias("side"))
-    members = comp.select("id").join(classes.select(F.col("rep").alias("id"), "copies"), "id")
-    texts = keyed.select("id", "text").join(members, "id")
-    checked = cut(verified(paired.join(texts, "id"), n, similarity))
-    linked = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    total = checked.groupBy("id").agg(F.sum("links").alias("_links"))
-    known = classes.join(total.withColumnRenamed("id", "rep"), "rep", "left").join(linked.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("_key", "copies", F.coalesce("comp", "rep").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("copies").alias("_rows"))
-    own = own.withColumn("_key", F.coalesce("_key", F.concat(F.lit("#"), F.col("id").cast("string"))))
-    out = skew_lookup(own, known, "_key", "_rows")
-    return out.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    asked = F.least(F.lit(ASKED), F.lit(GRAMS) * F.col("_n") / F.col("_g"))
+    counted = cut(counted.select("comp", "_n", blocks.alias("_blocks"), asked.alias("_asked"), F.col("_n").alias("_rows")))
+    dealt = cut(skew_lookup(sized, counted, "comp", "_rows"))
+    found = keyed.where("key is not null").join(rep, ["key", "id"]).select(F.col("tid").alias("id"), "text")
+    texts = found.join(dealt.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    paired = dealt.where("_blocks = 1").select("comp", F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"), "id")
+    large = None
+    if not counted.where("_blocks > 1").isEmpty():
+        texts = cut(texts)
+        large = LargeGroups(dealt.where("_blocks > 1"), texts, n, similarity)
+        paired = paired.unionByName(large.to_verify())
+    checked = cut(verified(paired.join(texts, "id").join(dealt.select("id", "copies"), "id"), n, similarity))
+    edges, links = checked.select(F.col("id").alias("a"), F.col("root").alias("b")), checked.select("id", "links")
+    if large:
+        edges, links = edges.unionByName(large.edges), links.unionByName(large.settled())
+    linked = components(edges).join(classes.select(F.col("tid").alias("id"), F.when(F.col("rep") != NO_ID, F.col("rep")).alias("rep")), "id")
+    named = cut(linked.groupBy("comp").agg(F.coalesce(F.min("rep"), F.lit(NO_ID)).alias("class_id"), F.count("*").alias("_rows")))
+    linked = skew_lookup(linked.select("comp", F.col("id").alias("tid")), named, "comp", "_rows").select("tid", "class_id")
+    total = links.groupBy(F.col("id").alias("tid")).agg(F.sum("links").alias("_links"))
+    known = classes.join(total, "tid", "left").join(linked, "tid", "left")
+    known = known.select("key", "copies", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("copies").alias("_rows"))
+    # wordless rows have keys of their own, so that they do not meet in one task
+    own = own.withColumn("key", F.coalesce("key", F.concat(F.lit("#"), F.col("id").cast("string")).cast("binary")))
+    out = skew_lookup(own, known, "key", "_rows")
+    named_id = lambda c: F.when(c != NO_ID, c).cast(kind)
+    return out.select(named_id(F.col("id")).alias("doc_id"), named_id(F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))

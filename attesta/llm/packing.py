@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 from attesta.llm import wordvec
 from attesta.llm.common import cut
 
-#: Words that a worker process keeps encoded; those met later are encoded each time.
-WORDS = 500_000
+#: Words that a worker process keeps encoded, and the most bytes of one; others are encoded each time.
+WORDS, LONGEST = 500_000, 64
 
 
 class WordEncoder:
@@ -29,7 +29,7 @@ class WordEncoder:
 
     The vocabulary's text is split at white space and case is dropped before merging, so the ids of
     a text are those of its words in turn. Each different word of a batch is looked up once, by its
-    hash; the ids of all words are then copied at once. Unknown words of letters, alone or before a
+    hash and then its bytes; the ids of all words are then copied at once. Unknown words of letters, alone or before a
     stop, are encoded in their lower-case form, many together, and cut where a word-end token
     stands; other unknown words go to the tokenizer one by one.
     """
@@ -43,9 +43,9 @@ class WordEncoder:
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.tails: dict[str, np.ndarray] = {}
-        # hashes of the words kept, sorted; the ids of each are count of pool's from first on
-        self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        # hashes of the words kept, sorted; a word's ids are count of pool's from first on, its bytes size of text's from start on
+        self.keys, self.pool, self.text = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.first, self.count, self.start, self.size = (np.zeros(0, np.int64) for _ in range(4))
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -81,11 +81,13 @@ class WordEncoder:
         """The ids of all texts in turn, each with end_id after it, and where each begins."""
         data, offsets = wordvec.text_bytes(texts)
         w = wordvec.words(data, offsets)
-        kinds, where, back, often = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
+        own, where = wordvec.interned(data, w)
+        kinds, size = w.hash[where], (w.end - w.start)[where]
         place = np.searchsorted(self.keys, kinds)
         known = np.zeros(len(kinds), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == kinds[inside]
+        inside = np.flatnonzero(place < len(self.keys))
+        inside = inside[(self.keys[place[inside]] == kinds[inside]) & (self.size[place[inside]] == size[inside])]
+        known[inside] = wordvec.equal_bytes(data, w.start[where[inside]], self.text, self.start[place[inside]], size[inside])
         new = np.flatnonzero(~known)
         parts = self.of_words([data[a:b].tobytes().decode() for a, b in zip(w.start[where[new]].tolist(), w.end[where[new]].tolist(), strict=True)])
         first, count = np.empty(len(kinds), np.int64), np.empty(len(kinds), np.int64)
@@ -93,7 +95,6 @@ class WordEncoder:
         count[new] = np.fromiter(map(len, parts), np.int64, len(parts))
         first[new] = len(self.pool) + np.cumsum(count[new]) - count[new]
         pool = np.concatenate([self.pool, *parts])
-        own = back.reshape(-1)
         n = len(texts)
         each = count[own]
         per_text = np.bincount(w.doc, each, minlength=n).astype(np.int64)
@@ -103,21 +104,26 @@ class WordEncoder:
             step = np.arange(int(each.sum()))
             source = np.repeat(first[own] - (np.cumsum(each) - each), each) + step
             out[step + np.repeat(np.arange(n), per_text)] = pool[source]
-        self.keep(kinds, count, often, new, parts)
+        fit = np.flatnonzero((size[new] <= LONGEST) & ~np.isin(kinds[new], self.keys))
+        fit = fit[np.unique(kinds[new[fit]], return_index=True)[1]]
+        often = np.bincount(own, minlength=len(kinds))[new[fit]]
+        fit = fit[np.argsort(-often, kind="stable")[: WORDS - len(self.keys)]]
+        if len(fit):
+            self.keep(kinds[new[fit]], [parts[i] for i in fit], [data[a:b] for a, b in zip(w.start[where[new[fit]]], w.end[where[new[fit]]], strict=True)])
         return out, begin
 
-    def keep(self, kinds: np.ndarray, count: np.ndarray, often: np.ndarray, new: np.ndarray, parts: list[np.ndarray]) -> None:
-        """The ids of new words, the most frequent of this batch first, while there is room."""
-        if not (room := min(WORDS - len(self.keys), len(new))):
-            return
-        some = np.argsort(-often[new], kind="stable")[:room]
-        size = count[new[some]]
-        keys = np.concatenate([self.keys, kinds[new[some]]])
+    def keep(self, keys: np.ndarray, ids: list[np.ndarray], texts: list[np.ndarray]) -> None:
+        """The ids of words that the batch brought, whose hashes none of those kept has."""
+        count, size = np.array([len(x) for x in ids]), np.array([len(x) for x in texts])
+        keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
-        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])[order]
-        self.count = np.concatenate([self.count, size])[order]
-        self.pool = np.concatenate([self.pool, *[parts[i] for i in some]])
+        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count) - count])[order]
+        self.count = np.concatenate([self.count, count])[order]
+        self.start = np.concatenate([self.start, len(self.text) + np.cumsum(size) - size])[order]
+        self.size = np.concatenate([self.size, size])[order]
+        self.pool = np.concatenate([self.pool, *ids])
+        self.text = np.concatenate([self.text, *texts])
 
 
 @functools.cache

@@ -46,23 +46,20 @@ def assess_texts(texts: pa.Array) -> Assessed:
     inside_sum, symbol_sum = sums(inside), sums(byte_table(SYMBOLS)[data])
 
     # words in windows of three that the text has twice or more
-    hashes, at = wordvec.windows(w.hash, w.doc, 3)
-    order = np.lexsort((hashes, w.doc[at]))
-    same = np.zeros(len(at), bool)
-    if len(at) > 1:
-        equal = (hashes[order][1:] == hashes[order][:-1]) & (w.doc[at][order][1:] == w.doc[at][order][:-1])
-        same[order[1:][equal]] = True
-        same[order[:-1][equal]] = True
+    word, _ = wordvec.interned(data, w)
+    window, at = wordvec.window_ids(word, w.doc, 3)
+    _, own, often = np.unique(w.doc[at] * (window.max(initial=0) + 1) + window, return_inverse=True, return_counts=True)
+    same = often[own.reshape(-1)] > 1
     cover = np.zeros(len(w.start) + 1, np.int64)
     np.add.at(cover, at[same], 1)
     np.add.at(cover, at[same] + 3, -1)
     covered = np.cumsum(cover)[:-1] > 0
 
     wordy = inside_sum[lines.end] > inside_sum[lines.start]
-    start, end, doc, line_hash = lines.start[wordy], lines.end[wordy], lines.doc[wordy], lines.hash[wordy]
-    again = np.zeros(len(start), bool)
-    order = np.lexsort((np.arange(len(start)), line_hash, doc))
-    again[order[1:]] = (line_hash[order][1:] == line_hash[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    line = wordvec.interned(data, lines)[0][wordy]
+    start, end, doc = lines.start[wordy], lines.end[wordy], lines.doc[wordy]
+    again = np.ones(len(start), bool)
+    again[np.unique(doc * (line.max(initial=0) + 1) + line, return_index=True)[1]] = False
     counts = {
         "n_words": np.bincount(w.doc, minlength=n),
         "word_chars": text_sum(sums(inside & head)),
@@ -76,7 +73,7 @@ def assess_texts(texts: pa.Array) -> Assessed:
     first_word = np.searchsorted(w.start, start, "left")
     word_sum = lambda mask: (c := sums(mask))[first_word + line_words] - c[first_word]
     stutter = np.zeros(len(w.start), bool)
-    stutter[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
+    stutter[1:] = (word[1:] == word[:-1]) & (w.doc[1:] == w.doc[:-1])
     chars = of(sums(head)).astype(float)
     letters = np.maximum(of(inside_sum), 1)
     last = data[np.maximum(w.end[np.maximum(first_word + line_words - 1, 0)] - 1, 0)] if len(w.end) else np.zeros(len(start), np.uint8)

@@ -25,3 +25,8 @@ def odd_documents(seed=1):
     rows += [(110 + i, rows[1][1], "en", "hot", 1) for i in range(40)]
     rows += [(160, "long " + syllables(rng, 30_000, EN), "en", "s2", 1), (161, "x" * 50_000, None, "s2", 1)]
     return rows
+
+
+def thue_morse(n, letters="ab"):
+    """2**n letters; with its complement it has equal polynomial hashes, whatever the base, modulo 2**64 from n = 10 on."""
+    return "".join(letters[i.bit_count() & 1] for i in range(1 << n))

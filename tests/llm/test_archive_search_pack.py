@@ -14,7 +14,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThan, In
 from tokenizers import Tokenizer
 
 from attesta.llm import mtree, packing, urlfilter, warc
-from tests.llm.helpers import SCHEMA, STRANGE, frame, odd_documents
+from tests.llm.helpers import SCHEMA, STRANGE, frame, odd_documents, thue_morse
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -172,7 +172,7 @@ def check_packed(rows, out, capacity):
 
 
 def test_pack(spark):
-    rows = odd_documents() + [(700, "It's don't WE'LL I'M ΣΑΣ İstanbul e\u0301 ﬁ 1234 a\x1cb <|endoftext|> end", None, None, None), (700, "again", None, None, None), (701, "a\u3000b\u2003c", None, None, None)]
+    rows = odd_documents() + [(700, "It's don't WE'LL I'M ΣΑΣ İstanbul e\u0301 ﬁ 1234 a\x1cb <|endoftext|> end", None, None, None), (700, "again", None, None, None), (701, "a\u3000b\u2003c", None, None, None), (702, f"{thue_morse(11)} {thue_morse(11, 'ba')}", None, None, None), (703, f"{thue_morse(11, 'ba')} x {thue_morse(11)}", None, None, None)]
     for schema, capacity in ((SCHEMA, 4096), (STRANGE, 50)):
         out = packing.pack(frame(spark, rows, schema), PATH, capacity).collect()
         n, total = check_packed(rows, out, capacity)
@@ -180,6 +180,16 @@ def test_pack(spark):
     assert packing.pack(frame(spark, []), PATH).count() == 0
 
 
+def test_encoder_trusts_no_hash(monkeypatch):
+    """With one hash for all words each is still given its own ids, whether it was met before or not."""
+    monkeypatch.setattr(packing.wordvec, "run_hashes", lambda data, inside, start, end: np.zeros(len(start), np.uint64))
+    encoder, tok = packing.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    for texts in (["some words and some", "more words"], ["words", None, "and others than those", "some"], [""]):
+        ids, begin = encoder.encode(packing.pa.array(texts, packing.pa.string()), 1)
+        for i, t in enumerate(texts):
+            assert ids[begin[i] : begin[i + 1]].tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+
+
 def test_plan_is_whole_and_tight():
     rng = random.Random(8)
     for _ in range(30):

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 from attesta.llm import neardup
-from tests.llm.helpers import EN, SCHEMA, STRANGE, frame, odd_documents, syllables
+from tests.llm.helpers import EN, SCHEMA, STRANGE, frame, odd_documents, syllables, thue_morse
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -80,3 +80,40 @@ def test_bands_reach_recall():
     for s, recall in ((0.8, 0.9999), (0.5, 0.99)):
         bands, rows = neardup.bands_for(s, recall)
         assert 1 - (1 - s**rows) ** bands >= recall and bands * rows <= 128
+
+
+def test_ids_that_repeat_or_are_null(spark):
+    one, two = "a text of five words", "another text of five words"
+    rows = [(7, one), (7, two), (7, two), (None, one), (None, "all by itself without any id"), (9, None), (None, "")]
+    got = Counter((r["doc_id"], r["class_id"], r["links"], r["copies"]) for r in neardup.jaccard_join(frame(spark, rows)).collect())
+    assert got == Counter([(7, 7, 1, 2), (7, 7, 1, 2), (7, 7, 1, 2), (None, 7, 1, 2), (None, None, 0, 1), (9, 9, 0, 1), (None, None, 0, 1)])
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = thue_morse(11), thue_morse(11, "ba")
+    rows = [(1, f"{a} w x y z"), (2, f"{b} w x y z"), (3, f"{a}  w x y z")]
+    assert {r["doc_id"]: (r["class_id"], r["links"]) for r in neardup.jaccard_join(frame(spark, rows)).collect()} == {1: (1, 1), 2: (2, 0), 3: (1, 1)}
+
+
+def test_large_group_is_settled_by_its_center(spark, monkeypatch):
+    """Near copies of one text: blocks are counted whole, no pair of them is verified, and no task holds more than two blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    rng = random.Random(4)
+    base = syllables(rng, 300, EN).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1500):
+        copy = list(base)
+        for _ in range(rng.randint(1, 2)):
+            copy[rng.randrange(len(copy))] = f"new{i}"
+        rows.append((i, " ".join(copy)))
+    opened, plan = [], neardup.LargeGroups.to_verify
+
+    def to_verify(self):
+        found = plan(self)
+        opened.append((found.count(), self.pairs.count()))
+        return found
+
+    monkeypatch.setattr(neardup.LargeGroups, "to_verify", to_verify)
+    got = neardup.jaccard_join(frame(spark, rows)).collect()
+    assert {(r["class_id"], r["links"]) for r in got} == {(0, 1499)} and len(got) == 1500
+    assert opened == [(0, 24 * 25 // 2)]

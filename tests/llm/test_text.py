@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from attesta.llm import langid, quality, secretscan, wordvec
-from tests.llm.helpers import DE, EN, SCHEMA, STRANGE, frame, odd_documents, syllables
+from tests.llm.helpers import DE, EN, SCHEMA, STRANGE, frame, odd_documents, syllables, thue_morse
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="ab \n\t#é日$.", max_size=60)), max_size=6)
@@ -36,6 +36,18 @@ def test_base_counts(texts):
         assert {k: int(v[i]) for k, v in got.items()} == brute_counts(text or "")
 
 
+def test_base_counts_trust_no_hash(monkeypatch):
+    """Lines and words that polynomial hashes confuse, and then one hash for all."""
+    a, b = thue_morse(11), thue_morse(11, "ba")
+    texts = [f"{a}\n{b}", f"{a}\n{b}\n{a}", f"x {a} y x {b} y", f"{a} {b} {a} {b} {a} {b}"]
+    for again in (False, True):
+        if again:
+            monkeypatch.setattr(wordvec, "run_hashes", lambda data, inside, start, end: data[:0].astype("u8") if not len(start) else (start * 0).astype("u8"))
+        got = quality.assess_texts(pa.array(texts)).counts
+        for i, text in enumerate(texts):
+            assert {k: int(v[i]) for k, v in got.items()} == brute_counts(text)
+
+
 def brute_counts(text):
     words, seen, dup, covered = WORD.findall(text), set(), 0, set()
     for line in text.split("\n"):
