@@ -49,8 +49,8 @@ def skew_lookup(fact: DataFrame, dim: DataFrame, key: str, rows: str, small: int
     return warm.unionByName(rest)
 
 
-def globally_ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with a gapless rank from 0 over all rows by `order`, without one task that sees them all.
+def globally_ranked(df: DataFrame, order: list[Column], name: str, total: str | None = None) -> DataFrame:
+    """df with a gapless rank from 0 over all rows by `order`, without one task that sees them all; the column total counts them.
 
     Rows are range-partitioned and sorted, written once with their place, and each partition's
     start is the number of rows before it; the driver sees one number per partition. Rows that
@@ -66,6 +66,8 @@ def globally_ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     for p, n in sizes:
         starts.append((p, at))
         at += n
+    if total:
+        placed = placed.withColumn(total, F.lit(at).cast("long"))
     if not starts:
         return placed.withColumn(name, F.lit(0).cast("long")).drop("_at")
     table = placed.sparkSession.createDataFrame(starts, "_p int, _start long")

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attesta.llm.common import WORD, cut, skew_lookup
+from attesta.llm.common import WORD, cut, globally_ranked, skew_lookup
 
 #: Bits of the hash, and of each level of the histogram.
 HASH_BITS, LEVEL_BITS = 60, 12
+#: Columns that a mix makes.
+MADE = ("size", "source_size", "target", "copies", "taken")
 
 
 def word_count(text: Column) -> Column:
@@ -25,9 +27,8 @@ def targets(by_source: DataFrame, weights: Sequence[float], cap: float) -> DataF
     source would get above cap times its size goes to the others by weight, until none is above.
     That fixed point is min(cap * size, level * weight) for one level, found from sums alone.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row per source
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    table = cut(by_source.withColumn("_weight", weight))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_place") % len(weights) + 1).cast("int"))
+    table = cut(globally_ranked(by_source, [F.col("source").asc_nulls_last()], "_place").withColumn("_weight", weight).drop("_place"))
     most = F.col("source_size") * float(cap)
     level, before = 0.0, -1
     while True:
@@ -39,6 +40,20 @@ def targets(by_source: DataFrame, weights: Sequence[float], cap: float) -> DataF
     return table.withColumn("target", F.least(most, F.lit(level) * F.col("_weight"))).drop("_weight")
 
 
+def hashed(docs: DataFrame, seed: int) -> DataFrame:
+    """docs with size, _key (of the source) and _h, the first HASH_BITS bits of an MD5 of seed and doc_id."""
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    h = F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+    return docs.drop(*MADE, "_key", "_h", "_base", "_threshold").withColumns({"_key": key, "_h": h, "size": word_count(F.col("text"))})
+
+
+def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    copies = F.col("_base") + F.when(F.col("_h") < F.col("_threshold"), 1).otherwise(0)
+    out = skew_lookup(rows, plan, "_key", "_rows").withColumn("copies", copies.cast("int"))
+    return out.withColumn("taken", F.col("size") * F.col("copies")).drop("_key", "_h", "_base", "_threshold")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3, seed: int = 17) -> DataFrame:
     """docs (doc_id, text, source and others) with size, source_size, target, copies and taken.
 
@@ -54,18 +69,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3, s
     source are in or out together. An empty table gives an empty result. Columns of docs other than
     those made here pass through; of a clash, the made column stays.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "taken", "_key", "_h", "_base", "_threshold")
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 64 - HASH_BITS)
-    full = docs.withColumns({"_key": key, "_h": h, "size": word_count(F.col("text"))})
-    sized = cut(full.select("_key", "_h", "size"))
-    plan = thresholds(sized, docs, weights, cap)
-    out = skew_lookup(full, plan, "_key", "_rows")
-    copies = F.col("_base") + F.when(F.col("_h") < F.col("_threshold"), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("size") * F.col("copies")).drop("_key", "_h", "_base", "_threshold")
+    full = hashed(docs, seed)
+    return taken(full, thresholds(cut(full.select("_key", "_h", "size")), weights, cap))
+
+
+def mix_sizes(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3, seed: int = 17) -> DataFrame:
+    """The same with doc_id and source only of docs' columns; each text is read and counted once."""
+    slim = cut(hashed(docs.select("doc_id", "text", "source"), seed).drop("text"))
+    return taken(slim, thresholds(slim, weights, cap))
 
 
-def thresholds(sized: DataFrame, docs: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
+def thresholds(sized: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
     """One row per _key: _rows, source_size, target, _base (copies of every document) and _threshold."""
     named = sized.groupBy("_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     named = named.withColumn("source", F.when(F.col("_key") != "n", F.expr("substring(_key, 2)")))

@@ -14,8 +14,11 @@ from pyspark.sql import types as T
 from attesta.llm import wordvec
 from attesta.llm.common import cut, globally_ranked, skew_lookup
 
-#: Texts of a bucket or of a block of a large group, and n-grams of such a block, that are compared at once.
-BLOCK, GRAMS = 512, 500_000
+#: Texts of a bucket whose sketches are compared at once.
+BUCKET = 2048
+#: A group of more texts than SMALL is cut into about WAYS blocks, of SMALL texts at least and LARGE at most, and of GRAMS
+#: n-grams: many pairs of blocks for as many tasks, and few copies of each text.
+SMALL, LARGE, WAYS, GRAMS = 128, 2048, 32, 500_000
 #: Texts of a large group, about, that its centre is made of.
 ASKED = 32
 #: Stands for a null doc_id while rows are joined.
@@ -156,12 +159,12 @@ def buckets(sig: DataFrame) -> DataFrame:
 def candidate_edges(live: DataFrame, sig: DataFrame, least: float) -> DataFrame:
     """Edges (a, b) that join texts sharing a band (see `buckets`), if their sketches agree in at least `least` of the places.
 
-    Within a bucket of at most BLOCK texts all sketches are compared; a larger one is one component as it is, which
+    Within a bucket of at most BUCKET texts all sketches are compared; a larger one is one component as it is, which
     loses no link: it only leaves more to verify. A bucket yields an edge for each member at most.
     """
     kind = T.LongType()
-    large = live.where(F.col("n") > BLOCK).select(F.col("id").alias("a"), F.col("least").alias("b"))
-    small = live.where(F.col("n") <= BLOCK).select("id", "band")
+    large = live.where(F.col("n") > BUCKET).select(F.col("id").alias("a"), F.col("least").alias("b"))
+    small = live.where(F.col("n") <= BUCKET).select("id", "band")
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def make(t: pa.Table) -> list[pa.RecordBatch]:
@@ -280,7 +283,7 @@ def from_centers(rows: DataFrame, n: int) -> DataFrame:
 
 
 class LargeGroups:
-    """Candidate components of more than BLOCK texts or GRAMS n-grams, from members (comp, id, copies, _n, _blocks, _asked).
+    """Candidate components of more than SMALL texts or GRAMS n-grams, from members (comp, id, copies, _n, _blocks, _asked).
 
     A component's centre is what most of a few of its texts agree on (any set would do). Its texts are
     sorted by their Jaccard distance to the centre, over range partitions, and cut into blocks. The distance is a metric:
@@ -339,7 +342,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
     as `recall` at the similarity asks for, are shuffled by their hash; texts that share one, and whose
     sketches (all MinHashes, a byte each) do not rule the similarity out by six standard errors, form
     candidate components, within which pairs are verified on the full sets of n-grams, compared as
-    words, not as hashes. Components above BLOCK texts or GRAMS n-grams are verified block by block,
+    words, not as hashes. Components above SMALL texts or GRAMS n-grams are verified block by block,
     as far as distances to a centre do not settle blocks whole (see `LargeGroups`). No pair is ever a row.
 
     A text of fewer than n words has one shingle of all its words. A text without a word, or null,
@@ -365,7 +368,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
 
     sized = cut(comp.join(sig.select("id", "grams", "copies").dropDuplicates(["id"]), "id"))
     counted = sized.groupBy("comp").agg(F.count("*").alias("_n"), F.sum("grams").alias("_g"))
-    blocks = F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_g") / GRAMS)).cast("int")
+    per_block = F.least(F.lit(LARGE), F.greatest(F.lit(SMALL), F.col("_n") / WAYS))
+    blocks = F.greatest(F.ceil(F.col("_n") / per_block), F.ceil(F.col("_g") / GRAMS)).cast("int")
     asked = F.least(F.lit(ASKED), F.lit(GRAMS) * F.col("_n") / F.col("_g"))
     counted = cut(counted.select("comp", "_n", blocks.alias("_blocks"), asked.alias("_asked"), F.col("_n").alias("_rows")))
     dealt = cut(skew_lookup(sized, counted, "comp", "_rows"))

@@ -18,4 +18,135 @@ WITH usable AS (
 SELECT query_id, "rank", vec_id, score FROM ranked WHERE "rank" <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_top_k": TOP_K}
+#: Sources fill up in the order of cap * size / weight; the first that does not tells the level of all that do not.
+#: Within a source the mix takes documents by hash until the budget runs out.
+MIXING = r"""
+WITH docs AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+        ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+    FROM documents
+), sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+    FROM docs GROUP BY source
+), steps AS (
+    SELECT *, 3.0::DOUBLE * source_size AS most, 3.0::DOUBLE * source_size / weight AS place,
+        (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER (filling ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (filling ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM sources WINDOW filling AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST)
+), level AS (
+    SELECT coalesce(min_by(level, place) FILTER (WHERE most > level * weight), 0) AS level FROM steps
+), plan AS (
+    SELECT source, source_size, least(most, level.level * weight) AS target,
+        CASE WHEN source_size = 0 THEN 0 ELSE least(3, floor(target / source_size))::BIGINT END AS base,
+        CASE WHEN base >= 3 THEN 0.0 ELSE greatest(0.0, target - base * source_size) END AS want
+    FROM steps, level
+), runs AS (
+    SELECT source, h, sum(size) AS size, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM docs GROUP BY source, h
+), edges AS (
+    SELECT r.source, min(r.h) AS h, min_by(r.size, r.h) AS size, min_by(r.upto, r.h) AS upto
+    FROM runs r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source WHERE r.upto > p.want GROUP BY r.source
+), limits AS (
+    SELECT p.*, CASE WHEN base >= 3 THEN 0 WHEN e.h IS NULL THEN CASE WHEN want > 0 THEN 1::BIGINT << 60 ELSE 0 END
+        WHEN (want - (e.upto - e.size)) * 2 >= e.size THEN e.h + 1 ELSE e.h END AS threshold
+    FROM plan p LEFT JOIN edges e ON p.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, size, source_size, target, d.source, (base + CASE WHEN h < threshold THEN 1 ELSE 0 END)::INTEGER AS copies, size * copies AS taken
+FROM docs d JOIN limits l ON d.source IS NOT DISTINCT FROM l.source
+"""
+
+#: All pairs of different texts that share an n-gram, and what they reach.
+JACCARD = r"""
+WITH RECURSIVE texts AS (
+    SELECT min(doc_id) AS rep, count(*) AS copies, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, text
+    FROM documents WHERE regexp_matches(text, '[^\x20\x09-\x0D]') GROUP BY text
+), grams AS (
+    SELECT rep, unnest(list_distinct(list_transform(range(1, greatest(1, len(words) - 4) + 1), lambda i: array_to_string(words[i:i + 4], ' ')))) AS gram FROM texts
+), sizes AS (
+    SELECT rep, count(*) AS n FROM grams GROUP BY rep
+), pairs AS (
+    SELECT a.rep AS a, b.rep AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.rep < b.rep GROUP BY a.rep, b.rep
+), links AS (
+    SELECT a, b FROM pairs p JOIN sizes x ON p.a = x.rep JOIN sizes y ON p.b = y.rep WHERE 9 * p.n >= 4 * (x.n + y.n)
+), near AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(a, b) AS (
+    SELECT a, b FROM near UNION SELECT r.a, l.b FROM reach r JOIN near l ON r.b = l.a
+), classes AS (
+    SELECT rep, least(rep, coalesce((SELECT min(b) FROM reach WHERE a = rep), rep)) AS class_id,
+        copies - 1 + coalesce((SELECT sum(t.copies) FROM near JOIN texts t ON near.b = t.rep WHERE near.a = texts.rep), 0) AS links, copies, text
+    FROM texts
+)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(links, 0)::BIGINT AS links, coalesce(copies, 1)::BIGINT AS copies
+FROM documents d LEFT JOIN classes c ON d.text = c.text
+"""
+
+#: SHA-1 in base32, five bits a letter; the page with the least id of equal ones is the response.
+WARC = r"""
+WITH hashed AS (
+    SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), digests AS (
+    SELECT *, array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4), lambda j:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(hex, 5 * i + 1, 5))::BIGINT >> (15 - 5 * j)) % 32 + 1, 1)), '')), '') AS digest,
+        min(page_id) OVER (PARTITION BY html) AS first
+    FROM hashed
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to, regexp_replace(url, '[\x00-\x20\x7f]', '%20', 'g') AS target_uri
+FROM digests
+"""
+
+
+
+def crc_table() -> list[int]:
+    """CRC-32 of each byte, by its polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def hilbert_steps(bits: int) -> str:
+    """Skilling's transform of x0, x1, x2 as one subquery for each bit and dimension, then the Gray code and its turn."""
+    sql = "SELECT * FROM cells"
+    other = {0: ("x1", "x2"), 1: ("x2",), 2: ("x1",)}
+    for b in range(bits - 1, 0, -1):
+        for i in range(3):
+            low = (1 << b) - 1
+            swap = f"(CASE WHEN x{i} >> {b} & 1 = 1 THEN 0 ELSE xor(x0, x{i}) & {low} END)"
+            first = f"xor(x0, CASE WHEN x{i} >> {b} & 1 = 1 THEN {low} ELSE {swap} END)"
+            mine = "" if i == 0 else f", xor(x{i}, {swap}) AS x{i}"
+            kept = ", ".join(other[i])
+            sql = f"SELECT doc_id, {first} AS x0{mine}, {kept} FROM ({sql})"
+    sql = f"SELECT doc_id, x0, xor(x0, x1) AS x1, xor(xor(x0, x1), x2) AS x2 FROM ({sql})"
+    turn = "0"
+    for b in range(bits - 1, 0, -1):
+        turn = f"xor({turn}, CASE WHEN x2 >> {b} & 1 = 1 THEN {(1 << b) - 1} ELSE 0 END)"
+    sql = f"SELECT doc_id, xor(x0, {turn}) AS x0, xor(x1, {turn}) AS x1, xor(x2, {turn}) AS x2 FROM ({sql})"
+    places = " + ".join(f"((x{i} >> {b} & 1) << {3 * b + 2 - i})" for b in range(bits) for i in range(3))
+    return f"SELECT doc_id, ({places})::BIGINT AS curve FROM ({sql})"
+
+
+#: CRC-32 byte by byte, cells from ranks and lengths, and runs of the curve that differ by one row at most.
+SHARDING = f"""
+WITH docs AS (
+    SELECT doc_id, lang, source, strlen(coalesce(text, ''))::BIGINT + 16 AS size, strlen(coalesce(text, ''))::BIGINT + 1 AS x, length(bin(strlen(coalesce(text, ''))::BIGINT + 1)) - 1 AS e,
+        list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::BIGINT) AS bytes
+    FROM documents
+), sized AS (
+    SELECT *, e * 16 + (x * 16 >> e) - 16 AS scale, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor({crc_table()}[xor(c, b) % 256 + 1], c >> 8)), 4294967295::BIGINT) AS crc FROM docs
+), cells AS (
+    SELECT doc_id, ((dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1) << 10) // (SELECT count(*) FROM (SELECT DISTINCT lang FROM docs)) AS x0,
+        ((dense_rank() OVER (ORDER BY source NULLS FIRST) - 1) << 10) // (SELECT count(*) FROM (SELECT DISTINCT source FROM docs)) AS x1,
+        ((scale - min(scale) OVER ())::BIGINT << 10) // (max(scale) OVER () - min(scale) OVER () + 1) AS x2
+    FROM sized
+), curves AS ({hilbert_steps(10)}), ranked AS (
+    SELECT *, row_number() OVER (ORDER BY curve, crc, doc_id) - 1 AS place, count(*) OVER () AS n FROM sized JOIN curves USING (doc_id)
+)
+SELECT doc_id, size, crc::BIGINT AS text_crc32, 'rows' AS law, (place * 40 // n)::INTEGER AS shard, (place - ((place * 40 // n) * n + 39) // 40)::BIGINT AS slot,
+    NULL::INTEGER AS grown_shard, lang, source, curve
+FROM ranked
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": MIXING, "op2_ngram_jaccard": JACCARD, "op5_warc": WARC, "op6_sharding": SHARDING, "op9_top_k": TOP_K}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -121,22 +122,24 @@ class Model:
         return label
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int = 300, prior: float = 1e-3, sticky: float = 1e-1, chunk: int = 64) -> Model:
+def fit_chain(x: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int = 150, prior: float = 1e-4, sticky: float = 1e-4, chunk: int = 48) -> Model:
     """Maximum a-posteriori weights by gradient steps (Adam) with forward-backward sums; longer texts train as chunks of lines.
 
-    prior and sticky are the precisions of the weights and of the transitions: documents labelled as a
-    whole say little about changes within one, so transitions are held closer to zero.
+    Every text counts the same, however many lines it has. prior and sticky are the precisions of the
+    weights and of the transitions.
     """
     cuts = np.concatenate([np.arange(lo, hi, chunk) for lo, hi in zip(first[:-1], first[1:], strict=True) if lo < hi] + [[len(y)]]).astype(int)
     size = np.diff(cuts)
     order = np.argsort(-size, kind="stable")
     cuts, size = cuts[:-1][order], size[order]
     steps = [cuts[: int(np.searchsorted(-size, -t, "left"))] + t for t in range(int(size.max(initial=0)))]  # rows of each position
+    each = np.repeat(1 / np.maximum(np.diff(first), 1), np.diff(first))
+    total = each.sum()
     model = Model(np.zeros(x.shape[1]), np.zeros((2, 2)))
     pair = np.zeros((2, 2))
     for t in range(1, len(steps)):
-        np.add.at(pair, (y[steps[t] - 1], y[steps[t]]), 1)
-    seen = x.T @ y
+        np.add.at(pair, (y[steps[t] - 1], y[steps[t]]), each[steps[t]])
+    seen = x.T @ (each * y)
     move, scale = np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4)
     for r in range(1, rounds + 1):
         score = np.stack([np.zeros(len(y)), x @ model.weight], axis=1)
@@ -149,49 +152,49 @@ def fit_chain(x: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int = 300
         both = fore + back
         whole = np.logaddexp.reduce(both, axis=1)
         p = np.exp(both[:, 1] - whole)
-        expected = np.zeros((2, 2))
-        for t in range(1, len(steps)):
-            rows = steps[t]
-            expected += np.exp(fore[rows - 1][:, :, None] + model.trans + (score[rows] + back[rows])[:, None, :] - whole[rows][:, None, None]).sum(axis=0)
-        grad = np.concatenate([(seen - x.T @ p) / len(y) - prior * model.weight, ((pair - expected) / len(y) - sticky * model.trans).ravel()])
+        rows = np.concatenate(steps[1:]) if len(steps) > 1 else np.zeros(0, int)
+        chance = np.exp(fore[rows - 1][:, :, None] + model.trans + (score[rows] + back[rows])[:, None, :] - whole[rows][:, None, None])
+        expected = np.einsum("nij,n->ij", chance, each[rows])
+        grad = np.concatenate([(seen - x.T @ (each * p)) / total - prior * model.weight, ((pair - expected) / total - sticky * model.trans).ravel()])
         move, scale = 0.9 * move + 0.1 * grad, 0.99 * scale + 0.01 * grad**2
         step = 0.1 * (move / (1 - 0.9**r)) / (np.sqrt(scale / (1 - 0.99**r)) + 1e-9)
         model = Model(model.weight + step[:-4], model.trans + step[-4:].reshape(2, 2))
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, passes: int = 3) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 750, lines: int = 256) -> Model | None:
     """A model from labelled documents: labels (doc_id, quality 0 or 1), of each quality the `sample` rows least by a hash of doc_id.
 
-    Lines of good documents are content. Lines of bad ones begin as boilerplate and, after each
-    pass, are what the model so far says, so that good lines in bad documents count as content. The
-    first pass looks at lines one by one: whole documents with one label say nothing of transitions.
-    The bound makes the driver hold at most 2 * sample documents' line features, never their texts.
-    None if either quality is missing.
+    Lines of good documents are content. Those of bad ones are what a first pass, which looks at lines
+    one by one and takes them all for boilerplate, says of them; so good lines in bad documents count
+    as content, and the transitions are learned from runs of both. Of a document with more
+    than `lines` lines a stretch of that length is taken, at a place that a hash of doc_id says, and
+    of rows with one doc_id the text with the least hash; so the driver holds at most 2 * sample * lines lines'
+    features, never texts. None if either quality is missing.
     """
     ids = [labels.where(F.col("quality") == q).select("doc_id", F.lit(q).alias("quality")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    single = chosen.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                a = assess_texts(b.column(1))
-                parts = [a.x[lo:hi].tobytes() for lo, hi in zip(a.first[:-1], a.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(parts, pa.binary())], names=["doc_id", "quality", "x"])
-
-    rows = chosen.select("doc_id", "text", "quality").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("quality", T.IntegerType()), T.StructField("x", T.BinaryType())])).collect()
-    rows = sorted((r for r in rows if r["x"]), key=lambda r: (r["quality"], r["doc_id"], bytes(r["x"])))
+            for at, end in wordvec.slices(b.column(1)):
+                a = assess_texts(b.column(1).slice(at, end - at))
+                parts = []
+                for i, (lo, hi) in enumerate(zip(a.first[:-1].tolist(), a.first[1:].tolist(), strict=True), at):
+                    lo += zlib.crc32(str(b.column(0)[i]).encode()) % max(1, hi - lo - lines + 1)
+                    parts.append(a.x[lo : min(hi, lo + lines)].astype(np.float32).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), b.column(2).slice(at, end - at), pa.array(parts, pa.binary())], names=["doc_id", "quality", "x"])
+
+    rows = single.select("doc_id", "text", "quality").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("quality", T.IntegerType()), T.StructField("x", T.BinaryType())])).collect()
+    rows = sorted((r for r in rows if r["x"]), key=lambda r: (r["quality"], r["doc_id"]))
     if {r["quality"] for r in rows} != {0, 1}:
         return None
-    xs = [np.frombuffer(bytes(r["x"])).reshape(-1, len(FEATURES)) for r in rows]
-    x, first = np.concatenate(xs), np.cumsum([0, *map(len, xs)])
-    bad = np.repeat([r["quality"] == 0 for r in rows], np.diff(first))
-    y = bad.astype(int)
-    for again in range(passes):
-        model = fit_chain(x, y, first, sticky=0.1 if again else 1e3)
-        if again < passes - 1:
-            y = np.where(bad, model.decode(x, first), 0).astype(int)
-    return model
+    xs = [np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, len(FEATURES)) for r in rows]
+    x, first = np.concatenate(xs).astype(float), np.cumsum([0, *map(len, xs)])
+    bad = np.repeat([int(r["quality"] == 0) for r in rows], np.diff(first))
+    alone = fit_chain(x, bad, first, sticky=1e3)
+    return fit_chain(x, bad * alone.decode(x, first), first)
 
 
 def assess(docs: DataFrame, model: Model | None, share: float = 0.5, min_words: int = 50, most_repeats: int = 50) -> DataFrame:
@@ -204,7 +207,8 @@ def assess(docs: DataFrame, model: Model | None, share: float = 0.5, min_words:
 
     Lines are what \\n separates and labelled if they have a word. Without a model every line is
     content. A text without a word, or null, has counts 0, content_share 0 and fails. Texts are
-    read whole, in the task that reads them; nothing is shuffled. Other columns are ignored.
+    read whole, in the task that reads them; nothing is shuffled. Repeated rows get equal results, an
+    empty table gives an empty one. Other columns are ignored.
     """
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in counts], T.StructField("base_failed", T.BooleanType()), T.StructField("content_share", T.DoubleType()), T.StructField("boilerplate", T.ArrayType(T.IntegerType())), T.StructField("kept", T.BooleanType())])

@@ -23,7 +23,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix_sizes(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
@@ -52,11 +52,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(warc.deduplicated(pages), path)
     back = warc.read(spark, path)
-    key = F.col("record_id").cast("long").alias("page_id")
-    # responses are checked against their payload; a revisit has its header only
-    responses = back.where("record_type = 'response'").select(key, F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("computed_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), "target_uri")
-    revisits = warc.read(spark, path, payload=False).where("record_type = 'revisit'").select(key, "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "target_uri")
-    return responses.unionByName(revisits)
+    # a response is checked against its payload; a revisit has only what its header says
+    whole = F.col("record_type") == "response"
+    size = F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
+    digest = F.when(whole, F.col("computed_digest")).otherwise(F.col("payload_digest"))
+    keys = [F.col(c).cast("long").alias(n) for c, n in (("record_id", "page_id"), ("refers_to", "refers_to"))]
+    return back.select(keys[0], size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", keys[1], "target_uri")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secretscan.scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    found = secretscan.scan(docs, secretscan.fit(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from bisect import bisect_left, bisect_right
 from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
@@ -19,8 +22,9 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: A candidate: a long unbroken string of the characters that keys are written in, with a digit.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
+#: A candidate: an unbroken string of the characters that keys are written in, with a letter; a short one has a digit or mixes cases.
+KEY_CHARS = "A-Za-z0-9+/_=-"
+CANDIDATE = re.compile(rf"(?<![{KEY_CHARS}])(?![0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})(?=[0-9+/_=-]*[A-Za-z])(?:[{KEY_CHARS}]{{16,}}|(?=[{KEY_CHARS}]{{12,15}}(?![{KEY_CHARS}]))(?:(?=[A-Za-z+/_=-]*[0-9])|(?=[A-Za-z+/_=-]*[a-z][A-Z]+[a-z]))[{KEY_CHARS}]{{12,15}})")
 #: Words before a candidate that make its context sensitive.
 SENSITIVE = re.compile(r"(?i:password|passwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer|signature|\bpwd\b|\bkey\b)")
 #: What may part the candidates that carry a sensitive context on: a dot, or the end of a line, also a written-out one.
@@ -33,9 +37,11 @@ IDENTIFIERS = (
     "import export function return const class public private static void string integer boolean config settings environment "
     "default value key token secret password credential authorization bearer client server request response header session user "
     "account database connection host port path file name id uuid version http https www api url json xml yaml true false null "
+    "example sample test demo dummy placeholder changeme your here goes insert replace redacted "
     "get set put post delete update create read write open close begin end index count size length type object array list map "
-    "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 11111111 12345678 aaaaaaaa xxxxxxxx ffffffff ________ ======== -------- "
 )
+#: Stretches that stand for keys where there are none.
+FILLERS = "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 11111111 12345678 aaaaaaaa xxxxxxxx ffffffff ________ ======== -------- "
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -47,13 +53,99 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+#: Lengths up to which strings have a level of their own: the longer one is, the nearer its bytes a character come to its entropy.
+LENGTHS = (16, 24, 40, 80, 200, 2000)
+
+
+@dataclass
+class Model:
+    """A zstandard dictionary, and for each of LENGTHS the compressed bytes a character from which a string counts as new."""
+
+    dictionary: bytes
+    least: tuple[float, ...]
+
+    def is_new(self, novelty: float, length: int) -> bool:
+        return novelty >= self.least[min(bisect_left(LENGTHS, length), len(LENGTHS) - 1)]
+
+
+def names_in(words: Sequence[tuple[str, int]], n: int, seed: int) -> list[str]:
+    """n made-up names and settings from words, drawn by their counts: what stands in code and is no secret."""
+    rng = random.Random(seed)
+    drawn = rng.choices([w for w, _ in words], [c for _, c in words], k=4 * n)
+    shapes = ("{}_{}", "{}-{}-{}", "{}.{}={}", "{}{}", "{} {} {}", "{}/{}/{}.{}", "{}({})", '"{}": "{}"')
+    out = []
+    for i in range(n):
+        shape, own = shapes[i % len(shapes)], drawn[4 * i : 4 * i + 4]
+        out.append(shape.format(*[w.capitalize() if i % 3 == 0 and j else w for j, w in enumerate(own)]))
+    return out
+
+
+def strings_like_keys(n: int, least: int, most: int, seed: int) -> list[str]:
+    rng = random.Random(seed)
+    alphabets = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters, string.ascii_letters + string.digits + "-_")
+    return ["".join(rng.choice(alphabets[i % len(alphabets)]) for _ in range(rng.randint(least, most))) for i in range(n)]
+
+
+def trained(words: Sequence[tuple[str, int]], size: int = 8192) -> Model:
+    """A dictionary of names made from four in five of the words, and the levels that best tell strings like keys from names made from the rest."""
+    known = [(w, 20) for w in IDENTIFIERS.split()] + list(words)
+    unseen = known[::5]
+    known = [x for i, x in enumerate(known) if i % 5]
+    lines = [" ".join(names_in(known, 8, seed)).encode() for seed in range(1500)]
+    dictionary = zstandard.train_dictionary(size, lines, k=64, d=8).as_bytes() + " ".join([FILLERS, *[w for w, _ in reversed(known[: size // 4])]]).encode()
+    novelty = Novelty(Model(dictionary, ()))
+    around = [" ".join(names_in(known, 12, 10_000 + i)) for i in range(100)]
+
+    def measured(x: str, i: int) -> float:
+        before = around[i % 100][:200]
+        return novelty.of(f"{before} {x} {around[-1 - i % 100][:100]}", [(len(before) + 1, len(before) + 1 + len(x))], Spans([]))
+
+    names = [re.sub(f"[^{KEY_CHARS}]+", "-", x) for x in names_in(unseen, 2000, 99_999)]
+    levels, shortest = [], 12
+    for most in LENGTHS:
+        bad = sorted(measured(x, i) for i, x in enumerate(strings_like_keys(200, shortest, most, most)))
+        good = []
+        for i in range(200):
+            x = names[i]
+            while len(x) < shortest:
+                x += "-" + names[(i * 7 + len(x)) % len(names)]
+            while len(x) < (shortest + most) // 2 and most > 40:
+                x += "-" + names[(i * 7 + len(x)) % len(names)]
+            good.append(measured(x[:most], i))
+        good.sort()
+        # the level with the least errors, names counting three times: most of what is looked at is no secret
+        errors = lambda v, bad=bad, good=good: bisect_left(bad, v) + 3 * (len(good) - bisect_left(good, v))
+        tried = [x / 1000 for x in range(300, 1000, 5)]
+        fewest = min(map(errors, tried))
+        best = [v for v in tried if errors(v) == fewest]
+        levels.append(best[len(best) * 3 // 4])  # of levels as good as each other, one nearer to the keys
+        shortest = most + 1
+    return Model(dictionary, tuple(levels))
+
+
+def fit(docs: DataFrame, most: int = 2000) -> Model:
+    """A model from the `most` words that stand most often near sensitive words in all docs (doc_id, text), ties by code point.
+
+    Words are runs of 3 to 24 letters and underscores, so keys and numbers do not come into the
+    dictionary. Counted over whole texts, by partial aggregation; the driver gets `most` rows. To
+    these a fixed list of common identifiers is added, so an empty table gives a model as well.
+    """
+    context = F.regexp_extract_all(F.col("text"), F.lit(rf"(?s)(?:{SENSITIVE.pattern}).{{0,80}}"), F.lit(0))
+    near = docs.where(F.col("text").isNotNull()).select(F.explode(context).alias("c"))
+    counts = near.select(F.explode(F.regexp_extract_all("c", F.lit(r"(?<![A-Za-z0-9_])[A-Za-z_]{3,24}(?![A-Za-z0-9_])"), F.lit(0))).alias("w")).groupBy("w").count()
+    return trained([(r["w"], r["count"]) for r in counts.orderBy(F.desc("count"), "w").limit(most).collect()])
+
+
 class Novelty:
     """Bytes that a string adds to its compressed surroundings, per character."""
 
-    def __init__(self, context: int = 400) -> None:
-        dictionary = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.zstd = zstandard.ZstdCompressor(level=9, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False)
-        self.context = context
+    def __init__(self, model: Model, context: int = 400) -> None:
+        dictionary = zstandard.ZstdCompressionDict(model.dictionary)
+        self.zstd = zstandard.ZstdCompressor(level=19, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False)
+        self.context, self.model = context, model
+
+    def is_new(self, text: str, pieces: list[tuple[int, int]], blanks: Spans) -> bool:
+        return self.model.is_new(self.of(text, pieces, blanks), sum(b - a for a, b in pieces))
 
     def of(self, text: str, pieces: list[tuple[int, int]], blanks: Spans) -> float:
         """Of the pieces together, as lines. Other copies of them, and the spans in blanks, do not count as surroundings: a repeated secret is no less secret."""
@@ -139,7 +231,7 @@ def sensitive_runs(text: str, taken: list[tuple[int, int, int]], blanks: Spans,
     return [r for r in runs if r]
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, least: float, reach: int) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, reach: int) -> list[tuple[int, int, int]]:
     blanks = Spans(taken)
     runs = sensitive_runs(text, taken, blanks, reach)
     pieces = sorted(x for r in runs for x in r)
@@ -163,13 +255,13 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty,
     for said in base_values(text, taken):
         take(said)
     for run in runs:
-        if len(run) > 1 and novelty.of(text, run, blanks) >= least:
+        if len(run) > 1 and novelty.is_new(text, run, blanks):
             for a, b in run:
                 take(text[a:b])
     while todo:
         i = todo.popleft()
         waiting.discard(i)
-        if i not in found and novelty.of(text, pieces[i : i + 1], blanks) >= least:
+        if i not in found and novelty.is_new(text, pieces[i : i + 1], blanks):
             take(text[slice(*pieces[i])])
     return [(pieces[i][0], 3, pieces[i][1]) for i in sorted(found)]
 
@@ -188,36 +280,41 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, least: float = 0.7, reach: int = 64, redact: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def scan(docs: DataFrame, model: Model | None = None, reach: int = 64, redact: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_novel, base_spans, spans and base_sha256 for each row of docs (doc_id, text).
 
     Known shapes are always reported: assignments to password-like names, access keys and long
-    hexadecimal strings. The method adds strings (kind 'novel') that hold 16 or more key characters
-    and a digit, stand within `reach` characters after a sensitive word, overlap no known shape, and
-    add at least `least` compressed bytes a character to their surroundings, by zstandard primed
-    with a dictionary of identifiers. A candidate parted from one in such a context, or from a known
+    hexadecimal strings. The method adds strings (kind 'novel') of key characters (see CANDIDATE; pure
+    numbers and dates are none) that stand within `reach` characters after a sensitive word, overlap no known
+    shape, and add at least as many compressed bytes a character to their surroundings as the model says for their length, by
+    zstandard primed with the model's dictionary (see `fit`; without a model, one of common
+    identifiers only). A candidate parted from one in such a context, or from a known
     assignment or access key, by no more than a dot or the end of a line is in its context too, and so
     is all between the marks of a private key; such runs are reported whole if they add as much
     together, else those of their candidates that do by themselves. Random letters and digits add 0.8 to 1, words and likenesses of
-    what stands near them far less. Other copies of the string and spans already found are blanked
+    what stands near them less. Other copies of the string and spans already found are blanked
     out of the surroundings; once one copy, or a known shape's value, is found, so are all copies in
     sensitive contexts. Spans are kind:start:end in code points, end exclusive, by start, then kind.
 
     With `redact` there is also the column redacted, the text with that mark for every span (null
     stays null); `keep` names columns that are carried along. Null or empty text has no spans, and base_sha256 that of the empty string. Every
-    row is scanned whole, in the task that read it; nothing is shuffled. Other columns are ignored.
+    row is scanned whole, in the task that read it, in time that grows with its length; nothing is
+    shuffled. Rows that repeat get equal results, an empty table an empty one. Other columns are
+    ignored, and of `keep` those that the scan makes.
     """
+    model = model or trained(())
+    keep = [c for c in keep if c not in ("doc_id", "base_spans", "spans", "base_sha256", "redacted", *[f"n_{k}" for k in KINDS])]
     fields = [docs.schema["doc_id"], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], *[T.StructField(n, T.StringType()) for n in ("base_spans", "spans", "base_sha256")]]
     schema = T.StructType(fields + ([T.StructField("redacted", T.StringType())] if redact is not None else []) + [docs.schema[c] for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(model)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 rows, marked = [], []
                 for text in batch.column(1).slice(lo, 500).to_pylist():
                     base = base_spans(text) if text else []
-                    more = novel_spans(text, base, novelty, least, reach) if text else []
+                    more = novel_spans(text, base, novelty, reach) if text else []
                     n = [0] * len(KINDS)
                     for _, k, _ in base + more:
                         n[k] += 1

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import globally_ranked
+from attesta.llm.common import cut, globally_ranked, skew_lookup, width
+
+#: Columns that sharding makes or reads, and those whose ranges a shard keeps.
+MADE, RANGED = ("doc_id", "lang", "source", "size", "text_crc32", "curve", "law", "shard", "slot", "grown_shard"), ("lang", "source", "size")
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -54,25 +59,72 @@ def byte_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
-def shard(docs: DataFrame, shards: int = 40, bits: int = 10) -> DataFrame:
-    """doc_id, lang, source, size, text_crc32, curve, law, shard, slot and grown_shard of every row of docs.
+def length_cell(octets: Column) -> Column:
+    """A cell of a logarithmic scale, sixteen to each doubling of octets + 1, in whole numbers."""
+    x = octets.cast("long") + 1
+    e = F.length(F.bin(x)) - 1
+    return (e * 16 + F.call_function("shiftright", x * 16, e.cast("int")) - 16).cast("long")
+
+
+def name_cells(slim: DataFrame, name: str, bits: int) -> DataFrame:
+    """slim with the cell of each value of `name`: its rank among the different values, null first, spread over 2**bits cells."""
+    key = F.coalesce(F.concat(F.lit("s"), F.col(name)), F.lit("n"))
+    keyed = slim.withColumn("_key", key)
+    kinds = globally_ranked(keyed.groupBy("_key").agg(F.count("*").alias("_rows")), [F.col("_key")], "_place", "_kinds")
+    cells = kinds.select("_key", "_rows", F.expr(f"shiftleft(_place, {bits}) div greatest(_kinds, 1L)").alias(f"_{name}"))
+    return skew_lookup(keyed, cells, "_key", "_rows").drop("_key")
+
+
+def shard(docs: DataFrame, shards: int = 40, bits: int = 10, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, lang, source, size, text_crc32, curve, law, shard, slot and grown_shard of every row of docs, and the columns `keep`.
 
-    Language, source and text length are quantised to 2**bits cells each (names by hash, lengths
-    by logarithm), rows are sorted by the cell's place on the Hilbert curve, then doc_id, and cut
-    into runs whose row counts differ by one at most (law 'rows'). Rows near each other in all
-    dimensions thus share a shard, whose min and max of each dimension prune files. Only these
-    slim columns are sorted, over range partitions; the texts stay where they are.
+    Language, source and text length are quantised to 2**bits cells each: names by their rank among
+    all different ones, lengths by logarithm between the least and the greatest. Rows are sorted by
+    the cell's place on the Hilbert curve, then text_crc32, then doc_id, and cut into runs whose row
+    counts differ by one at most (law 'rows'). Rows near each other in all dimensions thus share a
+    shard, whose least and greatest value of each dimension prune files (see `write`). Equal texts of
+    one language and source are neighbours, in one shard or in shards next to each other: under this
+    law a group of copies that is larger than a shard must be cut. Unless `keep` names more, only
+    these slim columns are sorted, over range partitions; the texts stay where they are.
 
     size: bytes of the UTF-8 text (null: 0) plus 16. text_crc32: of the same bytes, unsigned.
     slot: place in the shard, from 0 without gaps. grown_shard: null under this law. Rows that
     repeat get slots of their own. An empty table gives an empty result. Other columns are ignored.
     """
-    top = (1 << bits) - 1
-    name = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.shiftrightunsigned(F.xxhash64(c), 64 - bits))
-    length = F.least(F.lit(top), F.floor(F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) + 1) * (top + 1) / 40))
-    slim = docs.select("doc_id", "lang", "source", byte_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), hilbert([name("lang"), name("source"), length], bits).alias("curve"))
-    ranked = globally_ranked(slim, [F.col("curve"), F.col("doc_id"), F.col("text_crc32")], "_rank")
-    n = max(1, ranked.count())
-    at, first = F.expr(f"_rank * {shards} div {n}L"), F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")
-    out = ranked.withColumn("shard", at.cast("int")).withColumn("slot", (F.col("_rank") - first).cast("long"))
-    return out.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int")).drop("_rank")
+    octets = F.coalesce(F.octet_length("text"), F.lit(0))
+    keep = [c for c in keep if c not in MADE]
+    made = [byte_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), length_cell(octets).alias("_length")]
+    slim = cut(docs.select("doc_id", "lang", "source", *made, *keep))
+    low, high = slim.agg(F.min("_length"), F.max("_length")).first()
+    length = F.lit(0) if low is None else F.expr(f"shiftleft(_length - {low}, {bits}) div {high - low + 1}")
+    placed = name_cells(name_cells(slim, "lang", bits), "source", bits).withColumn("curve", hilbert([F.col("_lang"), F.col("_source"), length], bits)).drop("_lang", "_source", "_length")
+    ranked = globally_ranked(placed, [F.col("curve"), F.col("text_crc32"), F.col("doc_id")], "_rank", "_rows")
+    first = F.expr(f"(shard * _rows + {shards - 1}) div {shards}")
+    out = ranked.withColumn("shard", F.expr(f"_rank * {shards} div greatest(_rows, 1L)").cast("int")).withColumn("slot", (F.col("_rank") - first).cast("long"))
+    return out.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int")).drop("_rank", "_rows")
+
+
+def write(docs: DataFrame, path: str, shards: int = 40, bits: int = 10) -> None:
+    """docs, with shard and slot, as Parquet files below path/data, a folder for each shard, in the order of slots; and path/ranges.
+
+    ranges has a row for each shard: rows, and the least and greatest lang, source and size in it.
+    Columns of docs that `shard` makes are replaced. A large shard is several files, each a run of slots.
+    """
+    placed = cut(shard(docs, shards, bits, [c for c in docs.columns if c not in ("doc_id", "lang", "source")]))
+    files = placed.repartitionByRange(max(shards, width(docs)), "shard", "slot").sortWithinPartitions("shard", "slot")
+    files.write.partitionBy("shard").parquet(f"{path}/data")
+    ends = [f(c).alias(f"{n}_{c}") for c in RANGED for n, f in (("least", F.min), ("most", F.max))]
+    placed.groupBy("shard").agg(F.count("*").alias("rows"), *ends).coalesce(1).write.parquet(f"{path}/ranges")
+
+
+def read(spark: SparkSession, path: str, bounds: Mapping[str, tuple]) -> DataFrame:
+    """The rows written below path whose lang, source or size lie within bounds, name: (least, most).
+
+    Shards whose ranges do not meet the bounds are not read; the driver gets a number for each shard that is.
+    """
+    ranges = spark.read.parquet(f"{path}/ranges")
+    data = spark.read.parquet(f"{path}/data")
+    for name, (least, most) in bounds.items():
+        ranges = ranges.where((F.col(f"least_{name}") <= most) & (F.col(f"most_{name}") >= least))
+        data = data.where(F.col(name).between(least, most))
+    return data.where(F.col("shard").isin([r["shard"] for r in ranges.select("shard").collect()]))

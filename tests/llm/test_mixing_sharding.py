@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -78,6 +79,25 @@ def test_shard(spark):
     assert sorted(r["shard"] for r in sharding.shard(frame(spark, rows[:3])).collect()) == [0, 13, 26]
 
 
+def test_shards_prune_files(spark, tmp_path):
+    """Of 64 shards a filter on two dimensions reads few, and the rows are those of the table."""
+    rng = random.Random(7)
+    rows = [(i, "x" * int(2 ** rng.uniform(0, 14)), f"l{rng.randrange(8)}", f"s{rng.randrange(32):02}", 1) for i in range(4000)] + [(9, None, None, None, None), (9, None, None, None, None)]
+    docs, path = frame(spark, rows), str(tmp_path / "shards")
+    sharding.write(docs, path, 64)
+    back = spark.read.parquet(f"{path}/data")
+    assert Counter(map(tuple, back.select("doc_id", "text", "lang", "source", "n_chars").collect())) == Counter(rows)
+    for bounds, most in (({"lang": ("l3", "l3"), "source": ("s04", "s07")}, 10), ({"source": ("s30", "s31"), "size": (16, 100)}, 12), ({"lang": ("l0", "l0")}, 24)):
+        found = sharding.read(spark, path, bounds)
+        kept = [r for r in rows if all(x is not None and lo <= x <= hi for x, (lo, hi) in ((r[2] if c == "lang" else r[3] if c == "source" else len(r[1] or "") + 16, b) for c, b in bounds.items()))]
+        assert sorted(r["doc_id"] for r in found.collect()) == sorted(r[0] for r in kept)
+        assert "PartitionFilters: [shard" in found._jdf.queryExecution().executedPlan().toString()
+        ranges = spark.read.parquet(f"{path}/ranges")
+        for name, (lo, hi) in bounds.items():
+            ranges = ranges.where((F.col(f"least_{name}") <= hi) & (F.col(f"most_{name}") >= lo))
+        assert ranges.count() <= most
+
+
 def test_lookup_and_rank(spark):
     fact = spark.range(1000).select(F.when(F.col("id") < 600, 0).otherwise(F.col("id") % 50).alias("k"), "id")
     dim = fact.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))

@@ -53,7 +53,8 @@ def near_copies():
 
 @pytest.mark.parametrize("block,grams", [(2048, 1_000_000), (5, 700)])
 def test_links_and_classes(spark, monkeypatch, block, grams):
-    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SMALL", block)
+    monkeypatch.setattr(neardup, "BUCKET", block)
     monkeypatch.setattr(neardup, "GRAMS", grams)
     rows = near_copies()
     expected = brute(rows)
@@ -97,7 +98,7 @@ def test_words_that_polynomial_hashes_confuse(spark):
 
 def test_large_group_is_settled_by_its_center(spark, monkeypatch):
     """Near copies of one text: blocks are counted whole, no pair of them is verified, and no task holds more than two blocks."""
-    monkeypatch.setattr(neardup, "BLOCK", 64)
+    monkeypatch.setattr(neardup, "SMALL", 64)
     rng = random.Random(4)
     base = syllables(rng, 300, EN).split()
     rows = [(0, " ".join(base))]
