@@ -84,9 +84,11 @@ class WordEncoder:
         own, where = wordvec.interned(data, w)
         kinds, size = w.hash[where], (w.end - w.start)[where]
         place = np.searchsorted(self.keys, kinds)
-        known = np.zeros(len(kinds), bool)
+        known, taken = np.zeros(len(kinds), bool), np.zeros(len(kinds), bool)
         inside = np.flatnonzero(place < len(self.keys))
-        inside = inside[(self.keys[place[inside]] == kinds[inside]) & (self.size[place[inside]] == size[inside])]
+        taken[inside] = self.keys[place[inside]] == kinds[inside]
+        inside = inside[taken[inside]]
+        inside = inside[self.size[place[inside]] == size[inside]]
         known[inside] = wordvec.equal_bytes(data, w.start[where[inside]], self.text, self.start[place[inside]], size[inside])
         new = np.flatnonzero(~known)
         parts = self.of_words([data[a:b].tobytes().decode() for a, b in zip(w.start[where[new]].tolist(), w.end[where[new]].tolist(), strict=True)])
@@ -104,7 +106,7 @@ class WordEncoder:
             step = np.arange(int(each.sum()))
             source = np.repeat(first[own] - (np.cumsum(each) - each), each) + step
             out[step + np.repeat(np.arange(n), per_text)] = pool[source]
-        fit = np.flatnonzero((size[new] <= LONGEST) & ~np.isin(kinds[new], self.keys))
+        fit = np.flatnonzero((size[new] <= LONGEST) & ~taken[new])
         fit = fit[np.unique(kinds[new[fit]], return_index=True)[1]]
         often = np.bincount(own, minlength=len(kinds))[new[fit]]
         fit = fit[np.argsort(-often, kind="stable")[: WORDS - len(self.keys)]]
