@@ -11,23 +11,27 @@ from attesta.functions.text import strip
 def without_trailing_marks(text: Column) -> Column:
     """OP-31: trailing stops go, and closing brackets while they outnumber the opening ones.
 
-    The text's tail of such marks is walked from the right; each step drops a run of stops, or one
-    bracket that is in excess. The tail's length bounds the steps.
+    The tail of stops, brackets and blanks has no opening bracket, so as many of its closing ones go,
+    from the right, as the whole text has in excess; it ends with the last that stays.
     """
-    tail = F.length(F.regexp_extract(text, r"(?U)[.,;:)\s]*$", 0))
-    excess = lambda s: F.length(F.replace(s, F.lit("("), F.lit(""))) > F.length(F.replace(s, F.lit(")"), F.lit("")))
-    step = lambda s: F.when(s.rlike(r"[.,;:]$"), F.regexp_replace(s, r"(?U)[.,;:]+$", "")).when(s.endswith(")") & excess(s), s.substr(F.lit(1), F.length(s) - 1)).otherwise(s)
-    trimmed = lambda s: F.regexp_replace(s, r"(?U)\s+$", "")
-    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), tail)), strip(text), lambda s, _: trimmed(step(s)))
-    return F.when(tail > 0, walked).otherwise(text)
+    whole = strip(text)
+    count = lambda s, mark: F.length(s) - F.length(F.replace(s, F.lit(mark), F.lit("")))
+    tail = F.regexp_extract(whole, r"(?U)[.,;:)\s]*$", 0)
+    stay = count(tail, ")") - F.greatest(F.lit(0), count(whole, ")") - count(whole, "("))
+    kept = F.when(stay > 0, F.concat(F.call_function("substring_index", tail, F.lit(")"), stay), F.lit(")"))).otherwise("")
+    cut = F.concat(F.substring(whole, F.lit(1), F.length(whole) - F.length(tail)), kept)
+    return F.when(whole.rlike(r"(?U)[.,;:)\s]$"), cut).otherwise(whole)
 
 
 def normalize_doi(raw: Column) -> Column:
-    """OP-30: trimmed, lower case, without resolver and label, percent-decoded, without trailing marks.
+    """OP-30: trimmed, case-folded, without resolver and label, percent-decoded, without trailing marks.
 
-    A text whose percent escapes are partly malformed stays encoded as a whole.
+    Of letters whose case folding is not their lower case, \u00df, \u017f and \u03c2 are folded.
     """
-    bare = F.regexp_replace(F.lower(strip(raw)), r"^(?:https?://)?(?:dx\.)?doi\.org/", "")
+    folded = F.replace(F.translate(F.lower(strip(raw)), "\u017f\u03c2", "s\u03c3"), F.lit("\u00df"), F.lit("ss"))
+    bare = F.regexp_replace(folded, r"^(?:https?://)?(?:dx\.)?doi\.org/", "")
     bare = F.regexp_replace(bare, r"(?U)^doi:\s*", "")
-    decoded = F.when(F.contains(bare, F.lit("%")), F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)).otherwise(bare)
-    return without_trailing_marks(strip(decoded))
+    # what is no escape stays as it is
+    escaped = F.regexp_replace(F.replace(bare, F.lit("+"), F.lit("%2B")), "%(?![0-9a-f]{2})", "%25")
+    decoded = F.when(F.contains(bare, F.lit("%")), F.coalesce(F.try_url_decode(escaped), bare)).otherwise(bare)
+    return without_trailing_marks(decoded)

@@ -117,35 +117,50 @@ def after(text: Column, span: Column) -> Column:
     return F.substring(text, span["end"] + 1, F.length(text))
 
 
+def fold(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+
+
 @F.pandas_udf(T.StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Case-folded, decomposed, without combining marks (OP-33): no built-in normalises Unicode."""
-    return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if not unicodedata.combining(c)), na_action="ignore")
+    return text if text.isna().all() else text.map(fold, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """HTML character references resolved: no built-in does."""
-    return text.map(lambda s: None if s is None else html.unescape(s), na_action="ignore")
+    return text if text.isna().all() else text.map(html.unescape, na_action="ignore")
+
+
+#: Accented Latin letters that fold to one letter each, by Unicode.
+ACCENTED = [c for c in map(chr, range(0xC0, 0x180)) if len(fold(c)) == 1]
 
 
 def plain_fold(text: Column) -> Column:
-    """`folded`, in the JVM where the text is ASCII."""
-    return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(folded(text))
+    """`folded`, in the JVM where the text is of ASCII and accented Latin letters; only other texts go to the workers."""
+    simple = text.rlike("^[\\x00-\\x7F" + "".join(ACCENTED) + "]*$")
+    return F.when(simple, F.lower(F.translate(text, "".join(ACCENTED), "".join(map(fold, ACCENTED))))).otherwise(folded(F.when(~simple, text)))
 
 
 def tokens_with_greek(text: Column) -> Column:
     """Title tokens (OP-34, OP-35): folded, Greek letters spelt out, in singular."""
-    spelt = plain_fold(text)
-    for letter, name in vocab.GREEK.items():
-        spelt = F.replace(spelt, F.lit(letter), F.lit(f" {name} "))
-    return F.transform(F.regexp_extract_all(spelt, F.lit(r"(?U)[^\W_]+"), 0), lambda t: F.regexp_replace(t, "^(.{3,})s$", "$1"))
+
+    def spelt(plain: Column) -> Column:
+        out = plain
+        for letter, name in vocab.GREEK.items():
+            out = F.replace(out, F.lit(letter), F.lit(f" {name} "))
+        return F.when(plain.rlike("[" + "".join(vocab.GREEK) + "]"), out).otherwise(plain)
+
+    words = F.regexp_extract_all(let(plain_fold(text), spelt), F.lit(r"(?U)[^\W_]+"), 0)
+    return F.transform(words, lambda t: F.regexp_replace(t, "^(.{3,})s$", "$1"))
 
 
 def clean_markup(text: Column) -> Column:
     """Tags out, references resolved, white space collapsed (OP-10); null for blank text."""
     bare = F.regexp_replace(text, "<[^>]+>", " ")
-    resolved = F.when(F.contains(bare, F.lit("&")), unescaped(bare)).otherwise(bare)
+    coded = F.contains(bare, F.lit("&"))
+    resolved = F.when(coded, unescaped(F.when(coded, bare))).otherwise(bare)
     return F.when(non_blank(text).isNotNull(), strip(F.regexp_replace(resolved, r"(?U)\s+", " ")))
 
 

@@ -22,8 +22,10 @@ def given(text: Column) -> Column:
 
 
 def titles_match(left: Column, right: Column) -> Column:
-    """OP-111: equal numbers and equal tokens, in order."""
-    return (tx.numbers(left) == tx.numbers(right)) & (tx.tokens_with_greek(left) == tx.tokens_with_greek(right))
+    """OP-111: equal numbers and equal tokens, in order. Equal titles are not looked into."""
+    same = left == right
+    a, b = (F.when(~same, t) for t in (left, right))
+    return F.when(same, F.lit(True)).otherwise((tx.numbers(a) == tx.numbers(b)) & (tx.tokens_with_greek(a) == tx.tokens_with_greek(b)))
 
 
 def author_tokens(name: Column) -> Column:

@@ -10,7 +10,7 @@ from attesta.functions import text as tx
 from attesta.functions import vocab
 from attesta.functions.doi import normalize_doi
 from attesta.operators import batch, claims, evidence, metadata, resolve, search
-from attesta.plans import corpus
+from attesta.plans import corpus, prose
 from attesta.plans import expected as x
 from attesta.plans.corpus import table
 from attesta.sources import parsers
@@ -100,6 +100,7 @@ AUTHOR_TOKENS = "SELECT s_suppkey, 'zoe-ann ' || trim(regexp_replace(lower(s_nam
 
 # --- text over documents -------------------------------------------------------------------------
 
+BLANKS = r"E' \t\n\r\x0b\f'"
 SENTENCES = r"list_filter(string_split(regexp_replace(trim(text, E' \t\n\r\x0b\f'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
 
 
@@ -206,8 +207,22 @@ JSON_EVENT_PROPS = "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k')
 
 def previous_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-104 over turns: how many numeric clauses follow which sentence."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(evidence.clause_texts(F.col("text"))).alias("c"))
-    return turns.groupBy("conv_id", "turn").agg(F.count("*").alias("clauses"), F.count_if(F.col("c.before") == "").alias("in_first_sentence"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", evidence.clause_texts(F.col("text")).alias("c"))
+    first = F.size(F.filter("c", lambda c: c["before"] == "")).cast("long")
+    return turns.where(F.size("c") > 0).select("conv_id", "turn", F.size("c").cast("long").alias("clauses"), first.alias("in_first_sentence"), F.element_at("c", -1)["before"].alias("before_last"))
+
+
+PREVIOUS_SENTENCE = rf"""
+WITH sentences AS (
+    SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(trim(text, {BLANKS}), '([!?])\s+|[.;:]\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, {BLANKS})), lambda s: s <> '') AS parts
+    FROM conversations
+), counted AS (
+    SELECT *, list_transform(parts, lambda p: len(list_filter(string_split(regexp_replace(p, ',?\s+(?:and|but|while|whereas)\s+', chr(1), 'g'), chr(1)), lambda c: trim(c, {BLANKS}) <> ''))) AS n FROM sentences
+)
+SELECT conv_id, turn, list_sum(n)::BIGINT AS clauses, n[1]::BIGINT AS in_first_sentence, coalesce(parts[len(parts) - 1], '') AS before_last FROM counted WHERE list_sum(n) > 0
+"""
+
+
 
 
 # --- quantities ----------------------------------------------------------------------------------
@@ -440,7 +455,9 @@ CROSS_SOURCE_EXISTENCE = """SELECT key, CAST(n AS BIGINT) AS sources, CASE WHEN
 
 def payload_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CrossRef messages rendered from part and supplier, and read back."""
-    p = table(spark, sf_dir, "part").join(table(spark, sf_dir, "supplier").select((F.col("s_suppkey")).alias("k"), "s_name"), F.col("p_partkey") % 100 == F.col("k"))
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_name")
+    parts = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey") % F.lit(supplier.count()))  # keys are from 0 or 1 on
+    p = parts.join(supplier, "k", "left")
     dates = lambda n: F.struct(F.array(F.array(n.cast("int"), F.lit(1))).alias("date-parts"))
     message = F.to_json(F.struct(
         corpus.paper_doi(F.col("p_partkey")).alias("DOI"), F.array(F.col("p_name")).alias("title"), F.array(F.struct(F.col("s_name").alias("family"), F.lit("x").alias("name")), F.struct(F.lit(None).cast("string").alias("family"), F.lit("Group").alias("name"))).alias("author"),
@@ -450,7 +467,7 @@ def payload_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("p_partkey", "r.doi", "r.title", F.array_join("r.authors", ";").alias("authors"), F.col("r.year").cast("long").alias("year"), "r.abstract")
 
 
-PAYLOAD_PARSE = "SELECT p_partkey, '10.5555/part.' || p_partkey AS doi, p_name AS title, s_name || ';Group' AS authors, CAST(p_size + CASE WHEN p_partkey % 2 = 0 THEN 1950 ELSE 2000 END AS BIGINT) AS year, 'Size < ' || p_size || ' more' AS abstract FROM part JOIN supplier ON p_partkey % 100 = s_suppkey"
+PAYLOAD_PARSE = "SELECT p_partkey, '10.5555/part.' || p_partkey AS doi, p_name AS title, coalesce(s_name || ';', '') || 'Group' AS authors, CAST(p_size + CASE WHEN p_partkey % 2 = 0 THEN 1950 ELSE 2000 END AS BIGINT) AS year, 'Size < ' || p_size || ' more' AS abstract FROM part LEFT JOIN supplier ON p_partkey % (SELECT count(*) FROM supplier) = s_suppkey"
 
 QUERIES = {
     f.__name__: f
@@ -465,7 +482,7 @@ QUERIES = {
 ORACLE_SQL = {
     "doi_normalize": DOI_NORMALIZE, "doi_golden": DOI_GOLDEN, "metadata_verdict": METADATA_VERDICT, "metadata_mismatches": METADATA_MISMATCHES, "title_tokens": TITLE_TOKENS, "author_tokens": AUTHOR_TOKENS,
     "sentence_split_stats": SENTENCE_SPLIT_STATS, "clause_split_stats": CLAUSE_SPLIT_STATS, "number_extract": NUMBER_EXTRACT, "term_overlap_top1": TERM_OVERLAP_TOP1, "phrase_contains": PHRASE_CONTAINS,
-    "inverted_index_roundtrip": INVERTED_INDEX_ROUNDTRIP, "html_abstract_clean": HTML_ABSTRACT_CLEAN, "json_event_props": JSON_EVENT_PROPS, "measurement_extract": MEASUREMENT_EXTRACT, "unit_normalize": UNIT_NORMALIZE,
+    "inverted_index_roundtrip": INVERTED_INDEX_ROUNDTRIP, "html_abstract_clean": HTML_ABSTRACT_CLEAN, "json_event_props": JSON_EVENT_PROPS, "previous_sentence": PREVIOUS_SENTENCE, "measurement_extract": MEASUREMENT_EXTRACT, "unit_normalize": UNIT_NORMALIZE,
     "comparator_lexer": COMPARATOR_LEXER, "entail_pct": sql_grid(x.entails_percentage(*GRID), "entailed"), "entail_num": sql_grid(x.entails_measurement(*GRID), "entailed"), "contradict_pct": sql_grid(x.contradicts(*GRID), "contradicted"),
     "frame_guard": FRAME_GUARD, "scope_guard": SCOPE_GUARD, "approx_guard": APPROX_GUARD, "numeric_golden": NUMERIC_GOLDEN,
     "claim_verdicts": f"{x.VERDICTS} SELECT l_orderkey, l_linenumber, status, verdict, error_code, abstract_source FROM verdicts",
@@ -476,3 +493,6 @@ ORACLE_SQL = {
     "verdict_rollup": f"{x.VERDICTS} SELECT abstract_source, error_code, count(*) AS claims FROM (SELECT coalesce(abstract_source, 'none') AS abstract_source, error_code FROM verdicts) GROUP BY ROLLUP (abstract_source, error_code)",
     "batch_report": BATCH_REPORT, "regression_gate": REGRESSION_GATE, "cross_source_existence": CROSS_SOURCE_EXISTENCE, "payload_parse": PAYLOAD_PARSE,
 }
+
+QUERIES |= prose.QUERIES
+ORACLE_SQL |= prose.ORACLE_SQL

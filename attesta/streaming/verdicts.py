@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from attesta.operators.batch import counters
-from attesta.operators.resolve import answers_by_doi, judge_resolved, resolve
+from attesta.operators.resolve import answers_by_doi, evident, judge_resolved, resolve
 
 
 def stream_verdicts(claims: DataFrame, answers: DataFrame) -> DataFrame:
     """Verdicts of a stream of (row_number, id, doi, claim, source, note, ...): a stream-static join and row-by-row work, so no state."""
-    return judge_resolved(resolve(claims.withColumn("source", F.coalesce("source", F.lit("auto"))), answers_by_doi(answers)))
+    resolved = resolve(claims.withColumn("source", F.coalesce("source", F.lit("auto"))), answers_by_doi(answers))
+    return judge_resolved(evident(resolved))
 
 
 def windowed_summary(verdicts: DataFrame, event_time: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
