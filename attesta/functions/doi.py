@@ -32,6 +32,6 @@ def normalize_doi(raw: Column) -> Column:
     bare = F.regexp_replace(folded, r"^(?:https?://)?(?:dx\.)?doi\.org/", "")
     bare = F.regexp_replace(bare, r"(?U)^doi:\s*", "")
     # what is no escape stays as it is
-    escaped = F.regexp_replace(F.replace(bare, F.lit("+"), F.lit("%2B")), "%(?![0-9a-f]{2})", "%25")
+    escaped = F.regexp_replace(F.replace(bare, F.lit("+"), F.lit("%2b")), "%(?![0-9a-f]{2})", "%25")
     decoded = F.when(F.contains(bare, F.lit("%")), F.coalesce(F.try_url_decode(escaped), bare)).otherwise(bare)
     return without_trailing_marks(decoded)

@@ -33,18 +33,19 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line (from 1, as in the file) and value of each line of a text file, read in splits.
 
     Lines are numbered within their split and shifted by the lines of earlier splits; the driver sees
-    a count for each split.
+    a count for each split. Of several files, in the order of their paths, the numbers go on.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    splits = sorted(lines.groupBy("block").agg(F.min("at"), F.count("*")).collect())
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("at"))
+    splits = sorted(lines.groupBy("file", "block").agg(F.min("at"), F.count("*")).collect())
     starts, before = [], 0
-    for block, first, n in splits:
-        starts.append((block, before + 1 - first))
+    for file, block, first, n in splits:
+        starts.append((file, block, before + 1 - first))
         before += n
     if not starts:
         return spark.createDataFrame([], "line long, value string")
-    shift = spark.createDataFrame(starts, "block long, shift long")
-    return lines.join(F.broadcast(shift), "block").select((F.col("at") + F.col("shift")).alias("line"), "value")
+    shift = spark.createDataFrame(starts, "file string, block long, shift long")
+    return lines.join(F.broadcast(shift), ["file", "block"]).select((F.col("at") + F.col("shift")).alias("line"), "value")
 
 
 def variant_string(v: Column, field: str) -> Column:
@@ -94,9 +95,9 @@ def read_claims(spark: SparkSession, path: str, explicit: str | None = None, str
     rows = (parse_jsonl if detect_format(path, explicit) == "jsonl" else parse_csv)(spark, path)
     if not strict:
         return rows
-    first = rows.where("error is not null").orderBy("row_number").select("error").first()
+    n, first = rows.agg(F.count("*"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("row_number")))).first()
     if first:
-        raise ClaimFileError(first["error"])
-    if rows.isEmpty():
+        raise ClaimFileError(first)
+    if not n:
         raise ClaimFileError("Input file does not contain any claim rows")
     return rows.drop("error")

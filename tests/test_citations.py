@@ -146,3 +146,35 @@ def test_live_answers_never_raise():
     assert live.ask("pubmed", "d", lambda *a: '{"esearchresult": {"idlist": ["1", "2"]}}')[3] == "UNSUPPORTED"
     assert live.ask("pubmed", "d", lambda *a: '{"esearchresult": {"idlist": []}}')[3] == "NOT_FOUND"
     assert live.ask("crossref", "d", lambda *a: '{"message": {"DOI": "d"}}')[2:] == ('{"DOI": "d"}', None, None)
+
+
+def test_live_paths(tmp_path):
+    """Every line of every file is asked for once, wherever files are cut."""
+    (tmp_path / "a.txt").write_text("10.1/a\n10.1/b\n\n10.1/long" + "x" * 50 + "\n10.1/c")
+    (tmp_path / "b.txt").write_text("10.1/d\n")
+    for step in (3, 7, 1000):
+        reader = live.Reader({"path": str(tmp_path), "partitionbytes": str(step)})
+        found = [d for p in reader.partitions() for d in reader.dois_of(p)]
+        assert sorted(found) == sorted(["10.1/a", "10.1/b", "10.1/long" + "x" * 50, "10.1/c", "10.1/d"])
+    assert [d for p in live.Reader({"dois": "x y z", "partitions": "2"}).partitions() for d in p.dois] == ["x", "z", "y"]
+
+
+def test_dois_with_odd_escapes_and_cases(spark):
+    given = {
+        "10.1/A%2Fb%zz": "10.1/a/b%zz", "10.1/stra\u00dfe": "10.1/strasse", "10.1/a(b(c))).)": "10.1/a(b(c))", "10.1/a)": "10.1/a", "10.1/(a) ).,": "10.1/(a)", "10.1/a+b%2B": "10.1/a+b+", "": "", ").": "",
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in given.items()], "raw string, doi string")
+    assert {r["raw"]: r["n"] for r in rows.select("raw", normalize_doi(F.col("raw")).alias("n")).collect()} == given
+
+
+def test_answers_do_not_depend_on_their_order(spark):
+    record = ("10.1/a", "t", ["x"], 2020, "An abstract.", "PubMed", None, None)
+    other = ("10.1/a", "t", ["x"], 2020, None, "PubMed", None, None)
+    rows = [("pubmed", "10.1/a", None, "TIMEOUT", "late", 7), ("pubmed", "10.1/a", other, None, None, 8), ("pubmed", "10.1/a", record, None, None, 9), ("openalex", "10.1/b", None, "API_ERROR", "broken", 5)]
+    schema = SOURCE_ANSWER + ", elapsed_ms int"
+    claims = spark.createDataFrame([(1, None, "10.1/A", "c", "pubmed", None), (2, None, "10.1/b", "c", "openalex", None), (3, None, None, "c", "pubmed", None)], CLAIM)
+    for own in (rows, rows[::-1]):
+        out = {r["row_number"]: r for r in check_claims(claims, spark.createDataFrame(own, schema)).collect()}
+        assert out[1]["abstract_source"] == "pubmed" and [a["elapsed_ms"] for a in out[1]["attempts"]] == [9]
+        assert (out[2]["record"]["title"], out[2]["record"]["source"], out[2]["record"]["doi"], out[2]["error_code"]) == ("[title missing]", "selected abstract source", "10.1/b", "SOURCE_API_ERROR")
+        assert len(out) == 3 and out[3]["status"] == "UNVERIFIABLE"
