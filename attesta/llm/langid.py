@@ -191,14 +191,33 @@ class Way:
         rows = s
         if self.value is None:
             self.value, rows = s[0], s[1:]
-        left = np.zeros((len(rows), self.langs), bool)
-        for i, row in enumerate(rows):
-            top = int(self.value.argmax())
-            switched = self.value[top] - self.penalty
-            left[i] = switched > self.value
-            self.value = np.maximum(self.value, switched) + row
-            self.tops.append(top)
-        self.left.append(np.packbits(left, axis=1))
+        if self.langs <= 16:  # lists are quicker than arrays of a few numbers
+            left = self.few(rows.tolist())
+        else:
+            left = np.zeros((len(rows), self.langs), bool)
+            for i, row in enumerate(rows):
+                top = int(self.value.argmax())
+                switched = self.value[top] - self.penalty
+                left[i] = switched > self.value
+                self.value = np.maximum(self.value, switched) + row
+                self.tops.append(top)
+            left = np.packbits(left, axis=1, bitorder="little")
+        self.left.append(left)
+
+    def few(self, rows: list[list[float]]) -> np.ndarray:
+        value, penalty, masks = list(map(float, self.value)), self.penalty, []
+        for row in rows:
+            top = max(value)
+            self.tops.append(value.index(top))
+            top -= penalty
+            if min(value) >= top:
+                masks.append(0)
+                value = [v + r for v, r in zip(value, row, strict=True)]
+            else:
+                masks.append(sum(1 << j for j, v in enumerate(value) if v < top))
+                value = [(v if v >= top else top) + r for v, r in zip(value, row, strict=True)]
+        self.value = np.array(value)
+        return np.array(masks, "<u2").view(np.uint8).reshape(-1, 2)
 
     def back(self) -> np.ndarray:
         left = np.concatenate(self.left)
@@ -206,7 +225,7 @@ class Way:
         out = np.empty(len(self.tops) + 1, np.int64)
         out[-1] = now
         for i in range(len(self.tops) - 1, -1, -1):
-            if left[i, now >> 3] >> (7 - (now & 7)) & 1:
+            if left[i, now >> 3] >> (now & 7) & 1:
                 now = self.tops[i]
             out[i] = now
         return out
