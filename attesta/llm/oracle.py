@@ -149,4 +149,74 @@ SELECT doc_id, size, crc::BIGINT AS text_crc32, 'rows' AS law, (place * 40 // n)
 FROM ranked
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": MIXING, "op2_ngram_jaccard": JACCARD, "op5_warc": WARC, "op6_sharding": SHARDING, "op9_top_k": TOP_K}
+
+
+def url_models() -> str:
+    """Witten-Bell probabilities of n-grams of 1 to 4 characters in both classes, and the escapes of their contexts."""
+    out = []
+    for n in range(1, 5):
+        short = "1.0::DOUBLE / 32" if n == 1 else "s.p{}"
+        joined = f"seen w JOIN contexts c ON w.n = c.n AND w.h = c.h{'' if n == 1 else f' JOIN p{n - 1} s ON substring(w.g, 2, {n - 1}) = s.g'} WHERE w.n = {n}"
+        mixed = [f"CASE WHEN c.{x}_all > 0 THEN (w.{x} + c.{x}_kinds * ({short.format(x)})) / (c.{x}_all + c.{x}_kinds) ELSE {short.format(x)} END AS p{x}" for x in "ab"]
+        out.append(f"p{n} AS (SELECT w.g, {', '.join(mixed)} FROM {joined})")
+        e = [f"CASE WHEN {x}_all > 0 THEN ln({x}_kinds / ({x}_all + {x}_kinds)) ELSE 0.0::DOUBLE END" for x in "ab"]
+        out.append(f"e{n} AS (SELECT h, {e[0]} - {e[1]} AS e FROM contexts WHERE n = {n})")
+    return ", ".join(out)
+
+
+def url_best() -> str:
+    best = "0.0::DOUBLE"
+    for n in range(1, 5):
+        best = f"coalesce(ln(p{n}.pa) - ln(p{n}.pb), {best} + coalesce(e{n}.e, 0.0::DOUBLE))"
+    return best
+
+
+def gram(n: int) -> str:
+    return f"substring(t, greatest(1, x - {n - 1}), least(x, {n}))"
+
+
+#: Rules, character models of the URLs that rules decide, and the threshold with the least balanced error on those held out.
+URL_FILTER = rf"""
+WITH parsed AS (
+    SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
+        nullif('^' || regexp_replace(regexp_replace(lower(regexp_replace(url, '(?s)^.*?://', '')), '[0-9]', '0', 'g'), '[^abcdefghijklmnopqrstuvwxyz./0-]', '_', 'g') || '$', '^$') AS t
+    FROM pages
+), ruled AS (
+    SELECT *, CASE WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND prefix(path, '/en/') THEN 'www.example.com/en/'
+        WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/en/') THEN 'example.com/en/'
+        WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/es/') THEN 'net/es/' WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/fr/') THEN 'net/fr/'
+        WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/') THEN 'com/' END AS rule,
+        rule IN ('www.example.com/en/', 'com/') AS good
+    FROM parsed
+), known AS (
+    SELECT DISTINCT t, good, ('0x' || substr(md5(t), 1, 8))::BIGINT % 5 = 0 AS held FROM ruled WHERE rule IS NOT NULL
+), long AS (
+    SELECT good, n, substring(t, greatest(1, x - n + 1), least(x, n)) AS g FROM (SELECT t, good, unnest(range(2, length(t) + 1)) AS x FROM known WHERE NOT held), (SELECT unnest([1, 2, 3, 4]) AS n)
+), seen AS (
+    SELECT n, g, substring(g, 1, n - 1) AS h, (count(*) FILTER (WHERE good))::DOUBLE AS a, (count(*) FILTER (WHERE NOT good))::DOUBLE AS b FROM long WHERE length(g) = n GROUP BY n, g
+), contexts AS (
+    SELECT n, h, sum(a) AS a_all, sum(b) AS b_all, (count(*) FILTER (WHERE a > 0))::DOUBLE AS a_kinds, (count(*) FILTER (WHERE b > 0))::DOUBLE AS b_kinds FROM seen GROUP BY n, h
+), {url_models()}, asked AS (
+    SELECT t, unnest(range(2, length(t) + 1)) AS x FROM (SELECT t FROM known WHERE held UNION SELECT t FROM ruled WHERE rule IS NULL AND t IS NOT NULL)
+), scores AS (
+    SELECT t, sum({url_best()}) / count(*) AS ratio
+    FROM asked {' '.join(f"LEFT JOIN p{n} ON p{n}.g = {gram(n)} LEFT JOIN e{n} ON length({gram(n)}) = {n} AND e{n}.h = substring({gram(n)}, 1, {n - 1})" for n in range(1, 5))}
+    GROUP BY t
+), bins AS (
+    SELECT least(399, greatest(0, floor((ratio + 4.0::DOUBLE) / 8.0::DOUBLE * 400)))::BIGINT AS bin, (count(*) FILTER (WHERE good))::DOUBLE AS a, (count(*) FILTER (WHERE NOT good))::DOUBLE AS r
+    FROM known JOIN scores USING (t) WHERE held GROUP BY 1
+), sums AS (
+    SELECT *, sum(a) OVER () AS good, sum(r) OVER () AS bad, sum(a) OVER (ORDER BY bin) AS lost, sum(r) OVER () - sum(r) OVER (ORDER BY bin) AS kept, lead(bin) OVER (ORDER BY bin) AS after, row_number() OVER (ORDER BY bin) AS i FROM bins
+), edges AS (
+    SELECT 1.0::DOUBLE AS error, bin::DOUBLE AS edge FROM sums WHERE i = 1
+    UNION ALL SELECT lost / good + kept / bad, CASE WHEN after IS NULL THEN bin + 1.0::DOUBLE ELSE (bin + 1 + after) / 2.0::DOUBLE END FROM sums
+), level AS (
+    SELECT coalesce((SELECT CASE WHEN (SELECT min(least(good, bad)) FROM sums) > 0 THEN edge / 400 * 2 * 4.0::DOUBLE - 4.0::DOUBLE END FROM edges ORDER BY error, abs(edge - 200), edge LIMIT 1), 0.0::DOUBLE) AS level
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE WHEN good THEN 'allow' ELSE 'block' END WHEN r.t IS NOT NULL AND ratio >= level THEN 'allow' ELSE 'block' END AS verdict,
+    CASE WHEN rule IS NULL THEN round(coalesce(ratio, 0.0::DOUBLE), 6) END AS ratio
+FROM ruled r LEFT JOIN scores s ON r.t = s.t AND r.rule IS NULL, level
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": MIXING, "op2_ngram_jaccard": JACCARD, "op5_warc": WARC, "op6_sharding": SHARDING, "op7_url_filter": URL_FILTER, "op9_top_k": TOP_K}

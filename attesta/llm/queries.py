@@ -66,7 +66,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"))
+    return urlfilter.judge(table(spark, sf_dir, "pages")).withColumn("ratio", F.round("ratio", 6))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
