@@ -19,33 +19,47 @@ MARK = "[SECRET]"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in no language that the labelled ones teach, go. A missing lang becomes the predicted one."""
+    """Documents without letters, or in no language that the labelled ones teach, go. A missing lang becomes the predicted one.
+
+    A null or empty text has no letters. Repeated rows stay or go together; an empty table stays
+    empty; without any lang to learn from all documents go. Columns other than COLUMNS are left out.
+    """
     found = langid.detect(docs, langid.fit(docs), [c for c in COLUMNS if c != "doc_id"])
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the least doc_id stays."""
+    """Of each class of linked documents the one with the least doc_id stays.
+
+    Documents without a word are classes of their own and stay. Rows that share a doc_id, or have
+    none, stay if one of them does.
+    """
     classes = neardup.jaccard_join(docs)
-    return docs.join(classes.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    kept = classes.where("doc_id <=> class_id").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret becomes a mark; all documents stay."""
-    found = secretscan.scan(docs, redact=MARK, keep=("lang", "source", "n_chars"))
+    """Every secret becomes a mark; all documents stay, those with null or empty texts as they are."""
+    found = secretscan.scan(docs, secretscan.fit(docs), redact=MARK, keep=("lang", "source", "n_chars"))
     changed = F.col("spans") != ""
-    return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    chars = F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))
+    return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", chars.alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, not at all to three times."""
+    """Each document as often as the mix takes it, not at all to three times.
+
+    Null sources are one source. A document without a word adds nothing to the mix, and is taken as
+    its hash says.
+    """
     mixed = mixing.mix(docs)
     return mixed.where("copies > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens."""
+    """The pieces of all documents in sequences of 4096 tokens; a null or empty text is its end mark alone, repeated rows are packed as often."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -56,7 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each but the last is written to the shared folder and read again."""
+    """The stages over documents; each but the last is written to the shared folder and read again.
+
+    The folder stays until its owner clears the shared folder: the result is lazy and reads it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
