@@ -9,12 +9,7 @@ from attesta.functions import text as tx
 from attesta.functions import vocab
 from attesta.functions.doi import normalize_doi
 
-REASONS = {
-    "PASS": "Provided citation metadata matches the fetched CrossRef record.",
-    "REJECT": "DOI resolves to a materially different paper than provided.",
-    "metadata": "Insufficient citation metadata was provided to verify the fetched CrossRef record.",
-    "year": "DOI resolves, but minor metadata differs from the provided citation.",
-}
+REASONS = vocab.METADATA_REASONS
 
 
 def given(text: Column) -> Column:

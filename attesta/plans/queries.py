@@ -113,9 +113,10 @@ SENTENCE_SPLIT_STATS = f"SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences, CAS
 
 
 def clause_split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("s"))
-    parts = F.filter(F.transform(F.split("s", vocab.CONJUNCTION_BREAK, -1), tx.strip), lambda p: p != "")
-    return s.groupBy("doc_id").agg(F.sum(F.size(parts)).alias("clauses"), F.max(F.size(parts)).cast("long").alias("most"))
+    parts = lambda s: F.filter(F.transform(F.split(s, vocab.CONJUNCTION_BREAK, -1), tx.strip), lambda p: p != "")
+    counted = table(spark, sf_dir, "documents").select("doc_id", F.transform(tx.sentences(F.col("text")), lambda s: F.size(parts(s)).cast("long")).alias("n"))
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda a, n: a + n)
+    return counted.where(F.size("n") > 0).select("doc_id", total.alias("clauses"), F.array_max("n").alias("most"))
 
 
 CLAUSE_SPLIT_STATS = rf"""SELECT doc_id, CAST(sum(n) AS BIGINT) AS clauses, CAST(max(n) AS BIGINT) AS most FROM (SELECT doc_id, len(list_filter(string_split(regexp_replace(s, ',?\s+(?:and|but|while|whereas)\s+', chr(1), 'g'), chr(1)), lambda p: trim(p) <> '')) AS n
@@ -178,7 +179,7 @@ def term_overlap_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inverted_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as inverted indexes and back; a text's words are grouped within its row."""
+    """Texts as inverted indexes, by grouping each text's words, and back."""
     words = F.filter(F.split(tx.strip(F.col("text")), r"\s+"), lambda w: w != "")
     rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
     each = rows.select("doc_id", F.posexplode("w").alias("i", "word")).groupBy("doc_id", "word").agg(F.collect_list("i").alias("at"))

@@ -202,3 +202,13 @@ def test_cli(spark, tmp_path, capsys):
     assert main(["check-file", str(tmp_path / "c.csv"), "--json", "--answers", answers], spark) == 0
     assert json.loads(capsys.readouterr().out)["summary"]["accept"] == 1
     assert main(["check-file", str(tmp_path / "c.txt")], spark) == 1 and main([], spark) == 2
+
+
+def test_several_claim_files(spark, tmp_path):
+    """Line numbers go on through the files, in the order of their paths, and a later file's error names its own."""
+    folder = tmp_path / "claims.jsonl"
+    folder.mkdir()
+    (folder / "a.jsonl").write_text('{"doi": "10.1/a", "claim": "x"}\n\n{"doi": "10.1/b", "claim": "y"}\n')
+    (folder / "b.jsonl").write_text('{"doi": "10.1/c", "claim": "z"}\n{"doi": "10.1/d"}\n')
+    rows = read_claims(spark, str(folder), strict=False).orderBy("row_number").collect()
+    assert [(r["row_number"], r["doi"], r["error"]) for r in rows] == [(1, "10.1/a", None), (3, "10.1/b", None), (4, "10.1/c", None), (5, "10.1/d", "Missing required field on line 5: claim")]
