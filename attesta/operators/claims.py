@@ -56,10 +56,14 @@ def numeric_support(df: DataFrame) -> DataFrame:
     return out.withColumns({"numeric_status": status, "numeric_reason": reason, "numeric_evidence": F.when(claim.isNull(), "").otherwise(F.coalesce("_found", partial))}).drop("_found")
 
 
-def ranked(df: DataFrame) -> DataFrame:
-    """df with sentences by the number of terms they share with the claim, ties in text order (OP-100)."""
-    scored = F.transform("sentences", lambda s: F.struct((-tx.overlap(F.col("c_terms"), s["terms"])).alias("_rank"), s["idx"].alias("_idx"), s.alias("s")))
-    return df.withColumn("sentences", F.transform(F.array_sort(scored), lambda x: x["s"]))
+def place(s: Column) -> Column:
+    """Where a sentence stands among those of its abstract: most terms in common with the claim first, ties in text order (OP-100)."""
+    return F.struct((-tx.overlap(F.col("c_terms"), s["terms"])).alias("rank"), s["idx"].alias("idx"))
+
+
+def first_text(places: Column) -> Column:
+    """The text of the sentence of the first place (OP-101, OP-102). Sentences stay as they are: only their places are sorted."""
+    return F.get(F.col("sentences"), F.array_min(places)["idx"])["text"]
 
 
 def about_subject(p: Column, s: Column) -> Column:
@@ -70,53 +74,62 @@ def about_subject(p: Column, s: Column) -> Column:
 
 
 def percentage_support(df: DataFrame) -> DataFrame:
-    """percentage_evidence, the first ranked sentence that supports the claimed percentage with no contradiction, and prestrain_evidence (OP-113, OP-69).
+    """percentage_evidence, the first sentence by rank that supports the claimed percentage with no contradiction, and prestrain_evidence (OP-113, OP-69).
 
     Contradictions by other percentages of the sentence (J-6) and by other sentences (J-7) are sought
-    in the arrays: an anti-join without its two exchanges. df is `ranked`.
+    in the arrays: an anti-join without its two exchanges.
     """
     threshold, said = F.col("c_threshold"), F.col("c_cmp")
 
-    def judged(s: Column) -> Column:
+    def other_material(a: Column, b: Column) -> Column:  # OP-76
+        return (F.size(a["qualifiers"]) > 0) & (F.size(b["qualifiers"]) > 0) & ~F.arrays_overlap(a["qualifiers"], b["qualifiers"])
+
+    def flags(s: Column) -> Column:
         def one(p: Column, i: Column) -> Column:
             subject = ~p["prestrain"] & ~p["framed"] & about_subject(p, s)
             return F.struct(
-                i.alias("i"), (subject & contradicts(p["value"], p["cmp"], threshold, said)).alias("against"), p["limited"].alias("limited"), p["qualifiers"].alias("qualifiers"),
+                i.alias("i"),
+                (subject & contradicts(p["value"], p["cmp"], threshold, said)).alias("against"),
+                p["limited"].alias("limited"),
+                p["qualifiers"].alias("qualifiers"),
                 (subject & ~p["limited"] & entails_percentage(p["value"], p["cmp"], threshold, said)).alias("for"),
-            )
+            )
 
-        return F.struct(s["text"].alias("text"), (s["framed"]).alias("framed"), s["scope_start"].alias("scope_start"), F.transform(s["spans"], one).alias("spans"))
+        def judged(spans: Column) -> Column:
+            clear = lambda p: ~F.exists(spans, lambda q: (q["i"] != p["i"]) & q["against"] & ~other_material(p, q))
+            supports = ~s["framed"] & ~s["scope_start"] & F.exists(spans, lambda p: p["for"] & clear(p))
+            against = ~s["framed"] & F.exists(spans, lambda p: p["against"] & ~p["limited"])
+            return F.struct(place(s).alias("place"), supports.alias("supports"), against.alias("against"))
 
-    def other_material(a: Column, b: Column) -> Column:  # OP-76
-        return (F.size(a["qualifiers"]) > 0) & (F.size(b["qualifiers"]) > 0) & ~F.arrays_overlap(a["qualifiers"], b["qualifiers"])
-
-    def supports(s: Column) -> Column:
-        stands = lambda p: p["for"] & ~F.exists(s["spans"], lambda q: (q["i"] != p["i"]) & q["against"] & ~other_material(p, q))
-        return ~s["framed"] & ~s["scope_start"] & F.exists(s["spans"], stands)
+        return tx.let(F.transform(s["spans"], one), judged)
 
-    judged_sentences = df.withColumn("_judged", F.when(threshold.isNotNull(), F.transform("sentences", judged)))
-    flags = F.transform("_judged", lambda s: F.struct(s["text"].alias("text"), supports(s).alias("supports"), (~s["framed"] & F.exists(s["spans"], lambda p: p["against"] & ~p["limited"])).alias("against")))
-    flagged = judged_sentences.withColumn("_flags", flags)
-    against = F.size(F.filter("_flags", lambda s: s["against"]))
-    counted = flagged.withColumn("_against", against)
+    flagged = df.withColumn("_flags", F.when(threshold.isNotNull(), F.transform(F.filter("sentences", lambda s: F.size(s["spans"]) > 0), flags)))
+    counted = flagged.withColumn("_against", F.size(F.filter("_flags", lambda s: s["against"])))
     standing = F.filter("_flags", lambda s: s["supports"] & (F.col("_against") == F.when(s["against"], 1).otherwise(0)))
-    all_prestrain = F.filter("sentences", lambda s: (F.size(s["spans"]) > 0) & F.forall(s["spans"], lambda p: p["prestrain"]))
-    first = lambda a: F.get(a, F.lit(0))["text"]
-    return counted.withColumns({"percentage_evidence": first(standing), "prestrain_evidence": F.when(threshold.isNotNull(), first(all_prestrain))}).drop("_judged", "_flags", "_against")
+    prestrained = F.filter("sentences", lambda s: (F.size(s["spans"]) > 0) & F.forall(s["spans"], lambda p: p["prestrain"]))
+    return counted.withColumns({
+        "percentage_evidence": first_text(F.transform(standing, lambda s: s["place"])),
+        "prestrain_evidence": F.when(threshold.isNotNull(), first_text(F.transform(prestrained, place))),
+    }).drop("_flags", "_against")
 
 
 def literal_support(df: DataFrame) -> DataFrame:
-    """literal_evidence: the first ranked sentence that says the claim word for word, unframed and unqualified (OP-114, OP-58). df is `ranked`."""
+    """literal_evidence: the first sentence by rank that says the claim word for word, unframed and unqualified (OP-114, OP-58); null for percentages."""
     claim = F.col("c_phrase")
 
     def says(s: Column) -> Column:
         padded, wanted = F.concat(F.lit(" "), s["phrase"], F.lit(" ")), F.concat(F.lit(" "), claim, F.lit(" "))
         # words before and after each occurrence: later ones begin inside what follows an earlier one
         starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - F.length(wanted) + 1)), lambda i: padded.substr(i, F.length(wanted)) == wanted)
-        plain = lambda i: ~scoped(F.trim(padded.substr(F.lit(1), i - 1))) & ~(rest := F.trim(padded.substr(i + F.length(wanted), F.length(padded)))).rlike(COMPARATIVE) & ~scoped(rest)
-        return tx.within(F.col("c_numbers"), s["numbers"]) & (claim != "") & ~s["framed"] & F.contains(padded, wanted) & F.exists(starts, plain)
 
-    return df.withColumn("literal_evidence", F.get(F.filter("sentences", says), F.lit(0))["text"])
+        def plain(i: Column) -> Column:
+            rest = F.trim(padded.substr(i + F.length(wanted), F.length(padded)))
+            return ~scoped(F.trim(padded.substr(F.lit(1), i - 1))) & ~rest.rlike(COMPARATIVE) & ~scoped(rest)
+
+        return ~s["framed"] & F.contains(padded, wanted) & tx.within(F.col("c_numbers"), s["numbers"]) & F.exists(starts, plain)
+
+    asked = F.col("c_threshold").isNull() & (claim != "")
+    return df.withColumn("literal_evidence", F.when(asked, first_text(F.transform(F.filter("sentences", says), place))))
 
 
 def settled(df: DataFrame, *names: str) -> DataFrame:
@@ -135,12 +148,12 @@ def claim_support(joined: DataFrame) -> DataFrame:
     is accepted, in this order; strain percentages skip the first. Percentages only in a pre-strain
     context, and everything else, are partial; no abstract, unverifiable.
     """
-    df = literal_support(percentage_support(ranked(numeric_support(joined))))
+    df = literal_support(percentage_support(numeric_support(joined)))
     missing = F.coalesce(F.col("abstract"), F.lit("")) == ""
     percent = F.col("c_threshold").isNotNull()
     numeric = (F.col("numeric_status") == "SUPPORTED") & ~(percent & F.col("c_strain"))
-    by_percentage, by_prestrain, literal = F.col("percentage_evidence").isNotNull(), F.col("prestrain_evidence").isNotNull(), ~percent & F.col("literal_evidence").isNotNull()
-    top = F.coalesce(F.get("sentences", F.lit(0))["text"], tx.strip(F.col("abstract")))
+    by_percentage, by_prestrain, literal = (F.col(f"{c}_evidence").isNotNull() for c in ("percentage", "prestrain", "literal"))
+    top = F.coalesce(first_text(F.transform("sentences", place)), tx.strip(F.col("abstract")))
     pick = lambda *v: F.when(missing, v[0]).when(numeric, v[1]).when(by_percentage, v[2]).when(by_prestrain, v[3]).when(literal, v[4]).otherwise(v[5])
     related = F.when(tx.overlap(F.col("c_terms"), F.col("abstract_terms")) > 0, vocab.REASON_RELATED).otherwise(vocab.REASON_UNRELATED)
     lit = F.lit

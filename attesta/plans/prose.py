@@ -20,7 +20,8 @@ CASES = (
     ("Films were cast. Under vacuum graphene layers enhance transport in sample {}.", "graphene layers enhance transport in sample {}", "PARTIAL", vocab.REASON_RELATED, "Under vacuum graphene layers enhance transport in sample {}."),
     ("Films were cast. Graphene layers enhance transport in sample 9{}.", "graphene layers enhance transport in sample {}", "PARTIAL", vocab.REASON_RELATED, "Graphene layers enhance transport in sample 9{}."),
     ("The film {} was held at <>% pre-strain. It was then dried.", "actuation strain above []%", "PARTIAL", vocab.REASON_PRESTRAIN, "The film {} was held at <>% pre-strain."),
-    ("Film {} was dried. The porosity was <>%.", "porosity above []%", "SUPPORTED", vocab.REASON_PERCENTAGE, "The porosity was <>%."),
+    ("Film {} was dried. The porosity was <>%.", "porosity above []%", "SUPPORTED", vocab.REASON_NUMERIC, "The porosity was <>%."),
+    ("Film {} was dried. The porosity was <>%.", "porosity exceeding []%", "SUPPORTED", vocab.REASON_PERCENTAGE, "The porosity was <>%."),
     ("Film {} was dried. The yield was <>%.", "porosity above []%", "PARTIAL", vocab.REASON_UNRELATED, "Film {} was dried."),
     ("Film {} was dried. Under vacuum the actuation strain was <>%.", "actuation strain above []%", "PARTIAL", vocab.REASON_RELATED, "Under vacuum the actuation strain was <>%."),
     ("Film {} was dried. The actuation strain was about <>%.", "actuation strain above []%", "PARTIAL", vocab.REASON_RELATED, "The actuation strain was about <>%."),

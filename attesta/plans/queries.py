@@ -356,7 +356,7 @@ def numeric_claim_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pct_claim_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.claims(spark, sf_dir).where("strain").join(evidence.with_evidence(corpus.papers(spark, sf_dir).select("key", "abstract")), "key")
-    return claims.percentage_support(claims.ranked(claims.with_claim_terms(rows))).select("l_orderkey", "l_linenumber", F.col("percentage_evidence").isNotNull().alias("supported"))
+    return claims.percentage_support(claims.with_claim_terms(rows)).select("l_orderkey", "l_linenumber", F.col("percentage_evidence").isNotNull().alias("supported"))
 
 
 def pct_contradiction(spark: SparkSession, sf_dir: str) -> DataFrame:
