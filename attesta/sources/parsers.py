@@ -107,7 +107,7 @@ KINDS = {"string": T.StringType(), "int": T.IntegerType(), "array<string>": T.Ar
 @F.pandas_udf(T.StructType([*[T.StructField(n, KINDS[t]) for n, t in (f.split(" ", 1) for f in PAPER.split(", "))], T.StructField("ok", T.BooleanType())]))
 def _pubmed(payload: pd.Series) -> pd.DataFrame:
     rows = []
-    for xml in payload:
+    for xml in payload:  # null where another source answered
         try:
             rows.append(pubmed_record(xml))
         except ET.ParseError:
