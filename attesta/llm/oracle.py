@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from attesta.llm import licenses
+
 #: Every query vector's products with all others, whole numbers throughout.
 TOP_K = """
 WITH usable AS (
@@ -219,4 +221,79 @@ SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE WHEN good
 FROM ruled r LEFT JOIN scores s ON r.t = s.t AND r.rule IS NULL, level
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": MIXING, "op2_ngram_jaccard": JACCARD, "op5_warc": WARC, "op6_sharding": SHARDING, "op7_url_filter": URL_FILTER, "op9_top_k": TOP_K}
+
+def sql_rows(rows: list[tuple]) -> str:
+    quoted = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join(f"({', '.join(map(quoted, r))})" for r in rows)
+
+
+def words_sql(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+#: All blocks against all templates by the word pairs they share, and phrases place by place.
+LICENSES = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS uid, doc_id, {words_sql('text')} AS w FROM documents
+), phrases AS (
+    SELECT label, {words_sql('phrase')} AS p FROM (VALUES {sql_rows(list(licenses.PHRASES))}) AS t(label, phrase)
+), templates AS (
+    SELECT template, label, family, {words_sql('text')} AS p FROM (VALUES {sql_rows([(i, *t) for i, t in enumerate(licenses.TEMPLATES)])}) AS t(template, label, family, text)
+), tokens AS (
+    SELECT DISTINCT template, label, family, unnest(list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1])) AS token FROM templates
+), needs AS (
+    SELECT template, count(*) AS m, ceil(count(*) * {licenses.SHARE} / 100.0) AS need, (SELECT max(len(p)) FROM templates) AS stride FROM tokens GROUP BY template
+), places AS (
+    SELECT uid, label, unnest(range(1, len(w) - len(p) + 2)) AS i, w, p FROM docs, phrases WHERE len(w) >= len(p)
+), base AS (
+    SELECT uid, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels, list(DISTINCT label) AS labels
+    FROM places WHERE w[i:i + len(p) - 1] = p GROUP BY uid
+), pairs AS (
+    SELECT uid, i - 1 AS place, w[i] || ' ' || w[i + 1] AS token FROM (SELECT uid, w, unnest(range(1, len(w))) AS i FROM docs)
+), met AS (
+    SELECT p.uid, p.place, t.template, t.label, t.family, t.token, n.m, n.need, n.stride FROM pairs p JOIN tokens t USING (token) JOIN needs n USING (template)
+), spread AS (
+    SELECT *, place // stride AS block FROM met UNION ALL SELECT *, place // stride - 1 AS block FROM met WHERE place >= stride AND place % stride < stride - 1
+), found AS (
+    SELECT uid, block, template, label, family, count(DISTINCT token) / max(m)::DOUBLE AS share FROM spread GROUP BY uid, block, template, label, family HAVING count(DISTINCT token) >= max(need)
+), best AS (
+    SELECT * FROM (SELECT *, max(share) OVER (PARTITION BY uid, block, family) AS most FROM found) WHERE share = most
+), method AS (
+    SELECT uid, list(DISTINCT label) AS labels, max(share) AS share FROM best GROUP BY uid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+    array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM docs LEFT JOIN base b USING (uid) LEFT JOIN method m USING (uid)
+"""
+
+#: Every phrase of up to five words, counted; whole numbers of 128 bits.
+COLLOCATIONS = r"""
+WITH pieces AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), grams AS (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k
+), counts AS (
+    SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase
+), totals AS (
+    SELECT lang, sum(f)::HUGEINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), candidates AS (
+    SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 100
+), cuts AS (
+    SELECT c.lang, c.phrase, c.f AS a, j, l.f AS l, r.f AS r, n, (1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ')
+    JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:], ' ') JOIN totals t ON t.lang = c.lang
+), worst AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS place FROM cuts) WHERE place = 1
+), absorbed AS (
+    SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN candidates x ON x.lang = c.lang AND x.k > c.k AND 100 * x.f >= 100 * c.f AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' ')
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst ANTI JOIN absorbed USING (lang, phrase)
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": MIXING, "op2_ngram_jaccard": JACCARD, "op5_warc": WARC, "op6_sharding": SHARDING, "op7_url_filter": URL_FILTER, "op9_top_k": TOP_K,
+    "op12_licenses": LICENSES, "op13_collocations": COLLOCATIONS,
+}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import langid, mixing, mtree, neardup, packing, quality, secretscan, sharding, urlfilter, warc
+from attesta.llm import collocation, langid, licenses, mixing, mtree, neardup, packing, quality, secretscan, sharding, urlfilter, warc, whitening
 from attesta.llm.common import shared_dir
 from attesta.llm.oracle import ORACLE_SQL
 
@@ -83,6 +83,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = found.select("*", F.posexplode("whitened").alias("_place", "_whitened"))
+    share = F.get("explained", F.col("_place"))
+    return each.select("vec_id", (F.col("_place") + 1).alias("component"), "n", F.col("deviation").try_cast("long").alias("deviation"), F.col("_whitened").alias("whitened"), share.alias("explained"), "identity_error")
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    start, names = F.transform("places", lambda p: p["start"]), F.transform("places", lambda p: p["label"])
+    listed = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(start).cast("long").alias("first_word"), F.array_max(start).cast("long").alias("last_word"),
+        listed(names).alias("base_labels"), listed(F.concat(names, F.transform("blocks", lambda b: b["label"]))).alias("labels"), "score",
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -94,6 +115,9 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_top_k": op9_top_k,
     "op10_packing": op10_packing,
+    "op11_whitening": op11_whitening,
+    "op12_licenses": op12_licenses,
+    "op13_collocations": op13_collocations,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
