@@ -133,27 +133,38 @@ def unescaped(text: pd.Series) -> pd.Series:
     return text if text.isna().all() else text.map(html.unescape, na_action="ignore")
 
 
-#: Accented Latin letters that fold to one letter each, by Unicode.
-ACCENTED = [c for c in map(chr, range(0xC0, 0x180)) if len(fold(c)) == 1]
+#: Greek letters as words of their own.
+SPELT = str.maketrans({letter: f" {name} " for letter, name in vocab.GREEK.items()})
+
+
+@F.pandas_udf(T.StringType())
+def folded_and_spelt(text: pd.Series) -> pd.Series:
+    """`folded`, with Greek letters spelt out (OP-34)."""
+    return text if text.isna().all() else text.map(lambda t: fold(t).translate(SPELT), na_action="ignore")
+
+
+def in_ascii(text: Column, otherwise: Callable[[Column], Column]) -> Column:
+    """ASCII text in lower case; only other text goes to a worker. Compute it once, as a column, where it is mentioned often."""
+    plain = text.rlike("^[\\x00-\\x7F]*$")
+    return F.when(plain, F.lower(text)).otherwise(otherwise(F.when(~plain, text)))
 
 
 def plain_fold(text: Column) -> Column:
-    """`folded`, in the JVM where the text is of ASCII and accented Latin letters; only other texts go to the workers."""
-    simple = text.rlike("^[\\x00-\\x7F" + "".join(ACCENTED) + "]*$")
-    return F.when(simple, F.lower(F.translate(text, "".join(ACCENTED), "".join(map(fold, ACCENTED))))).otherwise(folded(F.when(~simple, text)))
+    return in_ascii(text, folded)
 
 
-def tokens_with_greek(text: Column) -> Column:
-    """Title tokens (OP-34, OP-35): folded, Greek letters spelt out, in singular."""
+def plain_title(text: Column) -> Column:
+    """A title's letters: folded, Greek ones spelt out, which ASCII text has none of."""
+    return in_ascii(text, folded_and_spelt)
+
 
-    def spelt(plain: Column) -> Column:
-        out = plain
-        for letter, name in vocab.GREEK.items():
-            out = F.replace(out, F.lit(letter), F.lit(f" {name} "))
-        return F.when(plain.rlike("[" + "".join(vocab.GREEK) + "]"), out).otherwise(plain)
+def title_tokens(plain: Column) -> Column:
+    """Words of a `plain_title`, in singular (OP-35)."""
+    return F.transform(F.regexp_extract_all(plain, F.lit(r"(?U)[^\W_]+"), 0), lambda t: F.regexp_replace(t, "^(.{3,})s$", "$1"))
 
-    words = F.regexp_extract_all(let(plain_fold(text), spelt), F.lit(r"(?U)[^\W_]+"), 0)
-    return F.transform(words, lambda t: F.regexp_replace(t, "^(.{3,})s$", "$1"))
+
+def tokens_with_greek(text: Column) -> Column:
+    return title_tokens(plain_title(text))
 
 
 def clean_markup(text: Column) -> Column:

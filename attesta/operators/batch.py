@@ -44,6 +44,26 @@ def result_json(results: DataFrame) -> DataFrame:
     return named.select("row_number", F.when(F.col("note").isNotNull(), F.to_json(F.struct(*with_note), options)).otherwise(F.to_json(F.struct(*fields), options)).alias("json"))
 
 
+def write_document(results: DataFrame, path: str) -> None:
+    """The summary and all results as one JSON document: text files below path, whose lines in the order of the files' names make it (OP-24, OP-107).
+
+    Rows are dealt and sorted by row_number, over range partitions; no task and no driver holds them
+    all. row_number must be unique. Without results the document has an empty list.
+    """
+    rows = result_json(results)
+    first, last = results.agg(F.min("row_number"), F.max("row_number")).first()
+    first, last = first or 0, last or 0
+    line = F.when(F.col("row_number") > first, F.concat(F.lit(", "), F.col("json"))).otherwise(F.col("json"))
+    body = rows.select(F.col("row_number").alias("place"), line.alias("value"))
+    counts = summarize(results).select(F.to_json(F.struct("*")).alias("s"))
+    ends = F.explode(F.array(
+        F.struct(F.lit(first - 1).alias("place"), F.lit('{"results": [').alias("value")),
+        F.struct(F.lit(last + 1).alias("place"), F.concat(F.lit('], "summary": '), F.col("s"), F.lit("}")).alias("value")),
+    ))
+    whole = body.unionByName(counts.select(ends.alias("e")).select(F.col("e.place").cast("long").alias("place"), "e.value"))
+    whole.repartitionByRange("place").sortWithinPartitions("place").select("value").write.text(path)
+
+
 def exit_code(summary: DataFrame) -> int:
     """OP-25: 0 if every claim is accepted, else 2."""
     row = summary.first()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from attesta.functions import text as tx
 from attesta.functions import vocab
 from attesta.functions.doi import normalize_doi
+from attesta.operators.claims import settled
+from attesta.operators.resolve import answers_by_doi, spread
 
 REASONS = vocab.METADATA_REASONS
 
@@ -16,54 +18,83 @@ def given(text: Column) -> Column:
     return F.coalesce(text, F.lit("")) != ""
 
 
-def titles_match(left: Column, right: Column) -> Column:
-    """OP-111: equal numbers and equal tokens, in order. Equal titles are not looked into."""
-    same = left == right
-    a, b = (F.when(~same, t) for t in (left, right))
-    return F.when(same, F.lit(True)).otherwise((tx.numbers(a) == tx.numbers(b)) & (tx.tokens_with_greek(a) == tx.tokens_with_greek(b)))
+def tokens_of_name(plain: Column) -> Column:
+    """OP-37, of a folded name."""
+    return F.filter(F.split(tx.strip(F.regexp_replace(plain, "[^a-z -]", " ")), r"(?U)\s+", -1), lambda t: t != "")
 
 
 def author_tokens(name: Column) -> Column:
-    """OP-37."""
-    return F.filter(F.split(tx.strip(F.regexp_replace(tx.plain_fold(name), "[^a-z -]", " ")), r"(?U)\s+", -1), lambda t: t != "")
+    return tokens_of_name(tx.plain_fold(name))
 
 
-def authors_match(left: Column, right: Column) -> Column:
-    """OP-77: equal last words; equal words where either side is a group. Names without Latin letters match nothing."""
-    a, b = author_tokens(left), author_tokens(right)
+def same_name(a: Column, b: Column) -> Column:
+    """OP-77 on tokens: equal last words; equal words where either side is a group. Names without Latin letters match nothing."""
     groups = F.array(*[F.lit(w) for w in vocab.GROUP_AUTHOR_WORDS])
     group = F.arrays_overlap(a, groups) | F.arrays_overlap(b, groups)
     return F.coalesce((F.size(a) > 0) & (F.size(b) > 0) & F.when(group, a == b).otherwise(F.try_element_at(a, F.lit(-1)) == F.try_element_at(b, F.lit(-1))), F.lit(False))
 
 
+def authors_match(left: Column, right: Column) -> Column:
+    return same_name(author_tokens(left), author_tokens(right))
+
+
 def verify_metadata(pairs: DataFrame, fetched: str = "fetched") -> DataFrame:
     """pairs (doi, title, first_author, year and the record `fetched`) with mismatches, verdict and reason (OP-110).
 
     Mismatches come in the order doi, metadata, title, first_author, year. None is PASS; a doi,
     title or first_author mismatch REJECT; a citation without title or author, or another year, WARN.
+    Titles match by equal numbers and equal tokens, in order (OP-111); equal ones are not looked into.
+
+    Columns build on columns: folded texts first (one pass through the workers, for texts that are not
+    ASCII), then their tokens, then the comparisons; each is in the plan once.
     """
     f = F.col(fetched)
     empty = F.lit("")
+    cited_title, found_title = F.coalesce("title", empty), F.coalesce(f["title"], empty)
+    looked_into = given(F.col("title")) & (cited_title != found_title)
+    cited_name, found_name = F.coalesce("first_author", empty), F.coalesce(F.get(f["authors"], F.lit(0)), empty)
+    named = given(F.col("first_author"))
+    staged = pairs.withColumns({
+        "_title": tx.plain_title(F.when(looked_into, cited_title)), "_found_title": tx.plain_title(F.when(looked_into, found_title)),
+        "_name": tx.plain_fold(F.when(named, cited_name)), "_found_name": tx.plain_fold(F.when(named, found_name)),
+        "_doi": normalize_doi(F.when(given(F.col("doi")), F.col("doi"))), "_found_doi": normalize_doi(F.coalesce(f["doi"], empty)),
+    })
+    staged = staged.withColumns({"_name": tokens_of_name(F.col("_name")), "_found_name": tokens_of_name(F.col("_found_name"))})
+    same_title = (F.col("_title") == F.col("_found_title")) | (tx.title_tokens(F.col("_title")) == tx.title_tokens(F.col("_found_title")))
+    same_numbers = tx.numbers(F.when(looked_into, cited_title)) == tx.numbers(F.when(looked_into, found_title))
     tests = [
-        ("doi", given(F.col("doi")) & (normalize_doi(F.coalesce("doi", empty)) != normalize_doi(F.coalesce(f["doi"], empty)))),
-        ("metadata", ~(given(F.col("title")) & given(F.col("first_author")))),
-        ("title", given(F.col("title")) & ~titles_match(F.coalesce("title", empty), F.coalesce(f["title"], empty))),
-        ("first_author", given(F.col("first_author")) & ~authors_match(F.coalesce("first_author", empty), F.coalesce(F.get(f["authors"], F.lit(0)), empty))),
+        ("doi", F.col("_doi") != F.col("_found_doi")),
+        ("metadata", ~(given(F.col("title")) & named)),
+        ("title", looked_into & ~(same_numbers & same_title)),
+        ("first_author", named & ~same_name(F.col("_name"), F.col("_found_name"))),
         ("year", F.col("year").isNotNull() & ~F.coalesce(F.col("year") == f["year"], F.lit(False))),
     ]
     found = F.array_compact(F.array(*[F.when(test, name) for name, test in tests]))
-    out = pairs.withColumn("mismatches", found)
+    made = ["_title", "_found_title", "_name", "_found_name", "_doi", "_found_doi"]
+    out = settled(staged.withColumn("mismatches", found).drop(*made), "mismatches")
     m = F.col("mismatches")
     severe = F.arrays_overlap(m, F.array(F.lit("doi"), F.lit("title"), F.lit("first_author")))
     verdict = F.when(F.size(m) == 0, "PASS").when(severe, "REJECT").otherwise("WARN")
-    reason = F.when(F.size(m) == 0, REASONS["PASS"]).when(severe, REASONS["REJECT"]).when(F.array_contains(m, "metadata"), REASONS["metadata"]).otherwise(REASONS["year"])
-    return out.withColumns({"verdict": verdict, "reason": reason})
+    out = out.withColumn("verdict", verdict)
+    reason = F.when(F.col("verdict") != "WARN", F.when(F.col("verdict") == "PASS", REASONS["PASS"]).otherwise(REASONS["REJECT"])).when(F.array_contains(m, "metadata"), REASONS["metadata"]).otherwise(REASONS["year"])
+    return out.withColumn("reason", reason)
+
 
+def verify_citations(citations: DataFrame, answers: DataFrame) -> DataFrame:
+    """citations (doi, title, first_author, year) with CrossRef's record, fetched, and mismatches, verdict and reason (J-5); the last three are null without a record.
 
-def verify_citations(citations: DataFrame, records: DataFrame) -> DataFrame:
-    """citations joined with CrossRef records (doi_norm, record) on the normalised DOI (J-5); those without a record have a null verdict."""
-    keyed = citations.withColumn("doi_norm", normalize_doi(F.col("doi")))
-    joined = keyed.join(records.select("doi_norm", F.col("record").alias("fetched")), "doi_norm", "left")
-    out = verify_metadata(joined)
+    answers: schemas.SOURCE_ANSWER, or doi_norm and record alone; those of other sources are left out.
+    Each different DOI is looked up once, with the least of its answers by the order of
+    `resolve.answers_by_doi`, so repeated answers repeat no citation; the most cited DOIs are dealt
+    over several tasks. Citations that repeat stay as many.
+    """
+    keyed = citations.withColumn("doi_norm", F.coalesce(normalize_doi(F.col("doi")), F.lit("")))
+    asked = keyed.groupBy("doi_norm").agg(F.count("*").alias("_rows"))
+    for name in ("source_name", "error_status", "error_reason"):
+        if name not in answers.columns:
+            answers = answers.withColumn(name, F.lit("crossref" if name == "source_name" else None).cast("string"))
+    own = answers_by_doi(answers.where("source_name = 'crossref' and record is not null"))
+    found = asked.join(own.select("doi_norm", F.col("crossref.record").alias("fetched")), "doi_norm", "left")
+    out = verify_metadata(spread(keyed, found, asked, "doi_norm", [c for c in keyed.columns if c != "doi_norm"]))
     there = F.col("fetched").isNotNull()
     return out.withColumns({c: F.when(there, F.col(c)) for c in ("mismatches", "verdict", "reason")})

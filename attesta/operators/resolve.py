@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,18 +128,18 @@ def evident(resolved: DataFrame) -> DataFrame:
     return with_evidence(resolved.withColumn("abstract", usable_abstract())).drop("abstract")
 
 
-def spread(claims: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """claims with dim's columns by an equi-join on key, of which every claim has one row in dim, with _rows counting its claims.
+def spread(claims: DataFrame, dim: DataFrame, counts: DataFrame, key: str, salt_by: Sequence[str] = ("row_number", "claim")) -> DataFrame:
+    """claims with dim's columns by an equi-join on key, of which every claim has one row in dim; counts has _rows, the claims of each key.
 
     The most cited keys are dealt over as many tasks as their claims ask for, with a copy of their row
-    for each; only their names and numbers, at most MOST_HOT, are broadcast.
+    for each; only their names and numbers, at most MOST_HOT, are broadcast. dim is computed once.
     """
-    hot = dim.orderBy(F.desc("_rows"), key).limit(MOST_HOT).where(F.col("_rows") > PER_TASK)
+    hot = counts.where(F.col("_rows") > PER_TASK).orderBy(F.desc("_rows"), key).limit(MOST_HOT)
     hot = F.broadcast(hot.select(key, F.ceil(F.col("_rows") / PER_TASK).cast("int").alias("_tasks")))
-    salt = F.coalesce(F.pmod(F.xxhash64("row_number", "claim"), F.col("_tasks")), F.lit(0)).cast("int")
+    salt = F.coalesce(F.pmod(F.xxhash64(*salt_by), F.col("_tasks")), F.lit(0)).cast("int")
     fact = claims.join(hot, key, "left").withColumn("_salt", salt).drop("_tasks")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1)).alias("_salt")
-    return fact.join(dim.join(hot, key, "left").select("*", copies).drop("_rows", "_tasks"), [key, "_salt"]).drop("_salt")
+    return fact.join(dim.drop("_rows").join(hot, key, "left").select("*", copies).drop("_tasks"), [key, "_salt"]).drop("_salt")
 
 
 def check_claims(claims: DataFrame, answers: DataFrame, use_crossref_abstract: bool = True) -> DataFrame:
@@ -151,7 +153,7 @@ def check_claims(claims: DataFrame, answers: DataFrame, use_crossref_abstract: b
     keyed = keyed.withColumn("_key", F.concat_ws(" ", "source", "doi_norm"))
     asked = keyed.groupBy("_key", "source", "doi_norm").agg(F.count("*").alias("_rows"))
     found = evident(resolve(asked, answers_by_doi(answers), use_crossref_abstract)).drop("source", "doi_norm")
-    return judge_resolved(spread(keyed, found, "_key").drop("_key"))
+    return judge_resolved(spread(keyed, found, asked, "_key").drop("_key"))
 
 
 def judge_resolved(resolved: DataFrame) -> DataFrame:

@@ -1,59 +1,105 @@
-"""Passages sought in all documents at once, by equi-joins."""
+"""Passages sought in all documents at once, by equi-joins on the words that few documents have."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from attesta.functions import text as tx
 
-#: Rows of one join key on the documents' side are dealt over so many tasks.
-SALTS = 16
-#: Words of a window.
-WINDOW = 5
+#: Rows of one join key that a task takes; the most frequent MOST_HOT keys with more are dealt over as many tasks as they ask for.
+PER_TASK, MOST_HOT = 50_000, 1000
 
 
-def salted_join(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """An inner equi-join in which a frequent key of rows is spread; few is repeated for each salt."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def spread_join(rows: DataFrame, few: DataFrame, counts: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """rows joined with few on key; counts (key, n) has how many of rows have each.
+
+    Rows of a frequent key are dealt by their columns `by`, and its rows in few repeated for each of its tasks.
+    """
+    hot = counts.where(F.col("n") > PER_TASK).orderBy(F.desc("n"), key).limit(MOST_HOT)
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("n") / PER_TASK).cast("int").alias("_tasks")))
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_tasks")), F.lit(0)).cast("int").alias("_salt")
+    left = rows.join(hot, key, "left").select(*rows.columns, salt)
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1)).alias("_salt")
+    right = few.join(hot, key, "left").select(*few.columns, copies)
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
-def windows(words: Column, n: int) -> Column:
-    """Hashes of the different runs of n words."""
-    each = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
-    return tx.let(words, lambda w: F.when(F.size(w) >= n, F.array_distinct(each(w))))
+def phrase_places(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id and start of each place, in words from 0, where one of docs (doc_id, text) says the whole of one of items (item_id, text), word by word (OP-40, OP-58).
+
+    Of a phrase's words the one with the fewest occurrences in all documents is its anchor, of equal
+    ones the first in it. A phrase can stand only where its anchor does, so an index of the anchors'
+    places is all that is joined; there the whole phrase is compared. Places overlap where phrases do.
+    Phrases without words, or with one that no document has, are nowhere; rows without a doc_id are
+    not looked through. Equal rows of docs or items are found each for itself.
+    """
+    said = docs.select("doc_id", tx.phrase_tokens(F.col("text")).alias("_words"))
+    wanted = items.select("item_id", tx.phrase_tokens(F.col("text")).alias("_phrase")).where(F.size("_phrase") > 0)
+    each = wanted.select("_phrase").distinct().select("_phrase", F.posexplode("_phrase").alias("_offset", "word"))
+    counts = said.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = counts.join(each.select("word").distinct(), "word", "left_semi")
+    anchors = each.join(counts, "word").groupBy("_phrase").agg(F.min(F.struct("n", "_offset", "word")).alias("a"), F.count("*").alias("_met"))
+    anchors = anchors.where(F.col("_met") == F.size("_phrase")).select("_phrase", "a._offset", "a.word")
+    rare = anchors.select("word").distinct()
+    index = said.select("doc_id", F.posexplode("_words").alias("at", "word")).join(rare, "word", "left_semi")
+    met = spread_join(index, anchors, counts.join(rare, "word", "left_semi"), "word", ["doc_id", "at"])
+    starts = met.select("doc_id", "_phrase", (F.col("at") - F.col("_offset")).alias("start")).where("start >= 0").distinct()
+    stands = F.slice("_words", F.col("start") + 1, F.size("_phrase")) == F.col("_phrase")
+    found = starts.join(said, "doc_id").where(stands).select("doc_id", "_phrase", "start")
+    return found.join(wanted, "_phrase").select("doc_id", "item_id", "start")
 
 
 def phrase_search(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id and item_id for each of docs (doc_id, text) that says the whole of one of items (item_id, text), word by word (OP-40).
+    """doc_id and item_id for each of docs that says the whole of one of items (see `phrase_places`)."""
+    return phrase_places(docs, items).select("doc_id", "item_id").distinct()
+
+
+def first_rows(df: DataFrame, by: list[str], order: list[Column], most: int, name: str = "rank") -> DataFrame:
+    """The first `most` rows of each group, numbered; Spark keeps no more than that of a group in a task before the shuffle."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= most)
 
-    A phrase's first words, five or all of a shorter one, are joined with the windows of as many words of
-    all documents, by hash; the pairs found are then compared whole. Phrases without words are in no document.
+
+def met_sets(postings: DataFrame, wanted: DataFrame, counts: DataFrame, terms: str) -> DataFrame:
+    """Each pair of an item and a set of terms that has one of the item's column `terms`, once, with the number of terms they share."""
+    few = wanted.select("item_id", "asked", F.col(terms).alias("_prefix"), F.explode(terms).alias("term"))
+    pairs = spread_join(postings, few, counts, "term", ["terms"])
+    # in the row of the first term that both have
+    once = F.get(F.filter("_prefix", lambda t: F.array_contains("terms", t)), F.lit(0)) == F.col("term")
+    return pairs.where(once).select("item_id", "asked", "terms", "first", F.size(F.array_intersect("asked", "terms")).alias("shared"))
+
+
+def top_evidence(docs: DataFrame, items: DataFrame, most: int = 10, looked_at: int = 200) -> DataFrame:
+    """item_id, rank, doc_id, at, shared and evidence: the `most` sentences of all docs (doc_id, text) that share most terms (OP-38, OP-45) with each of items (item_id, text), ties by doc_id, then in text order (OP-100, OP-101).
+
+    Sentences with the same terms are one set. A set that shares t of an item's m terms has one of any
+    m - t + 1 of them. So of each item's terms, the rarest first, as many are looked up as make about
+    `looked_at` sets; the least of the best `most` numbers of shared terms found there is t, and the sets
+    that can reach it have one of the rarest m - t + 1 terms. Its frequent terms are never looked up
+    unless it has no others. Sentences without a term in common with an item are no evidence of it.
+
+    Rows of items without an id, and texts without terms, find nothing; equal sentences of several
+    documents rank each for itself. An empty table gives an empty result.
     """
-    phrase = items.select("item_id", tx.phrase(F.col("text")).alias("_phrase")).where("_phrase <> ''")
-    first = F.slice(F.split("_phrase", " "), 1, WINDOW)
-    phrase = phrase.withColumn("_n", F.size(first)).withColumn("_h", F.xxhash64(F.array_join(first, " ")))
-    keys = phrase.select("item_id", "_n", "_h")
-    found = None
-    for n in range(1, WINDOW + 1):
-        seen = docs.select("doc_id", F.explode(windows(tx.phrase_tokens(F.col("text")), n)).alias("_h"))
-        hits = salted_join(seen, keys.where(F.col("_n") == n).drop("_n"), "_h").select("doc_id", "item_id")
-        found = hits if found is None else found.unionByName(hits)
-    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    pairs = found.join(phrase.select("item_id", "_phrase"), "item_id")
-    whole = docs.select("doc_id", tx.phrase(F.col("text")).alias("_text")).join(pairs, "doc_id")
-    return whole.where(F.contains(padded(F.col("_text")), padded(F.col("_phrase")))).select("doc_id", "item_id")
-
-
-def overlap_ranked(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, shared and evidence for each pair that has a term in common: the document's sentence that shares
-    most terms (OP-38, OP-45) with the passage, ties to the first. Sentences and passages are joined on their stems."""
-    said = docs.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("_at", "evidence"))
-    terms = lambda c: F.explode(F.array_distinct(tx.claim_stems(F.col(c)))).alias("_term")
-    pairs = salted_join(said.select("doc_id", "_at", terms("evidence")), items.select("item_id", terms("text")), "_term")
-    shared = pairs.groupBy("doc_id", "item_id", "_at").agg(F.count("*").alias("shared"))
-    best = shared.groupBy("doc_id", "item_id").agg(F.max(F.struct("shared", (-F.col("_at")).alias("_before"))).alias("_b"))
-    best = best.select("doc_id", "item_id", F.col("_b.shared").alias("shared"), (-F.col("_b._before")).alias("_at"))
-    return best.join(said, ["doc_id", "_at"]).select("doc_id", "item_id", "shared", "evidence")
+    stems = lambda c: F.array_sort(F.array_distinct(tx.claim_stems(F.col(c))))
+    said = docs.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("at", "evidence")).withColumn("terms", stems("evidence")).where(F.size("terms") > 0)
+    sets = said.groupBy("terms").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    asked = items.where("item_id is not null").select("item_id", stems("text").alias("asked")).distinct()
+    each = asked.select("item_id", "asked", F.explode("asked").alias("term"))
+    postings = sets.select("terms", "first", F.explode("terms").alias("term"))
+    counts = postings.groupBy("term").agg(F.count("*").alias("n")).join(each.select("term").distinct(), "term", "left_semi")
+
+    known = each.join(counts, "term").groupBy("item_id", "asked").agg(F.array_sort(F.collect_list(F.struct("n", "term"))).alias("k"))
+    upto = F.transform("k", lambda _, i: F.aggregate(F.slice("k", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    known = known.withColumn("_rare", 1 + F.size(F.filter(upto, lambda n: n < looked_at))).withColumn("k", F.transform("k", lambda x: x["term"]))
+    order = [F.desc("shared"), F.col("first")]
+    by = ["item_id", "asked"]
+    tried = met_sets(postings, known.withColumn("_some", F.slice("k", F.lit(1), F.col("_rare"))), counts, "_some")
+    reached = first_rows(tried, by, order, most).groupBy(*by).agg(F.when(F.count("*") >= most, F.min("shared")).otherwise(1).alias("_least"))
+    needed = known.join(reached, by).withColumn("_needed", F.slice("k", F.lit(1), F.size("k") - F.col("_least") + 1))
+    # every row of the best comes from one of the best sets
+    best = first_rows(met_sets(postings, needed, counts, "_needed"), by, order, most)
+    own = first_rows(said.join(best.select("terms").distinct(), "terms", "left_semi"), ["terms"], [F.col("doc_id"), F.col("at")], most, "_own")
+    rows = best.select("item_id", "asked", "terms", "shared").join(own.drop("_own"), "terms")
+    return first_rows(rows, by, [F.desc("shared"), F.col("doc_id"), F.col("at")], most).select("item_id", "rank", "doc_id", "at", "shared", "evidence")

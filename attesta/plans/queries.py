@@ -14,6 +14,8 @@ from attesta.plans import corpus, prose
 from attesta.plans import expected as x
 from attesta.plans.corpus import table
 from attesta.sources import parsers
+from attesta.sources.claims import numbered_lines, read_claims
+from attesta.sources.shared import new_folder
 
 
 def given(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
@@ -130,21 +132,6 @@ def number_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMBER_EXTRACT = r"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '\d+(?:,\d{3})*(?:\.\d+)?'), lambda n: replace(n, ',', '')), ' ') AS numbers FROM documents"
 
 
-def with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each of the pairs asked about: a document with the passage of its key's remainder by 40. Only passages 0 to 39 are asked
-    about, however many there are; `phrase_search` and `term_overlap_ranked` take all documents with all passages."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id")).join(items, "item_id")
-
-
-def term_overlap_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentence of each document that shares most terms with a passage, ties to the first."""
-    rows = with_items(spark, sf_dir).withColumn("c_terms", F.array_distinct(tx.claim_stems(F.col("item")))).withColumn("s", tx.sentences(F.col("text")))
-    scored = F.transform("s", lambda s, i: F.struct((-tx.overlap(F.col("c_terms"), tx.claim_stems(s))).alias("r"), i.alias("i"), s.alias("t")))
-    top = rows.withColumn("top", F.get(F.array_sort(scored), F.lit(0)))
-    return top.select("doc_id", (-F.col("top.r")).cast("long").alias("shared"), F.col("top.t").alias("evidence"))
-
-
 STEM = f"lambda w: CASE WHEN w LIKE 'actuat%' THEN 'actuat' WHEN w LIKE 'strain%' THEN 'strain' WHEN length(w) > 3 AND w LIKE '%s' THEN left(w, -1) ELSE w END"  # noqa: F541
 
 
@@ -152,30 +139,40 @@ def sql_stems(text: str) -> str:
     return f"list_transform(list_filter(regexp_extract_all(lower({text}), '[a-z]+'), lambda w: NOT list_contains({vocab.CLAIM_STOPWORDS}, w)), {STEM})"
 
 
-TERM_OVERLAP_TOP1 = f"""WITH s AS (SELECT doc_id, i, t, len(list_intersect({sql_stems('item')}, {sql_stems('t')})) AS shared FROM (SELECT doc_id, b.text AS item, unnest({SENTENCES.replace('text', 'd.text')}) AS t, generate_subscripts({SENTENCES.replace('text', 'd.text')}, 1) AS i
- FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id))
- SELECT doc_id, CAST(shared AS BIGINT) AS shared, t AS evidence FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, i) = 1"""
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents say which passages, all with all."""
+    return search.phrase_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def phrase_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does a document say a passage's first five words, in this order?"""
-    rows = with_items(spark, sf_dir)
-    wanted = F.array_join(F.slice(F.split(tx.phrase(F.col("item")), " "), 1, 5), " ")
-    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    return rows.select("doc_id", F.contains(padded(tx.phrase(F.col("text"))), padded(wanted)).alias("says"))
+def phrase_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where all documents say parts of the passages: each passage's sentences, wherever they stand."""
+    parts = table(spark, sf_dir, "benchmark").select(F.posexplode(tx.sentences(F.col("text"))).alias("part", "text"), "item_id")
+    places = search.phrase_places(table(spark, sf_dir, "documents"), parts.select(F.struct("item_id", "part").alias("item_id"), "text"))
+    return places.select("doc_id", F.col("item_id.item_id").alias("item_id"), F.col("item_id.part").alias("part"), "start")
 
 
-PHRASE_CONTAINS = "SELECT doc_id, contains(' ' || array_to_string(regexp_extract_all(lower(d.text), '[a-z0-9]+'), ' ') || ' ', ' ' || array_to_string(list_slice(regexp_extract_all(lower(b.text), '[a-z0-9]+'), 1, 5), ' ') || ' ') AS says FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id"
+def sql_phrases(table: str, text: str, keys: str) -> str:
+    return f"SELECT {keys}, regexp_extract_all(lower({text}), '[a-z0-9]+') AS w FROM {table}"
 
 
-def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents and all passages; `phrase_contains` asks for one given pair a document."""
-    return search.phrase_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+#: Words with their places, and each phrase compared where its first word stands.
+STANDS = """words AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM said), firsts AS (SELECT doc_id, i, w[i] AS word, w FROM words),
+ met AS (SELECT f.*, p.* EXCLUDE (w), f.i - 1 AS start FROM firsts f JOIN phrases p ON f.word = p.w[1] AND f.w[f.i:f.i + len(p.w) - 1] = p.w)"""
+PHRASE_SEARCH = f"WITH said AS ({sql_phrases('documents', 'text', 'doc_id')}), phrases AS ({sql_phrases('benchmark', 'text', 'item_id')}), {STANDS} SELECT DISTINCT doc_id, item_id FROM met"
+PHRASE_PLACES = f"""WITH said AS ({sql_phrases('documents', 'text', 'doc_id')}), parts AS (SELECT item_id, unnest({SENTENCES}) AS text, (generate_subscripts({SENTENCES}, 1) - 1)::INTEGER AS part FROM benchmark),
+ phrases AS ({sql_phrases('parts', 'text', 'item_id, part')}), {STANDS} SELECT doc_id, item_id, part, start::INTEGER AS start FROM met"""
 
 
 def term_overlap_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents and all passages; `term_overlap_top1` ranks for one given pair a document."""
-    return search.overlap_ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """The ten sentences of all documents that share most terms with each passage."""
+    return search.top_evidence(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TERM_OVERLAP_RANKED = f"""WITH said AS (SELECT doc_id, unnest({SENTENCES}) AS evidence, generate_subscripts({SENTENCES}, 1) - 1 AS at_ FROM documents),
+ terms AS (SELECT *, list_distinct({sql_stems('evidence')}) AS t FROM said), items AS (SELECT item_id, list_distinct({sql_stems('text')}) AS t FROM benchmark),
+ pairs AS (SELECT item_id, doc_id, at_, evidence, len(list_intersect(i.t, s.t)) AS shared FROM terms s, items i),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id, at_) AS place FROM pairs WHERE shared > 0)
+ SELECT item_id, place::INTEGER AS rank, doc_id, at_::INTEGER AS "at", shared::INTEGER AS shared, evidence FROM ranked WHERE place <= 10"""
 
 
 def inverted_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -454,6 +451,69 @@ CROSS_SOURCE_EXISTENCE = """SELECT key, CAST(n AS BIGINT) AS sources, CASE WHEN
  CAST(p_partkey <> 7 AND p_partkey % 23 <> 0 AS INTEGER) + CAST(p_partkey % 4 = 1 AND p_partkey % 5 <> 0 AS INTEGER) + CAST(p_partkey % 3 = 0 AS INTEGER) + CAST(p_partkey % 7 = 0 AS INTEGER) AS n FROM part)"""
 
 
+# --- claim files and documents -------------------------------------------------------------------
+
+
+def claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of a file, in order: some without a DOI or claim, some of unknown sources, with quotes, commas and line breaks in them."""
+    line = table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("long") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")])
+    k, n = F.col("l_orderkey") + F.col("l_linenumber"), F.col("l_linenumber")
+    return line.select(
+        *line.columns, F.when(k % 4 > 0, corpus.text(" {}-{} ", F.col("l_orderkey"), n)).alias("id"), F.when(k % 50 > 0, corpus.text("10.5555/part.{}", F.col("l_partkey"))).otherwise("").alias("doi"),
+        F.when(k % 41 > 0, corpus.text('device "lifetime",\nabove {} cycles', F.col("l_quantity"))).alias("claim"), F.when(k % 31 == 0, "arxiv").when(k % 3 == 0, "pubmed").alias("source"), F.when(k % 7 == 0, "ü, note").alias("note"),
+    )
+
+
+def sorted_rows(rows: DataFrame) -> DataFrame:
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order)
+
+
+def claim_file_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims written as CSV files and read back: rows, numbers and what is wrong with them (OP-01, 03, 04)."""
+    path = new_folder(spark, "claims") + ".csv"
+    sorted_rows(claim_rows(spark, sf_dir)).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_claims(spark, path, strict=False)
+
+
+def claim_file_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as JSON lines (OP-01, 02, 04)."""
+    path = new_folder(spark, "claims") + ".jsonl"
+    rows = sorted_rows(claim_rows(spark, sf_dir))
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
+    return read_claims(spark, path, strict=False)
+
+
+def sql_claim_file(first: int) -> str:
+    at = f"(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) + {first - 1})"
+    return f"""WITH c AS (SELECT {at} AS row_number, CASE WHEN k % 4 > 0 THEN l_orderkey || '-' || l_linenumber END AS id, CASE WHEN k % 50 > 0 THEN '10.5555/part.' || l_partkey END AS doi,
+ CASE WHEN k % 41 > 0 THEN 'device "lifetime",' || chr(10) || 'above ' || CAST(l_quantity AS BIGINT) || ' cycles' END AS claim, CASE WHEN k % 31 = 0 THEN 'arxiv' WHEN k % 3 = 0 THEN 'pubmed' ELSE 'auto' END AS source, CASE WHEN k % 7 = 0 THEN 'ü, note' END AS note
+ FROM (SELECT *, l_orderkey + l_linenumber AS k FROM lineitem))
+ SELECT *, CASE WHEN doi IS NULL THEN 'Missing required field on line ' || row_number || ': doi' WHEN claim IS NULL THEN 'Missing required field on line ' || row_number || ': claim' WHEN source = 'arxiv' THEN 'Invalid field on line ' || row_number || ': source=arxiv' END AS error FROM c"""
+
+
+def payload_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on papers written as one JSON document, and its lines in the order of the files (OP-24, 90, 107)."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("row_number"), (F.col("p_partkey") * 7 % 50 + 1).alias("v"), F.col("p_size").cast("long").alias("t"))
+    pairs = part.withColumn("abstract", corpus.text("Actuated strain was {}%.", F.col("v"))).withColumn("claim", corpus.text("actuation strain above {}%", F.col("t")))
+    checked = claims.check_pairs(pairs)
+    code = F.when(F.col("verdict") == "ACCEPT", "CLAIM_SUPPORTED").otherwise("CLAIM_NOT_EXPLICIT")
+    none = F.lit(None).cast("string")
+    results = checked.select("row_number", none.alias("id"), F.lit("10.1/x").alias("doi"), "claim", none.alias("note"), "status", "verdict", "reason", "evidence", none.alias("abstract_source"), code.alias("error_code"), none.alias("record"), none.alias("attempts"))
+    path = new_folder(spark, "document")
+    batch.write_document(results, path)
+    lines = numbered_lines(spark, path)
+    row = F.from_json(F.regexp_replace("value", "^, ", ""), "row_number long, verdict string, evidence string")
+    total = F.regexp_extract("value", '"total":([0-9]+),"accept":([0-9]+)', 0)
+    return lines.select("line", row["row_number"].alias("row_number"), row["verdict"].alias("verdict"), row["evidence"].alias("evidence"), F.when(F.contains("value", F.lit('"summary"')), total).alias("summary"), F.col("value").startswith(", ").alias("goes_on"))
+
+
+PAYLOAD_DOCUMENT = """WITH r AS (SELECT p_partkey::BIGINT AS row_number, p_partkey * 7 % 50 + 1 AS v, p_partkey * 7 % 50 + 1 > p_size AS ok FROM part), n AS (SELECT *, row_number() OVER (ORDER BY row_number) AS i FROM r)
+ SELECT 1::BIGINT AS line, NULL::BIGINT AS row_number, NULL AS verdict, NULL AS evidence, NULL AS summary, FALSE AS goes_on
+ UNION ALL SELECT i + 1, row_number, CASE WHEN ok THEN 'ACCEPT' ELSE 'WARN' END, 'Actuated strain was ' || v || '%.', NULL, i > 1 FROM n
+ UNION ALL SELECT count(*) + 2, NULL, NULL, NULL, '"total":' || count(*) || ',"accept":' || count(*) FILTER (WHERE ok), FALSE FROM r"""
+
+
 def payload_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CrossRef messages rendered from part and supplier, and read back."""
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_name")
@@ -473,16 +533,16 @@ PAYLOAD_PARSE = "SELECT p_partkey, '10.5555/part.' || p_partkey AS doi, p_name A
 QUERIES = {
     f.__name__: f
     for f in (
-        doi_normalize, doi_golden, metadata_verdict, metadata_mismatches, title_tokens, author_tokens, sentence_split_stats, clause_split_stats, number_extract, term_overlap_top1, phrase_contains,
-        phrase_search, term_overlap_ranked, inverted_index_roundtrip, html_abstract_clean, json_event_props, previous_sentence, measurement_extract, unit_normalize, comparator_lexer, entail_pct, entail_num, contradict_pct, frame_guard, scope_guard,
+        doi_normalize, doi_golden, metadata_verdict, metadata_mismatches, title_tokens, author_tokens, sentence_split_stats, clause_split_stats, number_extract,
+        phrase_search, phrase_places, term_overlap_ranked, inverted_index_roundtrip, html_abstract_clean, json_event_props, previous_sentence, measurement_extract, unit_normalize, comparator_lexer, entail_pct, entail_num, contradict_pct, frame_guard, scope_guard,
         approx_guard, numeric_golden, claim_verdicts, numeric_claim_verdict, pct_claim_verdict, pct_contradiction, source_fallback, attempt_log, final_error_code, batch_summary, batch_failed, verdict_rollup,
-        batch_report, regression_gate, cross_source_existence, payload_parse,
+        batch_report, regression_gate, cross_source_existence, payload_parse, claim_file_csv, claim_file_jsonl, payload_document,
     )
 }
 
 ORACLE_SQL = {
     "doi_normalize": DOI_NORMALIZE, "doi_golden": DOI_GOLDEN, "metadata_verdict": METADATA_VERDICT, "metadata_mismatches": METADATA_MISMATCHES, "title_tokens": TITLE_TOKENS, "author_tokens": AUTHOR_TOKENS,
-    "sentence_split_stats": SENTENCE_SPLIT_STATS, "clause_split_stats": CLAUSE_SPLIT_STATS, "number_extract": NUMBER_EXTRACT, "term_overlap_top1": TERM_OVERLAP_TOP1, "phrase_contains": PHRASE_CONTAINS,
+    "sentence_split_stats": SENTENCE_SPLIT_STATS, "clause_split_stats": CLAUSE_SPLIT_STATS, "number_extract": NUMBER_EXTRACT, "phrase_search": PHRASE_SEARCH, "phrase_places": PHRASE_PLACES, "term_overlap_ranked": TERM_OVERLAP_RANKED,
     "inverted_index_roundtrip": INVERTED_INDEX_ROUNDTRIP, "html_abstract_clean": HTML_ABSTRACT_CLEAN, "json_event_props": JSON_EVENT_PROPS, "previous_sentence": PREVIOUS_SENTENCE, "measurement_extract": MEASUREMENT_EXTRACT, "unit_normalize": UNIT_NORMALIZE,
     "comparator_lexer": COMPARATOR_LEXER, "entail_pct": sql_grid(x.entails_percentage(*GRID), "entailed"), "entail_num": sql_grid(x.entails_measurement(*GRID), "entailed"), "contradict_pct": sql_grid(x.contradicts(*GRID), "contradicted"),
     "frame_guard": FRAME_GUARD, "scope_guard": SCOPE_GUARD, "approx_guard": APPROX_GUARD, "numeric_golden": NUMERIC_GOLDEN,
@@ -493,6 +553,7 @@ ORACLE_SQL = {
     "batch_summary": f"{x.VERDICTS} SELECT {SUMMARY}, {FAILED} FROM verdicts", "batch_failed": f"{x.VERDICTS} SELECT error_code, count(*) AS failed FROM verdicts WHERE error_code IN {vocab.FAILED_CODES} GROUP BY error_code",
     "verdict_rollup": f"{x.VERDICTS} SELECT abstract_source, error_code, count(*) AS claims FROM (SELECT coalesce(abstract_source, 'none') AS abstract_source, error_code FROM verdicts) GROUP BY ROLLUP (abstract_source, error_code)",
     "batch_report": BATCH_REPORT, "regression_gate": REGRESSION_GATE, "cross_source_existence": CROSS_SOURCE_EXISTENCE, "payload_parse": PAYLOAD_PARSE,
+    "claim_file_csv": sql_claim_file(2), "claim_file_jsonl": sql_claim_file(1), "payload_document": PAYLOAD_DOCUMENT,
 }
 
 QUERIES |= prose.QUERIES

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
 from attesta.functions import vocab
+from attesta.sources.csvrecords import csv_records
 
 FIELDS = ("id", "doi", "claim", "source", "note")
 
@@ -71,15 +72,19 @@ def parse_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_csv(spark: SparkSession, path: str) -> DataFrame:
-    """row_number (from 2, records and not lines), the fields and error of each record (OP-03)."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("ignoreLeadingWhiteSpace", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
-    names = {c.lstrip("﻿").strip(): c for c in raw.columns}
-    if not raw.columns:
+    """row_number (from 2, records and not lines), the fields and error of each record (OP-03), read in splits."""
+    records = csv_records(spark, path)
+    heads = {r["file"]: [n.lstrip("\ufeff").strip() for n in r["values"]] for r in records.where("record = 0").collect()}  # one a file
+    if not any(heads.values()):
         raise ClaimFileError("CSV input is missing a header row")
-    if missing := sorted({"doi", "claim"} - names.keys()):
-        raise ClaimFileError(f"CSV header must include doi and claim fields; missing: {', '.join(missing)}")
-    fields = [tx.non_blank(F.col(f"`{names[f]}`")).alias(f) if f in names else F.lit(None).cast("string").alias(f) for f in FIELDS]
-    return validated(raw.select((F.monotonically_increasing_id() + 2).alias("row_number"), *fields), F.lit(None).cast("string"))
+    for names in heads.values():
+        if missing := sorted({"doi", "claim"} - set(names)):
+            raise ClaimFileError(f"CSV header must include doi and claim fields; missing: {', '.join(missing)}")
+    # of columns with one name the last counts
+    places = [(file, *[len(names) - 1 - names[::-1].index(f) if f in names else None for f in FIELDS]) for file, names in heads.items()]
+    table = spark.createDataFrame(places, "file string, " + ", ".join(f"_{f} int" for f in FIELDS))
+    rows = records.where("record > 0").join(F.broadcast(table), "file")
+    return validated(rows.select("row_number", *[tx.non_blank(F.get("values", F.col(f"_{f}"))).alias(f) for f in FIELDS]), F.lit(None).cast("string"))
 
 
 def validated(rows: DataFrame, broken: Column) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from attesta.functions import vocab
 from attesta.operators import search
 from attesta.plans import queries
@@ -36,16 +38,35 @@ def test_phrase_search(spark):
     assert sorted(map(tuple, search.phrase_search(d, i).collect())) == want
 
 
-def test_overlap_ranked(spark):
-    docs, items, d, i = tables(spark)
+def test_phrase_places(spark):
+    docs, items, _, _ = tables(spark)
+    docs += [(400, "strain strain strain"), (401, "of the strain"), (400, "strain strain strain"), (None, "strain")]
+    items += [(401, "strain strain"), (402, "strain"), (402, "strain"), (403, "nowhere of the strain")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    words = lambda t: plain(t).split()
+    want = [(k, m, at) for k, t in docs for m, p in items for at in range(len(words(t))) if words(p) and words(t)[at : at + len(words(p))] == words(p) and k is not None]
+    assert sorted(map(tuple, search.phrase_places(d, i).collect())) == sorted(want)
+    assert search.phrase_places(d.limit(0), i).count() == 0 and search.phrase_places(d, i.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most, looked_at, per_task", [(1, 1, 50_000), (10, 20, 3), (3, 10**6, 50_000), (1000, 5, 50_000)])
+def test_top_evidence(spark, monkeypatch, most, looked_at, per_task):
+    """Ties, copies, items of frequent terms only, and frequent terms dealt over several tasks."""
+    monkeypatch.setattr(search, "PER_TASK", per_task)
+    docs, items, _, _ = tables(spark)
+    docs += [(500 + j, "The pump life. Valve strains!") for j in range(30)]
+    items += [(400, "pump"), (401, "the of"), (402, "pump pump life unheard")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
     want = []
-    for k, t in docs:
-        sentences = [s for s in re.split(r"(?<=[.!?])\s+", (t or "").strip()) if s]
-        for m, p in items:
-            n, _, s = max(((len(stems(s) & stems(p)), -j, s) for j, s in enumerate(sentences)), default=(0, 0, ""))
-            want += [(k, m, n, s)] if n else []
-    assert sorted(map(tuple, search.overlap_ranked(d, i).collect())) == sorted(want)
+    for m, p in items:
+        found = []
+        for k, t in docs:
+            sentences = [s for s in re.split(r"(?<=[.!?])\s+", (t or "").strip()) if s]
+            found += [(-n, k, j, s) for j, s in enumerate(sentences) if (n := len(stems(s) & stems(p)))]
+        want += [(m, r, k, j, -n, s) for r, (n, k, j, s) in enumerate(sorted(found)[:most], 1)]
+    assert sorted(map(tuple, search.top_evidence(d, i, most, looked_at).collect())) == sorted(want)
+    assert search.top_evidence(d.limit(0), i).count() == 0
 
 
 def test_all_passages_are_registered():
-    assert {"phrase_search", "term_overlap_ranked"} <= queries.QUERIES.keys()
+    assert {"phrase_search", "phrase_places", "term_overlap_ranked"} <= queries.QUERIES.keys()
