@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,14 +29,24 @@ def ladder(*steps: tuple[Column, str]) -> Column:
     return out.otherwise("exact")
 
 
+def either(text: Column, cores: Sequence[str]) -> Column:
+    """Does the text contain one of the cores? Many times cheaper than a pattern with word bounds, which only the few texts that do need."""
+    out = F.contains(text, F.lit(cores[0]))
+    for core in cores[1:]:
+        out = out | F.contains(text, F.lit(core))
+    return out
+
+
 def claimed_comparator(text: Column, exceeding: bool) -> Column:
-    """OP-80 (exceeding, the whole claim) and OP-81 (the claim before its number)."""
-    has = lambda t, p: t.rlike(r"(?U)\b(?:" + p + r")\b")
-    return let(F.lower(text), lambda t: ladder(
-        (t.rlike(">=|≥"), "gte"), (t.rlike("<=|≤"), "lte"), (t.contains(">"), "gt"), (t.contains("<"), "lt"),
-        (has(t, "(?:more|greater|higher) than or equal to"), "gte"), (has(t, "(?:less|lower|fewer) than or equal to"), "lte"), (has(t, "at least|not less than"), "gte"), (has(t, "at most|no more than"), "lte"),
-        (has(t, "up to"), "up_to"), (has(t, "below|under|less than"), "lt"), (has(t, "above|over|greater than|more than|exceeded|exceeds" + "|exceeding" * exceeding), "gt"),
-    ))
+    """OP-80 (exceeding, the whole claim) and OP-81 (the claim before its number). The phrases are fixed values."""
+    has = lambda t, p, *cores: either(t, cores) & t.rlike(r"(?U)\b(?:" + p + r")\b")
+    return let(F.lower(text), lambda t: F.when(either(t, ("<", ">", "≥", "≤", "than", "least", "most", "up to", "below", "under", "above", "over", "exceed")), ladder(
+        (either(t, (">=", "≥")), "gte"), (either(t, ("<=", "≤")), "lte"), (t.contains(">"), "gt"), (t.contains("<"), "lt"),
+        (has(t, "(?:more|greater|higher) than or equal to", "than or equal to"), "gte"), (has(t, "(?:less|lower|fewer) than or equal to", "than or equal to"), "lte"),
+        (has(t, "at least|not less than", "at least", "not less than"), "gte"), (has(t, "at most|no more than", "at most", "no more than"), "lte"),
+        (has(t, "up to", "up to"), "up_to"), (has(t, "below|under|less than", "below", "under", "less than"), "lt"),
+        (has(t, "above|over|greater than|more than|exceeded|exceeds" + "|exceeding" * exceeding, "above", "over", "greater than", "more than", "exceed"), "gt"),
+    )).otherwise("exact"))
 
 
 def ends(text: Column, words: str) -> Column:
@@ -42,7 +54,8 @@ def ends(text: Column, words: str) -> Column:
 
 
 def symbol_steps(prefix: Column) -> list[tuple[Column, str]]:
-    return [(prefix.rlike(r"(?U)(?:>=|≥)\s*$"), "gte"), (prefix.rlike(r"(?U)(?:<=|≤)\s*$"), "lte"), (prefix.rlike(r"(?U)>\s*$"), "gt"), (prefix.rlike(r"(?U)<\s*$"), "lt")]
+    marks = ((">", "≥"), r"(?:>=|≥)", "gte"), (("<", "≤"), r"(?:<=|≤)", "lte"), ((">",), ">", "gt"), (("<",), "<", "lt")
+    return [(either(prefix, cores) & prefix.rlike(rf"(?U){p}\s*$"), said) for cores, p, said in marks]
 
 
 def observed_comparator(prefix: Column, suffix: Column) -> Column:
@@ -54,12 +67,24 @@ def sides(prefix: Column, suffix: Column) -> Column:
     return F.struct(F.lower(prefix).alias("p"), F.lower(suffix).alias("s"))
 
 
+#: What a comparator before a number has in it, and one after it.
+LEADING, TRAILING = ("<", ">", "≥", "≤", "than", "least", "most", "below", "under", "above", "over", "exceed", "reached", "survived", "maintained", "up to"), ("more", "greater", "higher", "min", "less", "fewer", "lower", "max", "+")
+
+
+def stepped(p: Column, s: Column, before: list[tuple[Column, str]], after: list[tuple[Column, str]], late: list[tuple[Column, str]]) -> Column:
+    """The first step that holds; those on either side are only tried where it has a comparator's word."""
+    leads, trails = either(p, LEADING), either(s, TRAILING)
+    return F.when(leads | trails, ladder(*[(leads & t, v) for t, v in before], *[(trails & t, v) for t, v in after], *[(leads & t, v) for t, v in late])).otherwise("exact")
+
+
 def measured_ladder(p: Column, s: Column) -> Column:
-    return ladder(
+    """The phrases are fixed values."""
+    return stepped(p, s, [
         *symbol_steps(p), (ends(p, "at least|not less than"), "gte"), (ends(p, "at most|no more than"), "lte"), (ends(p, "below|under|less than"), "lt"),
         (ends(p, "above|over|greater than|more than|exceeded|exceeds|reached|survived|maintained"), "exact"), (ends(p, "up to"), "up_to"),
+    ], [
         (s.rlike(r"(?U)^\s*(?:or\s+)?(?:more|greater|higher|min|minimum)\b"), "gte"), (s.rlike(r"(?U)^\s*(?:or\s+)?(?:less|fewer|lower|max|maximum)\b"), "lte"),
-    )
+    ], [])
 
 
 def observed_percentage_comparator(prefix: Column, suffix: Column) -> Column:
@@ -68,12 +93,15 @@ def observed_percentage_comparator(prefix: Column, suffix: Column) -> Column:
 
 
 def percentage_ladder(p: Column, s: Column) -> Column:
-    return ladder(
+    """The phrases are fixed values."""
+    return stepped(p, s, [
         *symbol_steps(p), (ends(p, "no (?:more|greater|higher) than|(?:less|lower|fewer) than or equal to"), "lte"), (ends(p, "no (?:less|lower|fewer) than|(?:more|greater|higher) than or equal to"), "gte"),
-        (ends(p, "at least|not less than"), "gte"), (ends(p, "at most|no more than"), "lte"), (s.rlike(r"(?U)^\s*\+"), "gte"),
-        (s.rlike(r"(?U)^\s*[,;:]?\s*(?:or\s+)?(?:more|greater|higher|min|minimum)\b"), "gte"), (s.rlike(r"(?U)^\s*[,;:]?\s*(?:or\s+)?(?:less|fewer|lower|max|maximum)\b"), "lte"),
+        (ends(p, "at least|not less than"), "gte"), (ends(p, "at most|no more than"), "lte"),
+    ], [
+        (s.rlike(r"(?U)^\s*\+"), "gte"), (s.rlike(r"(?U)^\s*[,;:]?\s*(?:or\s+)?(?:more|greater|higher|min|minimum)\b"), "gte"), (s.rlike(r"(?U)^\s*[,;:]?\s*(?:or\s+)?(?:less|fewer|lower|max|maximum)\b"), "lte"),
+    ], [
         (ends(p, "up to"), "up_to"), (ends(p, "below|under|less than"), "lt"), (ends(p, "above|over|greater than|more than|exceeded|exceeds|exceeding"), "gt"),
-    )
+    ])
 
 
 def compared(v: Column, cmp: Column, t: Column) -> Column:

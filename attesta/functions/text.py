@@ -29,6 +29,10 @@ def non_blank(text: Column) -> Column:
 
 
 def any_of(patterns: Iterable[str]) -> str:
+    """One pattern for all; if each begins at a word's bound, that is asked once and not by each."""
+    patterns = list(patterns)
+    if all(p.startswith(r"\b") for p in patterns):
+        return r"\b(?:" + "|".join(p[2:] for p in patterns) + ")"
     return "(?:" + "|".join(patterns) + ")"
 
 
@@ -50,9 +54,14 @@ def letters(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z]+", " "))
 
 
+def singular(token: Column) -> Column:
+    """A token of more than three letters without its last s."""
+    return F.when(token.endswith("s") & (F.length(token) > 3), F.substring(token, F.lit(1), F.length(token) - 1)).otherwise(token)
+
+
 def claim_stem(token: Column) -> Column:
     """OP-41."""
-    return F.when(token.startswith("actuat"), "actuat").when(token.startswith("strain"), "strain").otherwise(F.regexp_replace(token, "^(.{3,})s$", "$1"))
+    return F.when(token.startswith("actuat"), "actuat").when(token.startswith("strain"), "strain").otherwise(singular(token))
 
 
 def claim_stems(text: Column) -> Column:
@@ -68,7 +77,7 @@ def numeric_tokens(text: Column) -> Column:
 
 def numeric_stems(text: Column) -> Column:
     """OP-42."""
-    return F.array_distinct(F.transform(numeric_tokens(text), lambda t: F.regexp_replace(t, "^(.{3,})s$", "$1")))
+    return F.array_distinct(F.transform(numeric_tokens(text), singular))
 
 
 def numbers(text: Column) -> Column:
@@ -109,6 +118,12 @@ def spans(text: Column, pattern: str) -> Column:
     return let(F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("found")), placed)
 
 
+def first_span(text: Column, pattern: str) -> Column:
+    """match and prefix, the text before it, of the first match of a pattern; null without one. Nothing after it is looked at."""
+    found = F.struct(F.regexp_extract(text, pattern, 0).alias("match"), F.element_at(F.split(text, pattern, 2), 1).alias("prefix"))
+    return let(found, lambda x: F.when(x["match"] != "", x))
+
+
 def before(text: Column, span: Column) -> Column:
     return F.substring(text, F.lit(1), span["start"])
 
@@ -160,7 +175,7 @@ def plain_title(text: Column) -> Column:
 
 def title_tokens(plain: Column) -> Column:
     """Words of a `plain_title`, in singular (OP-35)."""
-    return F.transform(F.regexp_extract_all(plain, F.lit(r"(?U)[^\W_]+"), 0), lambda t: F.regexp_replace(t, "^(.{3,})s$", "$1"))
+    return F.transform(F.regexp_extract_all(plain, F.lit(r"(?U)[^\W_]+"), 0), singular)
 
 
 def tokens_with_greek(text: Column) -> Column:

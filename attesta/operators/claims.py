@@ -21,19 +21,22 @@ CLAIM_COLUMNS = ("c_terms", "c_phrase", "c_numbers", "c_threshold", "c_cmp", "c_
 def with_claim_terms(claims: DataFrame, claim: str = "claim") -> DataFrame:
     """claims with what the engines need of the claim's text (OP-46, 72, 73, 75, 80, 81)."""
     text = F.coalesce(F.col(claim), F.lit(""))
-    first = F.get(tx.spans(text, vocab.MEASUREMENT), F.lit(0))
-    staged = claims.withColumns({"c_terms": F.array_distinct(tx.claim_stems(text)), "c_phrase": tx.phrase(text), "c_numbers": F.array_distinct(tx.numbers(text)), "_first": first})
-    terms, prefix = F.col("c_terms"), tx.before(text, F.col("_first"))
-    strain, actuation = F.array_contains(terms, "strain"), F.array_contains(terms, "actuat")
-    subject = F.array_except(F.array_except(tx.numeric_stems(prefix), array_of(vocab.NUMERIC_NON_SUBJECT)), array_of(vocab.UNIT_TERMS))
-    match = F.col("_first.match")
+    percent = text.rlike(vocab.PERCENTAGE)
+    # phrase and numbers are for literal statements only
+    staged = claims.withColumns({
+        "c_terms": F.array_distinct(tx.claim_stems(text)), "c_threshold": F.when(percent, tx.value_of(F.regexp_extract(text, vocab.PERCENTAGE, 1))),
+        "c_cmp": claimed_comparator(text, exceeding=True), "_first": tx.first_span(text, vocab.MEASUREMENT),
+    })
+    terms, match, prefix = F.col("c_terms"), F.col("_first.match"), F.col("_first.prefix")
+    subject = F.array_except(tx.numeric_stems(prefix), array_of([*vocab.NUMERIC_NON_SUBJECT, *vocab.UNIT_TERMS]))
     measure = F.struct(
         tx.value_of(F.regexp_extract(match, "(?U)^" + vocab.NUMBER, 0)).alias("value"), normalize_unit(F.regexp_extract(match, "(?U)^" + vocab.NUMBER + r"\s*(.*)$", 1)).alias("unit"),
         claimed_comparator(prefix, exceeding=False).alias("cmp"), subject.alias("terms"),
     )
+    literal = F.col("c_threshold").isNull()
+    strain, actuation = F.array_contains(terms, "strain"), F.array_contains(terms, "actuat")
     return staged.withColumns({
-        "c_threshold": F.when(text.rlike(vocab.PERCENTAGE), tx.value_of(F.regexp_extract(text, vocab.PERCENTAGE, 1))),
-        "c_cmp": claimed_comparator(text, exceeding=True), "c_strain": strain, "c_actuation": actuation,
+        "c_phrase": F.when(literal, tx.phrase(text)), "c_numbers": F.when(literal, F.array_distinct(tx.numbers(text))), "c_strain": strain, "c_actuation": actuation,
         "c_qualifiers": F.array_intersect(terms, array_of(vocab.STRAIN_QUALIFIERS)),
         "c_generic": F.when(strain | actuation, F.expr("cast(array() as array<string>)")).otherwise(F.array_except(terms, array_of(vocab.PERCENTAGE_NON_SUBJECT))),
         "c_measure": F.when(F.col("_first").isNotNull(), measure),
