@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from attesta.llm import wordvec as wv
 from attesta.llm.common import cut, globally_ranked, shared_dir, skew_lookup, width
@@ -25,10 +24,12 @@ KINDS[list(b" \t")] = 1
 KINDS[list(b".,;:!?\n\v\f\r")] = 2
 #: A-Z in lower case, one space between words and one line feed between pieces.
 PLAIN = bytes(32 if KINDS[b] == 1 else 10 if KINDS[b] == 2 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Cells of the sketch are dealt out by their high bits, CELL_BITS low bits to a row; 2**MOST_BITS cells (a bitmap of 128 MB) at most.
-CELL_BITS, MOST_BITS = 16, 30
+#: Rows of the sketch. Its cells are dealt out by their high bits, CELL_BITS low bits to a row; 2**MOST_BITS cells in a row (bitmaps of 128 MB) at most.
+DEPTH, CELL_BITS, MOST_BITS = 2, 16, 29
 #: Cells that a task holds before it writes them, phrases likewise, and characters of one automaton.
-HELD, KEPT, AUTOMATON_CHARS = 1 << 22, 100_000, 1 << 21
+HELD, KEPT, AUTOMATON_CHARS = 1 << 21, 200_000, 1 << 21
+#: Bytes of text whose phrases a task lists or counts: the more, the fewer tasks have rows for the same phrase.
+SHARD_BYTES = 1 << 27
 NO_LANG = "und"
 
 
@@ -74,10 +75,17 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
             yield Words(texts.slice(lo, hi - lo), langs.slice(lo, hi - lo))
 
 
+def cells_of(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The cell of each hash in each row of the sketch, by other bits of it: row i has the cells from i * 2**bits on."""
+    return [(hashes >> np.uint64(64 - bits)).astype(np.uint32), ((hashes & np.uint64((1 << bits) - 1)) + np.uint64(1 << bits)).astype(np.uint32)]
+
+
 def marked(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
-    """Whether each hash's cell is set."""
-    cell = hashes >> np.uint64(64 - bits)
-    return (bitmap[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    """Whether each hash's cells are set in all rows."""
+    out = np.ones(len(hashes), bool)
+    for cell in cells_of(hashes, bits):
+        out &= (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def flags(w: Words, at: np.ndarray, n: int, bitmap: np.ndarray, bits: int) -> np.ndarray:
@@ -117,13 +125,13 @@ def sketcher(least: int, bits: int, longest: int, pairs: Broadcast | None) -> Ca
             if pairs is None:
                 for name, n in zip(w.lang_names, np.bincount(w.lang, minlength=len(w.lang_names)).tolist(), strict=True):
                     words[name] = words.get(name, 0) + n
-                held.append((w.grams(w.pairs(), 2) >> np.uint64(64 - bits)).astype(np.uint32))
+                held += cells_of(w.grams(w.pairs(), 2), bits)
             else:
                 both = flags(w, w.pairs(), 2, pairs.value, bits)
                 heavy = both
                 for n in range(3, longest + 1):
                     at = w.longer(heavy, n)
-                    held.append((w.grams(at, n) >> np.uint64(64 - bits)).astype(np.uint32))
+                    held += cells_of(w.grams(at, n), bits)
                     heavy = np.zeros(len(both), bool)
                     heavy[at] = True
             if sum(map(len, held)) >= HELD:
@@ -158,9 +166,9 @@ def merger(least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFra
 
 
 def heavy_cells(cells: DataFrame, least: int, bits: int) -> np.ndarray:
-    """The bitmap of cells counted `least` times or more: 2**bits bits, whatever the number of rows."""
+    """The bitmap of cells counted `least` times or more: DEPTH * 2**bits bits, whatever the number of rows."""
     dealt = cells.repartition(width(cells), "chunk").sortWithinPartitions("chunk")
-    out = np.zeros((1 << bits) // 8, np.uint8)
+    out = np.zeros(DEPTH * (1 << bits) // 8, np.uint8)
     size = (1 << CELL_BITS) // 8
     for r in dealt.select("chunk", "cells", "counts").mapInPandas(merger(least), "chunk int, bits binary").collect():
         out[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
@@ -198,15 +206,16 @@ def lister(bits: int, longest: int, pairs: Broadcast, rest: Broadcast) -> Callab
 BUILT: dict[str, dict[str, ahocorasick.Automaton]] = {}
 
 
-def automata(key: str, phrases: list[tuple[str, str, int]]) -> dict[str, ahocorasick.Automaton]:
+def automata(key: str, phrases: dict[str, tuple[int, str]]) -> dict[str, ahocorasick.Automaton]:
     """One automaton a language, of phrases between delimiters; built once by each worker."""
     if key not in BUILT:
         BUILT.clear()
         made: dict[str, ahocorasick.Automaton] = {}
-        for lang, phrase, number in phrases:
-            made.setdefault(lang, ahocorasick.Automaton()).add_word(f" {phrase} ", number)
-        for a in made.values():
-            a.make_automaton()
+        for lang, (first, listed) in phrases.items():
+            made[lang] = ahocorasick.Automaton()
+            for i, phrase in enumerate(listed.split("\n")):
+                made[lang].add_word(f" {phrase} ", first + i)
+            made[lang].make_automaton()
         BUILT[key] = made
     return BUILT[key]
 
@@ -217,12 +226,12 @@ def guarded(texts: list[str]) -> str:
     return re.sub(rb"[ \n]*\n[ \n]*|^ *| +$", b" \n ", re.sub(rb"  +", b" ", plain)).decode() + " "
 
 
-def scanner(key: str, phrases: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """How often each phrase stands in the shard, overlaps included."""
+def scanner(key: str, phrases: Broadcast, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How often each of `size` phrases stands in the shard, overlaps included. phrases: by language, its first number and all, one a line."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = automata(key, phrases.value)
-        total = np.zeros(len(phrases.value), np.int64)
+        total = np.zeros(size, np.int64)
         for b in batches:
             coded = b.column("lang").dictionary_encode()
             code = coded.indices.to_numpy(zero_copy_only=False)
@@ -239,20 +248,28 @@ def scanner(key: str, phrases: Broadcast) -> Callable[[Iterator[pa.RecordBatch]]
     return scan
 
 
-def candidates(text: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
+def text_bytes(text: DataFrame) -> int:
+    return text.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
+def sharded(text: DataFrame, size: int) -> DataFrame:
+    """text in partitions of SHARD_BYTES or so, if they are smaller; nothing is shuffled."""
+    return text.coalesce(max(1, -(-size // SHARD_BYTES)))
+
+
+def candidates(text: DataFrame, size: int, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase) for all phrases of 2 to `longest` words that may occur `least` times, with some that do not; and (lang, n), the words of each language."""
     spark = text.sparkSession
-    size = text.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     # a word takes six bytes or so; a cell gets a quarter of `least` by chance
     bits = min(MOST_BITS, max(CELL_BITS, (4 * size // (6 * least)).bit_length()))
     first = cut(text.mapInArrow(sketcher(least, bits, longest, None), CELLS))
     pairs = spark.sparkContext.broadcast(heavy_cells(first.where("chunk >= 0"), least, bits))
     rest = spark.sparkContext.broadcast(heavy_cells(text.mapInArrow(sketcher(least, bits, longest, pairs), CELLS), least, bits) if longest > 2 else None)
-    found = cut(text.mapInArrow(lister(bits, longest, pairs, rest), "lang string, phrase string").distinct())
+    found = cut(sharded(text, size).mapInArrow(lister(bits, longest, pairs, rest), "lang string, phrase string").distinct())
     return found, first.where("chunk < 0").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def counted(text: DataFrame, phrases: DataFrame) -> DataFrame:
+def counted(text: DataFrame, phrases: DataFrame, whole: int) -> DataFrame:
     """phrases (lang, phrase) with f, their occurrences in the texts of their language, by scans with automata of bounded size.
 
     Phrases are dealt to automata in the order of their languages, so each scan reads the texts of few.
@@ -264,11 +281,16 @@ def counted(text: DataFrame, phrases: DataFrame) -> DataFrame:
     each, out = -(-rows // max(1, parts)), None
     for part in range(parts):
         own = ranked.where((F.col("_place") >= part * each) & (F.col("_place") < (part + 1) * each))
-        listed = [(r["lang"], r["phrase"]) for r in own.orderBy("_place").collect()]
-        held = spark.sparkContext.broadcast([(lang, phrase, i) for i, (lang, phrase) in enumerate(listed)])
-        langs = sorted({lang for lang, _ in listed})
+        by_lang: dict[str, list[str]] = {}
+        for r in own.orderBy("_place").collect():  # languages in a row
+            by_lang.setdefault(r["lang"], []).append(r["phrase"])
+        held, size = {}, 0
+        for lang, listed in by_lang.items():
+            held[lang] = (size, "\n".join(listed))
+            size += len(listed)
+        held, langs = spark.sparkContext.broadcast(held), list(by_lang)
         read = text.where(F.col("lang").isin(langs)) if len(langs) <= 100 else text
-        sums = read.mapInArrow(scanner(uuid.uuid4().hex, held), "number long, f long").groupBy("number").agg(F.sum("f").alias("f"))
+        sums = sharded(read, whole).mapInArrow(scanner(uuid.uuid4().hex, held, size), "number long, f long").groupBy("number").agg(F.sum("f").alias("f"))
         placed = cut(sums.withColumn("_place", F.col("number") + part * each).drop("number"))
         out = placed if out is None else out.unionByName(placed)
     if out is None:
@@ -280,7 +302,7 @@ def looked_up(cuts: DataFrame, counts: DataFrame, part: str, name: str) -> DataF
     """cuts with the count of the phrase in column `part`, where a part may be that of many phrases."""
     keyed = cuts.withColumn("_key", F.struct("lang", F.col(part).alias("phrase")))
     rows = keyed.groupBy("_key").agg(F.count("*").alias("_rows"))
-    dim = rows.join(counts.select(F.struct("lang", "phrase").alias("_key"), F.col("f").alias(name)), "_key")
+    dim = cut(rows.join(counts.select(F.struct("lang", "phrase").alias("_key"), F.col("f").alias(name)), "_key"))
     return skew_lookup(keyed, dim, "_key", "_rows", how="inner").drop("_key")
 
 
@@ -295,12 +317,12 @@ def mine(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, a
     one that stands at least `absorb` percent as often is left out. rank orders by score, a, then
     phrase in byte order, up to `top`.
 
-    Phrases are first counted by hash in a count-min sketch of one row, whose cells grow with the
-    corpus; the counts of a cell bound those of its phrases from above, and a phrase is counted only
-    if all shorter ones in it may reach `least`. What may reach it is compiled into automata, between
+    Phrases are first counted by hash in a count-min sketch of two rows, whose cells grow with the
+    corpus; the least count of its cells bounds that of a phrase from above, and a phrase is counted
+    only if all shorter ones in it may reach `least`. What may reach it is compiled into automata, between
     delimiters, and the shards of the corpus are scanned for exact counts. The sketch's bitmap, all
-    that the driver gets of it, has a bit for each 1.5 * least words, and 2**30 at most; beyond that
-    its bounds are looser and the automata more, with the same result.
+    that the driver gets of it, has a bit for each least / 8 words or so, and 2**30 at most; beyond
+    that its bounds are looser and the automata more, with the same result.
 
     Null and empty texts have no words; rows that repeat count as often as they stand; a text of any
     length is read whole. An empty table, or one without candidates, gives an empty result. Columns
@@ -308,17 +330,18 @@ def mine(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, a
     """
     shared_dir(docs.sparkSession)
     text = prepared(docs)
-    found, totals = candidates(text, least, longest)
+    size = text_bytes(text)
+    found, totals = candidates(text, size, least, longest)
     words = F.split("phrase", " ")
     single = found.select("lang", F.explode(words).alias("phrase"))
-    counts = cut(counted(text, found.unionByName(single).distinct()).where(F.col("f") >= least).withColumn("words", words))
+    counts = cut(counted(text, found.unionByName(single).distinct(), size).where(F.col("f") >= least).withColumn("words", words))
 
     several = counts.where(F.size("words") > 1)
     at = F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k")
     part = lambda start, n: F.array_join(F.slice("words", start, n), " ")
-    cuts = several.select("lang", "phrase", F.col("f").alias("a"), "words", at).join(F.broadcast(totals), "lang")
-    cuts = cuts.select("lang", "phrase", "a", "n", "k", part(F.lit(1), F.col("k")).alias("_first"), part(F.col("k") + 1, F.size("words")).alias("_rest"))
-    cuts = looked_up(looked_up(cuts, counts, "_first", "l"), counts, "_rest", "r")
+    named = skew_lookup(several, totals.join(several.groupBy("lang").agg(F.count("*").alias("_rows")), "lang"), "lang", "_rows", how="inner")
+    cuts = cut(named.select("lang", "phrase", F.col("f").alias("a"), "n", "words", at).select("lang", "phrase", "a", "n", "k", part(F.lit(1), F.col("k")).alias("_first"), part(F.col("k") + 1, F.size("words")).alias("_rest")))
+    cuts = looked_up(cut(looked_up(cuts, counts, "_first", "l")), counts, "_rest", "r")
     whole = lambda c: f"cast({c} as decimal(19, 0))"
     score = F.expr(f"({whole('a')} * ({whole('n')} * 1000)) div ({whole('l')} * {whole('r')})")
     worst = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("w")).select("lang", "phrase", "a", "n", "w.score", "w.l", "w.r")
@@ -328,9 +351,8 @@ def mine(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, a
     inner = counts.where(F.size("words") > 2).select("lang", F.explode(runs).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("_outer"))
     kept = worst.join(inner, ["lang", "phrase"], "left").where("_outer is null or 100 * _outer < " + str(absorb) + " * a").drop("_outer")
 
-    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    # first within parts of a language, so no task ranks all of it
-    salted = kept.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(width(docs))))
-    best = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order))).where(F.col("rank") <= top)
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # ranked over range partitions: no task has all phrases of a language
+    ranked = cut(globally_ranked(kept, [F.col("lang"), F.col("score").desc(), F.col("a").desc(), F.col("phrase")], "_place"))
+    starts = cut(ranked.groupBy("lang").agg(F.min("_place").alias("_first"), F.count("*").alias("_rows")))
+    ranked = skew_lookup(ranked, starts, "lang", "_rows").withColumn("rank", F.col("_place") - F.col("_first") + 1)
+    return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
