@@ -29,6 +29,11 @@ CANDIDATE = re.compile(rf"(?<![{KEY_CHARS}])(?![0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})
 SENSITIVE = re.compile(r"(?i:password|passwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer|signature|\bpwd\b|\bkey\b)")
 #: What may part the candidates that carry a sensitive context on: a dot, or the end of a line, also a written-out one.
 BETWEEN = re.compile(r"\.|\x20*\r?\n[\x20\t]*|\\(?:r\\)?")
+#: Where a statement ends, and what the line that opens an indented block ends with.
+STATEMENT_END = re.compile(r"\r?\n|;|(?<=[.!?])\s")
+OPENS_BLOCK = re.compile(r"[:{\[(=>|]\s*$")
+#: Characters before a candidate that count as its context whatever ends in them.
+CLOSE = 64
 #: The marks around a private key, and what is a line between them: a key's last line is often short, and some have no digit.
 MARKER = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 KEY_LINE = re.compile(r"(?:(?<![^\s])|(?<=-----)|(?<=\\[nr]))([A-Za-z0-9+/=]+)(?=\s|\\[nr]|-----|$)")
@@ -209,11 +214,61 @@ def key_blocks(text: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
     return out
 
 
-def sensitive_runs(text: str, taken: list[tuple[int, int, int]], blanks: Spans, reach: int) -> list[list[tuple[int, int]]]:
+class Contexts:
+    """Which places of a text are in the statement, or in the indented block, of a sensitive word."""
+
+    def __init__(self, text: str) -> None:
+        words = [m.span() for m in SENSITIVE.finditer(text)]
+        self.text, self.starts, self.ends = text, [a for a, _ in words], [b for _, b in words]
+        self.statements = [m.end() for m in STATEMENT_END.finditer(text)] if words else []
+        self.blocks: Spans | None = None
+
+    def word_in(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, start)
+        return i < len(self.starts) and self.ends[i] <= end
+
+    def sensitive_blocks(self) -> Spans:
+        """The lines below one that opens a block and has a sensitive word, as long as they are indented more."""
+        found, stack, at = [], [], 0
+        for line in self.text.split("\n"):
+            bare = line.strip()
+            if bare:
+                indent = len(line) - len(line.lstrip())
+                while stack and stack[-1][0] >= indent:
+                    stack.pop()
+                inside = bool(stack) and stack[-1][1]
+                if inside:
+                    found.append((at, 0, at + len(line)))
+                stack.append((indent, inside or (OPENS_BLOCK.search(line) is not None and self.word_in(at, at + len(line)))))
+            at += len(line) + 1
+        return Spans(found)
+
+    def has(self, start: int, end: int) -> bool:
+        if not self.starts:
+            return False
+        i = bisect_right(self.statements, start)
+        low, high = self.statements[i - 1] if i else 0, self.statements[i] if i < len(self.statements) else len(self.text)
+        if self.word_in(low, start) or self.word_in(end, high):
+            return True
+        if self.blocks is None:
+            self.blocks = self.sensitive_blocks()
+        return bool(self.blocks.within(start, end))
+
+
+def sensitive_runs(text: str, taken: list[tuple[int, int, int]], blanks: Spans, reach: int | None) -> list[list[tuple[int, int]]]:
     """The candidates in sensitive contexts, those that carry one context on in one run."""
     blocks = key_blocks(text)
     inside = Spans([(a, 0, b) for a, b, _ in blocks])
-    near = lambda start: SENSITIVE.search(text, max(0, start - reach), start) is not None
+    close = CLOSE if reach is None else reach
+    contexts: list[Contexts] = []
+
+    def near(start: int, end: int) -> bool:
+        if SENSITIVE.search(text, max(0, start - close), start) is not None:
+            return True
+        if reach is None and not contexts:
+            contexts.append(Contexts(text))
+        return reach is None and contexts[0].has(start, end)
+
     places = [(*m.span(), None) for m in CANDIDATE.finditer(text) if not blanks.within(*m.span()) and not inside.within(*m.span())]
     if not places and not blocks:
         return []
@@ -223,7 +278,7 @@ def sensitive_runs(text: str, taken: list[tuple[int, int, int]], blanks: Spans,
     for start, end, kind in sorted([*places, *[(a, b, k) for a, k, b in taken]], key=lambda x: x[:2]):
         follows = run is not None and start >= last and BETWEEN.fullmatch(text, last, start)
         if not follows:
-            run = [] if kind in (0, 1) or near(start) else None
+            run = [] if kind in (0, 1) or near(start, end) else None
             runs += [run] if run is not None else []
         if run is not None and kind is None:
             run.append((start, end))
@@ -231,7 +286,7 @@ def sensitive_runs(text: str, taken: list[tuple[int, int, int]], blanks: Spans,
     return [r for r in runs if r]
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, reach: int) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, reach: int | None = None) -> list[tuple[int, int, int]]:
     blanks = Spans(taken)
     runs = sensitive_runs(text, taken, blanks, reach)
     pieces = sorted(x for r in runs for x in r)
@@ -280,15 +335,18 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, model: Model | None = None, reach: int = 64, redact: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def scan(docs: DataFrame, model: Model | None = None, reach: int | None = None, redact: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_novel, base_spans, spans and base_sha256 for each row of docs (doc_id, text).
 
     Known shapes are always reported: assignments to password-like names, access keys and long
     hexadecimal strings. The method adds strings (kind 'novel') of key characters (see CANDIDATE; pure
-    numbers and dates are none) that stand within `reach` characters after a sensitive word, overlap no known
+    numbers and dates are none) that stand in the context of a sensitive word, overlap no known
     shape, and add at least as many compressed bytes a character to their surroundings as the model says for their length, by
     zstandard primed with the model's dictionary (see `fit`; without a model, one of common
-    identifiers only). A candidate parted from one in such a context, or from a known
+    identifiers only). A sensitive word's context is its statement, on either side of it, up to the end of
+    the line, a semicolon or the end of a sentence; the indented block below a line that has the word and opens
+    one; and CLOSE characters after it in any case. With `reach`, it is so many characters after it
+    and no more. A candidate parted from one in such a context, or from a known
     assignment or access key, by no more than a dot or the end of a line is in its context too, and so
     is all between the marks of a private key; such runs are reported whole if they add as much
     together, else those of their candidates that do by themselves. Random letters and digits add 0.8 to 1, words and likenesses of

@@ -328,3 +328,32 @@ def test_secrets_of_many_candidates():
     ids = "tokens:\n" + "\n".join(f"internal-item-number-{i:08}" for i in range(40))
     assert len(scanned(ids)[1]) < 3
     assert scanned("-----BEGIN PRIVATE KEY-----\n" + "example-key-goes-here\n" * 5 + "-----END PRIVATE KEY-----")[1] == []
+
+
+def in_statement(rng, secret, filler):
+    """A text that holds the string a long way from a sensitive word, in its statement or block, on either side."""
+    far = " ".join(filler(rng) for _ in range(rng.randint(10, 60)))
+    return rng.choice((
+        f"Some words first. The access key that we use for {far} is {secret} now. More follows.",
+        f"x = 1\nclient_credential = load({far}, {secret})\nprint(x)",
+        f"Nothing here.\nWe saw {secret} with {far} as the private key.\nThe end.",
+        f"credentials:\n  host: {far}\n  region: north\n  value: {secret}\nother: 1",
+        f"auth {{\n    first: {far}\n    nested: [\n        {secret}\n    ]\n}}",
+    ))
+
+
+def test_a_context_is_a_statement_or_block():
+    rng = random.Random(12)
+    filler = lambda r: "".join(r.choice(EN) for _ in range(r.randint(1, 3)))
+    keys = ["aB1" + "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(29)) for _ in range(300)]
+    texts = [in_statement(rng, k, filler) for k in keys]
+    novel = lambda t: [t[a:b] for a, _, b in secretscan.novel_spans(t, secretscan.base_spans(t), NOVELTY)]
+    assert sum(k in novel(t) for k, t in zip(keys, texts, strict=True)) >= 0.9 * len(keys)
+    names = [x for x in secretscan.names_in([(w, 1) for w in syllables(rng, 400, ["get", "set", "user", "page", "list", "item"]).split()], 300, 5) if not set(" =.(\"") & set(x)]
+    assert len(names) > 100 and sum(bool(novel(in_statement(rng, x, filler))) for x in names) <= 0.05 * len(names)
+    # beyond the statement, or beside the block, there is no context
+    far = "plain words " * 9
+    for text in (f"The access key is lost. {far} {keys[0]} stands here.", f"credentials:\n  a: b\nother: {far} {keys[0]}\n", f"my secret; {far} {keys[0]}", f"{keys[0]} {far}\n{far} token", f"{keys[0]} alone"):
+        assert novel(text) == []
+    long = "word " * 20_000 + "token " + f"{keys[0]} x " * 2000
+    assert len(secretscan.novel_spans(long, [], NOVELTY)) == 2000
