@@ -109,8 +109,12 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
 
 
 def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The least member of each member's component, by repeated halving of paths over all edges at once."""
-    root = np.arange(n)
+    """The least member of each member's component."""
+    return joined(np.arange(n), left, right)
+
+
+def joined(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least members of the components, as these edges join them further, by repeated halving of paths over all at once."""
     while len(left):
         a, b = root[left], root[right]
         low, high = np.minimum(a, b), np.maximum(a, b)
@@ -226,8 +230,9 @@ def verified(grouped: DataFrame, n: int, similarity: float) -> DataFrame:
         first = np.cumsum(count) - count
         own_count = np.bincount(doc, minlength=m)
         begin = np.cumsum(own_count) - own_count
-        total, left, right = np.zeros(m, np.int64), [], []
+        total, root = np.zeros(m, np.int64), np.arange(m)
         for lo in range(0, m, 256):
+            left, right = [], []  # the links of 256 texts at most are held at a time
             shared = held[lo : lo + 256] @ held.T
             for i in range(lo, min(m, lo + 256)):
                 g = gram[begin[i] : begin[i] + own_count[i]]
@@ -240,10 +245,12 @@ def verified(grouped: DataFrame, n: int, similarity: float) -> DataFrame:
                 if side.any():
                     near &= side != side[i]
                 total[i] = copies[near].sum()
+                # of links to texts of one component so far, one says as much as all
                 j = np.flatnonzero(near)
+                j = j[np.unique(root[j], return_index=True)[1]]
                 left.append(np.full(len(j), i))
                 right.append(j)
-        root = roots(m, np.concatenate(left), np.concatenate(right))
+            root = joined(root, np.concatenate(left), np.concatenate(right))
         return ids, total, ids[root]
 
     def make(t: pa.Table) -> list[pa.RecordBatch]:
@@ -343,7 +350,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
     sketches (all MinHashes, a byte each) do not rule the similarity out by six standard errors, form
     candidate components, within which pairs are verified on the full sets of n-grams, compared as
     words, not as hashes. Components above SMALL texts or GRAMS n-grams are verified block by block,
-    as far as distances to a centre do not settle blocks whole (see `LargeGroups`). No pair is ever a row.
+    as far as distances to a centre do not settle blocks whole (see `LargeGroups`). No pair is ever a row,
+    and links are joined into components as they are found.
 
     A text of fewer than n words has one shingle of all its words. A text without a word, or null,
     is linked to nothing (copies are not counted among such, it is 1) and is a class of its own.

@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from attesta.llm import neardup
@@ -118,3 +120,28 @@ def test_large_group_is_settled_by_its_center(spark, monkeypatch):
     got = neardup.jaccard_join(frame(spark, rows)).collect()
     assert {(r["class_id"], r["links"]) for r in got} == {(0, 1499)} and len(got) == 1500
     assert opened == [(0, 24 * 25 // 2)]
+
+
+def test_links_of_a_large_block_are_not_held():
+    """4096 texts all linked, in two blocks: 8 million links and more, of which few are in memory at a time."""
+    head = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, 1, 1 + i // 2048, i, f"{head} x{i}", 1) for i in range(4096)]
+    made = []
+
+    class Grouped:
+        def repartition(self, *_):
+            return self
+
+        sortWithinPartitions = repartition
+
+        def mapInArrow(self, run, _):
+            table = pa.table(dict(zip(("comp", "pair", "side", "id", "text", "copies"), map(list, zip(*rows, strict=True)), strict=True)))
+            tracemalloc.start()
+            made.extend(run(iter(table.to_batches())))
+            made.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+
+    neardup.verified(Grouped(), 5, 0.8)
+    *found, most = made
+    assert sum(b.num_rows for b in found) == 4096 and {r for b in found for r in b["links"].to_pylist()} == {2048} and {r for b in found for r in b["root"].to_pylist()} == {0}
+    assert most < 300e6, most
