@@ -41,9 +41,9 @@ def targets(by_source: DataFrame, weights: Sequence[float], cap: float) -> DataF
 
 
 def hashed(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with size, _key (of the source) and _h, the first HASH_BITS bits of an MD5 of seed and doc_id."""
+    """docs with size, _key (of the source) and _h, the first HASH_BITS bits of an MD5 of seed and doc_id, or of the text's MD5 where the id is null."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce(F.col("text"), F.lit("")))))))
     h = F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
     return docs.drop(*MADE, "_key", "_h", "_base", "_threshold").withColumns({"_key": key, "_h": h, "size": word_count(F.col("text"))})
 
@@ -66,7 +66,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3, s
     last left open, and reruns agree. The last document is in if that brings the sum nearer.
 
     Null or empty text: size 0, taken 0. Null sources are one source. Rows with the same doc_id and
-    source are in or out together. An empty table gives an empty result. Columns of docs other than
+    source are in or out together, those without a doc_id if their texts are equal. A text of any
+    length is counted whole. An empty table gives an empty result. Columns of docs other than
     those made here pass through; of a clash, the made column stays.
     """
     full = hashed(docs, seed)

@@ -25,7 +25,7 @@ SELECT query_id, "rank", vec_id, score FROM ranked WHERE "rank" <= 10
 MIXING = r"""
 WITH docs AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-        ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+        ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '#' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS h
     FROM documents
 ), sources AS (
     SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
@@ -133,18 +133,20 @@ def hilbert_steps(bits: int) -> str:
 #: CRC-32 byte by byte, cells from ranks and lengths, and runs of the curve that differ by one row at most.
 SHARDING = f"""
 WITH docs AS (
-    SELECT doc_id, lang, source, strlen(coalesce(text, ''))::BIGINT + 16 AS size, strlen(coalesce(text, ''))::BIGINT + 1 AS x, length(bin(strlen(coalesce(text, ''))::BIGINT + 1)) - 1 AS e,
+    SELECT doc_id, lang, source, md5(coalesce(text, '')) AS same, strlen(coalesce(text, ''))::BIGINT + 16 AS size, strlen(coalesce(text, ''))::BIGINT + 1 AS x, length(bin(strlen(coalesce(text, ''))::BIGINT + 1)) - 1 AS e,
         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::BIGINT) AS bytes
     FROM documents
 ), sized AS (
     SELECT *, e * 16 + (x * 16 >> e) - 16 AS scale, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor({crc_table()}[xor(c, b) % 256 + 1], c >> 8)), 4294967295::BIGINT) AS crc FROM docs
-), cells AS (
-    SELECT doc_id, ((dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1) << 10) // (SELECT count(*) FROM (SELECT DISTINCT lang FROM docs)) AS x0,
+), named AS (
+    SELECT doc_id, same, ((dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1) << 10) // (SELECT count(*) FROM (SELECT DISTINCT lang FROM docs)) AS x0,
         ((dense_rank() OVER (ORDER BY source NULLS FIRST) - 1) << 10) // (SELECT count(*) FROM (SELECT DISTINCT source FROM docs)) AS x1,
         ((scale - min(scale) OVER ())::BIGINT << 10) // (max(scale) OVER () - min(scale) OVER () + 1) AS x2
     FROM sized
+), cells AS (
+    SELECT doc_id, min(x0) OVER (PARTITION BY same) AS x0, min(x1) OVER (PARTITION BY same) AS x1, x2 FROM named
 ), curves AS ({hilbert_steps(10)}), ranked AS (
-    SELECT *, row_number() OVER (ORDER BY curve, crc, doc_id) - 1 AS place, count(*) OVER () AS n FROM sized JOIN curves USING (doc_id)
+    SELECT *, row_number() OVER (ORDER BY curve, crc, same, doc_id) - 1 AS place, count(*) OVER () AS n FROM sized JOIN curves USING (doc_id)
 )
 SELECT doc_id, size, crc::BIGINT AS text_crc32, 'rows' AS law, (place * 40 // n)::INTEGER AS shard, (place - ((place * 40 // n) * n + 39) // 40)::BIGINT AS slot,
     NULL::INTEGER AS grown_shard, lang, source, curve

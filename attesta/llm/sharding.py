@@ -75,16 +75,24 @@ def name_cells(slim: DataFrame, name: str, bits: int) -> DataFrame:
     return skew_lookup(keyed, cells, "_key", "_rows").drop("_key")
 
 
+def one_cell_a_text(placed: DataFrame, names: Sequence[str]) -> DataFrame:
+    """placed, where rows of equal texts (_text) have the least of their cells of each name: their group is a run of the curve."""
+    least = placed.groupBy("_text").agg(*[F.min(n).alias(f"_least{n}") for n in names], F.count("*").alias("_rows")).where("_rows > 1")
+    found = skew_lookup(placed, cut(least), "_text", "_rows")
+    return found.withColumns({n: F.coalesce(f"_least{n}", n) for n in names}).drop(*[f"_least{n}" for n in names])
+
+
 def shard(docs: DataFrame, shards: int = 40, bits: int = 10, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, lang, source, size, text_crc32, curve, law, shard, slot and grown_shard of every row of docs, and the columns `keep`.
 
     Language, source and text length are quantised to 2**bits cells each: names by their rank among
     all different ones, lengths by logarithm between the least and the greatest. Rows are sorted by
-    the cell's place on the Hilbert curve, then text_crc32, then doc_id, and cut into runs whose row
+    the cell's place on the Hilbert curve, then text_crc32, then the text's MD5, then doc_id, and cut into runs whose row
     counts differ by one at most (law 'rows'). Rows near each other in all dimensions thus share a
-    shard, whose least and greatest value of each dimension prune files (see `write`). Equal texts of
-    one language and source are neighbours, in one shard or in shards next to each other: under this
-    law a group of copies that is larger than a shard must be cut. Unless `keep` names more, only
+    shard, whose least and greatest value of each dimension prune files (see `write`). Equal texts,
+    null and empty ones too, all count as of the first language and source of their group, so they are
+    one run: in one shard, or where a shard ends within the run, or it is longer than a shard, in
+    shards next to each other. Texts are told apart by their MD5. Unless `keep` names more, only
     these slim columns are sorted, over range partitions; the texts stay where they are.
 
     size: bytes of the UTF-8 text (null: 0) plus 16. text_crc32: of the same bytes, unsigned.
@@ -93,12 +101,13 @@ def shard(docs: DataFrame, shards: int = 40, bits: int = 10, keep: Sequence[str]
     """
     octets = F.coalesce(F.octet_length("text"), F.lit(0))
     keep = [c for c in keep if c not in MADE]
-    made = [byte_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), length_cell(octets).alias("_length")]
+    made = [byte_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), length_cell(octets).alias("_length"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_text")]
     slim = cut(docs.select("doc_id", "lang", "source", *made, *keep))
     low, high = slim.agg(F.min("_length"), F.max("_length")).first()
     length = F.lit(0) if low is None else F.expr(f"shiftleft(_length - {low}, {bits}) div {high - low + 1}")
-    placed = name_cells(name_cells(slim, "lang", bits), "source", bits).withColumn("curve", hilbert([F.col("_lang"), F.col("_source"), length], bits)).drop("_lang", "_source", "_length")
-    ranked = globally_ranked(placed, [F.col("curve"), F.col("text_crc32"), F.col("doc_id")], "_rank", "_rows")
+    celled = one_cell_a_text(name_cells(name_cells(slim, "lang", bits), "source", bits), ["_lang", "_source"])
+    placed = celled.withColumn("curve", hilbert([F.col("_lang"), F.col("_source"), length], bits)).drop("_lang", "_source", "_length")
+    ranked = globally_ranked(placed, [F.col("curve"), F.col("text_crc32"), F.col("_text"), F.col("doc_id")], "_rank", "_rows").drop("_text")
     first = F.expr(f"(shard * _rows + {shards - 1}) div {shards}")
     out = ranked.withColumn("shard", F.expr(f"_rank * {shards} div greatest(_rows, 1L)").cast("int")).withColumn("slot", (F.col("_rank") - first).cast("long"))
     return out.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int")).drop("_rank", "_rows")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm import mixing, sharding
 from attesta.llm.common import globally_ranked, skew_lookup
-from tests.llm.helpers import SCHEMA, STRANGE, frame, odd_documents
+from tests.llm.helpers import EN, SCHEMA, STRANGE, frame, odd_documents, syllables
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -82,7 +82,7 @@ def test_shard(spark):
 def test_shards_prune_files(spark, tmp_path):
     """Of 64 shards a filter on two dimensions reads few, and the rows are those of the table."""
     rng = random.Random(7)
-    rows = [(i, "x" * int(2 ** rng.uniform(0, 14)), f"l{rng.randrange(8)}", f"s{rng.randrange(32):02}", 1) for i in range(4000)] + [(9, None, None, None, None), (9, None, None, None, None)]
+    rows = [(i, f"{i:04}" + "x" * int(2 ** rng.uniform(0, 14)), f"l{rng.randrange(8)}", f"s{rng.randrange(32):02}", 1) for i in range(4000)] + [(9, None, None, None, None), (9, None, None, None, None)]
     docs, path = frame(spark, rows), str(tmp_path / "shards")
     sharding.write(docs, path, 64)
     back = spark.read.parquet(f"{path}/data")
@@ -107,3 +107,22 @@ def test_lookup_and_rank(spark):
     ranked = globally_ranked(fact, [F.col("k")], "r").collect()
     assert [r["r"] for r in sorted(ranked, key=lambda r: r["r"])] == list(range(1000))
     assert [r["k"] for r in sorted(ranked, key=lambda r: r["r"])] == sorted(r["k"] for r in ranked)
+
+
+def test_equal_texts_are_one_run(spark):
+    """Of several languages and sources: in one shard, or in shards next to each other and without other texts between."""
+    rng = random.Random(6)
+    texts = [None, "", *[syllables(rng, rng.randint(1, 60), EN) for _ in range(40)]]
+    rows = [(i, texts[i % 3] if i % 4 == 0 else rng.choice(texts), rng.choice(["en", "de", None]), f"s{rng.randint(0, 8)}", 1) for i in range(600)]
+    said = {i: t or "" for i, t, *_ in rows}
+    out = sorted(sharding.shard(frame(spark, rows), 20).collect(), key=lambda r: (r["shard"], r["slot"]))
+    runs = [t for i, t in enumerate(said[r["doc_id"]] for r in out) if i == 0 or t != said[out[i - 1]["doc_id"]]]
+    assert len(runs) == len(set(said.values()))
+    cut = {t: {r["shard"] for r in out if said[r["doc_id"]] == t} for t in runs}
+    assert all(max(s) - min(s) == len(s) - 1 for s in cut.values()) and sum(len(s) > 1 for s in cut.values()) <= 19
+
+
+def test_rows_without_ids_are_mixed_by_their_texts(spark):
+    rows = [(None, f"word{i} " * 10, None, "s0", 1) for i in range(400)] + [(i, "w " * 4000, None, "s1", 1) for i in range(1)]
+    out = mixing.mix(frame(spark, rows), weights=(1, 3)).where("source = 's0'").collect()
+    assert abs(sum(r["taken"] for r in out) - out[0]["target"]) <= 10 and len({r["copies"] for r in out}) == 2
