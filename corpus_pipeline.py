@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import langid, mixing, neardup, packing, secretscan
-from attesta.llm.common import shared_dir
+from attesta.llm.common import cut, shared_dir
 from attesta.llm.queries import tokenizer_path
 
 #: Columns of documents, which all stages but the last return.
@@ -36,8 +36,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     none, stay if one of them does.
     """
     classes = neardup.jaccard_join(docs)
-    kept = classes.where("doc_id <=> class_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    kept = cut(classes.where("doc_id <=> class_id").select("doc_id").distinct())
+    named = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    # rows without an id do not meet in a join: all stay or none
+    return named if kept.where("doc_id is null").isEmpty() else named.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
