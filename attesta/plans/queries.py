@@ -10,7 +10,7 @@ from attesta.functions import text as tx
 from attesta.functions import vocab
 from attesta.functions.doi import normalize_doi
 from attesta.operators import batch, claims, evidence, metadata, resolve, search
-from attesta.plans import corpus, prose
+from attesta.plans import corpus, numeric, prose
 from attesta.plans import expected as x
 from attesta.plans.corpus import table
 from attesta.sources import parsers
@@ -18,16 +18,6 @@ from attesta.sources.claims import numbered_lines, read_claims
 from attesta.sources.shared import new_folder
 
 
-def given(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, columns)
-
-
-def sql_values(rows: list[tuple], columns: str) -> str:
-    """The same rows in SQL."""
-    lit = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
-    return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({columns})"
-
-
 # --- keys and metadata ---------------------------------------------------------------------------
 
 
@@ -37,19 +27,6 @@ def doi_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DOI_NORMALIZE = "SELECT l_orderkey, l_linenumber, '10.5555/part.' || l_partkey AS doi_norm FROM lineitem"
 
-DOIS = [
-    ("10.1000/abc.", "10.1000/abc"), ("https://doi.org/10.1000/ABC", "10.1000/abc"), ("doi: 10.1000/x);", "10.1000/x"), ("10.1000/a(b)c)", "10.1000/a(b)c"), ("10.1000/s0(1)", "10.1000/s0(1)"),
-    ("10.1000%2Fx%28y%29", "10.1000/x(y)"), ("dx.doi.org/10.1/q:", "10.1/q"), ("", ""), (None, None),
-]
-
-
-def doi_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return given(spark, "raw string, n string", DOIS).select("raw", normalize_doi(F.col("raw")).alias("doi_norm"))
-
-
-DOI_GOLDEN = f"SELECT raw, doi_norm FROM {sql_values(DOIS, 'raw, doi_norm')}"
-
-
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of orders: titles, authors and years that are right, wrong or missing by the order's key, and the fetched record."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment"), "o_custkey")
@@ -236,33 +213,6 @@ def measurement_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MEASUREMENT_EXTRACT = "SELECT l_orderkey, l_linenumber, (l_linenumber * 10 + 5) || ':kv ' || CAST(l_quantity AS BIGINT) * 10000 || ':cycle ' || CAST(l_quantity AS BIGINT) * 10 || ':person' AS found FROM lineitem"
 
-UNITS = [("%", "%"), ("Percent", "%"), ("per cent", "%"), ("°C", "c"), ("degC", "c"), ("MV / m", "mv/m"), ("kΩ·cm", "kohm-cm"), ("cycles", "cycle"), ("patients", "person"), ("subject", "person"), ("samples", "sample"), ("GPa", "gpa"), ("mS/m", "ms/m"), ("g / L", "g/l")]
-
-
-def unit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return given(spark, "raw string, u string", UNITS).select("raw", q.normalize_unit(F.col("raw")).alias("unit"))
-
-
-UNIT_NORMALIZE = f"SELECT raw, unit FROM {sql_values(UNITS, 'raw, unit')}"
-
-LEXED = [  # text before a number, text after it, the four comparators
-    ("strain was", "", "exact", "exact", "exact", "exact"), ("strain >=", "", "gte", "gte", "gte", "gte"), ("strain ≤ ", "", "lte", "lte", "lte", "lte"), ("strain > ", "", "gt", "gt", "gt", "gt"), ("strain <", "", "lt", "lt", "lt", "lt"),
-    ("strain of more than or equal to ", "", "gte", "gte", "gte", "exact"), ("strain of no more than ", "", "lte", "lte", "lte", "lte"), ("strain of no greater than ", "", "gt", "gt", "lte", "exact"), ("strain at least ", "", "gte", "gte", "gte", "gte"),
-    ("strain up to ", "", "up_to", "up_to", "up_to", "up_to"), ("strain below ", "", "lt", "lt", "lt", "lt"), ("strain over ", "", "gt", "gt", "gt", "exact"), ("strain exceeding ", "", "gt", "exact", "gt", "exact"), ("strain reached ", "", "exact", "exact", "exact", "exact"),
-    ("strain was ", " or more", "exact", "exact", "gte", "gte"), ("strain was ", ", maximum", "exact", "exact", "lte", "exact"), ("strain was ", "+", "exact", "exact", "gte", "exact"),
-]
-LEXED_COLUMNS = "prefix, suffix, claim_pct, claim_num, seen_pct, seen_num"
-
-
-def comparator_lexer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = given(spark, ", ".join(f"{c} string" for c in LEXED_COLUMNS.split(", ")), LEXED).select("prefix", "suffix")
-    p, s = F.col("prefix"), F.col("suffix")
-    return d.withColumns({"claim_pct": q.claimed_comparator(p, exceeding=True), "claim_num": q.claimed_comparator(p, exceeding=False), "seen_pct": q.observed_percentage_comparator(p, s), "seen_num": q.observed_comparator(p, s)})
-
-
-COMPARATOR_LEXER = f"SELECT * FROM {sql_values(LEXED, LEXED_COLUMNS)}"
-
-
 def grid(spark: SparkSession, sf_dir: str, test: Column, name: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     rows = line.select(F.col("l_quantity").alias("v"), (F.col("l_linenumber") * 7).cast("double").alias("t"), corpus.by_place(F.col("l_orderkey"), corpus.COMPARATORS).alias("seen"), corpus.by_place(F.floor(F.col("l_orderkey") / 6), corpus.COMPARATORS).alias("said"))
@@ -288,53 +238,6 @@ def contradict_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, sf_dir, q.contradicts(*map(F.col, GRID)), "contradicted")
 
 
-# --- guards --------------------------------------------------------------------------------------
-
-FRAMES = [
-    ("strain was 5%", False, False), ("it is not clear", True, True), ("the authors claim success", True, True), ("if it works", True, False), ("no samples had strain", True, True), ("no strain had grown", False, True), ("estimated to be high", False, False),
-    ("estimated to grow", True, False), ("It cannot", True, False), ("results suggest growth", True, True), ("possible use", True, False), ("average strain was 5%", False, True), ("strain was 5% after use", False, True), ("In mice strain was 5%", False, True),
-    ("In the present study strain was 5%", False, False), ("field was 5 MV/m in a range", False, False),
-]
-
-
-def frame_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = given(spark, "t string, a boolean, b boolean", FRAMES)
-    return d.select("t", evidence.framed(tx.phrase(F.col("t"))).alias("claim_frame"), evidence.numeric_frame(F.col("t"), tx.spans(F.col("t"), vocab.MEASUREMENT)).alias("numeric_frame"))
-
-
-FRAME_GUARD = f"SELECT * FROM {sql_values(FRAMES, 't, claim_frame, numeric_frame')}"
-SCOPES = [("at least five", False), ("at five", True), ("five at", True), ("at most at least", False), ("only then", True), ("whatever attic", False), ("under load", True), ("the mean", True), ("", False)]
-
-
-def scope_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return given(spark, "t string, s boolean", SCOPES).select("t", evidence.scoped(tx.phrase(F.col("t"))).alias("scoped"))
-
-
-SCOPE_GUARD = f"SELECT * FROM {sql_values(SCOPES, 't, scoped')}"
-APPROXIMATE = [("Strain reached about 5%", True), ("About a b 5%", True), ("About a b c 5%", False), ("Strain was ~ 5%", True), ("Strain was 5% or nearly so", True), ("Strain was 5%, very much or nearly so", False), ("Strain was 5%", False)]
-
-
-def approx_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = evidence.percentage_spans(F.col("t"))
-    return given(spark, "t string, a boolean", APPROXIMATE).select("t", spans[0]["limited"].alias("approximate"))
-
-
-APPROX_GUARD = f"SELECT * FROM {sql_values(APPROXIMATE, 't, approximate')}"
-
-NUMERIC = [
-    ("Device efficiency reached 95%.", "device efficiency above 90%", "SUPPORTED"), ("The actuator survived 5000 cycles.", "actuator survived at least 4000 cycles", "SUPPORTED"), ("The pump ran at 3.2 V.", "pump ran at least 3 V", "SUPPORTED"),
-    ("Valve life was 500 cycles, pump life was 900 cycles.", "valve life above 800 cycles", "PARTIAL"), ("Pump life may reach 900 cycles.", "pump life above 800 cycles", "PARTIAL"), ("The pump held 9 kg.", "pump held 9 g", "PARTIAL"), ("The pump is old.", "the pump is old", "NOT_NUMERIC"),
-]
-
-
-def numeric_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = evidence.with_evidence(given(spark, "abstract string, claim string, s string", NUMERIC))
-    return claims.numeric_support(claims.with_claim_terms(d)).select("abstract", "claim", F.col("numeric_status").alias("status"))
-
-
-NUMERIC_GOLDEN = f"SELECT * FROM {sql_values(NUMERIC, 'abstract, claim, status')}"
-
-
 # --- verdicts ------------------------------------------------------------------------------------
 
 
@@ -390,18 +293,6 @@ def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ATTEMPT_LOG = "SELECT 'pubmed' AS source, CASE WHEN p_partkey % 7 = 0 THEN 'FOUND' ELSE 'NO_ABSTRACT' END AS status, CASE WHEN p_partkey % 7 <> 0 THEN 'NO_ABSTRACT' END AS lookup_error, count(*) AS attempts FROM part GROUP BY ALL"
 
-CODES = [("TIMEOUT,API_ERROR", False, "SOURCE_API_ERROR"), ("DOI_MISMATCH,TIMEOUT", False, "SOURCE_TIMEOUT"), ("DOI_MISMATCH,TIMEOUT", True, "DOI_MISMATCH"), ("UNSUPPORTED,NO_ABSTRACT", False, "NO_ABSTRACT"), ("UNSUPPORTED", True, "SOURCE_UNSUPPORTED"), ("NOT_FOUND,NOT_FOUND", True, "DOI_NOT_FOUND"), ("NOT_FOUND,NO_ABSTRACT", True, "NO_ABSTRACT"), ("RATE_LIMITED,NOT_FOUND", False, "SOURCE_RATE_LIMITED"), ("", True, "NO_ABSTRACT")]
-
-
-def final_error_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = given(spark, "statuses string, selected boolean, c string", CODES)
-    attempts = F.transform(F.filter(F.split("statuses", ","), lambda s: s != ""), lambda s: F.struct(s.alias("status")))
-    return d.select("statuses", "selected", resolve.final_error_code(attempts, F.col("selected")).alias("code"))
-
-
-FINAL_ERROR_CODE = f"SELECT * FROM {sql_values(CODES, 'statuses, selected, code')}"
-
-
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.summarize(results(spark, sf_dir))
 
@@ -533,28 +424,26 @@ PAYLOAD_PARSE = "SELECT p_partkey, '10.5555/part.' || p_partkey AS doi, p_name A
 QUERIES = {
     f.__name__: f
     for f in (
-        doi_normalize, doi_golden, metadata_verdict, metadata_mismatches, title_tokens, author_tokens, sentence_split_stats, clause_split_stats, number_extract,
-        phrase_search, phrase_places, term_overlap_ranked, inverted_index_roundtrip, html_abstract_clean, json_event_props, previous_sentence, measurement_extract, unit_normalize, comparator_lexer, entail_pct, entail_num, contradict_pct, frame_guard, scope_guard,
-        approx_guard, numeric_golden, claim_verdicts, numeric_claim_verdict, pct_claim_verdict, pct_contradiction, source_fallback, attempt_log, final_error_code, batch_summary, batch_failed, verdict_rollup,
+        doi_normalize, metadata_verdict, metadata_mismatches, title_tokens, author_tokens, sentence_split_stats, clause_split_stats, number_extract,
+        phrase_search, phrase_places, term_overlap_ranked, inverted_index_roundtrip, html_abstract_clean, json_event_props, previous_sentence, measurement_extract, entail_pct, entail_num, contradict_pct,
+        claim_verdicts, numeric_claim_verdict, pct_claim_verdict, pct_contradiction, source_fallback, attempt_log, batch_summary, batch_failed, verdict_rollup,
         batch_report, regression_gate, cross_source_existence, payload_parse, claim_file_csv, claim_file_jsonl, payload_document,
     )
 }
 
 ORACLE_SQL = {
-    "doi_normalize": DOI_NORMALIZE, "doi_golden": DOI_GOLDEN, "metadata_verdict": METADATA_VERDICT, "metadata_mismatches": METADATA_MISMATCHES, "title_tokens": TITLE_TOKENS, "author_tokens": AUTHOR_TOKENS,
+    "doi_normalize": DOI_NORMALIZE,  "metadata_verdict": METADATA_VERDICT, "metadata_mismatches": METADATA_MISMATCHES, "title_tokens": TITLE_TOKENS, "author_tokens": AUTHOR_TOKENS,
     "sentence_split_stats": SENTENCE_SPLIT_STATS, "clause_split_stats": CLAUSE_SPLIT_STATS, "number_extract": NUMBER_EXTRACT, "phrase_search": PHRASE_SEARCH, "phrase_places": PHRASE_PLACES, "term_overlap_ranked": TERM_OVERLAP_RANKED,
-    "inverted_index_roundtrip": INVERTED_INDEX_ROUNDTRIP, "html_abstract_clean": HTML_ABSTRACT_CLEAN, "json_event_props": JSON_EVENT_PROPS, "previous_sentence": PREVIOUS_SENTENCE, "measurement_extract": MEASUREMENT_EXTRACT, "unit_normalize": UNIT_NORMALIZE,
-    "comparator_lexer": COMPARATOR_LEXER, "entail_pct": sql_grid(x.entails_percentage(*GRID), "entailed"), "entail_num": sql_grid(x.entails_measurement(*GRID), "entailed"), "contradict_pct": sql_grid(x.contradicts(*GRID), "contradicted"),
-    "frame_guard": FRAME_GUARD, "scope_guard": SCOPE_GUARD, "approx_guard": APPROX_GUARD, "numeric_golden": NUMERIC_GOLDEN,
+    "inverted_index_roundtrip": INVERTED_INDEX_ROUNDTRIP, "html_abstract_clean": HTML_ABSTRACT_CLEAN, "json_event_props": JSON_EVENT_PROPS, "previous_sentence": PREVIOUS_SENTENCE, "measurement_extract": MEASUREMENT_EXTRACT,  "entail_pct": sql_grid(x.entails_percentage(*GRID), "entailed"), "entail_num": sql_grid(x.entails_measurement(*GRID), "entailed"), "contradict_pct": sql_grid(x.contradicts(*GRID), "contradicted"), 
     "claim_verdicts": f"{x.VERDICTS} SELECT l_orderkey, l_linenumber, status, verdict, error_code, abstract_source FROM verdicts",
     "numeric_claim_verdict": f"WITH {x.PAPERS}, {x.CLAIMS} SELECT l_orderkey, l_linenumber, CASE WHEN {x.LIFE} THEN 'SUPPORTED' ELSE 'PARTIAL' END AS status FROM claims JOIN papers USING (key) WHERE NOT strain",
     "pct_claim_verdict": f"WITH {x.PAPERS}, {x.CLAIMS} SELECT l_orderkey, l_linenumber, {x.ACCEPTED} AS supported FROM claims JOIN papers USING (key) WHERE strain",
-    "pct_contradiction": PCT_CONTRADICTION, "source_fallback": SOURCE_FALLBACK, "attempt_log": ATTEMPT_LOG, "final_error_code": FINAL_ERROR_CODE,
+    "pct_contradiction": PCT_CONTRADICTION, "source_fallback": SOURCE_FALLBACK, "attempt_log": ATTEMPT_LOG, 
     "batch_summary": f"{x.VERDICTS} SELECT {SUMMARY}, {FAILED} FROM verdicts", "batch_failed": f"{x.VERDICTS} SELECT error_code, count(*) AS failed FROM verdicts WHERE error_code IN {vocab.FAILED_CODES} GROUP BY error_code",
     "verdict_rollup": f"{x.VERDICTS} SELECT abstract_source, error_code, count(*) AS claims FROM (SELECT coalesce(abstract_source, 'none') AS abstract_source, error_code FROM verdicts) GROUP BY ROLLUP (abstract_source, error_code)",
     "batch_report": BATCH_REPORT, "regression_gate": REGRESSION_GATE, "cross_source_existence": CROSS_SOURCE_EXISTENCE, "payload_parse": PAYLOAD_PARSE,
     "claim_file_csv": sql_claim_file(2), "claim_file_jsonl": sql_claim_file(1), "payload_document": PAYLOAD_DOCUMENT,
 }
 
-QUERIES |= prose.QUERIES
-ORACLE_SQL |= prose.ORACLE_SQL
+QUERIES |= prose.QUERIES | numeric.QUERIES
+ORACLE_SQL |= prose.ORACLE_SQL | numeric.ORACLE_SQL
