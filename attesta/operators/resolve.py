@@ -132,7 +132,7 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(claims: DataFrame, dim: DataFrame, counts: DataFrame, key: str, salt_by: Sequence[str] = ("row_number", "claim")) -> DataFrame:
+def spread(claims: DataFrame, dim: DataFrame, counts: DataFrame, key: str, salt_by: Sequence[str | Column] = ("row_number", "claim")) -> DataFrame:
     """claims with dim's columns by an equi-join on key, of which every claim has one row in dim; counts has _rows, the claims of each key.
 
     The most cited keys are dealt over as many tasks as their claims ask for, with a copy of their row

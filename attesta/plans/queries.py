@@ -9,7 +9,7 @@ from attesta.functions import quantities as q
 from attesta.functions import text as tx
 from attesta.functions import vocab
 from attesta.functions.doi import normalize_doi
-from attesta.operators import batch, claims, evidence, metadata, resolve, search
+from attesta.operators import batch, claims, evidence, existence, metadata, resolve, search
 from attesta.plans import corpus, numeric, prose
 from attesta.plans import expected as x
 from attesta.plans.corpus import table
@@ -405,6 +405,23 @@ PAYLOAD_DOCUMENT = """WITH r AS (SELECT p_partkey::BIGINT AS row_number, p_partk
  UNION ALL SELECT count(*) + 2, NULL, NULL, NULL, '"total":' || count(*) || ',"accept":' || count(*) FILTER (WHERE ok), FALSE FROM r"""
 
 
+def existence_without_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers cited with wrong DOIs and other spellings, by the sources that know title and first author."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
+    k = F.col("key")
+    author = F.when(k % 6 == 0, "Trial Network").otherwise("Lee")
+    cited = part.select("key", F.lit("10.1/none").alias("doi"), corpus.text("Étude of {}: α {}", F.upper("name"), k).alias("title"), F.when(k % 5 == 2, "J. Other").when(k % 6 == 0, "Trial Network").when(k % 10 == 5, None).otherwise("J. Lée").alias("first_author"))
+    record = F.struct(corpus.text("etude of {} - Alpha {}", F.col("name"), k).alias("title"), F.array(author, F.lit("Kim")).alias("authors"))
+    knows = F.array_compact(F.array(F.when(k != 7, "crossref"), F.when(k % 4 == 1, "openalex"), F.when(k % 3 == 0, "semantic_scholar"), F.when(k % 7 == 0, "pubmed")))
+    records = part.select(F.explode(knows).alias("source_name"), record.alias("record"))
+    return existence.existence(cited, records).select("key", F.array_join("sources", " ").alias("sources"), "existence")
+
+
+EXISTENCE_WITHOUT_DOI = """WITH r AS (SELECT p_partkey AS key, list_filter([CASE WHEN key <> 7 THEN 'crossref' END, CASE WHEN key % 4 = 1 THEN 'openalex' END, CASE WHEN key % 7 = 0 THEN 'pubmed' END, CASE WHEN key % 3 = 0 THEN 'semantic_scholar' END], lambda s: s IS NOT NULL) AS s FROM part),
+ m AS (SELECT key, CASE WHEN key % 5 = 2 OR (key % 6 <> 0 AND key % 10 = 5) THEN [] ELSE s END AS s FROM r)
+ SELECT key, array_to_string(s, ' ') AS sources, CASE WHEN len(s) > 1 THEN 'CONFIRMED' WHEN len(s) = 1 THEN 'SINGLE-SOURCE' ELSE 'NOT FOUND' END AS existence FROM m"""
+
+
 def payload_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CrossRef messages rendered from part and supplier, and read back."""
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_name")
@@ -427,7 +444,7 @@ QUERIES = {
         doi_normalize, metadata_verdict, metadata_mismatches, title_tokens, author_tokens, sentence_split_stats, clause_split_stats, number_extract,
         phrase_search, phrase_places, term_overlap_ranked, inverted_index_roundtrip, html_abstract_clean, json_event_props, previous_sentence, measurement_extract, entail_pct, entail_num, contradict_pct,
         claim_verdicts, numeric_claim_verdict, pct_claim_verdict, pct_contradiction, source_fallback, attempt_log, batch_summary, batch_failed, verdict_rollup,
-        batch_report, regression_gate, cross_source_existence, payload_parse, claim_file_csv, claim_file_jsonl, payload_document,
+        batch_report, regression_gate, cross_source_existence, existence_without_doi, payload_parse, claim_file_csv, claim_file_jsonl, payload_document,
     )
 }
 
@@ -441,7 +458,7 @@ ORACLE_SQL = {
     "pct_contradiction": PCT_CONTRADICTION, "source_fallback": SOURCE_FALLBACK, "attempt_log": ATTEMPT_LOG, 
     "batch_summary": f"{x.VERDICTS} SELECT {SUMMARY}, {FAILED} FROM verdicts", "batch_failed": f"{x.VERDICTS} SELECT error_code, count(*) AS failed FROM verdicts WHERE error_code IN {vocab.FAILED_CODES} GROUP BY error_code",
     "verdict_rollup": f"{x.VERDICTS} SELECT abstract_source, error_code, count(*) AS claims FROM (SELECT coalesce(abstract_source, 'none') AS abstract_source, error_code FROM verdicts) GROUP BY ROLLUP (abstract_source, error_code)",
-    "batch_report": BATCH_REPORT, "regression_gate": REGRESSION_GATE, "cross_source_existence": CROSS_SOURCE_EXISTENCE, "payload_parse": PAYLOAD_PARSE,
+    "batch_report": BATCH_REPORT, "regression_gate": REGRESSION_GATE, "cross_source_existence": CROSS_SOURCE_EXISTENCE, "existence_without_doi": EXISTENCE_WITHOUT_DOI, "payload_parse": PAYLOAD_PARSE,
     "claim_file_csv": sql_claim_file(2), "claim_file_jsonl": sql_claim_file(1), "payload_document": PAYLOAD_DOCUMENT,
 }
 
