@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.functions.text import strip
+from attesta.functions.text import let, strip
 
 
 def without_trailing_marks(text: Column) -> Column:
@@ -14,13 +14,17 @@ def without_trailing_marks(text: Column) -> Column:
     The tail of stops, brackets and blanks has no opening bracket, so as many of its closing ones go,
     from the right, as the whole text has in excess; it ends with the last that stays.
     """
-    whole = strip(text)
     count = lambda s, mark: F.length(s) - F.length(F.replace(s, F.lit(mark), F.lit("")))
-    tail = F.regexp_extract(whole, r"(?U)[.,;:)\s]*$", 0)
-    stay = count(tail, ")") - F.greatest(F.lit(0), count(whole, ")") - count(whole, "("))
-    kept = F.when(stay > 0, F.concat(F.call_function("substring_index", tail, F.lit(")"), stay), F.lit(")"))).otherwise("")
-    cut = F.concat(F.substring(whole, F.lit(1), F.length(whole) - F.length(tail)), kept)
-    return F.when(whole.rlike(r"(?U)[.,;:)\s]$"), cut).otherwise(whole)
+
+    def cut(x: Column) -> Column:
+        whole, tail = x["whole"], x["tail"]
+        stay = count(tail, ")") - F.greatest(F.lit(0), count(whole, ")") - count(whole, "("))
+        kept = F.when(stay > 0, F.concat(F.call_function("substring_index", tail, F.lit(")"), stay), F.lit(")"))).otherwise("")
+        return F.concat(F.substring(whole, F.lit(1), F.length(whole) - F.length(tail)), kept)
+
+    with_tail = lambda w: F.struct(w.alias("whole"), F.regexp_extract(w, r"(?U)[.,;:)\s]*$", 0).alias("tail"))
+    ends = r"(?U)[.,;:)\s]$"
+    return let(strip(text), lambda w: F.when(w.rlike(ends), let(with_tail(w), cut)).otherwise(w))
 
 
 def normalize_doi(raw: Column) -> Column:
@@ -31,7 +35,10 @@ def normalize_doi(raw: Column) -> Column:
     folded = F.replace(F.translate(F.lower(strip(raw)), "\u017f\u03c2", "s\u03c3"), F.lit("\u00df"), F.lit("ss"))
     bare = F.regexp_replace(folded, r"^(?:https?://)?(?:dx\.)?doi\.org/", "")
     bare = F.regexp_replace(bare, r"(?U)^doi:\s*", "")
-    # what is no escape stays as it is
-    escaped = F.regexp_replace(F.replace(bare, F.lit("+"), F.lit("%2b")), "%(?![0-9a-f]{2})", "%25")
-    decoded = F.when(F.contains(bare, F.lit("%")), F.coalesce(F.try_url_decode(escaped), bare)).otherwise(bare)
-    return without_trailing_marks(decoded)
+    return let(bare, lambda b: without_trailing_marks(F.when(F.contains(b, F.lit("%")), decoded(b)).otherwise(b)))
+
+
+def decoded(text: Column) -> Column:
+    """Percent escapes as characters; what is no escape stays as it is."""
+    escaped = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2b")), "%(?![0-9a-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(escaped), text)
