@@ -93,7 +93,7 @@ WITH hashed AS (
     FROM hashed
 )
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-    CASE WHEN page_id <> first THEN first END AS refers_to, regexp_replace(url, '[\x00-\x20\x7f]', '%20', 'g') AS target_uri
+    CASE WHEN page_id <> first THEN first END AS refers_to, array_to_string(list_transform(string_split(url, ''), lambda c: CASE WHEN regexp_matches(c, '[\x00-\x20\x7f]') THEN printf('%%%02X', unicode(c)) ELSE c END), '') AS target_uri
 FROM digests
 """
 

@@ -58,6 +58,10 @@ def deduplicated(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     return marked.withColumn("record_type", F.when(F.col("_again"), "revisit").otherwise("response")).withColumn("refers_to", F.when(F.col("_again"), F.col("_first"))).drop("_first", "_same", "_again")
 
 
+#: Blanks and control characters, which a header line cannot hold.
+UNSAFE = r"[\x00-\x20\x7f]"
+
+
 def write(records: DataFrame, path: str, uri: str = "url", date: str = "2000-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """Writes a WARC record for each row of records (record_key, payload and the columns of `deduplicated`) below path.
 
@@ -70,7 +74,8 @@ def write(records: DataFrame, path: str, uri: str = "url", date: str = "2000-01-
     URI, digest or key is left out. An empty table writes nothing.
     """
     records.sparkSession.dataSource.register(WarcSource)
-    clean = F.regexp_replace(F.col(uri), r"[\x00-\x20\x7f]", "%20")
+    escape = lambda c: F.when(c.rlike(UNSAFE), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)
+    clean = F.when(F.col(uri).rlike(UNSAFE), F.array_join(F.transform(F.split(F.col(uri), ""), escape), "")).otherwise(F.col(uri))
     body = F.when(F.col("record_type") == "response", F.coalesce(F.col("payload").cast("binary"), F.lit("").cast("binary"))).otherwise(F.lit("").cast("binary"))
     key, refers = (F.regexp_replace(F.col(c).cast("string"), r"[\r\n]", " ") for c in ("record_key", "refers_to"))
     rows = records.select("record_type", key.alias("record_id"), clean.alias("target_uri"), "payload_digest", refers.alias("refers_to"), "payload_bytes", body.alias("payload"))

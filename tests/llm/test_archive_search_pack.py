@@ -40,7 +40,7 @@ def test_warc_round_trip(spark, tmp_path, compression):
         assert r["record_type"] == ("revisit" if again else "response") and r["payload_digest"] == digest[k]
         assert r["payload_bytes"] == len(text[k].encode()) and r["refers_to"] == (str(first[digest[k]]) if again else None)
         assert bytes(r["payload"]) == (b"" if again else text[k].encode())
-    assert {r["target_uri"] for r in got if r["record_id"] == "101"} == {"http://b/%20%20x:%20y"}
+    assert {r["target_uri"] for r in got if r["record_id"] == "101"} == {"http://b/%0D%0Ax:%20y"}
     # tests of header fields go to the reader; payloads that nobody asks for are not decoded
     only = warc.read(spark, path, payload=False).where("record_type = 'revisit' and target_uri in ('http://a/8', 'http://a/9')")
     plan = only._jdf.queryExecution().executedPlan().toString()
