@@ -42,7 +42,7 @@ def existence(citations: DataFrame, records: DataFrame, enough: int = 2) -> Data
     found = met.groupBy("_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_by")))).alias("sources"))
     looked_up = asked.select("_id").distinct().join(found, "_id", "left")
     counts = asked.groupBy("_id").agg(F.sum("_rows").alias("_rows"))
-    out = spread(cited.select(*kept, "_id"), looked_up, counts, "_id", ["title", "first_author", F.monotonically_increasing_id()])
+    out = spread(cited.select(*kept, "_id"), looked_up, counts, "_id", kept)
     out = out.withColumn("sources", F.coalesce("sources", F.expr("cast(array() as array<string>)")))
     n = F.size("sources")
     return out.drop("_id").withColumn("existence", F.when(n >= enough, "CONFIRMED").when(n > 0, "SINGLE-SOURCE").otherwise("NOT FOUND"))
