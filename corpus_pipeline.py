@@ -16,6 +16,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document stays if language ID is at least so sure of its language.
 LEAST_SCORE = 0.1
 MARK = "[SECRET]"
+#: Bytes of text that a worker gets at a time.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of BATCH_BYTES, not of so many rows, whatever their lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no letters. Repeated rows stay or go together; an empty table stays
     empty; without any lang to learn from all documents go. Columns other than COLUMNS are left out.
     """
+    small_batches(spark)
     found = langid.detect(docs, langid.fit(docs), [c for c in COLUMNS if c != "doc_id"])
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -35,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without a word are classes of their own and stay. Rows that share a doc_id, or have
     none, stay if one of them does.
     """
+    small_batches(spark)
     classes = neardup.jaccard_join(docs)
     kept = cut(classes.where("doc_id <=> class_id").select("doc_id").distinct())
     named = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
@@ -44,6 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret becomes a mark; all documents stay, those with null or empty texts as they are."""
+    small_batches(spark)
     found = secretscan.scan(docs, secretscan.fit(docs), redact=MARK, keep=("lang", "source", "n_chars"))
     changed = F.col("spans") != ""
     chars = F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))
@@ -62,6 +72,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens; a null or empty text is its end mark alone, repeated rows are packed as often."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 
