@@ -18,7 +18,7 @@ from attesta.llm import wordvec
 #: Cells (buckets times languages) of a model: with more languages the n-grams share fewer buckets, so its size is bounded.
 CELLS, MOST_BITS, LEAST_BITS = 1 << 24, 16, 6
 #: Bytes of text that are scored at once for one to sixteen languages, and so many times fewer for more. A longer text is
-#: read in pieces; a run of letters longer than a piece counts as several words.
+#: read in pieces that end between words; of a word longer than a piece the sums pass from piece to piece.
 PIECE = 1 << 17
 #: Ranges of code points of the Unicode blocks that hold a script's letters.
 SCRIPTS = (
@@ -77,18 +77,34 @@ class Words:
     first: np.ndarray
 
 
+def kinds(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The script of each code point, marks with that of what they stand on; `first` are true where a text begins."""
+    kind = scripts()[np.minimum(points, len(scripts()) - 1)]
+    if len(marks := np.flatnonzero(kind == MARK)):
+        own = np.where((kind != MARK) | first, np.arange(len(kind)), 0)
+        kind[marks] = kind[np.maximum.accumulate(own)[marks]]
+        kind[kind == MARK] = 0
+    return kind
+
+
+def gram_buckets(spread: np.ndarray, bits: int) -> np.ndarray:
+    """The buckets of the grams that end at each byte from the fourth on; a zero ends a word, and the three first bytes are what stands before."""
+    b0, b1, b2, b3 = spread[3:], spread[2:-1], spread[1:-2], spread[:-3]
+    b2 = b2 * (b1 > 0)
+    b3 = b3 * (b2 > 0)
+    three = b0 | (b1 << np.uint64(8)) | (b2 << np.uint64(16))
+    shift = np.uint64(64 - bits)
+    return np.stack([(three + np.uint64(1)) * SALTS[0] >> shift, ((three | (b3 << np.uint64(24))) + np.uint64(1)) * SALTS[1] >> shift]).astype(np.int32)
+
+
 def split_words(data: np.ndarray, offsets: np.ndarray, bits: int = MOST_BITS) -> Words:
     points, size = code_points(data)
     at = np.cumsum(size) - size  # of code points in bytes
     base = np.searchsorted(at, offsets, "left")  # of texts in code points
-    kind = scripts()[np.minimum(points, len(scripts()) - 1)]
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(base))
-    new = np.zeros(len(kind), bool)
+    new = np.zeros(len(points), bool)
     new[base[:-1][np.diff(base) > 0]] = True
-    if len(marks := np.flatnonzero(kind == MARK)):  # a mark belongs to what it stands on
-        own = np.where((kind != MARK) | new, np.arange(len(kind)), 0)
-        kind[marks] = kind[np.maximum.accumulate(own)[marks]]
-        kind[kind == MARK] = 0
+    kind = kinds(points, new)
     letter = kind > 0
     begins = letter.copy()
     begins[1:] &= new[1:] | (kind[1:] != kind[:-1])
@@ -101,29 +117,60 @@ def split_words(data: np.ndarray, offsets: np.ndarray, bits: int = MOST_BITS) ->
     bytes_of = np.bincount(word, size[idx], minlength=len(start)).astype(np.int64)
     spread = np.zeros(len(inside) + len(start) + 3, np.uint64)
     spread[np.arange(len(inside)) + np.repeat(np.arange(len(start)), bytes_of) + 3] = inside
-    b0, b1, b2, b3 = spread[3:], spread[2:-1], spread[1:-2], spread[:-3]
-    b2 = b2 * (b1 > 0)
-    b3 = b3 * (b2 > 0)
-    three = b0 | (b1 << np.uint64(8)) | (b2 << np.uint64(16))
-    shift = np.uint64(64 - bits)
-    grams = np.stack([(three + np.uint64(1)) * SALTS[0] >> shift, ((three | (b3 << np.uint64(24))) + np.uint64(1)) * SALTS[1] >> shift]).astype(np.int32)
-    return Words(doc[start], start - base[doc[start]], start + count - base[doc[start]], kind[start], grams, np.concatenate([[0], np.cumsum(bytes_of + 1)]))
+    return Words(doc[start], start - base[doc[start]], start + count - base[doc[start]], kind[start], gram_buckets(spread, bits), np.concatenate([[0], np.cumsum(bytes_of + 1)]))
+
 
+def upto(data: np.ndarray, lo: int, most: int) -> int:
+    """The end of the code point that ends `most` bytes after lo, or soon after."""
+    hi = min(len(data), lo + most)
+    while hi < len(data) and (data[hi] & 0xC0) == 0x80:
+        hi += 1
+    return hi
 
-def pieces(data: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of at most about `most` bytes of one text that end between words, or between code points where a word is longer."""
-    lo = 0
+
+def long_word(data: np.ndarray, lo: int, script: int, most: int) -> int:
+    """Where the word of a script that begins at lo ends."""
     while lo < len(data):
-        hi = min(len(data), lo + most)
-        while hi < len(data) and (data[hi] & 0xC0) == 0x80:
-            hi += 1
-        if hi < len(data):
-            points, size = code_points(data[lo:hi])
-            gaps = np.flatnonzero(scripts()[np.minimum(points, len(scripts()) - 1)] == 0)
-            if len(gaps):
-                hi = lo + int(size[: gaps[-1] + 1].sum())
-        yield lo, hi
+        hi = upto(data, lo, most)
+        points, size = code_points(data[lo:hi])
+        kind = scripts()[np.minimum(points, len(scripts()) - 1)]
+        other = np.flatnonzero((kind != script) & (kind != MARK))
+        if len(other):
+            return lo + int(size[: other[0]].sum())
         lo = hi
+    return lo
+
+
+def in_pieces(data: np.ndarray, most: int, bits: int) -> Iterator[tuple[Words, bool]]:
+    """The words of one text in pieces of about `most` bytes, placed in the whole text, each with whether its only word goes on in the next.
+
+    Pieces end between words, so the words are those of the text at once. A word longer than a piece
+    comes in several, all with its place in the text, and each gram of it is in one of them.
+    """
+    lo = at = 0
+    while lo < len(data):
+        hi = upto(data, lo, most)
+        points, size = code_points(data[lo:hi])
+        kind = kinds(points, np.arange(len(points)) == 0)
+        ends = np.flatnonzero((kind[:-1] == 0) | (kind[1:] != kind[:-1]))
+        if kind[-1] and hi < len(data) and not len(ends):
+            hi = long_word(data, hi, kind[0], most)
+            end = at + int(((data[lo:hi] & 0xC0) != 0x80).sum())
+            for a in range(lo, hi, most):
+                b = min(hi, a + most)
+                spread = np.zeros(3 + b - a + (b == hi), np.uint64)
+                before = min(3, a - lo)
+                spread[3 - before : 3 + b - a] = data[a - before : b]
+                grams = gram_buckets(spread, bits)
+                yield Words(np.zeros(1, np.int64), np.array([at]), np.array([end]), kind[:1], grams, np.array([0, grams.shape[1]])), b < hi
+        else:
+            if kind[-1] and hi < len(data):
+                hi = lo + int(size[: ends[-1] + 1].sum())
+            end = at + int(((data[lo:hi] & 0xC0) != 0x80).sum())
+            w = split_words(data[lo:hi], np.array([0, hi - lo]), bits)
+            w.start, w.end = w.start + at, w.end + at
+            yield w, False
+        lo, at = hi, end
 
 
 @dataclass
@@ -138,7 +185,7 @@ class Model:
     def piece(self) -> int:
         return max(1 << 10, PIECE * 16 // max(16, len(self.langs)))
 
-    def word_scores(self, w: Words) -> np.ndarray:
+    def gram_sums(self, w: Words) -> np.ndarray:
         out = np.empty((len(w.doc), len(self.langs)))
         step = max(1, (1 << 21) // len(self.langs))  # n-grams at once
         lo = 0
@@ -147,6 +194,11 @@ class Model:
             g = w.grams[:, w.first[lo] : w.first[hi]]
             np.add.reduceat(self.score[g[0]] + self.score[g[1]], w.first[lo:hi] - w.first[lo], axis=0, out=out[lo:hi], dtype=np.float64)
             lo = hi
+        return out
+
+    def word_scores(self, w: Words, sums: np.ndarray | None = None) -> np.ndarray:
+        """Of each word and language, against the best of the languages that use its script; `sums` are the words' `gram_sums`, where known."""
+        out = self.gram_sums(w) if sums is None else sums
         possible = self.usual[w.script]
         best = np.where(possible, out, -np.inf).max(axis=1, keepdims=True, initial=-np.inf)
         return np.where(possible.any(axis=1)[:, None], np.where(possible, out - np.maximum(best, -1e300), -1e3), 0.0)
@@ -267,10 +319,9 @@ def fit(docs: DataFrame, sample: int = 1000, penalty: float = 25.0) -> Model | N
             for lo, hi in wordvec.slices(b.column(1)):
                 data, offsets = wordvec.text_bytes(b.column(1).slice(lo, hi - lo))
                 lang = b.column(0).slice(lo, hi - lo).to_numpy().astype(np.int64) * width
-                for at, end in [(0, len(data))] if hi - lo > 1 else pieces(data, 1 << 20):
-                    w = split_words(data[at:end], offsets if hi - lo > 1 else np.array([0, end - at]), bits)
+                for w, goes_on in [(split_words(data, offsets, bits), False)] if hi - lo > 1 else in_pieces(data, 1 << 20, bits):
                     own = np.repeat(lang[w.doc], np.diff(w.first))
-                    held += [own + w.grams[0], own + w.grams[1], lang[w.doc] + size + w.script]
+                    held += [own + w.grams[0], own + w.grams[1]] + [lang[w.doc] + size + w.script] * (not goes_on)
                     cells += 2 * len(own)
                     if cells > every:
                         yield counted()
@@ -316,15 +367,17 @@ def labelled(model: Model, data: np.ndarray, offsets: np.ndarray) -> Labelled:
 
 def labelled_long(model: Model, data: np.ndarray) -> Labelled:
     """One text in pieces; the sums and the Viterbi values pass from piece to piece."""
-    way, totals, parts, at = Way(model.penalty, len(model.langs)), np.zeros((1, len(model.langs))), [], 0
-    for lo, hi in pieces(data, model.piece):
-        w = split_words(data[lo:hi], np.array([0, hi - lo]), model.bits)
+    way, totals, parts, begun = Way(model.penalty, len(model.langs)), np.zeros((1, len(model.langs))), [], 0.0
+    for w, goes_on in in_pieces(data, model.piece, model.bits):
         if len(w.doc):
-            s = model.word_scores(w)
-            totals += s.sum(axis=0)
-            way.go(s)
-            parts.append((w.start + at, w.end + at, w.script))
-        at += int(((data[lo:hi] & 0xC0) != 0x80).sum())
+            sums = model.gram_sums(w)
+            sums[0] += begun
+            begun = sums[0] if goes_on else 0.0
+            if not goes_on:
+                s = model.word_scores(w, sums)
+                totals += s.sum(axis=0)
+                way.go(s)
+                parts.append((w.start, w.end, w.script))
     start, end, script = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
     w = Words(np.zeros(len(start), np.int64), start, end, script.astype(np.uint8), np.zeros((2, 0)), np.zeros(0))
     return Labelled(model, w, way.back() if parts else np.zeros(0, np.int64), totals, 1)
@@ -341,7 +394,7 @@ def detect(docs: DataFrame, model: Model | None, keep: Sequence[str] = ()) -> Da
 
     lang_pred is `und`, with score 0, for a null text, one without letters, or without a model. A
     text all in scripts that no learned language uses gets the first language, with score 0.
-    Texts are read whole, where they are, long ones in pieces, so memory does not grow with texts
+    Texts are read whole, where they are, long ones in pieces, with the same words and sums as in one, so memory does not grow with texts
     times languages; the model goes to every task (CELLS bounds it). Other columns are ignored, lang
     and source among them. Repeated rows get equal results; an empty table gives an empty one.
     """

@@ -6,6 +6,7 @@ import string
 from collections import Counter
 
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -192,8 +193,31 @@ def test_long_texts_are_labelled_alike(monkeypatch):
     apart = langid.labelled_long(model, data)
     assert len(whole.lang) > 5 and (whole.lang == apart.lang).all() and (whole.start == apart.start).all() and (whole.end == apart.end).all()
     assert whole.top == apart.top and abs(whole.score - apart.score) < 1e-9 and whole.letters == apart.letters
+    # words longer than a piece, and words of other scripts without a gap between
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choices("thesingé\u0301", k=n)) for n in (5000, 3, 1024, 1025, 7)) + "日本" * 900 + "x" * 3000
+    data, offsets = wordvec.text_bytes(pa.array([long]))
+    whole, apart = langid.labelled(model, data, offsets), langid.labelled_long(model, data)
+    assert (whole.lang == apart.lang).all() and (whole.start == apart.start).all() and (whole.end == apart.end).all()
+    assert abs(whole.score - apart.score) < 1e-9 and whole.letters == apart.letters
     one = np.full(5000, ord("x"), np.uint8)
-    assert langid.labelled_long(model, one).letters[0] == 5000
+    assert langid.labelled_long(model, one).letters[0] == 5000 and len(langid.labelled_long(model, one).start) == 1
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 5, 8, 33])
+def test_pieces_have_the_words_of_the_whole(most):
+    import numpy as np
+
+    rng = random.Random(most)
+    for _ in range(150):
+        text = "".join(rng.choices(["a", "b", "é", "\u0301", " ", ".", "λ", "日", "𠀀", "ह", "\u093f"], [9, 9, 3, 2, 2, 1, 2, 1, 1, 1, 1], k=rng.randint(0, 60)))
+        data, offsets = wordvec.text_bytes(pa.array([text]))
+        whole = langid.split_words(data, offsets)
+        pieces = list(langid.in_pieces(data, most, langid.MOST_BITS))
+        last = [w for w, goes_on in pieces if not goes_on]
+        for name in ("start", "end", "script"):
+            assert [int(x) for w in last for x in getattr(w, name)] == [int(x) for x in getattr(whole, name)]
+        assert np.array_equal(np.concatenate([np.zeros((2, 0), np.int32), *[w.grams for w, _ in pieces]], axis=1), whole.grams)
 
 
 def test_more_languages_than_one_would_think(spark):
