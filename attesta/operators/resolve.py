@@ -31,11 +31,11 @@ def attempt(source: str, status: Column | str, reason: Column | str, doi: Column
     )
 
 
-def answers_by_doi(answers: DataFrame) -> DataFrame:
-    """One row per DOI with a column for each source's answer (record, error_status, error_reason, elapsed_ms, and bound: is the record of this DOI?).
+def least_answers(answers: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """answers and aggregates of them: for each source a column with the least of its answers (record, error_status, error_reason, elapsed_ms, and bound: is the record of this DOI?).
 
-    Of several answers of one source that with the least of (error, no record, no abstract, the
-    answer itself) is taken, whatever the order they come in. elapsed_ms may be missing.
+    Answers are ordered by (error, no record, no abstract, the answer itself), so it does not matter
+    in which order they come. elapsed_ms may be missing; groups without a source's answer get null.
     """
     if "elapsed_ms" not in answers.columns:
         answers = answers.withColumn("elapsed_ms", F.lit(None).cast("int"))
@@ -43,8 +43,13 @@ def answers_by_doi(answers: DataFrame) -> DataFrame:
     answer = F.struct("record", "error_status", "error_reason", "elapsed_ms", bound.alias("bound"))
     order = [F.col("error_status").isNotNull(), F.col("record").isNull(), F.coalesce(F.col("record.abstract"), F.lit("")) == ""]
     placed = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], answer.alias("answer"))
-    of = lambda source: F.min(F.when(F.col("source_name") == source, placed))["answer"].alias(source)
-    return answers.groupBy("doi_norm").agg(*[of(s) for s in ("crossref", *vocab.FALLBACK_ORDER)])
+    return answers, [F.min(F.when(F.col("source_name") == s, placed))["answer"].alias(s) for s in ("crossref", *vocab.FALLBACK_ORDER)]
+
+
+def answers_by_doi(answers: DataFrame) -> DataFrame:
+    """One row per DOI with a column for each source's answer (see `least_answers`)."""
+    answers, columns = least_answers(answers)
+    return answers.groupBy("doi_norm").agg(*columns)
 
 
 def fallback_attempt(source: str) -> Column:
@@ -81,9 +86,13 @@ def resolve(claims: DataFrame, by_doi: DataFrame, use_crossref_abstract: bool =
     a placeholder as record. row_error holds a CrossRef failure, which no fallback mends. by_doi is
     from `answers_by_doi`; one join, and the rest is row by row, so claims may be a stream.
     """
-    selected = ~F.col("source").isin("auto", "crossref")
     keyed = claims if "doi_norm" in claims.columns else claims.withColumn("doi_norm", normalize_doi(F.col("doi")))
-    df = keyed.join(by_doi, "doi_norm", "left")
+    return chosen_source(keyed.join(by_doi, "doi_norm", "left"), use_crossref_abstract)
+
+
+def chosen_source(df: DataFrame, use_crossref_abstract: bool = True) -> DataFrame:
+    """`resolve` for claims that have their sources' answers (see `least_answers`) beside them."""
+    selected = ~F.col("source").isin("auto", "crossref")
     doi, main = F.col("doi_norm"), F.col("crossref")
     record = main["record"]
     broken = F.when(~selected & record.isNull(), F.coalesce(main["error_reason"], F.lit(vocab.CROSSREF_MISSING)))

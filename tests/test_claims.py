@@ -13,9 +13,9 @@ from attesta.operators import batch
 from attesta.operators.claims import check_pairs, numeric_support, with_claim_terms
 from attesta.operators.evidence import clause_texts, with_evidence
 from attesta.operators.resolve import check_claims
-from attesta.schemas import SOURCE_ANSWER
+from attesta.schemas import CLAIM, SOURCE_ANSWER
 from attesta.sources.claims import ClaimFileError, detect_format, read_claims
-from attesta.streaming.verdicts import stream_verdicts, windowed_summary, write_verdicts
+from attesta.streaming.verdicts import joined_verdicts, stream_verdicts, windowed_summary, write_verdicts
 
 STRAIN = "actuation strain above 100%"
 # (abstract, claim, status, what the evidence or the reason holds)
@@ -185,6 +185,36 @@ def test_stream(spark, tmp_path):
     assert spark.table("sums").agg(F.sum("accept"), F.sum("total")).first() == (1, 2)
 
 
+def test_claims_and_answers_as_streams(spark, tmp_path):
+    """Once drained, the verdicts of two streams are those of the tables; answers outside a claim's time do not count."""
+    timed = lambda df, at: df.withColumn("at", F.to_timestamp(at))
+    day = "2024-01-01 "
+    said = [(1, "10.1/A", 90, "05:00"), (2, "https://doi.org/10.1/a", 99, "05:10"), (3, "10.1/none", 90, "05:20"), (4, "10.1/a", 90, "02:00"), (5, None, 90, "05:30"), *[(n, "10.1/a", n, "05:40") for n in range(80, 100)]]
+    claims = timed(spark.createDataFrame([(i, None, doi, f"device efficiency above {n}%", "auto", None, day + t) for i, doi, n, t in said], CLAIM + ", t string"), "t").drop("t")
+    answers = timed(spark.createDataFrame(ANSWERS, SOURCE_ANSWER), F.lit(day + "05:50"))
+    # each stream's second file lets its watermark go on
+    claims.write.parquet(str(tmp_path / "claims"))
+    answers.write.parquet(str(tmp_path / "answers"))
+
+    def drained(name: str) -> None:
+        read = lambda df, folder: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / folder))
+        out = joined_verdicts(read(claims, "claims"), read(answers, "answers"), keep="2 hours", salts=3)
+        write_verdicts(out.select("row_number", "status", "verdict", "reason", "evidence", "error_code", "attempts"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+
+    drained("first")
+    timed(spark.createDataFrame([(1000, None, "10.1/z", "x", "auto", None)], CLAIM), F.lit("2024-02-01")).write.mode("append").parquet(str(tmp_path / "claims"))
+    timed(spark.createDataFrame([(*ANSWERS[0][:1], "10.1/z", *ANSWERS[0][2:])], SOURCE_ANSWER), F.lit("2024-02-01")).write.mode("append").parquet(str(tmp_path / "answers"))
+    drained("second")  # goes on from the checkpoint
+    found = {r["row_number"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    expected = {r["row_number"]: r for r in check_claims(claims.drop("at"), answers.drop("at")).collect()}
+    assert found.keys() == expected.keys()
+    for n, r in found.items():
+        if n == 4:  # answered three hours and more after it
+            assert r["error_code"] == "ROW_CHECK_ERROR" and expected[n]["error_code"] != r["error_code"]
+        else:
+            assert all(r[c] == expected[n][c] for c in r.asDict())
+
+
 def test_cli(spark, tmp_path, capsys):
     from attesta.cli import main
 
