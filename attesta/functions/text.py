@@ -182,9 +182,18 @@ def tokens_with_greek(text: Column) -> Column:
     return title_tokens(plain_title(text))
 
 
-def clean_markup(text: Column) -> Column:
-    """Tags out, references resolved, white space collapsed (OP-10); null for blank text."""
+#: An ampersand that begins no reference with a semicolon.
+BARE_AMPERSAND = "&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)"
+
+
+def clean_markup(text: Column, closed: bool = False) -> Column:
+    """Tags out, references resolved, white space collapsed (OP-10); null for blank text.
+
+    HTML also knows old references without a semicolon; if `closed`, those stay as they are.
+    """
     bare = F.regexp_replace(text, "<[^>]+>", " ")
+    if closed:
+        bare = F.regexp_replace(bare, BARE_AMPERSAND, "&amp;")
     coded = F.contains(bare, F.lit("&"))
     resolved = F.when(coded, unescaped(F.when(coded, bare))).otherwise(bare)
     return F.when(non_blank(text).isNotNull(), strip(F.regexp_replace(resolved, r"(?U)\s+", " ")))

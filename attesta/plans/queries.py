@@ -166,7 +166,8 @@ INVERTED_INDEX_ROUNDTRIP = r"""SELECT doc_id, CAST(len(list_distinct(w)) AS BIGI
 
 
 def html_abstract_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", tx.clean_markup(F.col("html")).alias("abstract"))
+    """Pages without markup; references that are cut off before their semicolon stay."""
+    return table(spark, sf_dir, "pages").select("page_id", tx.clean_markup(F.col("html"), closed=True).alias("abstract"))
 
 
 HTML_ABSTRACT_CLEAN = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS abstract FROM pages"""

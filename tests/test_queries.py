@@ -47,3 +47,14 @@ def test_filter_on_a_verdict_stays_above_the_rules(spark):
 
 def test_every_sql_has_a_query():
     assert queries.ORACLE_SQL.keys() <= queries.QUERIES.keys()
+
+
+def test_a_reference_that_is_cut_off_stays(spark, tmp_path):
+    """As in the SQL; an abstract of a service has it resolved, as HTML does."""
+    pages = [(1, "<b>a &amp;&amp</b> b"), (2, "a &am<i>b</i> &lt;&gt &quot;&amp;amp &copy; &middot"), (3, "& &; &#"), (4, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.html_abstract_clean(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(map(tuple, found)) == sorted(con.execute(queries.ORACLE_SQL["html_abstract_clean"]).fetchall())
+    assert spark.range(1).select(queries.tx.clean_markup(queries.F.lit("a &amp b"))).first()[0] == "a & b"
