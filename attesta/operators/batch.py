@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import vocab
+from attesta.sources.shared import new_folder
+
 
 def counters() -> list[Column]:
     """OP-90, OP-91: overlapping counts by verdict, status and operational failure."""
@@ -35,22 +37,25 @@ def summary_line(summary: DataFrame) -> DataFrame:
     return summary.select(F.concat(F.lit("Summary: "), F.concat_ws(" ", *[F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n in names])).alias("line"))
 
 
-def result_json(results: DataFrame) -> DataFrame:
-    """row_number and each result as JSON: nulls are kept, but a note only where there is one (OP-24)."""
+def result_json(results: DataFrame, *others: str) -> DataFrame:
+    """row_number, other columns and each result as JSON: nulls are kept, but a note only where there is one (OP-24)."""
     fields = ("abstract_source", "claim", "doi", "error_code", "evidence", "id", "paper", "reason", "row_number", "source_attempts", "status", "verdict")
     named = results.withColumnsRenamed({"record": "paper", "attempts": "source_attempts"})
     options = {"ignoreNullFields": "false"}
     with_note = sorted([*fields, "note"])
-    return named.select("row_number", F.when(F.col("note").isNotNull(), F.to_json(F.struct(*with_note), options)).otherwise(F.to_json(F.struct(*fields), options)).alias("json"))
+    return named.select("row_number", *others, F.when(F.col("note").isNotNull(), F.to_json(F.struct(*with_note), options)).otherwise(F.to_json(F.struct(*fields), options)).alias("json"))
 
 
 def write_document(results: DataFrame, path: str) -> None:
     """The summary and all results as one JSON document: text files below path, whose lines in the order of the files' names make it (OP-24, OP-107).
 
     Rows are dealt and sorted by row_number, over range partitions; no task and no driver holds them
-    all. row_number must be unique. Without results the document has an empty list.
+    all. row_number must be unique. Without results the document has an empty list. Results are computed
+    once: their rows are kept in the shared folder, and bounds, ranges and summary are taken from there.
     """
-    rows = result_json(results)
+    rendered = new_folder(results.sparkSession, "results")
+    result_json(results, "verdict", "status", "error_code").write.parquet(rendered)
+    results = rows = results.sparkSession.read.parquet(rendered)
     first, last = results.agg(F.min("row_number"), F.max("row_number")).first()
     first, last = first or 0, last or 0
     line = F.when(F.col("row_number") > first, F.concat(F.lit(", "), F.col("json"))).otherwise(F.col("json"))

@@ -1,7 +1,7 @@
 """Claims against evidence: measurements, percentages, literal statements, and the verdict.
 
 All functions take a DataFrame with claim columns (`with_claim_terms`) and evidence columns
-(`evidence.with_evidence`), joined on the paper, and add columns; none shuffles.
+(`evidence.with_evidence`), joined on the paper, and add columns; none shuffles but `check_pairs`, which deals its rows.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from attesta.functions import text as tx
 from attesta.functions import vocab
 from attesta.functions.quantities import claimed_comparator, contradicts, entails_measurement, entails_percentage, normalize_unit
 from attesta.operators.evidence import array_of, scoped, with_evidence
+from attesta.sources.shared import dealt
 
 COMPARATIVE = tx.words_pattern(vocab.COMPARATIVE_SUFFIXES)
 CLAIM_COLUMNS = ("c_terms", "c_phrase", "c_numbers", "c_threshold", "c_cmp", "c_strain", "c_actuation", "c_qualifiers", "c_generic", "c_measure")
@@ -169,5 +170,5 @@ def claim_support(joined: DataFrame) -> DataFrame:
 
 
 def check_pairs(pairs: DataFrame) -> DataFrame:
-    """claim_support of rows that hold a claim and its abstract."""
-    return claim_support(with_claim_terms(with_evidence(pairs))).drop("sentences", "clauses", "abstract_terms", *CLAIM_COLUMNS)
+    """claim_support of rows that hold a claim and its abstract, dealt over the session's tasks."""
+    return claim_support(with_claim_terms(with_evidence(dealt(pairs)))).drop("sentences", "clauses", "abstract_terms", *CLAIM_COLUMNS)

@@ -242,3 +242,24 @@ def test_several_claim_files(spark, tmp_path):
     (folder / "b.jsonl").write_text('{"doi": "10.1/c", "claim": "z"}\n{"doi": "10.1/d"}\n')
     rows = read_claims(spark, str(folder), strict=False).orderBy("row_number").collect()
     assert [(r["row_number"], r["doi"], r["error"]) for r in rows] == [(1, "10.1/a", None), (3, "10.1/b", None), (4, "10.1/c", None), (5, "10.1/d", "Missing required field on line 5: claim")]
+
+
+def test_pairs_are_dealt_to_the_tasks_of_the_session(spark):
+    one = spark.createDataFrame([("Actuated strain was 9%.", STRAIN)], "abstract string, claim string").coalesce(1)
+    assert check_pairs(one).rdd.getNumPartitions() == 4
+
+
+def test_a_document_computes_its_results_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    names = "id doi claim note status verdict reason evidence abstract_source error_code record attempts".split()
+    results = spark.range(1, 9).select(F.col("id").alias("row_number"), *[F.lit("x").alias(n) for n in names]).withColumn("verdict", counted(F.lit("ACCEPT")))
+    batch.write_document(results, str(tmp_path / "document"))
+    found = json.loads("".join(f.read_text() for f in sorted((tmp_path / "document").glob("part-*"))))
+    assert seen.value == 8
+    assert [r["row_number"] for r in found["results"]] == list(range(1, 9)) and found["summary"]["accept"] == 8
