@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from attesta.functions.doi import normalize_doi
 from attesta.operators.claims import CLAIM_COLUMNS, claim_support, settled, with_claim_terms
 from attesta.operators.evidence import with_evidence
 from attesta.schemas import ATTEMPT
+from attesta.sources.shared import tasks
 
 EVIDENCE = ("sentences", "clauses", "abstract_terms")
 #: Claims of one DOI that a task takes; a DOI with more is dealt over several, the most cited MOST_HOT of them.
@@ -137,24 +138,22 @@ def evident(resolved: DataFrame) -> DataFrame:
     return with_evidence(resolved.withColumn("abstract", usable_abstract())).drop("abstract")
 
 
-def tasks(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def spread(claims: DataFrame, dim: DataFrame, counts: DataFrame, key: str, salt_by: Sequence[str] = ("row_number", "claim")) -> DataFrame:
-    """claims with dim's columns by an equi-join on key, of which every claim has one row in dim; counts has _rows, the claims of each key.
+def spread(claims: DataFrame, dim: DataFrame, counts: DataFrame, key: str, salt_by: Sequence[str] = ("row_number", "claim"), widen: Callable[[DataFrame], DataFrame] = lambda dim: dim) -> DataFrame:
+    """claims with the columns of widen(dim) by an equi-join on key, of which every claim has one row in dim; counts has _rows, the claims of each key.
 
     The most cited keys are dealt over as many tasks as their claims ask for, with a copy of their row
-    for each; only their names and numbers, at most MOST_HOT, are broadcast. dim is computed once.
-    What follows costs far more a row than its bytes say, so claims are dealt to as many tasks as the
-    session names, which Spark does not put together by size.
+    for each; only their names and numbers, at most MOST_HOT, are broadcast. What follows costs far
+    more a row than its bytes say, so claims and dim are dealt to as many tasks as the session names,
+    which Spark does not put together by size. dim is widened where it meets the claims: its slim rows
+    are shuffled, and the wide ones, which Spark takes for small ones, are never broadcast.
     """
     hot = counts.where(F.col("_rows") > PER_TASK).orderBy(F.desc("_rows"), key).limit(MOST_HOT)
     hot = F.broadcast(hot.select(key, F.ceil(F.col("_rows") / PER_TASK).cast("int").alias("_tasks")))
     salt = F.coalesce(F.pmod(F.xxhash64(*salt_by), F.col("_tasks")), F.lit(0)).cast("int")
     fact = claims.join(hot, key, "left").withColumn("_salt", salt).drop("_tasks").repartition(tasks(claims), key, "_salt")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1)).alias("_salt")
-    return fact.join(dim.drop("_rows").join(hot, key, "left").select("*", copies).drop("_tasks"), [key, "_salt"]).drop("_salt")
+    copied = dim.drop("_rows").join(hot, key, "left").select("*", copies).drop("_tasks").repartition(tasks(claims), key, "_salt")
+    return fact.join(widen(copied).hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def check_claims(claims: DataFrame, answers: DataFrame, use_crossref_abstract: bool = True) -> DataFrame:
@@ -167,9 +166,8 @@ def check_claims(claims: DataFrame, answers: DataFrame, use_crossref_abstract: b
     keyed = claims.withColumns({"source": F.coalesce("source", F.lit("auto")), "doi_norm": normalize_doi(F.col("doi"))})
     keyed = keyed.withColumn("_key", F.concat_ws(" ", "source", "doi_norm"))
     asked = keyed.groupBy("_key", "source", "doi_norm").agg(F.count("*").alias("_rows"))
-    resolved = resolve(asked, answers_by_doi(answers), use_crossref_abstract).repartition(tasks(claims), "_key")
-    found = evident(resolved).drop("source", "doi_norm")
-    return judge_resolved(spread(keyed, found, asked, "_key").drop("_key"))
+    resolved = resolve(asked, answers_by_doi(answers), use_crossref_abstract).drop("source", "doi_norm")
+    return judge_resolved(spread(keyed, resolved, asked, "_key", widen=evident).drop("_key"))
 
 
 def judge_resolved(resolved: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from attesta.plans import expected as x
 from attesta.plans.corpus import table
 from attesta.sources import parsers
 from attesta.sources.claims import numbered_lines, read_claims
-from attesta.sources.shared import new_folder
+from attesta.sources.shared import dealt, new_folder
 
 
 # --- keys and metadata ---------------------------------------------------------------------------
@@ -250,13 +250,19 @@ def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark, sf_dir).select("l_orderkey", "l_linenumber", "status", "verdict", "error_code", "abstract_source")
 
 
+def with_papers(asked: DataFrame, papers: DataFrame) -> DataFrame:
+    """Claims with the evidence of their papers, which is found once for each paper."""
+    counts = asked.groupBy("key").agg(F.count("*").alias("_rows"))
+    return resolve.spread(asked, papers.select("key", "abstract"), counts, "key", ["l_orderkey", "l_linenumber"], evidence.with_evidence)
+
+
 def numeric_claim_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.claims(spark, sf_dir).where(~F.col("strain")).join(evidence.with_evidence(corpus.papers(spark, sf_dir).select("key", "abstract")), "key")
+    rows = with_papers(corpus.claims(spark, sf_dir).where(~F.col("strain")), corpus.papers(spark, sf_dir))
     return claims.numeric_support(claims.with_claim_terms(rows)).select("l_orderkey", "l_linenumber", F.col("numeric_status").alias("status"))
 
 
 def pct_claim_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.claims(spark, sf_dir).where("strain").join(evidence.with_evidence(corpus.papers(spark, sf_dir).select("key", "abstract")), "key")
+    rows = with_papers(corpus.claims(spark, sf_dir).where("strain"), corpus.papers(spark, sf_dir))
     return claims.percentage_support(claims.with_claim_terms(rows)).select("l_orderkey", "l_linenumber", F.col("percentage_evidence").isNotNull().alias("supported"))
 
 

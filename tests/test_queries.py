@@ -58,3 +58,11 @@ def test_a_reference_that_is_cut_off_stays(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     assert sorted(map(tuple, found)) == sorted(con.execute(queries.ORACLE_SQL["html_abstract_clean"]).fetchall())
     assert spark.range(1).select(queries.tx.clean_markup(queries.F.lit("a &amp b"))).first()[0] == "a & b"
+
+
+@pytest.mark.parametrize("name", ["numeric_claim_verdict", "pct_claim_verdict", "claim_verdicts"])
+def test_evidence_is_never_broadcast(spark, name):
+    """It is many times wider than the papers that Spark takes its size from."""
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_salt" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
