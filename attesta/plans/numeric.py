@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import claims, evidence
 from attesta.plans.corpus import table
+from attesta.sources.shared import dealt
 
 LIFE = "pump life above [t] cycles"
 #: Abstract, claim, its clauses with a mark on those that a frame holds, whether they can support the claim, and the number of the
@@ -44,7 +45,7 @@ def numeric_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses (a frame's with a mark), status and evidence of a numeric claim about each part (OP-51b, 53, 61, 62, 103, 112)."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("v"), (F.col("p_partkey") * 7 % 50 + 1).cast("long").alias("t"))
     pairs = part.select("p_partkey", by_case([c[0] for c in CASES]).alias("abstract"), by_case([c[1] for c in CASES]).alias("claim"))
-    found = claims.numeric_support(claims.with_claim_terms(evidence.with_evidence(pairs)))
+    found = claims.numeric_support(claims.with_claim_terms(evidence.with_evidence(dealt(pairs))))
     said = F.transform("clauses", lambda c: F.concat(F.when(c["framed"], "!").otherwise(""), c["clause"]))
     return found.select("p_partkey", "claim", F.array_join(said, " | ").alias("clauses"), F.col("numeric_status").alias("status"), F.col("numeric_evidence").alias("evidence"))
 

@@ -11,6 +11,7 @@ from attesta.operators import claims, metadata, resolve
 from attesta.plans import corpus
 from attesta.plans.corpus import table, text
 from attesta.sources import parsers
+from attesta.sources.shared import dealt
 
 #: Abstract, claim, what is expected of it (status, reason) and the evidence; {} is the part's key, [] its size and <> five more.
 CASES = (
@@ -98,7 +99,7 @@ def openalex_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1990) + F.col("p_size")).cast("int").alias("publication_year"), F.array(F.struct(F.struct(F.col("p_brand").alias("display_name")).alias("author")), F.struct(F.struct(F.lit(" ").alias("display_name")).alias("author"))).alias("authorships"),
         F.struct(F.struct(F.col("p_type").alias("display_name")).alias("source")).alias("primary_location"), F.when(key % 7 != 0, words).alias("abstract_inverted_index"),
     ))
-    return table(spark, sf_dir, "part").select("p_partkey", parsers.openalex(work).alias("r")).select("p_partkey", *record_columns("r"))
+    return dealt(table(spark, sf_dir, "part")).select("p_partkey", parsers.openalex(work).alias("r")).select("p_partkey", *record_columns("r"))
 
 
 OPENALEX_PARSE = f"""
@@ -117,7 +118,7 @@ def semantic_scholar_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1990) + F.col("p_size")).cast("int").alias("year"), F.array(F.struct(F.col("p_brand").alias("name")), F.struct(F.lit(None).cast("string").alias("name")), F.struct(F.lit("Group").alias("name"))).alias("authors"),
         F.struct(F.when(key % 5 != 0, text("10.5555/Part.{}", key)).alias("DOI")).alias("externalIds"),
     ))
-    return table(spark, sf_dir, "part").select("p_partkey", parsers.semantic_scholar(paper).alias("r")).select("p_partkey", *record_columns("r"))
+    return dealt(table(spark, sf_dir, "part")).select("p_partkey", parsers.semantic_scholar(paper).alias("r")).select("p_partkey", *record_columns("r"))
 
 
 SEMANTIC_SCHOLAR_PARSE = f"""
@@ -139,7 +140,7 @@ def pubmed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<Author><LastName>"), F.col("p_brand"), F.lit("</LastName></Author><Author><CollectiveName>The Group</CollectiveName></Author></AuthorList>"), doi, F.lit("</Article></MedlineCitation></PubmedArticle></PubmedArticleSet>"),
     )
     xml = F.when(key % 11 == 0, F.substring(body, F.lit(1), F.length(body) - 4)).otherwise(body)
-    return table(spark, sf_dir, "part").select("p_partkey", parsers.pubmed(xml).alias("r")).select("p_partkey", *record_columns("r"))
+    return dealt(table(spark, sf_dir, "part")).select("p_partkey", parsers.pubmed(xml).alias("r")).select("p_partkey", *record_columns("r"))
 
 
 PUBMED_PARSE = """
