@@ -12,6 +12,7 @@ from attesta.functions import vocab
 from attesta.operators import batch
 from attesta.operators.claims import check_pairs, numeric_support, with_claim_terms
 from attesta.operators.evidence import clause_texts, with_evidence
+from attesta.operators.frequent import by_text
 from attesta.operators.resolve import check_claims
 from attesta.schemas import CLAIM, SOURCE_ANSWER
 from attesta.sources.claims import ClaimFileError, detect_format, read_claims
@@ -263,3 +264,20 @@ def test_a_document_computes_its_results_once(spark, tmp_path):
     found = json.loads("".join(f.read_text() for f in sorted((tmp_path / "document").glob("part-*"))))
     assert seen.value == 8
     assert [r["row_number"] for r in found["results"]] == list(range(1, 9)) and found["summary"]["accept"] == 8
+
+
+@pytest.mark.parametrize("most", [0, 1, 10])
+def test_frequent_texts_are_worked_on_once(spark, most):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def marked(text):
+        seen.add(text is not None)
+        return f"<{text}>"
+
+    texts = ["a"] * 50 + ["b"] * 40 + ["c", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    found = by_text(rows, "t", lambda d: d.withColumn("m", marked("t")), most=most)
+    assert found.columns == ["i", "t", "m"]
+    assert sorted(map(tuple, found.collect())) == [(i, t, f"<{t}>") for i, t in enumerate(texts)]
+    assert seen.value <= {0: 91, 1: 42, 10: 3}[most]
