@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attesta.functions import text as tx
+from attesta.sources.shared import dealt, kept
 
 #: Rows of one join key that a task takes; the most frequent MOST_HOT keys with more are dealt over as many tasks as they ask for.
 PER_TASK, MOST_HOT = 50_000, 1000
@@ -61,45 +62,60 @@ def first_rows(df: DataFrame, by: list[str], order: list[Column], most: int, nam
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= most)
 
 
-def met_sets(postings: DataFrame, wanted: DataFrame, counts: DataFrame, terms: str) -> DataFrame:
-    """Each pair of an item and a set of terms that has one of the item's column `terms`, once, with the number of terms they share."""
-    few = wanted.select("item_id", "asked", F.col(terms).alias("_prefix"), F.explode(terms).alias("term"))
-    pairs = spread_join(postings, few, counts, "term", ["terms"])
+def met_rows(said: DataFrame, wanted: DataFrame, counts: DataFrame, terms: str, few_terms: bool) -> DataFrame:
+    """Each pair of an item and a sentence that has one of the item's column `terms`, once, with the number of terms they share, if that is `_least` or more.
+
+    Few terms of items go to the sentences; if they are many, sentences are dealt by their terms.
+    """
+    few = wanted.select("item_id", "asked", "_least", F.col(terms).alias("_prefix"), F.explode(terms).alias("term"))
+    postings = said.select("doc_id", "at", "evidence", "terms", F.explode("terms").alias("term"))
+    if few_terms:
+        pairs = postings.join(F.broadcast(few), "term")
+    else:
+        asked = few.select("term").distinct()
+        pairs = spread_join(postings.join(asked, "term", "left_semi"), few, counts, "term", ["doc_id", "at"])
     # in the row of the first term that both have
-    once = F.get(F.filter("_prefix", lambda t: F.array_contains("terms", t)), F.lit(0)) == F.col("term")
-    return pairs.where(once).select("item_id", "asked", "terms", "first", F.size(F.array_intersect("asked", "terms")).alias("shared"))
+    once = F.get(F.array_intersect("_prefix", "terms"), F.lit(0)) == F.col("term")
+    shared = pairs.where((F.size("terms") >= F.col("_least")) & once).withColumn("shared", F.size(F.array_intersect("asked", "terms")))
+    return shared.where(F.col("shared") >= F.col("_least")).select("item_id", "asked", "shared", "doc_id", "at", "evidence")
+
+
+#: Pairs of an item and one of its terms that are broadcast; more are dealt.
+FEW_TERMS = 100_000
 
 
 def top_evidence(docs: DataFrame, items: DataFrame, most: int = 10, looked_at: int = 200) -> DataFrame:
     """item_id, rank, doc_id, at, shared and evidence: the `most` sentences of all docs (doc_id, text) that share most terms (OP-38, OP-45) with each of items (item_id, text), ties by doc_id, then in text order (OP-100, OP-101).
 
-    Sentences with the same terms are one set. A set that shares t of an item's m terms has one of any
-    m - t + 1 of them. So of each item's terms, the rarest first, as many are looked up as make about
-    `looked_at` sets; the least of the best `most` numbers of shared terms found there is t, and the sets
-    that can reach it have one of the rarest m - t + 1 terms. Its frequent terms are never looked up
-    unless it has no others. Sentences without a term in common with an item are no evidence of it.
+    A sentence that shares t of an item's m terms has one of any m - t + 1 of them. So of each item's
+    terms, the rarest first, as many are looked up as make about `looked_at` sentences; the least of the
+    best `most` numbers of shared terms found there is t, and the sentences that can reach it have one of
+    the rarest m - t + 1 terms. Its frequent terms are never looked up unless it has no others; sentences
+    that share fewer than t are dropped where they are read. Sentences without a term in common with an
+    item are no evidence of it. Sentences are split once and kept in the shared folder; where items have
+    few terms in all, only the best of each task are shuffled.
 
     Rows of items without an id, and texts without terms, find nothing; equal sentences of several
     documents rank each for itself. An empty table gives an empty result.
     """
     stems = lambda c: F.array_sort(F.array_distinct(tx.claim_stems(F.col(c))))
-    said = docs.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("at", "evidence")).withColumn("terms", stems("evidence")).where(F.size("terms") > 0)
-    sets = said.groupBy("terms").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    split = dealt(docs.select("doc_id", "text")).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("at", "evidence"))
+    said = kept(split.withColumn("terms", stems("evidence")).where(F.size("terms") > 0), "sentences")
     asked = items.where("item_id is not null").select("item_id", stems("text").alias("asked")).distinct()
     each = asked.select("item_id", "asked", F.explode("asked").alias("term"))
-    postings = sets.select("terms", "first", F.explode("terms").alias("term"))
-    counts = postings.groupBy("term").agg(F.count("*").alias("n")).join(each.select("term").distinct(), "term", "left_semi")
+    counts = said.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    counts = kept(counts.join(each.select("term").distinct(), "term", "left_semi"), "counts")
 
     known = each.join(counts, "term").groupBy("item_id", "asked").agg(F.array_sort(F.collect_list(F.struct("n", "term"))).alias("k"))
     upto = F.transform("k", lambda _, i: F.aggregate(F.slice("k", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x["n"]))
     known = known.withColumn("_rare", 1 + F.size(F.filter(upto, lambda n: n < looked_at))).withColumn("k", F.transform("k", lambda x: x["term"]))
-    order = [F.desc("shared"), F.col("first")]
+    known = kept(known, "terms")
+    few_terms = (known.agg(F.sum(F.size("k"))).first()[0] or 0) <= FEW_TERMS
+    order = [F.desc("shared"), F.col("doc_id"), F.col("at")]
     by = ["item_id", "asked"]
-    tried = met_sets(postings, known.withColumn("_some", F.slice("k", F.lit(1), F.col("_rare"))), counts, "_some")
+    some = known.withColumns({"_some": F.slice("k", F.lit(1), F.col("_rare")), "_least": F.lit(1)})
+    tried = met_rows(said, some, counts, "_some", few_terms)
     reached = first_rows(tried, by, order, most).groupBy(*by).agg(F.when(F.count("*") >= most, F.min("shared")).otherwise(1).alias("_least"))
-    needed = known.join(reached, by).withColumn("_needed", F.slice("k", F.lit(1), F.size("k") - F.col("_least") + 1))
-    # every row of the best comes from one of the best sets
-    best = first_rows(met_sets(postings, needed, counts, "_needed"), by, order, most)
-    own = first_rows(said.join(best.select("terms").distinct(), "terms", "left_semi"), ["terms"], [F.col("doc_id"), F.col("at")], most, "_own")
-    rows = best.select("item_id", "asked", "terms", "shared").join(own.drop("_own"), "terms")
-    return first_rows(rows, by, [F.desc("shared"), F.col("doc_id"), F.col("at")], most).select("item_id", "rank", "doc_id", "at", "shared", "evidence")
+    needed = kept(known.join(reached, by).withColumn("_needed", F.slice("k", F.lit(1), F.size("k") - F.col("_least") + 1)), "needed")
+    rows = met_rows(said, needed, counts, "_needed", few_terms)
+    return first_rows(rows, by, order, most).select("item_id", "rank", "doc_id", "at", "shared", "evidence")

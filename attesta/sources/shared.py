@@ -25,3 +25,10 @@ def tasks(df: DataFrame) -> int:
 def dealt(df: DataFrame) -> DataFrame:
     """df over as many tasks as the session names, for work that costs far more a row than its bytes say: a file of a few MB is one task whatever its rows cost."""
     return df.repartition(tasks(df))
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and read back from the shared folder."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

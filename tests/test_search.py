@@ -70,3 +70,19 @@ def test_top_evidence(spark, monkeypatch, most, looked_at, per_task):
 
 def test_all_passages_are_registered():
     assert {"phrase_search", "phrase_places", "term_overlap_ranked"} <= queries.QUERIES.keys()
+
+
+def test_top_evidence_of_many_terms(spark, monkeypatch):
+    """Items with too many terms to broadcast: sentences are dealt by their terms, with the same result; of few terms nothing is dealt."""
+    _, _, d, i = tables(spark)
+    few = search.top_evidence(d, i, 3)
+    assert "_salt" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(search, "FEW_TERMS", 0)
+    many = search.top_evidence(d, i, 3)
+    assert "_salt" in many._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_an_index_is_made_of_texts_that_are_shuffled_once(spark):
+    plan = queries.inverted_index_roundtrip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "Exchange hashpartitioning(doc_id#" in plan and plan.count("Exchange") == 1
