@@ -9,13 +9,13 @@ from attesta.functions import quantities as q
 from attesta.functions import text as tx
 from attesta.functions import vocab
 from attesta.functions.doi import normalize_doi
-from attesta.operators import batch, claims, evidence, existence, metadata, resolve, search
+from attesta.operators import batch, claims, evidence, existence, frequent, metadata, resolve, search
 from attesta.plans import corpus, numeric, prose
 from attesta.plans import expected as x
 from attesta.plans.corpus import table
 from attesta.sources import parsers
 from attesta.sources.claims import numbered_lines, read_claims
-from attesta.sources.shared import dealt, new_folder
+from attesta.sources.shared import dealt, new_folder, tasks
 
 
 # --- keys and metadata ---------------------------------------------------------------------------
@@ -155,7 +155,9 @@ TERM_OVERLAP_RANKED = f"""WITH said AS (SELECT doc_id, unnest({SENTENCES}) AS ev
 def inverted_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as inverted indexes, by grouping each text's words, and back."""
     words = F.filter(F.split(tx.strip(F.col("text")), r"\s+"), lambda w: w != "")
-    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    # texts are shuffled, and not each of their words: both groupings find a document's rows in one task
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.repartition(tasks(docs), "doc_id").select("doc_id", words.alias("w"))
     each = rows.select("doc_id", F.posexplode("w").alias("i", "word")).groupBy("doc_id", "word").agg(F.collect_list("i").alias("at"))
     index = each.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
     return index.select("doc_id", F.size("index").cast("long").alias("words"), F.md5(parsers.inverted_text(F.col("index"))).alias("text_md5"))
@@ -208,7 +210,7 @@ def measurement_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values and units read back from rendered sentences."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("qty"))
     said = line.withColumn("t", corpus.text("It ran at {}.5 kV for {},000 cycles with {} patients.", F.col("l_linenumber"), F.col("qty"), F.col("qty")))
-    m = said.withColumn("m", evidence.clause_evidence(evidence.clause_texts(F.col("t")))[0]["measures"])
+    m = frequent.by_text(dealt(said), "t", lambda d: d.withColumn("m", evidence.clause_evidence(evidence.clause_texts(F.col("t")))[0]["measures"]), said)
     return m.select("l_orderkey", "l_linenumber", F.array_join(F.transform("m", lambda v: F.concat_ws(":", (v["value"] * 10).cast("long").cast("string"), v["unit"])), " ").alias("found"))
 
 
@@ -251,19 +253,20 @@ def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_papers(asked: DataFrame, papers: DataFrame) -> DataFrame:
-    """Claims with the evidence of their papers, which is found once for each paper."""
+    """Claims with their terms and the evidence of their papers, which is found once for each paper."""
     counts = asked.groupBy("key").agg(F.count("*").alias("_rows"))
-    return resolve.spread(asked, papers.select("key", "abstract"), counts, "key", ["l_orderkey", "l_linenumber"], evidence.with_evidence)
+    rows = resolve.spread(asked, papers.select("key", "abstract"), counts, "key", ["l_orderkey", "l_linenumber"], evidence.with_evidence)
+    return frequent.by_text(rows, "claim", claims.with_claim_terms, asked)
 
 
 def numeric_claim_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_papers(corpus.claims(spark, sf_dir).where(~F.col("strain")), corpus.papers(spark, sf_dir))
-    return claims.numeric_support(claims.with_claim_terms(rows)).select("l_orderkey", "l_linenumber", F.col("numeric_status").alias("status"))
+    return claims.numeric_support(rows).select("l_orderkey", "l_linenumber", F.col("numeric_status").alias("status"))
 
 
 def pct_claim_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_papers(corpus.claims(spark, sf_dir).where("strain"), corpus.papers(spark, sf_dir))
-    return claims.percentage_support(claims.with_claim_terms(rows)).select("l_orderkey", "l_linenumber", F.col("percentage_evidence").isNotNull().alias("supported"))
+    return claims.percentage_support(rows).select("l_orderkey", "l_linenumber", F.col("percentage_evidence").isNotNull().alias("supported"))
 
 
 def pct_contradiction(spark: SparkSession, sf_dir: str) -> DataFrame:
