@@ -23,6 +23,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def strip_column(text: Column) -> Column:
+    """`strip` of what costs nothing to mention: a text between two printable ASCII characters stays as it is, unsearched."""
+    printable = lambda at: F.substring(text, at, 1).between("!", "~")
+    return F.when(printable(1) & printable(-1), text).otherwise(strip(text))
+
+
 def non_blank(text: Column) -> Column:
     """The trimmed text, or null where nothing is left (OP-47)."""
     return F.nullif(strip(text), F.lit(""))

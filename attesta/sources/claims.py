@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
 from attesta.functions import vocab
-from attesta.sources.csvrecords import csv_records
+from attesta.sources.csvrecords import headed_records
 
 FIELDS = ("id", "doi", "claim", "source", "note")
 
@@ -49,23 +49,33 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(F.broadcast(shift), ["file", "block"]).select((F.col("at") + F.col("shift")).alias("line"), "value")
 
 
-def variant_string(v: Column, field: str) -> Column:
-    """OP-04: optional fields as text; true and false as True and False; blank as null."""
-    kind = F.schema_of_variant(F.variant_get(v, f"$.{field}", "variant"))
-    raw = F.try_variant_get(v, f"$.{field}", "string")
-    return F.when(kind == "STRING", tx.non_blank(raw)).when(kind == "BOOLEAN", F.initcap(raw)).when(kind != "VOID", raw)
+def trimmed(rows: DataFrame, values: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """row_number, `keep` and FIELDS: the trimmed texts of an array, in its order, blank ones as null.
+
+    A lambda trims them: five copies of it in one method are too much code for the JVM to compile.
+    """
+    told = rows.select("row_number", *keep, F.transform(values, tx.strip_column).alias("_values"))
+    return told.select("row_number", *keep, *[F.nullif(F.get("_values", F.lit(i)), F.lit("")).alias(f) for i, f in enumerate(FIELDS)])
 
 
 def parse_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """row_number, the fields and error of each line that is not blank (OP-02)."""
-    lines = numbered_lines(spark, path).where(tx.strip(F.col("value")) != "")
-    parsed = lines.withColumn("v", F.try_parse_json(tx.strip(F.col("value"))))
-    is_object = F.schema_of_variant("v").startswith("OBJECT")
-    text_only = lambda f: F.when(F.schema_of_variant(F.variant_get("v", f"$.{f}", "variant")) == "STRING", tx.non_blank(F.try_variant_get("v", f"$.{f}", "string")))
-    rows = parsed.select(
-        F.col("line").alias("row_number"), F.col("v").isNotNull().alias("_json"), F.coalesce(is_object, F.lit(False)).alias("_object"),
-        *[F.when(is_object, text_only(f) if f in ("doi", "claim") else variant_string(F.col("v"), f)).alias(f) for f in FIELDS],
-    )
+    """row_number, the fields and error of each line that is not blank (OP-02).
+
+    doi and claim are strings; other fields become text (OP-04): true and false as True and False; blank
+    as null. Columns build on columns: the fields are taken out of their line together, and each has its
+    kind and text found once.
+    """
+    lines = numbered_lines(spark, path).select(F.col("line").alias("row_number"), tx.strip_column(F.col("value")).alias("value")).where("value != ''")
+    parsed = lines.select("row_number", F.try_parse_json("value").alias("v"))
+    parsed = parsed.select("row_number", "v", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)).alias("_object"))
+    parts = F.try_variant_get("v", "$", f"struct<{', '.join(f'{f}: variant' for f in FIELDS)}>")
+    taken = parsed.select("row_number", F.col("v").isNotNull().alias("_json"), "_object", F.when(F.col("_object"), parts).alias("_parts"))
+    kinds = [F.schema_of_variant(f"_parts.{f}").alias(f"_{f}") for f in FIELDS]
+    texts = [F.try_variant_get(f"_parts.{f}", "$", "string").alias(f) for f in FIELDS]
+    said = taken.select("row_number", "_json", "_object", *kinds, *texts)
+    value = lambda f: F.when(F.col(f"_{f}") == "STRING", F.col(f))
+    other = lambda f: value(f).when(F.col(f"_{f}") == "BOOLEAN", F.initcap(f)).when(F.col(f"_{f}") != "VOID", F.col(f))
+    rows = trimmed(said, F.array(*[value(f) if f in ("doi", "claim") else other(f) for f in FIELDS]), ("_json", "_object"))
     at = F.col("row_number").cast("string")
     broken = F.when(~F.col("_json"), F.concat(F.lit("Invalid JSON on line "), at)).when(~F.col("_object"), F.concat(F.lit("Invalid row on line "), at, F.lit(": expected object")))
     return validated(rows, broken).drop("_json", "_object")
@@ -73,18 +83,22 @@ def parse_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_csv(spark: SparkSession, path: str) -> DataFrame:
     """row_number (from 2, records and not lines), the fields and error of each record (OP-03), read in splits."""
-    records = csv_records(spark, path)
-    heads = {r["file"]: [n.lstrip("\ufeff").strip() for n in r["values"]] for r in records.where("record = 0").collect()}  # one a file
+    records, first = headed_records(spark, path)
+    heads = {file: [n.lstrip("\ufeff").strip() for n in values] for file, values in first.items()}
     if not any(heads.values()):
         raise ClaimFileError("CSV input is missing a header row")
     for names in heads.values():
         if missing := sorted({"doi", "claim"} - set(names)):
             raise ClaimFileError(f"CSV header must include doi and claim fields; missing: {', '.join(missing)}")
     # of columns with one name the last counts
-    places = [(file, *[len(names) - 1 - names[::-1].index(f) if f in names else None for f in FIELDS]) for file, names in heads.items()]
-    table = spark.createDataFrame(places, "file string, " + ", ".join(f"_{f} int" for f in FIELDS))
-    rows = records.where("record > 0").join(F.broadcast(table), "file")
-    return validated(rows.select("row_number", *[tx.non_blank(F.get("values", F.col(f"_{f}"))).alias(f) for f in FIELDS]), F.lit(None).cast("string"))
+    places = {file: [len(names) - 1 - names[::-1].index(f) if f in names else None for f in FIELDS] for file, names in heads.items()}
+    rows, one = records.where("record > 0"), next(iter(places.values()))
+    if all(p == one for p in places.values()):
+        at = dict(zip(FIELDS, [F.lit(p).cast("int") for p in one], strict=True))
+    else:
+        table = spark.createDataFrame([(file, *p) for file, p in places.items()], "file string, " + ", ".join(f"_{f} int" for f in FIELDS))
+        rows, at = rows.join(F.broadcast(table), "file"), {f: F.col(f"_{f}") for f in FIELDS}
+    return validated(trimmed(rows, F.array(*[F.get("values", at[f]) for f in FIELDS])), F.lit(None).cast("string"))
 
 
 def validated(rows: DataFrame, broken: Column) -> DataFrame:

@@ -1,13 +1,17 @@
 """Claim files at any split size, ordered documents, and citations with repeated answers."""
 
+import contextlib
 import csv
 import io
 import json
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from attesta import cli
+from attesta.functions import text as tx
 from attesta.operators import batch, resolve
 from attesta.operators.metadata import verify_citations
 from attesta.schemas import PAPER
@@ -107,3 +111,53 @@ def test_repeated_answers_repeat_no_citation(spark, monkeypatch):
     for order in (answers, answers[::-1]):
         got = verify_citations(c, spark.createDataFrame(order, kind)).collect()
         assert sorted((r["doi"] or "", r["verdict"] or "") for r in got) == [("", ""), *[("10.1/A.", "PASS")] * 20, ("10.1/b", "")]
+
+
+def test_csv_lines_are_read_twice_and_columns_from_a_file_are_trimmed_in_one_place(spark, tmp_path):
+    """Once for the splits' ends, then for the records; what is torn is taken by its lines' places, not read by a worker again."""
+    path = tmp_path / "c.csv"
+    path.write_text('doi,claim\n10.1/a,"x\ny"\n')
+    plan = read_claims(spark, str(path), strict=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and plan.count("regexp_replace") == 1
+
+
+def test_the_end_of_a_split_from_either_beginning():
+    """lines, lead, ends quoted, records and tail from a beginning outside and in quotes, and the first record."""
+    end = lambda *lines: csvrecords.split_end(iter(lines), True)
+    assert end("a,b", "c,d") == (2, 2, False, True, 2, 0, 2, 2, "a,b")
+    assert end('a,"b', 'c",d', "", "e,f") == (4, 1, False, False, 2, 2, 4, 4, 'a,"b\nc",d')
+    assert end('x"', "b", 'c,"d', "e") == (4, 1, True, True, 3, 2, 2, 2, 'x"')
+    assert end('a,"b', "c") == (2, 1, True, False, 1, 1, 0, 2, None)
+    assert end() == (0, 0, False, True, 0, 0, 0, 0, None)
+
+
+def test_a_long_open_quote_is_one_record(spark, split_at, tmp_path):
+    """Longer than Python's limit of a field, over many splits, up to the file's end."""
+    split_at(10_000)
+    path, long = tmp_path / "c.csv", "z, y\n" * 40_000
+    path.write_text(f'doi,claim\n10.1/a,x\n10.1/b,"{long}')
+    got = sorted(map(tuple, read_claims(spark, str(path), strict=False).select("row_number", "doi", "claim").collect()))
+    assert got == [(2, "10.1/a", "x"), (3, "10.1/b", long.strip())]
+
+
+def test_trimmed_as_before(spark):
+    """A text between printable ASCII characters is not searched; all others are stripped as ever."""
+    edges = [chr(c) for c in range(0x3100) if c] + ["", "a", "~", "\U0001f600"]
+    texts = spark.createDataFrame([(t,) for e in edges for t in (e, f"{e}a", f"a{e}", f"{e}a b{e}")] + [(None,)], "t string")
+    assert texts.where(~tx.strip_column(F.col("t")).eqNullSafe(tx.strip(F.col("t")))).count() == 0
+
+
+def test_fields_of_json_lines_are_found_once(spark, tmp_path):
+    """Each field's kind and text are in the plan once, and no method of it is too long for the JVM to compile."""
+    path = tmp_path / "c.jsonl"
+    path.write_text('{"doi": " 10.1/a ", "claim": "c", "id": true, "note": 1.5, "source": null}\n{"doi": 1, "claim": "c", "id": " "}\n')
+    rows = read_claims(spark, str(path), strict=False)
+    assert sorted(map(tuple, rows.select("id", "doi", "claim", "source", "note").collect()), key=repr) == [("True", "10.1/a", "c", "auto", "1.5"), (None, None, "c", "auto", None)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with contextlib.redirect_stdout(out := io.StringIO()):
+            read_claims(spark, str(path), strict=False).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:\s*(\d+)", out.getvalue())]
+    assert sizes and max(sizes) < 8000
