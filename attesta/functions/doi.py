@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.functions.text import let, strip
+from attesta.functions.text import is_ascii, let, strip, strip_column
 
 
 def without_trailing_marks(text: Column) -> Column:
@@ -32,10 +32,11 @@ def normalize_doi(raw: Column) -> Column:
 
     Of letters whose case folding is not their lower case, \u00df, \u017f and \u03c2 are folded.
     """
-    folded = F.replace(F.translate(F.lower(strip(raw)), "\u017f\u03c2", "s\u03c3"), F.lit("\u00df"), F.lit("ss"))
-    bare = F.regexp_replace(folded, r"^(?:https?://)?(?:dx\.)?doi\.org/", "")
-    bare = F.regexp_replace(bare, r"(?U)^doi:\s*", "")
-    return let(bare, lambda b: without_trailing_marks(F.when(F.contains(b, F.lit("%")), decoded(b)).otherwise(b)))
+    lower = lambda r: F.lower(strip_column(r))
+    special = lambda r: F.replace(F.translate(lower(r), "\u017f\u03c2", "s\u03c3"), F.lit("\u00df"), F.lit("ss"))
+    bare = lambda r: F.regexp_replace(F.when(is_ascii(r), lower(r)).otherwise(special(r)), r"^(?:https?://)?(?:dx\.)?doi\.org/", "")
+    named = let(raw, lambda r: F.regexp_replace(bare(r), r"(?U)^doi:\s*", ""))
+    return let(named, lambda b: without_trailing_marks(F.when(F.contains(b, F.lit("%")), decoded(b)).otherwise(b)))
 
 
 def decoded(text: Column) -> Column:

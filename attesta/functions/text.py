@@ -23,6 +23,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def is_ascii(text: Column) -> Column:
+    """As many bytes as characters."""
+    return F.octet_length(text) == F.char_length(text)
+
+
 def strip_column(text: Column) -> Column:
     """`strip` of what costs nothing to mention: a text between two printable ASCII characters stays as it is, unsearched."""
     printable = lambda at: F.substring(text, at, 1).between("!", "~")
@@ -139,13 +144,27 @@ def after(text: Column, span: Column) -> Column:
 
 
 def fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+    plain = unicodedata.normalize("NFKD", text.casefold())
+    for mark in filter(unicodedata.combining, set(plain)):
+        plain = plain.replace(mark, "")
+    return plain
+
+
+def at_once(texts: pd.Series, change: Callable[[str], str]) -> pd.Series:
+    """A change that goes character by character, made to all texts in one; to each by itself where one has the mark between them."""
+    given = texts.dropna()
+    if given.empty:
+        return texts
+    changed = change("\x00".join(given)).split("\x00")
+    if len(changed) != len(given):
+        changed = [change(t) for t in given]
+    return pd.Series(changed, given.index).reindex(texts.index)
 
 
 @F.pandas_udf(T.StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Case-folded, decomposed, without combining marks (OP-33): no built-in normalises Unicode."""
-    return text if text.isna().all() else text.map(fold, na_action="ignore")
+    return at_once(text, fold)
 
 
 @F.pandas_udf(T.StringType())
@@ -154,19 +173,22 @@ def unescaped(text: pd.Series) -> pd.Series:
     return text if text.isna().all() else text.map(html.unescape, na_action="ignore")
 
 
-#: Greek letters as words of their own.
-SPELT = str.maketrans({letter: f" {name} " for letter, name in vocab.GREEK.items()})
+def spell(text: str) -> str:
+    """Greek letters as words of their own."""
+    for letter in set(text) & vocab.GREEK.keys():
+        text = text.replace(letter, f" {vocab.GREEK[letter]} ")
+    return text
 
 
 @F.pandas_udf(T.StringType())
 def folded_and_spelt(text: pd.Series) -> pd.Series:
     """`folded`, with Greek letters spelt out (OP-34)."""
-    return text if text.isna().all() else text.map(lambda t: fold(t).translate(SPELT), na_action="ignore")
+    return at_once(text, lambda t: spell(fold(t)))
 
 
 def in_ascii(text: Column, otherwise: Callable[[Column], Column]) -> Column:
     """ASCII text in lower case; only other text goes to a worker. Compute it once, as a column, where it is mentioned often."""
-    plain = text.rlike("^[\\x00-\\x7F]*$")
+    plain = is_ascii(text)
     return F.when(plain, F.lower(text)).otherwise(otherwise(F.when(~plain, text)))
 
 

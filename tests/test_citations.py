@@ -1,13 +1,18 @@
 """DOIs, metadata, payload parsers and the choice of a source."""
 
 import json
+import os
+import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from attesta.functions import text as tx
 from attesta.functions.doi import normalize_doi
 from attesta.operators.metadata import verify_citations, verify_metadata
 from attesta.operators.resolve import check_claims
+from attesta.plans import queries
 from attesta.schemas import CLAIM, PAPER, SOURCE_ANSWER
 from attesta.sources import live, parsers
 
@@ -178,3 +183,28 @@ def test_answers_do_not_depend_on_their_order(spark):
         assert out[1]["abstract_source"] == "pubmed" and [a["elapsed_ms"] for a in out[1]["attempts"]] == [9]
         assert (out[2]["record"]["title"], out[2]["record"]["source"], out[2]["record"]["doi"], out[2]["error_code"]) == ("[title missing]", "selected abstract source", "10.1/b", "SOURCE_API_ERROR")
         assert len(out) == 3 and out[3]["status"] == "UNVERIFIABLE"
+
+
+def test_texts_folded_at_once_are_folded_as_each_by_itself():
+    fold_each = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t.casefold()) if not unicodedata.combining(c))
+    texts = [chr(c) for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000] + ["", "ẹ́́", "́", "ΑΣΣ"]
+    series = pd.Series([None, *texts, None])
+    assert list(tx.at_once(series, tx.fold))[1:-1] == [fold_each(t) for t in texts]
+    assert [t if isinstance(t, str) else None for t in tx.at_once(pd.Series(["a\x00É", None, "ﬁ"]), tx.fold)] == ["a\x00e", None, "fi"]
+    assert tx.at_once(pd.Series([None, None], dtype=object), tx.fold).isna().all()
+    assert tx.spell(tx.fold("αΒ-ς1")) == " alpha  beta - sigma 1"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_citations_are_folded_before_they_meet_their_record_and_records_once(spark):
+    """No worker above the join of citations with records; a record's texts are folded once, below it."""
+    plan = queries.QUERIES["citation_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan[: plan.index("Join")] and plan.count("folded_and_spelt") == 1
+    assert "translate" not in plan[: plan.index("Join")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["metadata_verdict", "metadata_mismatches"])
+def test_orders_are_dealt_before_their_texts_go_to_workers(spark, name):
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("EvalPython") < plan.index("Repartition 4, true") < plan.index("Join")
