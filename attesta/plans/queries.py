@@ -28,8 +28,12 @@ def doi_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOI_NORMALIZE = "SELECT l_orderkey, l_linenumber, '10.5555/part.' || l_partkey AS doi_norm FROM lineitem"
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations of orders: titles, authors and years that are right, wrong or missing by the order's key, and the fetched record."""
+    """Citations of orders: titles, authors and years that are right, wrong or missing by the order's key, and the fetched record.
+
+    Orders are dealt before their texts are made: a few MB of them are one task, and their texts go to workers.
+    """
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment"), "o_custkey")
+    o = dealt(o.select("o_orderkey", "o_orderdate", "c_name", "c_mktsegment"))
     k, year = F.col("o_orderkey"), F.year("o_orderdate")
     title = corpus.text("Résumé of {}: α-trials, part {}", F.col("c_mktsegment"), k)
     wrong = F.when(k % 5 == 1, corpus.text("Resume of {}: beta trial, part {}", F.col("c_mktsegment"), k)).when(k % 5 == 2, None).otherwise(corpus.text("resume of {}: alpha trial, part {}", F.lower("c_mktsegment"), k))
