@@ -27,22 +27,35 @@ def spread_join(rows: DataFrame, few: DataFrame, counts: DataFrame, key: str, by
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
+#: Different phrases that are broadcast to the documents; the places of more are dealt by their words.
+FEW_PHRASES = 5000
+
+
 def phrase_places(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id and start of each place, in words from 0, where one of docs (doc_id, text) says the whole of one of items (item_id, text), word by word (OP-40, OP-58).
 
     Of a phrase's words the one with the fewest occurrences in all documents is its anchor, of equal
-    ones the first in it. A phrase can stand only where its anchor does, so an index of the anchors'
-    places is all that is joined; there the whole phrase is compared. Places overlap where phrases do.
+    ones the first in it. A phrase can stand only where its anchor does; there the whole phrase is
+    compared. Places overlap where phrases do. Few phrases are compared where the documents are, of
+    which nothing is shuffled but their texts, once; of many, an index of the anchors' places is joined
+    with them and with the documents. Documents are dealt and split into words once, and their words
+    kept in the shared folder.
     Phrases without words, or with one that no document has, are nowhere; rows without a doc_id are
     not looked through. Equal rows of docs or items are found each for itself.
     """
-    said = docs.select("doc_id", tx.phrase_tokens(F.col("text")).alias("_words"))
+    texts = dealt(docs.where("doc_id is not null").select("doc_id", "text"))
+    said = kept(texts.select("doc_id", tx.phrase_tokens(F.col("text")).alias("_words")), "words")
     wanted = items.select("item_id", tx.phrase_tokens(F.col("text")).alias("_phrase")).where(F.size("_phrase") > 0)
-    each = wanted.select("_phrase").distinct().select("_phrase", F.posexplode("_phrase").alias("_offset", "word"))
-    counts = said.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counts = counts.join(each.select("word").distinct(), "word", "left_semi")
+    phrases = wanted.select("_phrase").distinct()
+    few = phrases.limit(FEW_PHRASES + 1).count() <= FEW_PHRASES
+    each = phrases.select("_phrase", F.posexplode("_phrase").alias("_offset", "word"))
+    asked = each.select("word").distinct()
+    words = said.select(F.explode("_words").alias("word")).join(F.broadcast(asked) if few else asked, "word", "left_semi")
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
     anchors = each.join(counts, "word").groupBy("_phrase").agg(F.min(F.struct("n", "_offset", "word")).alias("a"), F.count("*").alias("_met"))
     anchors = anchors.where(F.col("_met") == F.size("_phrase")).select("_phrase", "a._offset", "a.word")
+    if few:
+        return places_in_rows(said, kept(anchors, "anchors"), wanted)
     rare = anchors.select("word").distinct()
     index = said.select("doc_id", F.posexplode("_words").alias("at", "word")).join(rare, "word", "left_semi")
     met = spread_join(index, anchors, counts.join(rare, "word", "left_semi"), "word", ["doc_id", "at"])
@@ -52,6 +65,32 @@ def phrase_places(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.join(wanted, "_phrase").select("doc_id", "item_id", "start")
 
 
+def places_in_rows(said: DataFrame, anchors: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`phrase_places` of a few phrases: each anchor's place in a row takes along the words around it, as many as its phrases reach, and meets them there."""
+    reach = F.greatest(F.col("_offset"), F.size("_phrase") - F.col("_offset"))
+    # a power of two, so that the words fall into few classes
+    classes: dict[int, list[str]] = {}
+    for r in anchors.groupBy("word").agg(F.max(reach).alias("reach")).collect():
+        classes.setdefault(1 << (r["reach"] - 1).bit_length(), []).append(r["word"])
+
+    def place(word: Column, at: Column) -> Column:
+        out = F
+        for most, members in sorted(classes.items()):
+            base = F.greatest(at - most, F.lit(0))
+            around = F.slice("_words", base + 1, F.lit(2 * most))
+            out = out.when(word.isin(members), F.struct(at.alias("at"), word.alias("word"), base.alias("base"), around.alias("around")))
+        return out
+
+    if not classes:
+        return said.join(wanted, F.lit(False)).select("doc_id", "item_id", F.lit(0).alias("start"))
+    hits = said.select("doc_id", F.explode(F.array_compact(F.transform("_words", place))).alias("_hit")).select("doc_id", "_hit.*")
+    asked = F.broadcast(anchors.join(wanted, "_phrase"))
+    start = F.col("at") - F.col("_offset")
+    stands = F.slice("around", start - F.col("base") + 1, F.size("_phrase")) == F.col("_phrase")
+    # a start before the text's is caught first: slice counts negative ones from the end, and fails at 0
+    return hits.join(asked, "word").where(F.when(start >= 0, stands)).select("doc_id", "item_id", start.alias("start"))
+
+
 def phrase_search(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id and item_id for each of docs that says the whole of one of items (see `phrase_places`)."""
     return phrase_places(docs, items).select("doc_id", "item_id").distinct()

@@ -86,3 +86,25 @@ def test_top_evidence_of_many_terms(spark, monkeypatch):
 def test_an_index_is_made_of_texts_that_are_shuffled_once(spark):
     plan = queries.inverted_index_roundtrip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "Exchange hashpartitioning(doc_id#" in plan and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("few", [search.FEW_PHRASES, 0])
+def test_few_and_many_phrases_stand_in_the_same_places(spark, monkeypatch, few):
+    """At a text's ends, longer than the words around another's anchor, with an anchor that is frequent or far in."""
+    monkeypatch.setattr(search, "FEW_PHRASES", few)
+    long = " ".join(f"w{i % 7}" for i in range(40))
+    docs = [(1, f"{long} rare"), (2, f"rare {long}"), (3, f"x {long} rare y rare"), (4, "rare"), (5, long[3:]), (5, "end w0"), (None, "rare"), (6, "w0 " * 300)]
+    items = [(1, f"{long} rare"), (2, "rare"), (3, "w0 w1"), (4, "w0"), (4, "w0"), (5, "w6 w0 w1 w2 w3 w4 rare"), (6, "end w0"), (7, "w0 unheard"), (8, "...")]
+    words = lambda t: plain(t).split()
+    want = [(k, m, at) for k, t in docs if k is not None for m, p in items if words(p) for at in range(len(words(t))) if words(t)[at : at + len(words(p))] == words(p)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    found = search.phrase_places(d, i)
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 600
+    assert found.dtypes == [("doc_id", "bigint"), ("item_id", "bigint"), ("start", "int")]
+    assert search.phrase_places(d, i.where("item_id > 6")).collect() == []
+
+
+def test_few_phrases_shuffle_no_document(spark):
+    _, _, d, i = tables(spark)
+    plan = search.phrase_places(d, i)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(doc_id" not in plan
